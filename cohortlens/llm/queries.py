@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, simhash
+from . import decontaminate, mixing, simhash, substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup_substrings(table(spark, sf_dir, "documents"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(table(spark, sf_dir, "documents")).drop("copies")
 
@@ -49,5 +53,5 @@ r AS (SELECT c.*, g.total, g.target, CASE WHEN g.total > 0 THEN g.target / g.tot
 SELECT doc_id, size, total AS source_size, target, CAST(floor(off_ + rate * rank) - floor(off_ + rate * (rank - 1)) AS BIGINT) * size AS taken FROM r
 """
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op3_mix_sources": op3_mix_sources, "op5_simhash": op5_simhash}
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_suffix_dedup": op2_suffix_dedup, "op3_mix_sources": op3_mix_sources, "op5_simhash": op5_simhash}
 ORACLE_SQL = {"op1_decontaminate": OP1_SQL, "op3_mix_sources": OP3_SQL}
