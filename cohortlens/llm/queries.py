@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, simhash, substrings
+from . import decontaminate, mixing, simhash, sketch, substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=3)
 
 
+def op7_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 OP1_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
@@ -53,5 +57,11 @@ r AS (SELECT c.*, g.total, g.target, CASE WHEN g.total > 0 THEN g.target / g.tot
 SELECT doc_id, size, total AS source_size, target, CAST(floor(off_ + rate * rank) - floor(off_ + rate * (rank - 1)) AS BIGINT) * size AS taken FROM r
 """
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_suffix_dedup": op2_suffix_dedup, "op3_mix_sources": op3_mix_sources, "op5_simhash": op5_simhash}
+QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
+    "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_mix_sources": op3_mix_sources,
+    "op5_simhash": op5_simhash,
+    "op7_sketch": op7_sketch,
+}
 ORACLE_SQL = {"op1_decontaminate": OP1_SQL, "op3_mix_sources": OP3_SQL}
