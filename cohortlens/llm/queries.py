@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, simhash, sketch, substrings, tokens
+from . import decontaminate, mixing, simhash, sketch, substrings, tokens, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op7_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -63,12 +67,21 @@ r AS (SELECT c.*, g.total, g.target, CASE WHEN g.total > 0 THEN g.target / g.tot
 SELECT doc_id, size, total AS source_size, target, CAST(floor(off_ + rate * rank) - floor(off_ + rate * (rank - 1)) AS BIGINT) * size AS taken FROM r
 """
 
+OP8_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+m AS (SELECT payload_bytes, payload_digest, max(page_id) AS top, count(*) AS n FROM p WHERE payload_bytes >= 1000 GROUP BY ALL)
+SELECT p.page_id, p.payload_bytes, p.payload_digest, CASE WHEN m.n > 1 AND p.page_id IS DISTINCT FROM m.top THEN 'revisit' ELSE 'response' END AS record_type,
+CASE WHEN m.n > 1 AND p.page_id IS DISTINCT FROM m.top THEN m.top END AS refers_to
+FROM p LEFT JOIN m ON m.payload_bytes = p.payload_bytes AND m.payload_digest = p.payload_digest
+"""
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_mix_sources": op3_mix_sources,
     "op5_simhash": op5_simhash,
     "op7_sketch": op7_sketch,
+    "op8_warc": op8_warc,
     "op9_token_output": op9_token_output,
 }
-ORACLE_SQL = {"op1_decontaminate": OP1_SQL, "op3_mix_sources": OP3_SQL}
+ORACLE_SQL = {"op1_decontaminate": OP1_SQL, "op3_mix_sources": OP3_SQL, "op8_warc": OP8_SQL}
