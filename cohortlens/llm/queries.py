@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, simhash, sketch, substrings, tokens, warc
+from . import decontaminate, language, mixing, simhash, sketch, substrings, tokens, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=3)
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.edited_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -80,6 +84,7 @@ QUERIES = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_mix_sources": op3_mix_sources,
     "op5_simhash": op5_simhash,
+    "op6_language": op6_language,
     "op7_sketch": op7_sketch,
     "op8_warc": op8_warc,
     "op9_token_output": op9_token_output,
