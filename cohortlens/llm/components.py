@@ -25,6 +25,28 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
+def nearest_forest(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Numbers of links that span every component, lightest first: each part takes its lightest way out, again and again."""
+    rank = np.empty(len(a), np.int64)
+    by = np.argsort(weight, kind="stable")
+    rank[by] = np.arange(len(a))
+    root, taken = np.arange(n), []
+    left = np.arange(len(a))
+    while len(left):
+        x, y = root[a[left]], root[b[left]]
+        out = x != y
+        left, x, y = left[out], x[out], y[out]
+        if not len(left):
+            break
+        best = np.full(n, len(a))
+        np.minimum.at(best, x, rank[left])
+        np.minimum.at(best, y, rank[left])
+        new = by[np.unique(best[best < len(a)])]
+        taken.append(new)
+        root = local_roots(n, np.concatenate([root[a[new]], np.arange(n)]), np.concatenate([root[b[new]], root]))
+    return np.concatenate(taken) if taken else np.zeros(0, np.int64)
+
+
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from . import decontaminate, html_text, language, mixing, quality, simhash, sketch, substrings, tokens, warc
 
 
@@ -98,5 +100,6 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_token_output": op9_token_output,
     "op10_quality": op10_quality,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL = {"op1_decontaminate": OP1_SQL, "op3_mix_sources": OP3_SQL, "op8_warc": OP8_SQL}

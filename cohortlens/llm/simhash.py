@@ -19,13 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .components import component_labels, local_roots
+from .components import component_labels, nearest_forest
+from .sketch import likeness, with_sketch
 
 BITS = 64
 FAN_OUT = 8
 #: Distinct fingerprints that one bucket holds at most; a larger bucket is dealt on by further blocks.
-BUCKET_ROWS = 2048
-CHUNK_ROWS = 50_000
+BUCKET_ROWS = 1024
+CHUNK_ROWS = 8192
 PAIRS_AT_ONCE = 2_000_000
 
 
@@ -126,9 +127,9 @@ def _links_of(rows: pa.Table, radius: int) -> pa.RecordBatch:
     found = list(GrayIndex(bucket, prints).pairs(radius))
     a = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int64)
     b = np.concatenate([y for _, y in found]) if found else np.zeros(0, np.int64)
-    root = local_roots(len(nodes), a, b)
-    linked = np.flatnonzero(root != np.arange(len(nodes)))
-    return pa.RecordBatch.from_arrays([pa.array(nodes[linked]), pa.array(nodes[root[linked]])], names=["a", "b"])
+    bits = np.bitwise_count(prints[a] ^ prints[b]).astype(np.int64)
+    own = nearest_forest(len(nodes), a, b, bits)
+    return pa.RecordBatch.from_arrays([pa.array(nodes[a[own]]), pa.array(nodes[b[own]]), pa.array(bits[own])], names=["a", "b", "bits"])
 
 
 def _link_batches(radius: int):
@@ -153,25 +154,29 @@ def _link_batches(radius: int):
     return run
 
 
-def _block_masks(bits: list[int], radius: int, blocks: int) -> list[int]:
-    """Masks of all choices of blocks - radius blocks among the given bits."""
+def _block_masks(bits: list[int], blocks: int, agree: int) -> list[int]:
+    """Masks of all choices of `agree` blocks among the given bits."""
     cuts = [bits[k * len(bits) // blocks : (k + 1) * len(bits) // blocks] for k in range(blocks)]
-    return [sum(1 << x for c in chosen for x in cuts[c]) for chosen in combinations(range(blocks), blocks - radius)]
+    return [sum(1 << x for c in chosen for x in cuts[c]) for chosen in combinations(range(blocks), agree)]
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def near_links(prints: DataFrame, radius: int = 3, blocks: int | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Links (a, b) between nodes of (print, node), print distinct, that join all within `radius` bits.
+def near_links(prints: DataFrame, radius: int = 3, blocks: int | None = None, agree: int | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Links (a, b, bits) between nodes of (print, node), print distinct, that join all within `radius` bits.
+
+    Buckets are made by every choice of `agree` of the blocks. Nothing is missed up to blocks - agree bits,
+    which is the radius unless `agree` is given; beyond it, links are found if `agree` blocks happen to be equal.
 
     Not every pair is listed: of the pairs in one bucket a spanning forest stays, which keeps each
     component whole. A bucket of more than `bucket_rows` is dealt on by blocks of its remaining bits, again
     and again; as prints are distinct, this ends.
     """
     blocks = blocks or radius + 1
-    masks = _block_masks(list(range(BITS)), radius, blocks)
+    agree = agree or blocks - radius
+    masks = _block_masks(list(range(BITS)), blocks, agree)
     rows = prints.select("print", "node", F.explode(F.array(*[F.struct(F.lit(m).alias("table"), F.col("print").bitwiseAND(F.lit(m)).alias("key")) for m in map(_signed, masks)])).alias("k"))
     rows = rows.select(F.col("k.table").alias("table"), F.col("k.key").alias("key"), "print", "node")
     links = None
@@ -187,12 +192,12 @@ def near_links(prints: DataFrame, radius: int = 3, blocks: int | None = None, bu
         further = F.lit(None)
         for t in tables:
             left = [x for x in range(BITS) if not (t >> x) & 1]
-            choices = [_signed(m | (t & ((1 << 64) - 1))) for m in _block_masks(left, radius, blocks)]
+            choices = [_signed(m | (t & ((1 << 64) - 1))) for m in _block_masks(left, blocks, agree)]
             further = F.when(F.col("table") == t, F.array(*[F.lit(m) for m in choices])).otherwise(further)
         hot = rows.join(large, ["table", "key"], "left_semi")
         rows = hot.select("print", "node", F.explode(further).alias("table")).select("table", F.col("print").bitwiseAND(F.col("table")).alias("key"), "print", "node").distinct()
     for part in ready:
-        own = part.repartition("table", "key").sortWithinPartitions("table", "key").mapInArrow(_link_batches(radius), "a bigint, b bigint")
+        own = part.repartition("table", "key").sortWithinPartitions("table", "key").mapInArrow(_link_batches(radius), "a bigint, b bigint, bits bigint")
         links = own if links is None else links.unionByName(own)
     return links
 
@@ -211,13 +216,35 @@ def near_duplicates(documents: DataFrame, shingle: int = 3, radius: int = 3, blo
     links = near_links(nodes.select("print", "node"), radius, blocks)
     repeated = own.filter("doc_id is not null").groupBy("doc_id").agg(F.min("print").alias("p"), F.max("print").alias("q")).filter("p <> q")
     same_id = own.join(repeated.select("doc_id"), "doc_id").join(nodes, "print").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    labels = component_labels(links.unionByName(same_id))
+    labels = component_labels(links.select("a", "b").unionByName(same_id))
     of_print = nodes.join(labels, "node", "left").select("print", F.coalesce("label", "node").alias("component_id"))
     return own.join(of_print, "print", "left").select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def one_of_each(documents: DataFrame, shingle: int = 5, radius: int = 3, blocks: int | None = None) -> DataFrame:
+def similar_documents(documents: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 14, blocks: int = 10, agree: int = 2, sure: int = 3, slack: float = 0.03) -> DataFrame:
+    """(doc_id, component_id) of documents whose word shingles are alike to `similarity` or more.
+
+    SimHash at 0.8 leaves up to 14 bits apart, so links are sought to `radius` bits and those beyond
+    `sure` are confirmed on sketches of the shingles, to the similarity less `slack` for the sketch's error.
+    Only the links of a nearest forest of each bucket are confirmed, so a group of thousands of copies has as
+    many links as copies in each table, not their square. Rows are treated as in near_duplicates.
+    """
+    own = written(fingerprints(documents, shingle), "prints")
+    nodes = written(own.filter("doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("node")), "nodes")
+    links = written(near_links(nodes, radius, blocks, agree).groupBy("a", "b").agg(F.min("bits").alias("bits")), "pairs")
+    doubtful = links.filter(F.col("bits") > sure)
+    asked = doubtful.select(F.col("a").alias("doc_id")).union(doubtful.select(F.col("b").alias("doc_id"))).distinct()
+    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(asked, "doc_id")
+    sketched = written(with_sketch(texts, "text", "sketch", 4).groupBy("doc_id").agg(F.first("sketch").alias("sketch")), "sketches")
+    left, right = sketched.select(F.col("doc_id").alias("a"), F.col("sketch").alias("x")), sketched.select(F.col("doc_id").alias("b"), F.col("sketch").alias("y"))
+    confirmed = doubtful.join(left, "a").join(right, "b").filter(likeness(F.col("x"), F.col("y")) >= similarity - slack)
+    labels = component_labels(links.filter(F.col("bits") <= sure).select("a", "b").unionByName(confirmed.select("a", "b")))
+    of_print = nodes.join(labels, "node", "left").select("print", F.coalesce("label", "node").alias("component_id"))
+    return own.join(of_print, "print", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(documents: DataFrame, **options) -> DataFrame:
     """documents with the least doc_id of each component; all columns stay. Null doc_ids stay."""
-    found = near_duplicates(documents, shingle, radius, blocks)
+    found = similar_documents(documents, **options)
     gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
     return documents.join(gone, documents["doc_id"].cast("bigint") == gone["__gone"], "left_anti")

@@ -5,7 +5,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from cohortlens.llm import simhash
-from cohortlens.llm.components import component_labels
+from cohortlens.llm.components import component_labels, nearest_forest
 
 
 def plain_fingerprint(text, n=3):
@@ -53,7 +53,7 @@ def test_index_and_components_match_brute_force(spark):
     rows = [(int(np.uint64(p).astype(np.int64)), i) for i, p in enumerate(prints)]
     df = spark.createDataFrame(rows, "print bigint, node bigint")
     for bucket_rows in (2048, 4):
-        labels = dict(component_labels(simhash.near_links(df, 3, bucket_rows=bucket_rows)).collect())
+        labels = dict(component_labels(simhash.near_links(df, 3, bucket_rows=bucket_rows).select("a", "b")).collect())
         assert [labels.get(i, i) for i in range(len(prints))] == want
 
 
@@ -62,7 +62,7 @@ def test_wider_radius_by_choices_of_blocks(spark):
     prints = [rng.getrandbits(64) for _ in range(30)]
     prints = sorted(set(prints + [p ^ sum(1 << b for b in rng.sample(range(64), k)) for p in prints for k in (2, 6, 7, 9)]))
     df = spark.createDataFrame([(int(np.uint64(p).astype(np.int64)), i) for i, p in enumerate(prints)], "print bigint, node bigint")
-    labels = dict(component_labels(simhash.near_links(df, 6, 8)).collect())
+    labels = dict(component_labels(simhash.near_links(df, 6, 8).select("a", "b")).collect())
     assert [labels.get(i, i) for i in range(len(prints))] == components(prints, 6)
 
 
@@ -81,3 +81,33 @@ def test_documents_match_brute_force(spark, sf_dir):
     prints = [plain_fingerprint(r.text) for r in rows]
     want = {r.doc_id: (f"{p:016x}", rows[c].doc_id) for r, p, c in zip(rows, prints, components(prints, 3), strict=True)}
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_duplicates(docs).collect()} == want
+
+
+def test_forest_spans_with_the_lightest_links():
+    rng = np.random.default_rng(4)
+    a, b = rng.integers(0, 40, 300), rng.integers(0, 40, 300)
+    w = rng.integers(0, 9, 300)
+    taken = nearest_forest(40, a, b, w)
+    root = {k: k for k in range(40)}
+    total = 0
+    for k in np.argsort(w, kind="stable"):
+        x, y = root[a[k]], root[b[k]]
+        if x != y:
+            total += w[k]
+            root = {i: (x if r == y else r) for i, r in root.items()}
+    assert len(taken) == 40 - len(set(root.values())) and w[taken].sum() == total
+
+
+def test_similar_documents_are_confirmed(spark):
+    rng = random.Random(9)
+    base = [[rng.choice("abcdefghij") * rng.randint(1, 5) + str(rng.randint(0, 99)) for _ in range(300)] for _ in range(12)]
+    rows, group = [], {}
+    for k, words in enumerate(base):
+        for c in range(4):
+            own = list(words)
+            for _ in range(c):
+                own[rng.randrange(300)] = "changed"
+            rows.append((k * 10 + c, " ".join(own)))
+            group[k * 10 + c] = k * 10
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert dict(simhash.similar_documents(df).collect()) == group
