@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from cohortlens.plans import scoring  # noqa: F401
+from cohortlens.plans.registry import ORACLE_SQL, QUERIES
+
 FLAGSHIP = "a04_agreement_metrics"
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
