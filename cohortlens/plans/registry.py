@@ -14,14 +14,14 @@ ORACLE_SQL: dict[str, str] = {}
 PLACES = 6
 
 
-def rounded(df: DataFrame) -> DataFrame:
-    """Doubles to six places: their sums depend on order beyond."""
-    return df.select(*[F.round(c, PLACES).alias(c) if kind in ("double", "float") else F.col(c) for c, kind in df.dtypes])
+def rounded(df: DataFrame, places: int = PLACES) -> DataFrame:
+    """Doubles to a few places: their sums depend on order beyond."""
+    return df.select(*[F.round(c, places).alias(c) if kind in ("double", "float") else F.col(c) for c, kind in df.dtypes])
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | None = None, places: int = PLACES):
     def register(make: Callable[[Tables], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: rounded(make(Tables(spark, sf_dir)))
+        QUERIES[name] = lambda spark, sf_dir: rounded(make(Tables(spark, sf_dir)), places)
         if sql is not None:
             ORACLE_SQL[name] = with_adapters(sql)
         return make
