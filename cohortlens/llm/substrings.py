@@ -30,8 +30,8 @@ ANCHOR = 12
 REACH = SPAN - ANCHOR
 WIDE = SPAN + REACH
 #: Bytes of text in a block and in a bucket's share of the text.
-BLOCK_BYTES = 12 << 20
-SLICE_BYTES = 2 << 20
+BLOCK_BYTES = 6 << 20
+SLICE_BYTES = 1 << 20
 SHALLOW_WORDS = 2
 SUFFIXES_AT_ONCE = 200_000
 NULL_ID = -(1 << 63)
@@ -39,16 +39,16 @@ NULL_ID = -(1 << 63)
 SCHEMA = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 _SEND = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("payload", pa.binary())])
-_ANSWER = pa.schema([("block", pa.int64()), ("payload", pa.binary())])
+_ANSWER = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("payload", pa.binary())])
 _FACTORS = mixed(np.arange(1, 17, dtype=np.uint64)) | np.uint64(1)
 _COLUMNS = np.arange(WIDE, dtype=np.int16)
-_STRETCH = np.dtype([("bytes", "u1", (WIDE,)), ("first", "u1"), ("last", "u1"), ("owner", "<i8"), ("u", "<u4")])
-_RUN = np.dtype([("u", "<u4"), ("first", "u1"), ("last", "u1")])
+_STRETCH = np.dtype([("bytes", "u1", (WIDE,)), ("first", "u1"), ("last", "u1"), ("owner", "<i8")])
+_RUN = np.dtype([("place", "<u4"), ("first", "u1"), ("last", "u1")])
 
 
 def _packed(x: np.ndarray) -> bytes:
     """An array of records, field by field, compressed."""
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(np.ascontiguousarray(x[f]).tobytes() for f in x.dtype.names))
+    return zstandard.ZstdCompressor(level=6).compress(b"".join(np.ascontiguousarray(x[f]).tobytes() for f in x.dtype.names))
 
 
 def _unpacked(payload: bytes, kind: np.dtype) -> np.ndarray:
@@ -233,6 +233,7 @@ def _bucket(table: pa.Table) -> pa.Table:
     block = table["block"].to_numpy()
     got = [_unpacked(x.as_py(), _STRETCH) for x in table["payload"]]
     home = np.repeat(np.arange(len(block)), [len(x) for x in got])
+    place = np.concatenate([np.arange(len(x)) for x in got])
     all_rows = np.concatenate(got)
     del got
     # A common window holds the anchor and half its reach to the right or to the left, which must agree too.
@@ -246,7 +247,7 @@ def _bucket(table: pa.Table) -> pa.Table:
         can[places] |= _repeats(hash_rows(part[places].view("<u8")))
     del right, left
     keep = np.flatnonzero(can)
-    all_rows, home = all_rows[keep], home[keep]
+    all_rows, home, place = all_rows[keep], home[keep], place[keep]
     if not len(all_rows):
         return _ANSWER.empty_table()
     first, kind = alike(all_rows["bytes"])
@@ -268,10 +269,11 @@ def _bucket(table: pa.Table) -> pa.Table:
         _, b = np.nonzero(step == -1)
         if len(i):
             runs = np.empty(len(i), _RUN)
-            runs["u"], runs["first"], runs["last"] = own["u"][i], a, b - 1
+            runs["place"], runs["first"], runs["last"] = place[home == k][i], a, b - 1
             out_block.append(int(block[k]))
             out_payload.append(_packed(runs))
-    return pa.Table.from_arrays([pa.array(out_block, pa.int64()), pa.array(out_payload, pa.binary())], schema=_ANSWER)
+    bucket = pa.array([table["bucket"][0].as_py()] * len(out_block), pa.int64())
+    return pa.Table.from_arrays([pa.array(out_block, pa.int64()), bucket, pa.array(out_payload, pa.binary())], schema=_ANSWER)
 
 
 class Block:
@@ -295,7 +297,19 @@ class Block:
         self.lo, self.hi, self.doc, self.first = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (lo, hi, doc, first))
         self.rows = np.concatenate(rows) if rows else np.zeros((0, WIDE), np.uint8)
         # Places of windows count in what makes stretches alike: zeros alone do not tell them.
-        self.lead, self.kind = alike(np.concatenate([self.rows, self.lo[:, None].astype(np.uint8), self.hi[:, None].astype(np.uint8), np.zeros((len(self.rows), 6), np.uint8)], axis=1))
+        lead, kind = alike(np.concatenate([self.rows, self.lo[:, None].astype(np.uint8), self.hi[:, None].astype(np.uint8), np.zeros((len(self.rows), 6), np.uint8)], axis=1))
+        # Kinds are numbered as they first occur: a payload in this order packs well and needs no numbers.
+        order = np.argsort(lead)
+        number = np.empty(len(lead), np.int64)
+        number[order] = np.arange(len(lead))
+        self.lead, self.kind = lead[order], number[kind]
+
+    def dealt(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """Kinds in the order they are sent, and the bucket of each of these."""
+        anchor = hash_rows(np.ascontiguousarray(np.pad(self.rows[self.lead, REACH:SPAN], ((0, 0), (0, 4)))).view("<u8"))
+        to = (mixed(anchor) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        return order, to[order]
 
     def _slices(self) -> Iterator[tuple[np.ndarray, int, int]]:
         """Runs of texts; a text longer than a slice is cut so that each window lies in one slice."""
@@ -317,21 +331,26 @@ def _send(buckets: int):
     def run(table: pa.Table) -> pa.Table:
         number = table["block"][0].as_py()
         block = Block(table)
-        lead = block.lead
+        order, to = block.dealt(buckets)
+        lead = block.lead[order]
         out = np.empty(len(lead), _STRETCH)
         out["bytes"], out["first"], out["last"] = block.rows[lead], block.lo[lead], block.hi[lead]
-        out["owner"], out["u"] = block.rank[block.doc[lead]], np.arange(len(lead))
-        anchor = hash_rows(np.ascontiguousarray(np.pad(out["bytes"][:, REACH:SPAN], ((0, 0), (0, 4)))).view("<u8"))
-        to = (mixed(anchor) % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((anchor, to))
-        cuts = np.flatnonzero(np.diff(to[order])) + 1
-        parts = [x for x in np.split(order, cuts) if len(x)]
-        return pa.Table.from_arrays([pa.array([int(to[x[0]]) for x in parts], pa.int64()), pa.array([number] * len(parts), pa.int64()), pa.array([_packed(out[x]) for x in parts], pa.binary())], schema=_SEND)
+        out["owner"] = block.rank[block.doc[lead]]
+        starts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(to) else np.zeros(0, np.int64)
+        parts = [out[x:y] for x, y in zip(starts, [*starts[1:], len(to)], strict=True)]
+        return pa.Table.from_arrays([pa.array(to[starts], pa.int64()), pa.array([number] * len(parts), pa.int64()), pa.array([_packed(x) for x in parts], pa.binary())], schema=_SEND)
+
+    return run
+
+
+def _remove(buckets: int):
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        return _without(docs, answers, buckets)
 
     return run
 
 
-def _remove(docs: pa.Table, answers: pa.Table) -> pa.Table:
+def _without(docs: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
     """The documents of a block without the bytes of windows that start in an earlier document."""
     if not len(docs):
         return _OUT.empty_table()
@@ -342,10 +361,13 @@ def _remove(docs: pa.Table, answers: pa.Table) -> pa.Table:
     begin.append(block.first[later])
     end.append(block.first[later] + block.hi[later] - block.lo[later] + SPAN)
     if len(answers):
-        runs = np.concatenate([_unpacked(x.as_py(), _RUN) for x in answers["payload"]])
-        runs = runs[np.argsort(runs["u"], kind="stable")]
+        order, to = block.dealt(buckets)
+        got = [(b.as_py(), _unpacked(x.as_py(), _RUN)) for b, x in zip(answers["bucket"], answers["payload"], strict=True)]
+        kinds = np.concatenate([order[np.searchsorted(to, b) + x["place"]] for b, x in got])
+        by = np.argsort(kinds, kind="stable")
+        runs, kinds = np.concatenate([x for _, x in got])[by], kinds[by]
         rest = np.flatnonzero(~later)
-        a, b = np.searchsorted(runs["u"], block.kind[rest]), np.searchsorted(runs["u"], block.kind[rest], side="right")
+        a, b = np.searchsorted(kinds, block.kind[rest]), np.searchsorted(kinds, block.kind[rest], side="right")
         count = b - a
         which = np.repeat(rest, count)
         of = runs[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(a, count)]
@@ -379,5 +401,5 @@ def dedup_substrings(documents: DataFrame, block_bytes: int = BLOCK_BYTES) -> Da
     count = max(1, -(-size // block_bytes))
     dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(count)).alias("block"), "doc_id", "text")
     sent = dealt.groupBy("block").applyInArrow(_send(count), "bucket bigint, block bigint, payload binary")
-    answers = sent.groupBy("bucket").applyInArrow(_bucket, "block bigint, payload binary")
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_remove, SCHEMA)
+    answers = sent.groupBy("bucket").applyInArrow(_bucket, "block bigint, bucket bigint, payload binary")
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_remove(count), SCHEMA)

@@ -50,7 +50,7 @@ def test_long_text_is_cut_without_loss(spark, monkeypatch):
     rows = [(1, words), (2, words[3000:6000] + "zz" + words[100:149] + "y" + words[5000:5100])]
     table = spark.createDataFrame(rows, "doc_id bigint, text string").select(F.lit(0).cast("bigint").alias("block"), "*").toArrow()
     answers = substrings._bucket(substrings._send(1)(table))
-    got = sorted((tuple(r.values()) for r in substrings._remove(table, answers).to_pylist()), key=str)
+    got = sorted((tuple(r.values()) for r in substrings._remove(1)(table, answers).to_pylist()), key=str)
     assert got == plain(rows)
 
 
