@@ -8,6 +8,7 @@ any store the cluster has.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
@@ -27,7 +28,7 @@ SHARD_IDS = 1 << 20
 #: Texts in a batch of this many code points go through the tokenizer together.
 BATCH_CHARS = 1 << 20
 #: Word pieces that a task remembers before it begins again.
-MEMO_WORDS = 200_000
+MEMO_WORDS = 400_000
 MAGIC = b"FRVB\x01\x00\x00\x00"
 
 #: Texts of these characters only are cut into words before the tokenizer sees them: in this range lower
@@ -37,43 +38,68 @@ PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-įĲ-ſ]*")
 WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ſ]+|[0-9²³¹¼½¾]|[^\t\n\r a-zªµºß-öø-ſ0-9²³¹¼½¾]+")
 
 
+class _Memo(dict):
+    """Numbers of words; a word not seen before gets the next one and is put down as new."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        self.new.append(word)
+        return number
+
+
 class Encoder:
     """Ids of whole texts, exactly as the tokenizer gives them."""
 
     def __init__(self, path: str, by_word: bool):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.by_word = by_word
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[k for t, k in vocabulary.items() if t.endswith("</w>")]] = True
         self._forget()
 
     def _forget(self) -> None:
-        self.number: dict[str, int] = {}
+        self.memo = _Memo()
         self.ids, self.offsets = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def _learn(self, words: list[str]) -> None:
-        got = [x.ids for x in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-        self.ids = np.concatenate([self.ids, *(np.array(x, np.uint32) for x in got)])
-        self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum([len(x) for x in got])])
+    def _learn(self) -> None:
+        """Ids of the new words. Words in a row, with spaces between, come back one by one: each has one last piece."""
+        words, self.memo.new = self.memo.new, []
+        ids, sizes = [], []
+        for k in range(0, len(words), 2000):
+            part = words[k : k + 2000]
+            got = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, np.uint32)
+            last = np.flatnonzero(self.ends[got]) + 1
+            if len(last) != len(part) or last[-1] != len(got):
+                each = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch(part, add_special_tokens=False)]
+                got, last = np.concatenate(each), np.cumsum([len(x) for x in each])
+            ids.append(got)
+            sizes.append(np.diff(last, prepend=0))
+        self.ids = np.concatenate([self.ids, *ids])
+        self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(np.concatenate(sizes))])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray | None] = [None] * len(texts)
         plain = [k for k, t in enumerate(texts) if self.by_word and "<|" not in t and PLAIN.fullmatch(t)]
-        rest = sorted(set(range(len(texts))) - set(plain))
+        known = set(plain)
+        rest = [k for k in range(len(texts)) if k not in known]
         for k, x in zip(rest, self.tokenizer.encode_batch([texts[k] for k in rest], add_special_tokens=False), strict=True):
             out[k] = np.array(x.ids, np.uint32)
-        if len(self.number) > MEMO_WORDS:
+        if len(self.memo) > MEMO_WORDS:
             self._forget()
-        number, new = self.number, []
+        number = self.memo.__getitem__
         for k in plain:
             words = WORDS.findall(texts[k].lower())
-            for w in set(words):
-                if w not in number:
-                    number[w] = len(number)
-                    new.append(w)
-            out[k] = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-        if new:
-            self._learn(new)
+            out[k] = np.fromiter(map(number, words), np.int64, len(words))
+        if self.memo.new:
+            self._learn()
         for k in plain:
             a, b = self.offsets[out[k]], self.offsets[out[k] + 1]
             size = b - a
