@@ -25,7 +25,7 @@ _NEEDS = {"stage_long": ["pred"]}
 
 
 def dialect(sql: str, engine: str) -> str:
-    form = {"spark": r"unix_millis(CAST(\1 AS TIMESTAMP))", "duckdb": r"epoch_ms(\1)"}[engine]
+    form = {"spark": r"unix_millis(CAST(\1 AS TIMESTAMP))", "duckdb": r"(epoch_us(\1) // 1000)"}[engine]
     return re.sub(r"\{ms:(\w+)\}", form, sql)
 
 
