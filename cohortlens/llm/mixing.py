@@ -38,7 +38,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, mos
     """Targets of sources from (__source, __total): `share` of all sizes dealt by weight, none above `most` times its size.
 
     A source is full if the level (target per unit of weight) reaches its limit; in the order of limits the
-    full ones come first, so the level is the rest of the budget over the rest of the weights.
+    full ones come first. Taking a source for full that is not lowers the level, so the greatest level among those not
+    full is the one after all full sources.
     """
     by_name = W.orderBy(F.col("__source").asc_nulls_last())
     dealt = F.array(*[F.lit(float(w)) for w in weights])
@@ -51,7 +52,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, mos
         "__weights", F.sum("__w").over(every) - F.sum("__w").over(order.rowsBetween(W.unboundedPreceding, 0)) + F.col("__w")
     )
     listed = listed.withColumn("__level", F.col("__rest") / F.col("__weights"))
-    level = F.min(F.when(F.col("__limit") > F.col("__level"), F.col("__level"))).over(every)
+    level = F.max(F.when(F.col("__limit") > F.col("__level"), F.col("__level"))).over(every)
     return listed.select("__source", "__total", F.least("__cap", F.coalesce(F.col("__w") * level, F.col("__cap"))).cast("double").alias("__target"))
 
 
