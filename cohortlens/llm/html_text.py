@@ -36,6 +36,8 @@ BOILERPLATE = re.compile(
     r"topbar|comments?|comment-?list|commentary|respond|replies|disqus|share|sharing|social\w*|related\w*|recommend\w*|newsletter|subscri\w*|signup|login|popup|modal|overlay|skip-?link|toolbar|copyright|legal|tags?|byline-?links)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+#: Names that say what a block is not, or that it heads the article itself.
+NOT_BOILERPLATE = re.compile(r"(?:no|has|with|without)[-_]|(?:article|entry|post|content|story|page|main)[-_](?:head|header|heading|title)$", re.IGNORECASE)
 NO_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 MARKED = frozenset(["article", "main"])
 
@@ -61,7 +63,8 @@ def _no_content(name: str, raw: str) -> bool:
         return True
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", has.get("style", ""), re.IGNORECASE):
         return True
-    return bool(BOILERPLATE.search(f"{has.get('class', '')} {has.get('id', '')}"))
+    names = f"{has.get('class', '')} {has.get('id', '')}".split()
+    return any(BOILERPLATE.search(x) and not NOT_BOILERPLATE.match(x) for x in names)
 
 
 class Blocks:

@@ -33,6 +33,11 @@ def test_unmarked_page_by_ratios():
     assert html_text.main_text(page) == "\n".join(["Head"] + [f"{PROSE} {k}" for k in range(6)])
 
 
+def test_names_that_only_mention_boilerplate():
+    page = f"<body><div class='page no-sidebar'><article><div class='entry-header'><h1>Head</h1></div><p>{PROSE}</p><div class='related-posts'><p>{PROSE}</p></div><div id='notice'>{PROSE}</div></article></div></body>"
+    assert html_text.main_text(page) == f"Head\n{PROSE}"
+
+
 def test_broken_html_does_not_fail():
     for page in (None, "", "<", "<p", "a < b & c", "<!-- open", "<p>x</div></p></p><b><i></b>", "<script>never closed", "<" * 5000, '<a title="a>b">t</a>', "<p>" * 3000 + "x"):
         assert isinstance(html_text.main_text(page), str)
