@@ -75,7 +75,7 @@ def _(t):
     return M.sodium_osmolality(t.labs).select("record_id", "tbw", "deficit_l", "target_24h", "na_after_1l", "corrected_na", "osmolality", "tonicity", "osmolar_gap")
 
 
-@query("f10_gap_metrics", "WITH g AS (SELECT *, na - cl - hco3 AS ag, CASE WHEN hco3 < 24 THEN (na - cl - hco3 - 12) / (24 - hco3) END AS dr, na + k + 2 * ca + 2 * mg - cl - lactate AS sida, hco3 + albumin * (0.123 * ph - 0.631) + phosphate * (0.309 * ph - 0.469) AS side FROM labs) SELECT record_id, round(ca + 0.02 * (40 - albumin), 6) AS corrected_ca, ag AS anion_gap, round(ag + 2.5 * (4 - albumin / 10), 6) AS albumin_gap, round(dr, 6) AS delta_ratio, CASE WHEN dr IS NULL THEN 'NOT_COMPUTABLE' WHEN dr < 0 THEN 'INCONSISTENT' WHEN dr < 0.4 THEN 'NORMAL_GAP' WHEN dr < 1 THEN 'MIXED_GAP' WHEN dr <= 2 THEN 'HIGH_GAP' ELSE 'HIGH_GAP_PLUS_ALKALOSIS' END AS delta_class, ag - 12 AS delta_gap, una + uk - ucl AS urine_gap, round(sida, 6) AS sida, round(side, 6) AS side, round(sida - side, 6) AS sig FROM g")
+@query("f10_gap_metrics", "WITH g AS (SELECT *, na - cl - hco3 AS ag, CASE WHEN hco3 < 24 THEN (na - cl - hco3 - 12) / (24 - hco3) END AS dr, na + k + 2 * ca + 2 * mg - cl - lactate AS sida, hco3 + albumin * (0.123 * ph - 0.631) + phosphate * (0.309 * ph - 0.469) AS side FROM labs) SELECT record_id, round(ca + 0.02 * (40 - albumin), 6) + 0.0::DOUBLE AS corrected_ca, ag AS anion_gap, round(ag + 2.5 * (4 - albumin / 10), 6) + 0.0::DOUBLE AS albumin_gap, round(dr, 6) AS delta_ratio, CASE WHEN dr IS NULL THEN 'NOT_COMPUTABLE' WHEN dr < 0 THEN 'INCONSISTENT' WHEN dr < 0.4 THEN 'NORMAL_GAP' WHEN dr < 1 THEN 'MIXED_GAP' WHEN dr <= 2 THEN 'HIGH_GAP' ELSE 'HIGH_GAP_PLUS_ALKALOSIS' END AS delta_class, ag - 12 AS delta_gap, una + uk - ucl AS urine_gap, round(sida, 6) AS sida, round(side, 6) AS side, round(sida - side, 6) AS sig FROM g")
 def _(t):
     return M.gap_metrics(t.labs).select("record_id", "corrected_ca", "anion_gap", "albumin_gap", "delta_ratio", "delta_class", "delta_gap", "urine_gap", "sida", "side", "sig")
 

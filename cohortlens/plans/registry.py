@@ -15,8 +15,8 @@ PLACES = 6
 
 
 def rounded(df: DataFrame, places: int = PLACES) -> DataFrame:
-    """Doubles to a few places: their sums depend on order beyond."""
-    return df.select(*[F.round(c, places).alias(c) if kind in ("double", "float") else F.col(c) for c, kind in df.dtypes])
+    """Doubles to a few places (their sums depend on order beyond), without a negative zero."""
+    return df.select(*[(F.round(c, places) + F.lit(0.0)).alias(c) if kind in ("double", "float") else F.col(c) for c, kind in df.dtypes])
 
 
 def query(name: str, sql: str | None = None, places: int = PLACES):

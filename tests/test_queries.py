@@ -21,7 +21,7 @@ def cells(df: pd.DataFrame) -> list[tuple]:
     def cell(x):
         if x is None or x is pd.NaT or x is pd.NA or (isinstance(x, float) and x != x):
             return "null"
-        return f"{float(x):.5f}" if isinstance(x, (int, float)) and not isinstance(x, bool) or hasattr(x, "dtype") and x.dtype.kind in "iuf" else str(x)
+        return f"{float(x) + 0.0:.5f}" if isinstance(x, (int, float)) and not isinstance(x, bool) or hasattr(x, "dtype") and x.dtype.kind in "iuf" else str(x)
 
     return sorted(tuple(cell(x) for x in row) for row in df[sorted(df.columns)].itertuples(index=False))
 
