@@ -25,7 +25,7 @@ SPAN = 10
 GRAM = 5
 WINDOW = SPAN - GRAM + 1
 #: Benchmark windows that one pass holds in each task; a larger benchmark is taken in blocks of items.
-BLOCK_WINDOWS = 1_000_000
+BLOCK_WINDOWS = 200_000
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -165,6 +165,36 @@ def hits_of(text: str, words: np.ndarray, block: Block) -> tuple[set[int], set[i
     return hit, items
 
 
+def prints_of(blocks: Iterator[Block]) -> Block:
+    """The fingerprints of all blocks without their windows: eight bytes for about three words."""
+    prints: list[np.ndarray] = []
+    hashes: dict[int, list[np.ndarray]] = {}
+    lengths: set[int] = set()
+    for block in blocks:
+        prints.append(block.prints)
+        lengths |= set(block.grams)
+        for n, own in block.hashes.items():
+            hashes.setdefault(n, []).append(own)
+    return Block([], np.unique(np.concatenate(prints)), {n: {} for n in lengths}, {n: np.unique(np.concatenate(h)) for n, h in hashes.items()})
+
+
+def _candidate_documents(light):
+    """The documents that have any fingerprint of the benchmark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = light.value
+        for batch in batches:
+            data, offsets = utf8(batch.column(1))
+            keep = np.zeros(len(batch), bool)
+            for a, b in pieces(offsets):
+                at = offsets[a : b + 1]
+                words, before = word_hashes(data[at[0] : at[-1]], at - at[0])
+                keep[a:b] = [bool(_candidates(words[before[k] : before[k + 1]], held)) for k in range(b - a)]
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
 def _digest(items: list[str]) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
 
@@ -206,8 +236,9 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, block_windows: int
 
     The benchmark is the stated query set. Its fingerprints go to every task in blocks of at most
     `block_windows` windows, which bounds what a task holds; documents are never shuffled. One block is met
-    in a single scan. A larger benchmark is taken block after block: each scan writes the words it hit,
-    and these are united by document. Hits are exact: the words of a candidate window are compared.
+    in a single scan. With a larger benchmark, a scan for the fingerprints of all blocks keeps the documents
+    that have any; these alone are taken block after block, each scan writes the words it hit, and these are
+    united by document. Hits are exact: the words of a candidate window are compared.
 
     Null or empty text: no words, not contaminated. An item without words has no windows; a null item_id
     is written `null`; repeated item ids count once; repeated documents each have their row. Empty tables
@@ -215,15 +246,18 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, block_windows: int
     """
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")), F.col("text")).toLocalIterator()
-    todo = blocks_of(((r[0], r[1]) for r in rows), block_windows)
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")), F.col("text"))
+    blocks = lambda: blocks_of(((r[0], r[1]) for r in items.toLocalIterator()), block_windows)
+    todo = blocks()
     first, second = next(todo, Block([], np.zeros(0, np.uint64), {}, {})), next(todo, None)
     if second is None:
         return docs.mapInArrow(_scan(spark.sparkContext.broadcast(first), False), HIT_SCHEMA)
+    light = spark.sparkContext.broadcast(prints_of(itertools.chain([first, second], todo)))
+    able = written(docs.mapInArrow(_candidate_documents(light), "doc_id bigint, text string"), "able")
     parts = None
-    for block in itertools.chain([first, second], todo):
+    for block in blocks():
         sent = spark.sparkContext.broadcast(block)
-        part = written(docs.mapInArrow(_scan(sent, True), "doc_id bigint, text_md5 binary, hit array<int>, items array<string>"), "hits")
+        part = written(able.mapInArrow(_scan(sent, True), "doc_id bigint, text_md5 binary, hit array<int>, items array<string>"), "hits")
         sent.destroy()
         parts = part if parts is None else parts.unionByName(part)
     united = parts.dropDuplicates(["doc_id", "text_md5", "items"]).groupBy("doc_id", F.lower(F.hex("text_md5")).alias("text_md5")).agg(
