@@ -25,9 +25,9 @@ from .sketch import likeness, with_sketch
 BITS = 64
 FAN_OUT = 8
 #: Distinct fingerprints that one bucket holds at most; a larger bucket is dealt on by further blocks.
-BUCKET_ROWS = 1024
-CHUNK_ROWS = 8192
-PAIRS_AT_ONCE = 2_000_000
+BUCKET_ROWS = 512
+CHUNK_ROWS = 2048
+PAIRS_AT_ONCE = 250_000
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
