@@ -96,13 +96,15 @@ def edited_fingerprints(documents: DataFrame, scale: int = SCALE) -> DataFrame:
     is that id's text of least hash. A table of one id is its own next. Other columns are ignored.
     """
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    keyed = docs.withColumn("key", key_of(F.col("doc_id")))
-    given = keyed.join(next_of_each(docs), "key").filter(F.xxhash64("text") == F.col("pick"))
+    # Both joins read the same two columns, so that the shuffle of the texts is made once and read twice.
+    keyed = docs.select(key_of(F.col("doc_id")).alias("key"), "text")
+    # An equality of both sides would become part of the join's key, and the shuffle another one.
+    given = keyed.join(next_of_each(docs), "key").filter(F.xxhash64("text").bitwiseXOR(F.col("pick")) == 0)
     given = with_sketch(given.select("to", "text", "most"), "text", "next_sketch", scale).select("to", F.expr("substring(text, 1, most)").alias("head"), "next_sketch")
     given = given.groupBy("to").agg(F.first("head").alias("head"), F.first("next_sketch").alias("next_sketch"))
     both = keyed.join(given, F.col("key") == F.col("to")).withColumn("n_chars", F.length("text").cast("bigint"))
     both = both.withColumn("edited", F.expr("concat(substring(text, 1, cast(n_chars - n_chars div 2 as int)), substring(head, 1, cast(n_chars div 2 as int)))"))
-    both = both.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "text", "edited", "next_sketch")
+    both = both.select(F.col("key").try_cast("bigint").alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "text", "edited", "next_sketch")
     both = with_sketch(with_sketch(both, "text", "own", scale), "edited", "other", scale)
     return both.select(
         "doc_id", "n_chars", "edited_sha256", as_text(F.col("own")).alias("fingerprint"), as_text(F.col("other")).alias("edited_fingerprint"),
