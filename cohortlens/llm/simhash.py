@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 from .components import component_labels, nearest_forest
-from .sketch import likeness, with_sketch
+from .shingle_join import similar_documents
 
 BITS = 64
 FAN_OUT = 8
@@ -221,28 +221,6 @@ def near_duplicates(documents: DataFrame, shingle: int = 3, radius: int = 3, blo
     return own.join(of_print, "print", "left").select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def similar_documents(documents: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 14, blocks: int = 10, agree: int = 2, sure: int = 3, slack: float = 0.03) -> DataFrame:
-    """(doc_id, component_id) of documents whose word shingles are alike to `similarity` or more.
-
-    SimHash at 0.8 leaves up to 14 bits apart, so links are sought to `radius` bits and those beyond
-    `sure` are confirmed on sketches of the shingles, to the similarity less `slack` for the sketch's error.
-    Only the links of a nearest forest of each bucket are confirmed, so a group of thousands of copies has as
-    many links as copies in each table, not their square. Rows are treated as in near_duplicates.
-    """
-    own = written(fingerprints(documents, shingle), "prints")
-    nodes = written(own.filter("doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("node")), "nodes")
-    links = written(near_links(nodes, radius, blocks, agree).groupBy("a", "b").agg(F.min("bits").alias("bits")), "pairs")
-    doubtful = links.filter(F.col("bits") > sure)
-    asked = doubtful.select(F.col("a").alias("doc_id")).union(doubtful.select(F.col("b").alias("doc_id"))).distinct()
-    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(asked, "doc_id")
-    sketched = written(with_sketch(texts, "text", "sketch", 4).groupBy("doc_id").agg(F.first("sketch").alias("sketch")), "sketches")
-    left, right = sketched.select(F.col("doc_id").alias("a"), F.col("sketch").alias("x")), sketched.select(F.col("doc_id").alias("b"), F.col("sketch").alias("y"))
-    confirmed = doubtful.join(left, "a").join(right, "b").filter(likeness(F.col("x"), F.col("y")) >= similarity - slack)
-    labels = component_labels(links.filter(F.col("bits") <= sure).select("a", "b").unionByName(confirmed.select("a", "b")))
-    of_print = nodes.join(labels, "node", "left").select("print", F.coalesce("label", "node").alias("component_id"))
-    return own.join(of_print, "print", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
-
-
 def one_of_each(documents: DataFrame, **options) -> DataFrame:
     """documents with the least doc_id of each component; all columns stay. Null doc_ids stay."""
     found = similar_documents(documents, **options)
