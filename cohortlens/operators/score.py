@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -73,28 +74,38 @@ def agreement_metrics(meas: DataFrame, by: list[str], error: str = "linear", wit
     return out.withColumns({"availability": ratio(F.col("n_engine"), F.col("n")), "loa_low": F.col("bias") - 1.96 * F.col("sd"), "loa_high": F.col("bias") + 1.96 * F.col("sd")})
 
 
-def poisson_weight(seed: int, draw: Column, key: Column) -> Column:
-    """Poisson(1) count that seed, draw number and key fix, by the inverse distribution of a hash."""
-    u = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(str(seed)), draw.cast("string"), key), 256), 1, 12), 16, 10).cast("double") / float(1 << 48)
-    out, cum, term = F.lit(0), 0.0, 0.36787944117144233
-    for k in range(1, 12):
-        cum += term
-        term /= k
-        out = out + (u >= cum).cast("int")
-    return out
+def hash_uniform(seed: int, draw: Column, key: Column) -> Column:
+    """A number in [0, 1) that seed, draw number and key fix."""
+    return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(str(seed)), draw.cast("string"), key), 256), 1, 12), 16, 10).cast("double") / float(1 << 48)
+
+
+def poisson_count(seed: int, draw: Column, key: Column, mean: Column, exact: int = 64) -> Column:
+    """Poisson count of a mean that seed, draw number and key fix: the inverse distribution up to a mean of
+    `exact`, beyond it a normal deviate with the correction for skewness, rounded."""
+    u = hash_uniform(seed, draw, key)
+    start = F.struct(F.lit(0).cast("bigint").alias("k"), F.lit(0.0).alias("cum"), F.exp(-mean.cast("double")).alias("term"))
+
+    def step(s: Column, i: Column) -> Column:
+        cum = s["cum"] + s["term"]
+        return F.struct((s["k"] + (u >= cum).cast("bigint")).alias("k"), cum.alias("cum"), (s["term"] * mean / i).alias("term"))
+
+    small = F.aggregate(F.sequence(F.lit(1), F.lit(exact + 10 * int(exact**0.5) + 20)), start, step, lambda s: s["k"])
+    z = F.sqrt(-2 * F.log(1 - u)) * F.cos(2 * math.pi * hash_uniform(seed, draw, F.concat_ws("|", key, F.lit("angle"))))
+    large = F.greatest(F.round(mean + F.sqrt(mean.cast("double")) * z + (z * z - 1) / 6), F.lit(0.0)).cast("bigint")
+    return F.when(mean <= exact, small).otherwise(large)
 
 
 def bootstrap_ci(scored: DataFrame, by: list[str], n_boot: int = 1000, seed: int = 20, least: int = 30, gold: str = "y", pred: str = "p") -> DataFrame:
-    """2.5 and 97.5 percentiles of sensitivity and specificity over Poisson resamples.
+    """2.5 and 97.5 percentiles of sensitivity and specificity over Poisson resamples of the records.
 
-    Rows are first counted in hashed cells of their group, CELLS per confusion cell, so the resamples cost
-    n_boot rows per cell whatever the number of records. Intervals over fewer than `least` records are null.
+    Records of a confusion cell are alike, so the sum of their Poisson(1) weights is drawn at once as
+    Poisson(n) of the cell: the resamples cost n_boot rows per cell whatever the number of records.
+    Intervals over fewer than `least` records are null.
     """
-    cells = 64
-    parts = scored.withColumn("__cell", F.pmod(F.xxhash64("record_id"), F.lit(cells))).groupBy(*by, F.col(gold).alias("__y"), F.col(pred).alias("__p"), "__cell").agg(F.count("*").alias("__n"))
+    parts = scored.groupBy(*by, F.col(gold).alias("__y"), F.col(pred).alias("__p")).agg(F.count("*").alias("__n"))
     drawn = parts.withColumn("__b", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
-    key = F.concat_ws("|", *[F.col(c).cast("string") for c in (*by, "__y", "__p", "__cell")])
-    drawn = drawn.withColumn("__w", F.col("__n") * poisson_weight(seed, F.col("__b"), key))
+    key = F.concat_ws("|", *[F.col(c).cast("string") for c in (*by, "__y", "__p")])
+    drawn = drawn.withColumn("__w", poisson_count(seed, F.col("__b"), key, F.col("__n")))
     pick = lambda y, p: F.sum(F.when((F.col("__y") == y) & (F.col("__p") == p), F.col("__w")).otherwise(0))
     rates = drawn.groupBy(*by, "__b").agg(pick(1, 1).alias("tp"), pick(1, 0).alias("fn"), pick(0, 0).alias("tn"), pick(0, 1).alias("fp"))
     rates = rates.withColumns({"sens": ratio(F.col("tp"), F.col("tp") + F.col("fn")), "spec": ratio(F.col("tn"), F.col("tn") + F.col("fp"))})

@@ -82,6 +82,23 @@ def test_bootstrap_covers_and_needs_records(spark):
     assert score.bootstrap_ci(df.limit(10), [], n_boot=50).first().sens_low is None
 
 
+def test_bootstrap_narrows_with_the_root_of_records(spark):
+    wide = {}
+    for n in (600, 60_000):
+        df = spark.range(2 * n).selectExpr("id AS record_id", "cast(id % 2 AS int) AS y", "cast(if(id % 2 = 1, id % 10 < 8, id % 20 < 2) AS int) AS p")
+        r = score.bootstrap_ci(df, [], n_boot=400).first()
+        wide[n] = r.sens_high - r.sens_low
+        share = df.filter("y = 1").selectExpr("avg(p)").first()[0]
+        assert abs(wide[n] / (3.92 * (share * (1 - share) / n) ** 0.5) - 1) < 0.25
+    assert 7 < wide[600] / wide[60_000] < 14
+
+
+def test_poisson_counts_have_their_mean_and_variance(spark):
+    for mean in (1, 3, 64, 65, 10_000):
+        r = spark.range(4000).select(score.poisson_count(5, F.col("id"), F.lit("x"), F.lit(mean)).alias("k")).selectExpr("avg(k) AS m", "var_samp(k) AS v").first()
+        assert abs(r.m - mean) < 5 * (mean / 4000) ** 0.5 and abs(r.v / mean - 1) < 0.15
+
+
 def test_measurement_states(spark):
     df = spark.createDataFrame([(104.0, 13.0, 0.0), (90.0, 53.0, 0.0), (132.0, 0.0, 1.0), (None, 0.0, 0.0)], "value double, disagreement double, mad double").withColumns({"confidence": F.lit(0.9), "digitizer": F.lit(0.0)})
     rows = consensus.threshold_relation(consensus.measurement_state(consensus.uncertainty_interval(df)), 120.0).collect()
