@@ -255,12 +255,13 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, block_windows: int
     light = spark.sparkContext.broadcast(prints_of(itertools.chain([first, second], todo)))
     able = written(docs.mapInArrow(_candidate_documents(light), "doc_id bigint, text string"), "able")
     parts = None
-    for block in blocks():
+    for number, block in enumerate(blocks()):
         sent = spark.sparkContext.broadcast(block)
-        part = written(able.mapInArrow(_scan(sent, True), "doc_id bigint, text_md5 binary, hit array<int>, items array<string>"), "hits")
+        part = written(able.mapInArrow(_scan(sent, True), "doc_id bigint, text_md5 binary, hit array<int>, items array<string>").withColumn("block", F.lit(number)), "hits")
         sent.destroy()
         parts = part if parts is None else parts.unionByName(part)
-    united = parts.dropDuplicates(["doc_id", "text_md5", "items"]).groupBy("doc_id", F.lower(F.hex("text_md5")).alias("text_md5")).agg(
+    # Repeated documents have equal rows of a block; other blocks may hit other words of the same items.
+    united = parts.dropDuplicates(["doc_id", "text_md5", "block"]).groupBy("doc_id", F.lower(F.hex("text_md5")).alias("text_md5")).agg(
         F.array_distinct(F.flatten(F.collect_list("hit"))).alias("hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
     )
     lowered = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -72,3 +72,12 @@ def test_winnowing_keeps_a_common_print_of_every_shared_span(shared, before, aft
     words = lambda x: D.mixed(np.array(x, np.uint64) + np.uint64(1))
     a, b = D.gram_hashes(words(shared), D.GRAM), D.gram_hashes(words(before + shared + after), D.GRAM)
     assert set(a[D.winnowed(a)]) & set(b[D.winnowed(b)])
+
+
+def test_items_of_one_id_in_several_blocks(spark):
+    other, third, fourth = (" ".join(f"{x}{k}" for k in range(10)) for x in ("other", "third", "fourth"))
+    items = [(7, TEN), (7, other), (None, third), (None, fourth)]
+    docs = [(1, f"{TEN} and {other}"), (2, f"{third} and {fourth}"), (2, f"{third} and {fourth}"), (3, f"{TEN} then {third}"), (4, other)]
+    want = run(spark, docs, items)
+    assert run(spark, docs, items, block_windows=1) == want
+    assert sorted(r[2] for r in want) == [10, 20, 20, 20, 20]
