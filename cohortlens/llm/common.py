@@ -4,33 +4,69 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a numpy kernel takes at a time, unless one text alone is longer.
 PIECE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; where that is unset (tests), a new local one."""
+    """The folder all executors share: spark.checkpoint.dir; where that is unset and master is local, a new one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """df as a Parquet table in the shared folder, read again: its lineage ends there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sent_if_small(df: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """df (already written, rows of a few numbers) marked for broadcast if it has at most `most` rows."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def files_of(df: DataFrame, column: str, folder: str, suffix: str) -> DataFrame:
+    """(path, n_bytes) of files that hold one cell of `column` each, written when this is read.
+
+    `folder` is a URI. Names follow partition and row, and a file appears whole, so a task that runs again
+    writes the same files.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, path = pyarrow.fs.FileSystem.from_uri(folder)
+        store.create_dir(path)
+        part, number = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            names = []
+            for cell in batch.column(0):
+                names.append(f"{path}/part-{part:05d}-{number:05d}{suffix}")
+                number += 1
+                held = f"{names[-1]}.{uuid.uuid4().hex}.tmp"
+                with store.open_output_stream(held) as out:
+                    out.write(cell.as_py() or b"")
+                store.move(held, names[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([len(c.as_py() or b"") for c in batch.column(0)], pa.int64())], names=["path", "n_bytes"])
+
+    return written(df.select(F.col(column).cast("binary")).mapInArrow(run, "path string, n_bytes bigint"), "files")
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column and the n + 1 places where its texts begin and end; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -57,6 +93,31 @@ def pieces(offsets: np.ndarray, most: int = PIECE_BYTES):
         first = last
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], most: int) -> Iterator[pa.Table]:
+    """Rows that come sorted by `keys`: whole groups of equal keys together, `most` rows or little more at a time."""
+    held: list[pa.Table] = []
+    count, enough = 0, most
+    for batch in batches:
+        if not len(batch):
+            continue
+        held.append(pa.Table.from_batches([batch]))
+        count += len(batch)
+        if count < enough:
+            continue
+        rows = pa.concat_tables(held).combine_chunks()
+        same = np.ones(len(rows), bool)
+        for k in keys:
+            own = rows[k].to_numpy()
+            same &= own == own[-1]
+        cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+        if cut:
+            yield rows.slice(0, cut).combine_chunks()
+        held, count = [rows.slice(cut)], len(rows) - cut
+        enough = most if cut else 2 * count
+    if count:
+        yield pa.concat_tables(held).combine_chunks()
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Bits of 64-bit words spread over the whole word (xor-shifts and multiplications)."""
     x = x ^ (x >> np.uint64(32))
