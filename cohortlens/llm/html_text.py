@@ -1,10 +1,13 @@
 """Main text of web pages by tag-path ratios.
 
-Text nodes are grouped by their root-to-leaf tag path. A path's ratio is its text length per node, and
-punctuation per node makes an extended ratio; along the page both are smoothed, fused, and nodes above a
-threshold that their spread gives are content. Paths through elements that are no article by their meaning
-(menus, footers, forms, adverts, comments of readers) are never content. Where a page marks its article,
-paths inside it are content and the ratios decide only between several such places.
+Text blocks are grouped by their tag path, the block elements from the root to the one that holds the text. A
+path's ratio is its text length per block, and punctuation per block makes an extended ratio; along the page
+both are smoothed and fused, and paths whose mean ratio reaches a threshold that the ratios' spread gives are
+content. What a page says of its elements is evidence that moves a path's ratio before the threshold: a marked
+article lifts the paths inside it and lowers those outside; names of boilerplate, and text that is all links,
+take the lift away, so that such a path stands on its ratio alone; names that can only be adverts, menus,
+comments of readers and the like lower it out of reach. Elements that are no article by their meaning (menus,
+footers, forms, scripts) have no content.
 """
 
 from __future__ import annotations
@@ -30,20 +33,31 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 LEVEL = {"li": ("li", {"ul", "ol", "menu"}), "dt": ("dt dd", {"dl"}), "dd": ("dt dd", {"dl"}), "tr": ("tr td th", {"table"}), "td": ("td th", {"tr", "table"}), "th": ("td th", {"tr", "table"}), "option": ("option", {"select"})}
 HEADING = re.compile(r"h[1-6]$")
-# Names by which pages mark what is not their article, or what is.
-BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adv|advert\w*|sponsor\w*|promo\w*|banner\w*|cookies?|consent|notices?|alert|gdpr|nav\w*|menus?|breadcrumbs?|pager|pagination|sidebar\w*|side-?bar|widgets?|footer\w*|header|masthead|"
-    r"topbar|comments?|comment-?list|commentary|respond|replies|disqus|share|sharing|social\w*|related\w*|recommend\w*|newsletter|subscri\w*|signup|login|popup|modal|overlay|skip-?link|toolbar|copyright|legal|tags?|byline-?links)(?:$|[\s_-])",
-    re.IGNORECASE,
+# Words in class and id names by which pages mark what is not their article.
+ONLY_BOILERPLATE = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion promoted banner cookie cookies consent gdpr nav navbar navigation menu menus breadcrumb breadcrumbs pager pagination "
+    "sidebar widget widgets footer masthead topbar comment comments commentlist respond replies disqus share sharing sharebar related recommended recommendations newsletter subscribe subscription signup login popup modal "
+    "overlay skiplink toolbar notice notices".split()
 )
-#: Names that say what a block is not, or that it heads the article itself.
-NOT_BOILERPLATE = re.compile(r"(?:no|has|with|without)[-_]|(?:article|entry|post|content|story|page|main)[-_](?:head|header|heading|title)$", re.IGNORECASE)
+MAYBE_BOILERPLATE = frozenset("alert header social tags tag copyright legal byline meta info tools print side bar list links".split())
+#: Words of names that say that a block belongs to the article, and first words of names that only mention a thing.
+ARTICLE_WORDS = frozenset("article post entry content story body text main page prose".split())
+NEGATING = frozenset("no has with without".split())
 NO_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 MARKED = frozenset(["article", "main"])
+NAME_WORD = re.compile(r"[a-z]+")
 
-# Attributes are passed over with their quotes, so a > inside one does not end the tag.
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.DOTALL)
-ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+#: Factors on a path's ratio: the lift inside a marked article (its inverse outside), names of maybe boilerplate,
+#: paths of links in pages without a mark, names of boilerplate only.
+LIFT, MAYBE, LINKED, NEVER_BY_NAME = 1000.0, 0.5, 0.1, 1e-9
+#: Share of a path's text in links, and its blocks, from which on it is a path of links.
+LINK_SHARE, LINK_BLOCKS = 0.8, 3
+
+# Quotes are passed over whole, so a > inside one does not end the tag; nothing is scanned twice.
+NAME = re.compile(r"</?([a-zA-Z][^\s/>]*+)")
+INSIDE = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+")
+ASIDE = re.compile(r"<!--.*?(?:-->|$)|<[!?/][^>]*+>?", re.DOTALL)
+ATTRIBUTE = re.compile(r"([^\s=/\"'>]++)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++))?+")
 PUNCTUATION = re.compile(r"[.,;:!?…。、！？]")
 SPACE = re.compile(r"\s+")
 
@@ -52,54 +66,60 @@ def _attributes(raw: str) -> dict[str, str]:
     return {k.lower(): html.unescape(v.strip("\"'")) for k, v in ATTRIBUTE.findall(raw)}
 
 
-def _no_content(name: str, raw: str) -> bool:
-    """True if an element's name or attributes say that it is no part of an article."""
+def evidence(name: str, raw: str) -> float:
+    """What an element's name and attributes say of its content: 0 if it has none, 1 if nothing, or a factor."""
     if name in NEVER:
-        return True
+        return 0.0
     if not raw.strip() or name in ("body", "html", "article", "main"):
-        return False
+        return 1.0
     has = _attributes(raw)
     if "hidden" in has or has.get("aria-hidden", "").lower() == "true" or has.get("role", "").lower() in NO_ROLE:
-        return True
+        return 0.0
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", has.get("style", ""), re.IGNORECASE):
-        return True
-    names = f"{has.get('class', '')} {has.get('id', '')}".split()
-    return any(BOILERPLATE.search(x) and not NOT_BOILERPLATE.match(x) for x in names)
+        return 0.0
+    names = [NAME_WORD.findall(x) for x in f"{has.get('class', '')} {has.get('id', '')}".lower().split()]
+    names = [x for x in names if x and x[0] not in NEGATING]
+    other = [x for x in names if not ARTICLE_WORDS & {*x}]
+    if any(x[0] in ONLY_BOILERPLATE or x[-1] in ONLY_BOILERPLATE for x in other):
+        return NEVER_BY_NAME if len(other) == len(names) else MAYBE
+    if any(MAYBE_BOILERPLATE & {*x} for x in other) or any(ONLY_BOILERPLATE & {*x} for x in names):
+        return MAYBE
+    return 1.0
 
 
 class Blocks:
-    """The text blocks of a page: path, text, whether excluded, the marked element it lies in, and its parent path."""
+    """The text blocks of a page that may be content: path, text, characters in links, factor, and whether in a mark."""
 
     def __init__(self, page: str):
         self.path: list[str] = []
         self.text: list[str] = []
-        self.excluded: list[bool] = []
-        self.home: list[int] = []
-        self.parent: list[str] = []
-        self.leaf: list[str] = []
-        self._open: list[tuple[str, bool, int]] = []  # name, excluded, number of the outermost marked element
+        self.linked: list[int] = []
+        self.factor: list[float] = []
+        self.marked: list[bool] = []
+        self._open: list[tuple[str, float, bool]] = []  # name, factor of it and all around it, whether in a marked article
         self._held: list[str] = []
-        self._marks = 0
+        self._linked = 0
+        self._links = 0
         self._read(page)
         self._flush()
 
     def _flush(self) -> None:
-        text = SPACE.sub(" ", "".join(self._held)).strip()
-        self._held = []
+        text, linked = SPACE.sub(" ", "".join(self._held)).strip(), self._linked
+        self._held, self._linked = [], 0
         if not text:
             return
-        blocks = [n for n, _, _ in self._open if n not in INLINE]
-        self.path.append("/".join(blocks))
-        self.parent.append("/".join(blocks[:-1]))
-        self.leaf.append(blocks[-1] if blocks else "")
+        _, factor, marked = self._open[-1] if self._open else ("", 1.0, False)
+        self.path.append("/".join(n if f == 1 else f"{n}~{f:g}" for n, f, _ in self._open if n not in INLINE))
         self.text.append(text)
-        self.excluded.append(bool(self._open) and self._open[-1][1])
-        self.home.append(self._open[-1][2] if self._open else -1)
+        self.linked.append(linked)
+        self.factor.append(factor)
+        self.marked.append(marked)
 
     def _pop_to(self, k: int) -> None:
         """Closes all elements from place k on. Blocks and excluded inline parts end here."""
         if any(n not in INLINE for n, _, _ in self._open[k:]):
             self._flush()
+        self._links -= sum(n == "a" for n, _, _ in self._open[k:])
         del self._open[k:]
 
     def _start(self, name: str, raw: str) -> None:
@@ -120,20 +140,18 @@ class Blocks:
                 elif self._open[k][0] in limits:
                     break
         if name in VOID:
-            if name in INLINE:
-                self._held.append(" " if name in ("br", "wbr", "img") else "")
-            else:
+            if name == "br":
+                self._held.append(" ")
+            elif name not in INLINE:
                 self._flush()
             return
         if name not in INLINE:
             self._flush()
-        out = bool(self._open) and self._open[-1][1]
-        home = self._open[-1][2] if self._open else -1
-        no = out or _no_content(name, raw)
-        if not no and home < 0 and (name in MARKED or "main" in _attributes(raw).get("role", "").split()):
-            home = self._marks
-            self._marks += 1
-        self._open.append((name, no, home))
+        _, factor, marked = self._open[-1] if self._open else ("", 1.0, False)
+        factor *= evidence(name, raw)
+        marked |= factor > 0 and (name in MARKED or "main" in _attributes(raw).get("role", "").split())
+        self._links += name == "a"
+        self._open.append((name, factor, marked))
 
     def _end(self, name: str) -> None:
         for k in range(len(self._open) - 1, -1, -1):
@@ -143,28 +161,48 @@ class Blocks:
             if name in INLINE and self._open[k][0] not in INLINE:
                 return
 
+    def _take(self, text: str) -> None:
+        if self._open and not self._open[-1][1]:
+            return
+        text = html.unescape(text) if "&" in text else text
+        self._held.append(text)
+        if self._links:
+            self._linked += len(text.strip())
+
     def _read(self, page: str) -> None:
-        at = 0
-        while (found := TOKEN.match(page, at)) is not None:
-            at = found.end()
-            name = found[1]
-            if name is None:
-                text = found[0]
-                if text.startswith("<![CDATA["):
-                    text = text[9:].removesuffix("]]>")
-                elif text[0] == "<" and len(text) > 1:
-                    continue
-                if not (self._open and self._open[-1][1]):
-                    self._held.append(html.unescape(text) if "&" in text else text)
+        at, loose = 0, False
+        while at < len(page):
+            if page[at] != "<":
+                end = page.find("<", at)
+                end = len(page) if end < 0 else end
+                self._take(page[at:end])
+                at = end
+                continue
+            found = NAME.match(page, at)
+            if not found:
+                aside = ASIDE.match(page, at)
+                if aside:
+                    at = aside.end()
+                else:
+                    self._take("<")
+                    at += 1
                 continue
-            name = name.lower()
-            if found[0][1] == "/":
+            end = len(page) if loose else INSIDE.match(page, found.end()).end()
+            if end == len(page) or page[end] != ">":
+                # A quote that never ends: from here on the next > ends a tag. Without one the rest is an unfinished tag.
+                loose = True
+                end = page.find(">", found.end())
+                if end < 0:
+                    return
+            name, raw, at = found[1].lower(), page[found.end() : end], end + 1
+            if page[found.start() + 1] == "/":
                 self._end(name)
                 continue
-            self._start(name, found[2])
-            if name in RAW and not found[2].endswith("/"):
-                end = re.compile(rf"</{name}\s*[^>]*>|$", re.IGNORECASE).search(page, at)
-                at = end.end()
+            self._start(name, raw)
+            if name in RAW and not raw.endswith("/"):
+                close = re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE).search(page, at)
+                end = page.find(">", close.end()) if close else -1
+                at = end + 1 if end >= 0 else len(page)
                 self._end(name)
 
 
@@ -176,36 +214,52 @@ def smoothed(x: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     return full / np.convolve(np.ones(len(x)), weight, "full")[radius : radius + len(x)]
 
 
-def path_scores(blocks: Blocks, of: np.ndarray) -> np.ndarray:
-    """Fused ratio of each node in `of`: text a node, and text by punctuation a node of its path, smoothed along the page."""
-    _, path = np.unique([blocks.path[k] for k in of], return_inverse=True)
-    nodes = np.bincount(path)
-    text = np.bincount(path, [len(blocks.text[k]) for k in of]) / nodes
-    marks = np.bincount(path, [len(PUNCTUATION.findall(blocks.text[k])) for k in of]) / nodes
-    plain, extended = smoothed(text[path]), smoothed((text * np.log2(2 + marks))[path])
-    return np.cbrt(plain * extended * text[path])  # with the ratio itself, so that neighbours alone make no content
+def path_ratios(path: np.ndarray, length: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Fused ratio of each path: text a block, and text by punctuation a block, smoothed along the page, mean over its blocks."""
+    blocks = np.bincount(path)
+    text, punctuation = np.bincount(path, length) / blocks, np.bincount(path, marks) / blocks
+    plain, extended = smoothed(text[path]), smoothed((text * np.log2(2 + punctuation))[path])
+    fused = np.cbrt(plain * extended * text[path])  # with the ratio itself, so that neighbours alone make no content
+    return np.bincount(path, fused) / blocks
+
+
+def factors(blocks: Blocks, path: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """What the evidence makes of each path's ratio."""
+    own, inside = np.array(blocks.factor)[first], np.array(blocks.marked, bool)[first]
+    links = (np.bincount(path, blocks.linked) >= LINK_SHARE * np.bincount(path, length)) & (np.bincount(path) >= LINK_BLOCKS)
+    if not inside.any():
+        return own * np.where(links, LINKED, 1.0)
+    # A name alone does not empty an article: if all that is inside has such names, they only lower it.
+    if (own[inside] < MAYBE**8).all():
+        own = np.where(inside, 1.0, own)
+    return np.where(inside, own * np.where((own == 1) & ~links, LIFT, 1.0), own / LIFT)
 
 
 def main_text(page: str | None) -> str:
-    """Blocks of the article in page order, joined by a line end."""
+    """Blocks of the content's paths in page order, joined by a line end."""
     blocks = Blocks(page or "")
-    able = np.flatnonzero(~np.array(blocks.excluded, bool)) if blocks.text else np.zeros(0, np.int64)
-    if not len(able):
+    if not blocks.text:
+        return ""
+    keys = [f"{p}{'*' if m else ''}" for p, m in zip(blocks.path, blocks.marked, strict=True)]
+    names, first, path = np.unique(keys, return_index=True, return_inverse=True)
+    length = np.array([len(t) for t in blocks.text])
+    ratio = path_ratios(path, length, np.array([len(PUNCTUATION.findall(t)) for t in blocks.text]))
+    factor = factors(blocks, path, first, length)
+    able = factor > MAYBE**8 / LIFT
+    if not able.any():
         return ""
-    home = np.array(blocks.home)[able]
-    score = path_scores(blocks, able)
-    if (home >= 0).any():
-        # Marked elements: those that hold a good part of what the best one holds.
-        inside = np.bincount(home[home >= 0], score[home >= 0])
-        keep = (home >= 0) & (inside[np.maximum(home, 0)] >= 0.2 * inside.max())
-    else:
-        keep = score >= max(1.0, SPREAD * score.std(), 0.3 * score.mean())
-        if not keep.any():
-            keep = score == score.max()
-        # A heading goes with the content of its own parent.
-        parents = {blocks.parent[k] for k in able[keep]}
-        keep |= np.array([bool(HEADING.match(blocks.leaf[k])) and blocks.parent[k] in parents for k in able])
-    return "\n".join(blocks.text[k] for k in able[keep])
+    over = ratio[path][able[path]]
+    threshold = max(1.0, SPREAD * over.std(), 0.3 * over.mean())
+    score = ratio * factor
+    keep = able & (score >= threshold)
+    if not keep.any():
+        keep = able & (score == score[able].max())
+    # A heading goes with the content of its own parent.
+    parents = {names[k].rstrip("*").rpartition("/")[0] for k in np.flatnonzero(keep)}
+    for k in np.flatnonzero(able & ~keep):
+        parent, _, leaf = names[k].rstrip("*").rpartition("/")
+        keep[k] = bool(HEADING.match(leaf.partition("~")[0])) and parent in parents
+    return "\n".join(blocks.text[k] for k in np.flatnonzero(keep[path]))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

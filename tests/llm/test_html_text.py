@@ -1,5 +1,10 @@
 import html
+import math
+import random
 import re
+import time
+
+import pytest
 
 from pyspark.sql import functions as F
 
@@ -49,3 +54,82 @@ def test_edge_rows(spark):
     got = {(r.page_id, r.url, r.n_chars) for r in html_text.extract(df).collect()}
     assert got == {(1, None, 0), (None, "u", 0), (2, "u", len(PROSE)), (3, "v", 299999)}
     assert html_text.extract(df.limit(0)).count() == 0
+
+
+def plain_text(nodes):
+    """The rule of the module over (parent path, tag, text, factor, marked), in plain Python."""
+    key = lambda n: (n[0], n[1], n[3], n[4])
+    groups = {k: [n for n in nodes if key(n) == k] for k in map(key, nodes)}
+    size = {k: sum(len(n[2]) for n in g) / len(g) for k, g in groups.items()}
+    signs = {k: sum(c in ".,;:!?" for n in g for c in n[2]) / len(g) for k, g in groups.items()}
+
+    def smooth(x):
+        out = []
+        for i in range(len(x)):
+            near = [(math.exp(-(d * d) / 8), x[i + d]) for d in range(-2, 3) if 0 <= i + d < len(x)]
+            out.append(sum(w * v for w, v in near) / sum(w for w, _ in near))
+        return out
+
+    own = [size[key(n)] for n in nodes]
+    plain, extended = smooth(own), smooth([size[key(n)] * math.log2(2 + signs[key(n)]) for n in nodes])
+    fused = [(a * b * c) ** (1 / 3) for a, b, c in zip(plain, extended, own)]
+    ratio = {k: sum(f for f, n in zip(fused, nodes) if key(n) == k) / len(g) for k, g in groups.items()}
+    some = any(n[4] for n in nodes)
+    factor = {k: k[2] * ((1000 if k[2] == 1 else 1) if k[3] else 1 / 1000) if some else k[2] for k in groups}
+    able = {k for k in groups if factor[k] > 1e-6}
+    over = [ratio[key(n)] for n in nodes if key(n) in able]
+    mean = sum(over) / len(over)
+    threshold = max(1, 0.6 * (sum((x - mean) ** 2 for x in over) / len(over)) ** 0.5, 0.3 * mean)
+    keep = {k for k in able if ratio[k] * factor[k] >= threshold} or {max(able, key=lambda k: ratio[k] * factor[k])}
+    parents = {k[0] for k in keep}
+    return "\n".join(n[2] for n in nodes if key(n) in keep or (key(n) in able and n[1] == "h2" and n[0] in parents))
+
+
+@pytest.mark.parametrize("marked", [False, True])
+def test_ratios_match_the_plain_rule(marked):
+    rng = random.Random(3)
+    kept = 0
+    for _ in range(150):
+        nodes, page = [], []
+        for _ in range(rng.randint(2, 6)):
+            home = rng.choice(["div", "section", "article" if marked else "div", "td"])
+            name = rng.choice(["", "", "legal", "sidebar"]) if home != "article" else ""
+            inner = []
+            for _ in range(rng.randint(1, 5)):
+                tag = rng.choice(["p", "p", "h2", "blockquote"])
+                text = " ".join(rng.choice(["word", "longer", "it,", "end.", "a"]) for _ in range(rng.choice([1, 3, 12, 60])))
+                factor = {"": 1.0, "legal": 0.5, "sidebar": 1e-9}[name]
+                nodes.append((f"{home}{name}", tag, text, factor, home == "article"))
+                inner.append(f"<{tag}>{text}</{tag}>")
+            page.append(f"<{home}{f' class={name}' if name else ''}>{''.join(inner)}</{home}>")
+        if all(n[3] < 0.1 for n in nodes):
+            continue
+        got = html_text.main_text(f"<body>{''.join(page)}</body>")
+        assert got == plain_text(nodes)
+        kept += 0 < len(got) < sum(len(n[2]) for n in nodes)
+    assert kept > 50
+
+
+@pytest.mark.parametrize("name", ["post tags", "social-science", "legal", "post nav-x", "content-sidebar-none"])
+def test_no_name_alone_empties_an_article(name):
+    page = f'<body><nav>Menu</nav><article><h1>Head</h1><div class="{name}"><p>{PROSE}</p><p>{PROSE}</p></div></article></body>'
+    assert html_text.main_text(page) == f"Head\n{PROSE}\n{PROSE}"
+    assert html_text.main_text(f'<body><article><div class="comments"><p>{PROSE}</p></div></article></body>') == PROSE
+
+
+def test_several_articles_and_parts_without_a_name():
+    links = "<ul>" + "".join(f"<li><a href=x>Other page {k}</a></li>" for k in range(8)) + "</ul>"
+    page = f"<body><div>{PROSE} {PROSE}</div><article><h2>One</h2><p>{PROSE * 9}</p>{links}</article><article><p>Short.</p></article><div class='blurb'><p>{PROSE}</p></div></body>"
+    assert html_text.main_text(page) == f"One\n{PROSE * 9}\nShort."
+
+
+def test_characters_and_comments():
+    page = "<article><p>super<wbr>cali<img src=x>fragi one<br>two <![CDATA[ hidden ]]>three <? no ?>four </ >&amp;five &notanentity; 3 < 4</p></article>"
+    assert html_text.main_text(page) == "supercalifragi one two three four &five \u00acanentity; 3 < 4"
+
+
+@pytest.mark.parametrize("part", ["<a ", "<a '\">", "<p>x</script ", "<script </script ", '<a b="', "<", "<p><!-", "</"])
+def test_broken_pages_take_linear_time(part):
+    began = time.time()
+    html_text.main_text(part * ((1 << 20) // len(part)))
+    assert time.time() - began < 10
