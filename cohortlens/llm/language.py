@@ -16,14 +16,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, utf8
+from .common import PIECE_BYTES, pieces, utf8
 
 #: The bounds of the training sample: passages of a language, code points of each, bytes of all languages.
 PASSAGES = 64
 PASSAGE_CHARS = 800
 LANGUAGE_BYTES = 32 << 10
 ALL_BYTES = 512 << 10
-#: Texts are parsed in stretches of this many bytes, many side by side; each begins with a new phrase.
+#: Texts are parsed in stretches of this many bytes side by side, and joined to one parse of the whole text.
 STRETCH = 256
 SHARPNESS = 8.0
 
@@ -116,10 +116,16 @@ class Model:
         return Model(languages, classes, width, np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32), np.array(roots, np.int32), bits)
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Phrases of each folded text (rows) by each language (columns)."""
+        """Phrases of each whole folded text (rows) by each language (columns).
+
+        Stretches are read side by side, each from a new phrase. Then the parse of the stretch before is read
+        on into each one until both begin a phrase at one place: from there they are the same. Where they never
+        meet, the parse that came from before holds, and is read on into the next stretch.
+        """
         sizes = np.array([len(t) for t in texts], np.int64)
         parts = -(-sizes // STRETCH)
         total = int(parts.sum())
+        owner = np.repeat(np.arange(len(texts)), parts)
         codes = np.zeros((total, STRETCH), np.int32)
         at = np.concatenate(texts) if texts else np.zeros(0, np.uint8)
         row = np.repeat(np.cumsum(parts) - parts, sizes)
@@ -127,14 +133,39 @@ class Model:
         codes[row + place // STRETCH, place % STRETCH] = self.classes[at]
         codes = np.ascontiguousarray(codes.T)
         state = np.repeat(self.roots[:, None], total, axis=1)
-        count = np.zeros(state.shape, np.int32)
+        begins = np.zeros((STRETCH, *state.shape), bool)
         for k in range(STRETCH):
             step = self.table[state * self.width + codes[k]]
-            count += step & 1
+            begins[k] = step & 1
             state = step >> 1
-        owner = np.repeat(np.arange(len(texts)), parts)
+        fresh_count, alone, end = begins.sum(axis=0), state, state.copy()
+        count = fresh_count.copy()
+        inner = np.flatnonzero(owner[1:] == owner[:-1]) + 1
+        language, stretch = (x.ravel() for x in np.meshgrid(np.arange(len(self.languages)), inner, indexing="ij"))
+        while len(stretch):
+            own, reach = end[language, stretch - 1], alone[language, stretch]
+            before = np.zeros(len(stretch), np.int64)
+            later = fresh_count[language, stretch]
+            open_ = np.arange(len(stretch))
+            for k in range(STRETCH):
+                step = self.table[own[open_] * self.width + codes[k, stretch[open_]]]
+                fresh = begins[k, language[open_], stretch[open_]]
+                go = ~(fresh & (step & 1).astype(bool))
+                later[open_[go]] -= fresh[go]
+                open_, step = open_[go], step[go]
+                before[open_] += step & 1
+                own[open_] = step >> 1
+                if not len(open_):
+                    break
+            reach[open_] = own[open_]
+            count[language, stretch] = before + later
+            moved = reach != end[language, stretch]
+            end[language, stretch] = reach
+            moved &= np.isin(stretch + 1, inner)
+            language, stretch = language[moved], stretch[moved] + 1
         out = np.zeros((len(texts), len(self.languages)), np.int64)
-        np.add.at(out, owner, count.T)
+        for k in range(len(self.languages)):
+            out[:, k] = np.bincount(owner, count[k], len(texts))
         return out
 
     def predict(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -153,7 +184,8 @@ def training_texts(documents: DataFrame) -> dict[str, bytes]:
     """A bounded sample of passages per language from documents that are not held out.
 
     Languages are counted over all documents; the share of documents looked at follows from the counts,
-    about PASSAGES for each language, and each gives one passage. What is gathered does not grow.
+    about PASSAGES for each language, and each gives one passage, however many rows its id has. What is
+    gathered does not grow.
     """
     able = documents.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     able = able.withColumn("draw", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)))
@@ -167,6 +199,7 @@ def training_texts(documents: DataFrame) -> dict[str, bytes]:
         limit = F.when(F.col("lang") == name, F.lit(int(min(1.0, passages / n) * (1 << 30)))).otherwise(limit)
     start = F.pmod(F.col("draw"), F.greatest(F.lit(1), F.length("text") - PASSAGE_CHARS)).cast("int") + 1
     rows = able.filter(F.col("draw") < limit).select("lang", "draw", "doc_id", F.substring("text", start, F.lit(PASSAGE_CHARS)).alias("passage"))
+    rows = rows.groupBy("lang", "draw", "doc_id").agg(F.min("passage").alias("passage"))
     out: dict[str, list[bytes]] = {k: [] for k in counts}
     for r in sorted(rows.collect(), key=lambda r: (r.lang, r.draw, r.doc_id, r.passage)):
         out[r.lang].append(r.passage.lower().encode())
@@ -182,7 +215,7 @@ def _predict(model):
             low = pa.array([t.lower() if k else "" for t, k in zip(texts, known, strict=True)], pa.string())
             data, offsets = utf8(low)
             names, scores = [], []
-            for a, b in pieces(offsets):
+            for a, b in pieces(offsets, PIECE_BYTES // max(1, len(own.languages) // 4)):
                 best, score = own.predict([folded(data[offsets[k] : offsets[k + 1]]) for k in range(a, b)]) if own.languages else (np.zeros(b - a, int), np.zeros(b - a))
                 names += [own.languages[x] if k else "und" for x, k in zip(best.tolist(), known[a:b], strict=True)]
                 scores += [s if k else 0.0 for s, k in zip(score.tolist(), known[a:b], strict=True)]

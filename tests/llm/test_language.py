@@ -7,15 +7,13 @@ from cohortlens.llm import language
 
 
 def plain_phrases(text, known):
-    """Longest matches from left to right, a stretch at a time."""
-    n = 0
-    for a in range(0, len(text), language.STRETCH):
-        part, i = text[a : a + language.STRETCH], 0
-        while i < len(part):
-            k = 1
-            while i + k < len(part) and part[i : i + k + 1] in known:
-                k += 1
-            n, i = n + 1, i + k
+    """Longest matches from left to right over the whole text."""
+    n = i = 0
+    while i < len(text):
+        k = 1
+        while i + k < len(text) and text[i : i + k + 1] in known:
+            k += 1
+        n, i = n + 1, i + k
     return n
 
 
@@ -44,3 +42,26 @@ def test_edge_rows(spark):
     assert sorted(p for i, p in got if i == 8) == ["de", "en"]
     assert language.identify(df.limit(0)).count() == 0
     assert {r.lang_pred for r in language.identify(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def test_a_phrase_goes_on_over_the_ends_of_stretches():
+    rng = np.random.default_rng(3)
+    train = {"a": bytes(rng.choice(list(b"ab "), 3000).astype(np.uint8)), "b": b"abba " * 500, "c": b"xyz"}
+    model = language.Model.learn(train)
+    known = {k: language.folded(np.frombuffer(t + b" ", np.uint8)).tobytes() for k, t in train.items()}
+    texts = [b"abba " * 300, train["a"], b"z" * 700, bytes(rng.choice(list(b"ab "), 2000).astype(np.uint8)), b"abba " * 130 + b"b" + b"abba " * 130, b"", b"a"]
+    texts = [language.folded(np.frombuffer(t, np.uint8)) for t in texts]
+    want = [[plain_phrases(t.tobytes(), known[k]) for k in ("a", "b", "c")] for t in texts]
+    assert model.phrases(texts).tolist() == want and want[0][1] == 1
+
+
+def test_scores_ties_and_very_long_texts(spark):
+    rows = [(1, "the cat and the dog", "en"), (3, "the cat and the dog", "zz"), (4, "the cat " * 200_000, None), (5, "the cat", None)]
+    got = {r.doc_id: r for r in language.identify(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    assert all(r.lang_pred == "en" and abs(r.score - 0.5) < 1e-9 for r in got.values())
+
+
+def test_a_repeated_id_teaches_once(spark):
+    rows = [(1, f"text number {k} of one id", "en") for k in range(500)] + [(3, "der text", "de")]
+    texts = language.training_texts(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert len(texts["en"]) < 40
