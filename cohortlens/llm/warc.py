@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import files_of, sent_if_small, written
 
 DICTIONARY_MAGIC = 0x184D2A5D
 ARCHIVE_BYTES = 8 << 20
@@ -148,15 +148,19 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write_archives(pages: DataFrame) -> DataFrame:
     """(n_records, archive): WARC records of all pages, repeated payloads as revisits.
 
-    Payloads are grouped by digest and size, never by their bytes, and only the largest id of a group is
-    gathered; a payload that a third of all pages share makes one row of it per task.
+    Payloads are grouped by digest and size, never by their bytes; only the largest id of a group is gathered,
+    and what meets by digest are ids. The html goes to its reference by page_id, or stays where it is if the
+    revisits are few enough to be sent to every task.
     """
     own = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     own = own.withColumn("digest", F.sha1(F.encode("html", "utf-8"))).withColumn("size", F.octet_length("html"))
-    many = own.filter(F.col("size") >= LEAST_REVISIT).groupBy("digest", "size").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).filter("n > 1").select("digest", "size", "top")
-    both = own.join(many, ["digest", "size"], "left")
-    refers = F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top"))
-    return both.select("page_id", "url", "html", refers.alias("refers"), F.when(refers, F.col("top")).alias("refers_to")).mapInArrow(_write, "n_records bigint, archive binary")
+    ids = own.filter(F.col("size") >= LEAST_REVISIT).select("page_id", "digest", "size")
+    many = ids.groupBy("digest", "size").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    revisits = ids.join(many, ["digest", "size"]).filter(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "digest", "refers_to").distinct()
+    revisits = sent_if_small(written(revisits, "revisits"))
+    both = own.join(revisits, own["page_id"].eqNullSafe(revisits["page_id"]) & (own["digest"] == revisits["digest"]), "left")
+    both = both.select(own["page_id"], "url", "html", revisits["digest"].isNotNull().alias("refers"), "refers_to")
+    return both.mapInArrow(_write, "n_records bigint, archive binary")
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
@@ -164,6 +168,11 @@ def read_archives(archives: DataFrame) -> DataFrame:
     return archives.select("archive").mapInArrow(_read, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
 
 
+def save_archives(archives: DataFrame, folder: str) -> DataFrame:
+    """Writes every archive to a .warc.zst file of its own in `folder` (a URI that all machines see): (path, n_bytes)."""
+    return files_of(archives, "archive", folder, ".warc.zst")
+
+
 def archive_round_trip(pages: DataFrame) -> DataFrame:
     """Write the archives to the shared folder and read them back.
 

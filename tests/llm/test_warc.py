@@ -40,3 +40,26 @@ def test_pages(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     want = {r.page_id: (len((r.html or "").encode()), hashlib.sha1((r.html or "").encode()).hexdigest()) for r in pages.collect()}
     assert {r.page_id: (r.payload_bytes, r.payload_digest) for r in warc.archive_round_trip(pages).collect()} == want
+
+
+def test_several_archives_large_payloads_and_files(spark, monkeypatch, tmp_path):
+    rng = random.Random(2)
+    big = "".join(rng.choice("abcdefghij <>p") for _ in range(3 << 20))
+    rows = [(k, f"http://a/{k}", big if k % 3 == 0 else "small page %d " % k * 90_000) for k in range(12)]
+    archives = warc.write_archives(spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1))
+    archives = warc.written(archives, "test")
+    assert archives.count() > 1
+    got = {r.page_id: (r.payload_digest, r.record_type, r.refers_to) for r in warc.read_archives(archives).collect()}
+    assert got == {i: (hashlib.sha1(t.encode()).hexdigest(), "revisit" if i in (0, 3, 6) else "response", 9 if i in (0, 3, 6) else None) for i, _, t in rows}
+    files = warc.save_archives(archives, f"file://{tmp_path}/out").collect()
+    assert len(files) == archives.count() and all(f.path.endswith(".warc.zst") for f in files)
+    records = [r for f in files for r in warc.read_archive(open(f.path, "rb").read())]
+    assert sorted(warc.page_of(warc.parse_record(r)[0]["WARC-Record-ID"]) for r in records) == list(range(12))
+
+
+def test_revisits_by_join_as_by_broadcast(spark, monkeypatch):
+    rows = [(k % 7 if k % 5 else None, "u", "p" * (1000 + k % 3)) for k in range(40)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    sent = sorted(map(str, warc.archive_round_trip(df).collect()))
+    monkeypatch.setattr(warc, "sent_if_small", lambda x: x)
+    assert sorted(map(str, warc.archive_round_trip(df).collect())) == sent and len(sent) == 40
