@@ -32,6 +32,7 @@ WIDE = SPAN + REACH
 #: Bytes of text in a block and in a bucket's share of the text.
 BLOCK_BYTES = 6 << 20
 SLICE_BYTES = 1 << 20
+STRETCHES_AT_ONCE = 1 << 17
 SHALLOW_WORDS = 2
 SUFFIXES_AT_ONCE = 200_000
 NULL_ID = -(1 << 63)
@@ -276,6 +277,10 @@ def _bucket(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(out_block, pa.int64()), bucket, pa.array(out_payload, pa.binary())], schema=_ANSWER)
 
 
+def _alike_stretches(rows: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return alike(np.concatenate([rows, lo[:, None].astype(np.uint8), hi[:, None].astype(np.uint8), np.zeros((len(rows), 6), np.uint8)], axis=1))
+
+
 class Block:
     """Documents of a block in the order of their ids, with their stretches. Both passes build it alike."""
 
@@ -284,29 +289,35 @@ class Block:
         self.ids = table["doc_id"].take(order).combine_chunks()
         self.data, self.offsets = utf8(table["text"].take(order))
         self.rank = pc.fill_null(self.ids, NULL_ID).to_numpy(zero_copy_only=False)
-        rows, lo, hi, doc, first = [], [], [], [], []
+        parts: list[tuple] = []
+        seen = 0
         for docs, begin, end in self._slices():
             ends = self.offsets[docs + 1] - begin if len(docs) > 1 else np.array([end - begin])
             s0, s1, anchor = stretches(self.data[begin:end], ends)
-            own, a, b = cut_out(self.data[begin:end], s0, s1, anchor)
-            rows.append(own)
-            lo.append(a)
-            hi.append(b)
-            first.append(s0 + begin)
-            doc.append(docs[np.searchsorted(ends, s0, side="right")])
-        self.lo, self.hi, self.doc, self.first = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (lo, hi, doc, first))
-        self.rows = np.concatenate(rows) if rows else np.zeros((0, WIDE), np.uint8)
+            # A run of one byte has a stretch at every place, all alike: of a slice, only different ones are held.
+            for k in range(0, len(s0), STRETCHES_AT_ONCE):
+                x, y = s0[k : k + STRETCHES_AT_ONCE], s1[k : k + STRETCHES_AT_ONCE]
+                own, a, b = cut_out(self.data[begin:end], x, y, anchor[k : k + STRETCHES_AT_ONCE])
+                lead, kind = _alike_stretches(own, a, b)
+                parts.append((own[lead], a[lead], b[lead], kind + seen, docs[np.searchsorted(ends, x, side="right")], x + begin, (y - x).astype(np.uint8)))
+                seen += len(lead)
+        rows, lo, hi, kind, self.doc, self.first, self.span = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros((0, WIDE), np.uint8), *[np.zeros(0, np.int64)] * 6)
         # Places of windows count in what makes stretches alike: zeros alone do not tell them.
-        lead, kind = alike(np.concatenate([self.rows, self.lo[:, None].astype(np.uint8), self.hi[:, None].astype(np.uint8), np.zeros((len(self.rows), 6), np.uint8)], axis=1))
+        lead, over = _alike_stretches(rows, lo, hi)
         # Kinds are numbered as they first occur: a payload in this order packs well and needs no numbers.
         order = np.argsort(lead)
         number = np.empty(len(lead), np.int64)
         number[order] = np.arange(len(lead))
-        self.lead, self.kind = lead[order], number[kind]
+        self.kind = number[over[kind]] if len(kind) else kind
+        lead = lead[order]
+        self.rows, self.lo, self.hi = rows[lead], lo[lead], hi[lead]
+        # The first stretch of each kind in the order of documents.
+        self.lead = np.full(len(lead), len(self.kind))
+        np.minimum.at(self.lead, self.kind, np.arange(len(self.kind)))
 
     def dealt(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
         """Kinds in the order they are sent, and the bucket of each of these."""
-        anchor = hash_rows(np.ascontiguousarray(np.pad(self.rows[self.lead, REACH:SPAN], ((0, 0), (0, 4)))).view("<u8"))
+        anchor = hash_rows(np.ascontiguousarray(np.pad(self.rows[:, REACH:SPAN], ((0, 0), (0, 4)))).view("<u8"))
         to = (mixed(anchor) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(to, kind="stable")
         return order, to[order]
@@ -332,10 +343,9 @@ def _send(buckets: int):
         number = table["block"][0].as_py()
         block = Block(table)
         order, to = block.dealt(buckets)
-        lead = block.lead[order]
-        out = np.empty(len(lead), _STRETCH)
-        out["bytes"], out["first"], out["last"] = block.rows[lead], block.lo[lead], block.hi[lead]
-        out["owner"] = block.rank[block.doc[lead]]
+        out = np.empty(len(order), _STRETCH)
+        out["bytes"], out["first"], out["last"] = block.rows[order], block.lo[order], block.hi[order]
+        out["owner"] = block.rank[block.doc[block.lead[order]]]
         starts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(to) else np.zeros(0, np.int64)
         parts = [out[x:y] for x, y in zip(starts, [*starts[1:], len(to)], strict=True)]
         return pa.Table.from_arrays([pa.array(to[starts], pa.int64()), pa.array([number] * len(parts), pa.int64()), pa.array([_packed(x) for x in parts], pa.binary())], schema=_SEND)
@@ -359,7 +369,7 @@ def _without(docs: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
     # Windows of a stretch that an earlier document of this block has too.
     later = block.rank[block.doc[block.lead]][block.kind] < block.rank[block.doc] if len(block.kind) else np.zeros(0, bool)
     begin.append(block.first[later])
-    end.append(block.first[later] + block.hi[later] - block.lo[later] + SPAN)
+    end.append(block.first[later] + block.span[later] + SPAN)
     if len(answers):
         order, to = block.dealt(buckets)
         got = [(b.as_py(), _unpacked(x.as_py(), _RUN)) for b, x in zip(answers["bucket"], answers["payload"], strict=True)]
@@ -371,8 +381,9 @@ def _without(docs: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
         count = b - a
         which = np.repeat(rest, count)
         of = runs[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(a, count)]
-        begin.append(block.first[which] + of["first"] - block.lo[which])
-        end.append(block.first[which] + of["last"] - block.lo[which] + SPAN)
+        base = block.first[which] - block.lo[block.kind[which]]
+        begin.append(base + of["first"])
+        end.append(base + of["last"] + SPAN)
     size = len(block.data)
     depth = np.bincount(np.concatenate(begin), minlength=size + 1) - np.bincount(np.concatenate(end), minlength=size + 1)
     gone = np.cumsum(depth[:size]) > 0

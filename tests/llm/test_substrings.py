@@ -1,7 +1,9 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from cohortlens.llm import substrings
@@ -72,3 +74,21 @@ def test_empty_table(spark):
 def test_documents(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     assert same(spark, rows, block_bytes=100_000) == plain(rows)
+
+
+def test_runs_of_one_byte_take_little_memory():
+    tracemalloc.start()
+    table = pa.table({"doc_id": pa.array([1, 2], pa.int64()), "text": ["x" + " " * (6 << 20), " " * 70 + "y"]})
+    block = substrings.Block(table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1 << 30 and len(block.rows) < 1000
+
+
+def test_runs_and_long_texts_through_the_operator(spark):
+    rng = random.Random(8)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(1 << 21))
+    rows = [(1, " " * 300_000), (2, "x" + " " * 200 + "x"), (3, long), (4, "new" + long[1_000_000:1_200_000] + "end"), (5, "ab" * 40_000), (6, "q" + "ba" * 100)]
+    got = {r[0]: r[1:4] for r in same(spark, rows, block_bytes=1 << 20)}
+    assert got[1] == (300_000, 0, 0) and got[2] == (202, 200, 1) and got[3] == (1 << 21, 0, 0)
+    assert got[4] == (200_006, 200_000, 1) and got[5] == (80_000, 0, 0) and got[6] == (201, 200, 1)
