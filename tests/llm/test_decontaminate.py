@@ -81,3 +81,17 @@ def test_items_of_one_id_in_several_blocks(spark):
     want = run(spark, docs, items)
     assert run(spark, docs, items, block_windows=1) == want
     assert sorted(r[2] for r in want) == [10, 20, 20, 20, 20]
+
+
+def test_rows_are_judged_by_their_own_text(spark):
+    d = spark.createDataFrame([(1, TEN, "a"), (1, "clean text", "b"), (None, TEN, "c"), (None, "clean", "d"), (2, None, "e")], "doc_id bigint, text string, items string")
+    b = spark.createDataFrame([(1, TEN)], "item_id bigint, text string")
+    for most in (D.BLOCK_WINDOWS, 0):
+        kept = D.clean_documents(d, b, block_windows=most)
+        assert kept.columns == d.columns and sorted(r["items"] for r in kept.collect()) == ["b", "d", "e"]
+
+
+def test_a_full_sieve_only_lets_more_through(spark, monkeypatch):
+    docs, items = cases()
+    monkeypatch.setattr(D, "SIEVE_BITS", 64)
+    assert run(spark, docs, items, block_windows=0) == plain(docs, items)
