@@ -84,8 +84,10 @@ class WordVectors:
             ids = np.array([number[t] if t in number else number[shape(t)] for t in line], np.int64)
             for d in range(1, REACH + 1):
                 if len(ids) > d:
-                    np.add.at(context, ids[d:], index[ids[:-d]])
-                    np.add.at(context, ids[:-d], index[ids[d:]])
+                    pair, n = np.unique(ids[d:] * len(names) + ids[:-d], return_counts=True)
+                    here, there = np.divmod(pair, len(names))
+                    np.add.at(context, here, index[there] * n[:, None])
+                    np.add.at(context, there, index[here] * n[:, None])
         norm = np.linalg.norm(context, axis=1, keepdims=True)
         vectors = index / np.sqrt(NONZERO) + np.divide(context, norm, out=np.zeros_like(context), where=norm > 0)
         is_word = np.array([t[0].isalpha() or t.startswith(("<upper", "<title", "<lower", "<mixed")) for t in names])
@@ -183,8 +185,8 @@ def _pool(words):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, int] = {}
         for batch in batches:
-            pooled = words.value.pooled([x.as_py() for x in batch.column(2)], memo)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in pooled], pa.binary())], names=["quality", "fold", "vector"])
+            pooled = words.value.pooled([x.as_py() for x in batch.column(3)], memo)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([r.tobytes() for r in pooled], pa.binary())], names=["doc_id", "quality", "fold", "vector"])
 
     return run
 
@@ -194,7 +196,7 @@ def learn(documents: DataFrame, labels: DataFrame) -> tuple[WordVectors, Network
 
     The rows are drawn by a hash of their id at a rate that follows from the number of labels, so the
     sample has the same size and make-up whatever the input. A document with several labels counts by their
-    least.
+    least, one with several rows by one of them.
     """
     spark = documents.sparkSession
     usable = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id is not null and quality in (0, 1)")
@@ -206,9 +208,10 @@ def learn(documents: DataFrame, labels: DataFrame) -> tuple[WordVectors, Network
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # At most about TRAIN_ROWS rows of two numbers.
     joined = docs.join(F.broadcast(sample), "doc_id")
-    texts = joined.filter(F.col("words") & (F.octet_length("text") <= WORD_TEXT_BYTES)).select("doc_id", "text").collect()
+    texts = joined.filter(F.col("words") & (F.octet_length("text") <= WORD_TEXT_BYTES)).groupBy("doc_id").agg(F.min("text").alias("text")).collect()
     words = WordVectors.learn([r.text for r in sorted(texts, key=lambda r: (r.doc_id, r.text))])
-    rows = joined.select("quality", "fold", "text").mapInArrow(_pool(spark.sparkContext.broadcast(words)), "quality int, fold bigint, vector binary").collect()
+    pooled = joined.select("doc_id", "quality", "fold", "text").mapInArrow(_pool(spark.sparkContext.broadcast(words)), "doc_id bigint, quality int, fold bigint, vector binary")
+    rows = pooled.groupBy("doc_id", "quality", "fold").agg(F.min("vector").alias("vector")).collect()
     rows = sorted(rows, key=lambda r: (r.vector, r.quality))
     x = np.array([np.frombuffer(r.vector, np.float32) for r in rows]).reshape(-1, DIMENSIONS)
     return words, Network.fit(x, np.array([r.quality for r in rows], np.float64), np.array([r.fold == 1 for r in rows], bool))
