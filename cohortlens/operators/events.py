@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -23,12 +23,13 @@ def asof_before(r: DataFrame, p: DataFrame, lo: float, hi: float) -> DataFrame:
 
 def _claim(lo: float, hi: float):
     def run(key, part: pd.DataFrame) -> pd.DataFrame:
-        rs, ps, used, out = sorted(part.t_ms[part.side == "r"]), sorted(part.t_ms[part.side == "p"]), set(), []
+        rs, ps, out = sorted(part.t_ms[part.side == "r"]), sorted(part.t_ms[part.side == "p"]), []
+        free, k = [], 0  # the latest free one is on top; what is too early for one is so for all later ones
         for t in rs:
-            free = [k for k, x in enumerate(ps) if k not in used and lo <= t - x <= hi]
-            if free:
-                used.add(free[-1])
-            out.append((key[0], t, ps[free[-1]] if free else None))
+            while k < len(ps) and t - ps[k] >= lo:
+                free.append(ps[k])
+                k += 1
+            out.append((key[0], t, free.pop() if free and t - free[-1] <= hi else None))
         return pd.DataFrame(out, columns=["record_id", "r_ms", "p_ms"])
 
     return run
@@ -135,15 +136,17 @@ def gap_clusters(evts: DataFrame, tol: float, channels: int = 2, by: tuple[str,
 
 def _running(tol: float, channels: int):
     def run(key, part: pd.DataFrame) -> pd.DataFrame:
-        out, held = [], []
-        for row in [*part.sort_values(["t_ms", "kind"]).itertuples(), None]:
-            if held and (row is None or abs(row.t_ms - float(pd.Series([h[0] for h in held]).median())) > tol):
-                if len({h[1] for h in held}) >= channels:
-                    times = pd.Series([h[0] for h in held])
-                    out.append((key[0], len({h[1] for h in held}), float(times.median()), float(times.max() - times.min())))
-                held = []
-            if row is not None:
-                held.append((float(row.t_ms), row.kind))
+        out, times, kinds = [], [], set()  # times come sorted, so the median is in the middle
+        middle = lambda: (times[(len(times) - 1) // 2] + times[len(times) // 2]) / 2
+        rows = part.sort_values(["t_ms", "kind"])
+        for t, kind in [*zip(rows.t_ms.astype(float), rows.kind, strict=True), (None, None)]:
+            if times and (t is None or abs(t - middle()) > tol):
+                if len(kinds) >= channels:
+                    out.append((key[0], len(kinds), middle(), times[-1] - times[0]))
+                times, kinds = [], set()
+            if t is not None:
+                times.append(t)
+                kinds.add(kind)
         return pd.DataFrame(out, columns=["record_id", "channels", "t_ms", "spread"])
 
     return run
@@ -233,24 +236,13 @@ def extra_event_attribution(extras: DataFrame, p: DataFrame, q: DataFrame, tol:
     return both.withColumn("attribution", F.when(C("near_p"), "near_p").when(C("near_q"), "near_t").otherwise("other"))
 
 
-def template_rank(waves: DataFrame, templates: DataFrame, k: int = 3) -> DataFrame:
-    """Correlation of each array with each of a bounded set of templates, best k by rank."""
-    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    unit = lambda df: df.withColumn("__m", mean(C("wave"))).withColumn("wave", F.transform("wave", lambda x: x - C("__m"))).withColumn("__n", F.sqrt(dot(C("wave"), C("wave")))).drop("__m")
-    a, b = unit(waves), unit(templates).select("template", C("wave").alias("tw"), C("__n").alias("tn"))
-    score = dot(C("wave"), C("tw")) / F.nullif(C("__n") * C("tn"), F.lit(0.0))
-    s = a.crossJoin(F.broadcast(b)).select("record_id", "template", score.alias("score"))
-    return s.withColumn("rank", F.row_number().over(W.partitionBy("record_id").orderBy(F.desc("score"), "template"))).filter(C("rank") <= k)
-
-
 def harmonic_period(events: DataFrame, low: float, high: float) -> DataFrame:
     """Of gap / 1..4 within bounds the period with the least median relative residual; ties: the longer."""
-    g = gaps(events).filter("gap is not null").select("record_id", C("gap").cast("double").alias("gap"))
+    g = gaps(events).filter("gap is not null").groupBy("record_id", C("gap").cast("double").alias("gap")).agg(F.count("*").alias("n"))
     cand = g.select("record_id", F.explode(F.array(*[C("gap") / k for k in (1, 2, 3, 4)])).alias("period")).filter(C("period").between(low, high)).distinct()
     both = cand.join(g, "record_id").withColumn("res", F.abs(C("gap") / C("period") - F.round(C("gap") / C("period"))))
-    m = both.groupBy("record_id", "period").agg(F.median("res").alias("residual"))
-    return m.groupBy("record_id").agg(F.min_by(F.struct("period", "residual"), F.struct("residual", -C("period"))).alias("x")).select("record_id", "x.*")
+    m = both.groupBy("record_id", "period").agg(F.percentile("res", F.lit(0.5), C("n")).alias("residual"))
+    return m.groupBy("record_id").agg(F.min_by(F.struct("period", "residual"), F.struct(F.round("residual", 9), -C("period"))).alias("x")).select("record_id", "x.*")
 
 
 def trim_padding(samples: DataFrame, eps: float, most: int | None = None) -> DataFrame:
@@ -296,3 +288,85 @@ def channel_regularity(evts: DataFrame, selected: str, tol: float) -> DataFrame:
     own = interval_stats(evts.filter(C("kind") == selected)).select("record_id", C("cv").alias("channel_cv"))
     cons = interval_stats(gap_clusters(evts, tol, 3).select("record_id", "t_ms")).select("record_id", C("cv").alias("consensus_cv"))
     return own.join(cons, "record_id", "full")
+
+
+def rhythm_lead_pick(leads: DataFrame, first: str = "II", long: float = 5.0) -> DataFrame:
+    """(record_id, lead): the conventional lead if it is long enough with five beats, else the best by duration and confidence.
+
+    leads(record_id, lead, evaluable, duration_s, r_count, confidence); others need four beats. Records without any have no row.
+    """
+    usual = (C("lead") == first) & (C("duration_s") >= long) & (C("r_count") >= 5)
+    score = F.coalesce("duration_s", F.lit(0.0)) * F.greatest(F.coalesce("confidence", F.lit(0.0)), F.lit(0.1))
+    able = leads.filter(C("evaluable") & (F.coalesce(usual, F.lit(False)) | (C("r_count") >= 4)))
+    return able.groupBy("record_id").agg(F.max_by("lead", F.struct(F.coalesce(usual, F.lit(False)), score, C("lead"))).alias("lead"))
+
+
+def conduction_lead_pick(leads: DataFrame, preferred: list[str]) -> DataFrame:
+    """(record_id, lead, score): the lead with the best atrial evidence among the preferred, whose order breaks near ties.
+
+    leads(record_id, lead, evaluable, p_count, r_count, pp_cv, reproducible, coupling, confidence): four p and three r at least.
+    """
+    unit = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(c, F.lit(0.0))))
+    flag = lambda c: F.coalesce(c.cast("int"), F.lit(0))
+    order = F.array_position(F.array(*[F.lit(x) for x in preferred]), C("lead"))
+    able = leads.filter((order > 0) & C("evaluable") & (C("p_count") >= 4) & (C("r_count") >= 3))
+    evidence = 40.0 * flag(C("reproducible")) + 25.0 * flag(C("pp_cv") <= 0.12) + 10.0 * unit(C("confidence")) + 8.0 * unit(C("coupling")) + F.least(C("p_count"), F.lit(12)) + 0.5 * F.least(C("r_count"), F.lit(12))
+    score = evidence + 2.0 * (len(preferred) + 1 - order) / len(preferred)
+    return able.groupBy("record_id").agg(F.max(F.struct(score.alias("score"), "lead")).alias("x")).select("record_id", "x.lead", "x.score")
+
+
+def window_correlation(a: Column, b: Column, shift: int, least: int) -> Column:
+    """Pearson correlation of a[i] with b[i + shift] over the places that both have; null under `least` places or without spread."""
+    n = F.least(F.size(a), F.size(b)) - abs(shift)
+    x = F.slice(a, 1 + max(0, -shift), F.greatest(n, F.lit(0)))
+    y = F.slice(b, 1 + max(0, shift), F.greatest(n, F.lit(0)))
+    dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)
+    plain = lambda p: F.aggregate(p, F.lit(0.0), lambda s, v: s + v)
+    spread = F.sqrt(n * dot(x, x) - plain(x) * plain(x)) * F.sqrt(n * dot(y, y) - plain(y) * plain(y))
+    return F.when((n >= least) & (spread > 1e-9), (n * dot(x, y) - plain(x) * plain(y)) / spread)
+
+
+def template_scores(waves: DataFrame, templates: DataFrame, windows: list[tuple[int, int, float]], shift: int, amplitude: float = 0.15, least: int = 10) -> DataFrame:
+    """(record_id, template, visual, coverage) of each record against each of a bounded set of templates.
+
+    waves(record_id, lead, wave) and templates(template, lead, wave). Per lead every window (first, size, weight)
+    has its best correlation over shifts, on a scale from 0 to 1; their weighted mean and the likeness of the
+    peak-to-peak sizes make the lead's score. The mean over leads is lowered by leads of the template that the
+    record lacks.
+    """
+    own, other = C("wave"), C("__t")
+    parts = []
+    for first, size, weight in windows:
+        a, b = F.slice(own, first + 1, size), F.slice(other, first + 1, size)
+        parts.append((F.greatest(*[window_correlation(a, b, s, least) for s in range(-shift, shift + 1)]) if shift else window_correlation(a, b, 0, least), weight))
+    shape = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), (c + 1) / 2))
+    total = sum(F.when(c.isNotNull(), F.lit(w)).otherwise(0.0) for c, w in parts)
+    mean = sum(F.coalesce(shape(c) * w, F.lit(0.0)) for c, w in parts) / F.nullif(total, F.lit(0.0))
+    p, q = F.array_max(own) - F.array_min(own), F.array_max(other) - F.array_min(other)
+    amp = F.when((p > 1e-6) & (q > 1e-6), F.exp(-F.abs(F.log((p + 1e-6) / (q + 1e-6)))))
+    score = F.when(amp.isNull(), mean).otherwise((1 - amplitude) * mean + amplitude * amp)
+    leads = templates.groupBy("template").agg(F.count("*").alias("n"))
+    both = waves.join(templates.withColumnRenamed("wave", "__t"), "lead").withColumn("score", score)
+    by = both.groupBy("record_id", "template").agg(F.avg("score").alias("mean"), F.count("score").alias("k")).join(leads, "template")
+    coverage = C("k") / C("n")
+    return by.select("record_id", "template", (C("mean") * (0.70 + 0.30 * coverage)).alias("visual"), coverage.alias("coverage"))
+
+
+def fused_rank(scores: DataFrame, k: int = 3) -> DataFrame:
+    """(record_id, template, fusion, status, rank) of (criteria, visual, measurement, coverage): weights .45, .35, .20 shared out over what is there."""
+    parts = [(C("criteria"), 0.45), (C("visual"), 0.35), (C("measurement"), 0.20)]
+    weight = sum(F.when(c.isNotNull(), F.lit(w)).otherwise(0.0) for c, w in parts)
+    fusion = sum(F.coalesce(c * w, F.lit(0.0)) for c, w in parts) / F.nullif(weight, F.lit(0.0))
+    met, seen = C("criteria") >= 0.95, C("visual").isNotNull()
+    status = (
+        F.when(C("fusion").isNull(), "NO_VALORABLE")
+        .when(met & seen & (C("coverage") >= 0.50) & (C("visual") >= 0.72) & (C("fusion") >= 0.75), "CONCORDANT_HIGH")
+        .when(met & seen & (C("coverage") >= 0.35) & (C("visual") >= 0.56) & (C("fusion") >= 0.63), "CONCORDANT_MODERATE")
+        .when(met, "CRITERIA_POSITIVE_VISUAL_DISCORDANT")
+        .when(C("criteria").isNull() & (C("coverage") >= 0.50) & (C("visual") >= 0.78), "VISUAL_ONLY_NO_RULE")
+        .when((C("criteria") <= 0.20) & (C("coverage") >= 0.50) & (C("visual") >= 0.78), "VISUAL_MATCH_WITHOUT_CRITERIA")
+        .when((C("criteria") <= 0.20) & (C("fusion") < 0.60), "NOT_SUPPORTED")
+        .otherwise("INDETERMINATE")
+    )
+    ranked = scores.withColumn("fusion", fusion).withColumn("rank", F.row_number().over(W.partitionBy("record_id").orderBy(F.round("fusion", 6).desc_nulls_last(), "template")))
+    return ranked.filter(C("rank") <= k).select("record_id", "template", "fusion", status.alias("status"), "rank")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -36,12 +36,19 @@ def pattern_labels(codes: DataFrame, patterns: dict[str, list[str]], exclusions:
     return codes.select("code", F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())).alias("target"))
 
 
-def fuzzy_candidates(left: DataFrame, right: DataFrame, block: Column, k: int = 5) -> DataFrame:
-    """(name, candidate, score, rank): the k most similar names of the block, for review, never accepted by themselves."""
-    a = left.select("name").distinct().withColumn("__block", block)
-    b = right.select("name").distinct().withColumn("__block", block).withColumnRenamed("name", "candidate")
-    pairs = a.join(b, "__block").filter("name <> candidate").withColumn("score", F.round(similarity(F.col("name"), F.col("candidate")), 4))
-    ranked = pairs.withColumn("rank", F.row_number().over(W.partitionBy("name").orderBy(F.desc("score"), "candidate")))
+def name_pairs(left: DataFrame, right: DataFrame, least: int = 3) -> DataFrame:
+    """(name, candidate) of different names that share a token of `least` letters or more, each pair once.
+
+    Names are distinct before they meet; a token is as hot as the names that have it, and its join may be split.
+    """
+    keyed = lambda df, name: df.select(F.col("name").alias(name)).distinct().withColumn("__t", F.explode(F.array_distinct(F.filter(tokens(F.col(name)), lambda x: F.length(x) >= least))))
+    return keyed(left, "name").join(keyed(right, "candidate"), "__t").filter("name <> candidate").select("name", "candidate").distinct()
+
+
+def fuzzy_candidates(left: DataFrame, right: DataFrame, score: Callable[[Column, Column], Column] = similarity, k: int = 5) -> DataFrame:
+    """(name, candidate, score, rank): the k names most similar by `score` that share a token, for review, never accepted by themselves."""
+    scored = name_pairs(left, right).withColumn("score", F.round(score(F.col("name"), F.col("candidate")), 4))
+    ranked = scored.withColumn("rank", F.row_number().over(W.partitionBy("name").orderBy(F.desc("score"), "candidate")))
     return ranked.filter(F.col("rank") <= k).select("name", "candidate", "score", "rank")
 
 
@@ -67,13 +74,14 @@ def priority_review(candidates: DataFrame, least: float = 95.0, margin: float =
 def component_identity(catalog: DataFrame, sources: DataFrame, least: float = 92.0) -> DataFrame:
     """(med_id, source_id) where every catalogue component matches an ingredient, and a single drug no combination.
 
-    Components meet ingredients that begin alike; catalog(med_id, parts), sources(source_id, ingredients).
+    Different components meet different ingredients with a token in common; catalog(med_id, parts),
+    sources(source_id, ingredients).
     """
     parts = catalog.select("med_id", F.size("parts").alias("__n"), F.explode("parts").alias("part"))
     held = sources.select("source_id", F.size("ingredients").alias("__m"), F.explode("ingredients").alias("ingredient"))
-    names = parts.select("part").distinct().withColumn("__b", F.substring("part", 1, 2))
-    other = held.select("ingredient").distinct().withColumn("__b", F.substring("ingredient", 1, 2))
-    alike = names.join(other, "__b").filter(token_set_ratio(F.col("part"), F.col("ingredient")) >= least).select("part", "ingredient")
+    names, other = parts.select(F.col("part").alias("name")), held.select(F.col("ingredient").alias("name"))
+    near = name_pairs(names, other, 1).select(F.col("name").alias("part"), F.col("candidate").alias("ingredient")).filter(token_set_ratio(F.col("part"), F.col("ingredient")) >= least)
+    alike = near.unionByName(names.intersect(other).select(F.col("name").alias("part"), F.col("name").alias("ingredient")))
     hit = parts.join(alike, "part").join(held, "ingredient")
     good = hit.groupBy("med_id", "source_id").agg(F.countDistinct("part").alias("k"), F.first("__n").alias("n"), F.first("__m").alias("m"))
     return good.filter("k = n and (n > 1 or m = 1)").select("med_id", "source_id")
@@ -82,9 +90,11 @@ def component_identity(catalog: DataFrame, sources: DataFrame, least: float = 92
 def crosswalk_identity(catalog: DataFrame, labels: DataFrame, least: float = 96.0) -> DataFrame:
     """(med_id, label_id, basis): shared codes first; names near enough only for drugs without one; else the reason."""
     codes = catalog.select("med_id", F.explode("codes").alias("code")).join(labels.select("label_id", F.explode("codes").alias("code")), "code").select("med_id", "label_id").distinct().withColumn("basis", F.lit("codes"))
-    rest = catalog.join(codes, "med_id", "left_anti").withColumn("__b", F.substring("name", 1, 3))
-    near = rest.join(labels.select("label_id", F.col("name").alias("__l")).withColumn("__b", F.substring("__l", 1, 3)), "__b")
-    near = near.filter(token_set_ratio(F.col("name"), F.col("__l")) >= least)
+    rest = catalog.join(codes, "med_id", "left_anti")
+    own, other = rest.select("name"), labels.select("name")
+    alike = name_pairs(own, other, 1).filter(token_set_ratio(F.col("name"), F.col("candidate")) >= least)
+    alike = alike.unionByName(own.intersect(other).select("name", F.col("name").alias("candidate")))
+    near = rest.join(alike, "name").join(labels.select("label_id", F.col("name").alias("candidate")), "candidate").withColumnRenamed("candidate", "__l")
     whole = F.size(F.array_except(tokens(F.col("name")), tokens(F.col("__l")))) == 0
     named = near.select("med_id", "label_id", F.when(whole, "name").otherwise("rejected_components").alias("basis"))
     none = rest.join(named.select("med_id").distinct(), "med_id", "left_anti").select("med_id", F.lit(None).cast("bigint").alias("label_id"), F.lit("no_label").alias("basis"))
@@ -127,22 +137,37 @@ def identity_triage(name: Column, salts: list[str], esters: list[str], ambiguous
     return F.when(F.contains(name, F.lit("+")) | F.contains(name, F.lit("/")), "combination").when(any_of(esters), "ester").when(any_of(salts), "salt").when(any_of(ambiguous), "ambiguous").when(F.rlike(name, F.lit("(ato|ate|ine|ide)$")), "suffix_review").otherwise("plain")
 
 
-def catalogue_search(queries: DataFrame, catalog: DataFrame, limit: int = 20) -> DataFrame:
-    """Catalogue rows whose folded name holds the folded query; the query set is small and stated."""
+def search_texts(table: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """(key, text) of the folded fields of each row; a field may be an array, as of aliases."""
+    kinds = dict(table.dtypes)
+    texts = F.flatten(F.array(*[F.col(f).cast("array<string>") if kinds[f].startswith("array") else F.array(F.col(f).cast("string")) for f in fields]))
+    return table.select(key, F.explode(F.filter(texts, lambda x: x.isNotNull())).alias("text")).select(key, fold_text(F.col("text")).alias("text")).distinct()
+
+
+def catalogue_search(queries: DataFrame, catalog: DataFrame, fields: list[str], limit: int = 20) -> DataFrame:
+    """Catalogue rows of which a field, the id or aliases among them, holds the folded query; the query set is small and stated."""
     q = queries.select("query", fold_text(F.col("query")).alias("__q"))
-    hits = catalog.select("med_id", fold_text(F.col("generic_name")).alias("name")).join(F.broadcast(q), F.contains(F.col("name"), F.col("__q")))
-    ranked = hits.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy("name", "med_id")))
+    hits = search_texts(catalog, "med_id", fields).join(F.broadcast(q), F.contains(F.col("text"), F.col("__q"))).select("query", "med_id").distinct()
+    named = hits.join(catalog.select("med_id", fold_text(F.col("generic_name")).alias("name")), "med_id")
+    ranked = named.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy("name", "med_id")))
     return ranked.filter(F.col("rank") <= limit).select("query", "med_id", "name", "rank")
 
 
-def literal_then_fuzzy(queries: DataFrame, names: DataFrame, least: float = 64.0) -> DataFrame:
-    """(query, name, how): literal hits; only queries without any are matched by similarity within a first letter."""
+def literal_then_fuzzy(queries: DataFrame, table: DataFrame, fields: list[str], fuzzy: list[str], least: float = 64.0, letters: int = 4) -> DataFrame:
+    """(query, name, how): literal hits on any of `fields`; only queries without any are matched by similarity.
+
+    Similarity is that to one of the `fuzzy` fields, whole or to one of its tokens of `letters` or more. The
+    stated queries are sent to all rows; what they meet is each different text once.
+    """
     q = queries.select("query", fold_text(F.col("query")).alias("__q"))
-    n = names.select(fold_text(F.col("name")).alias("name")).distinct()
-    literal = n.join(F.broadcast(q), F.contains(F.col("name"), F.col("__q"))).select("query", "name", F.lit("literal").alias("how"))
-    rest = q.join(literal.select("query").distinct(), "query", "left_anti").withColumn("__b", F.substring("__q", 1, 1))
-    fuzzy = n.withColumn("__b", F.substring("name", 1, 1)).join(rest, "__b").filter(similarity(F.col("name"), F.col("__q")) >= least)
-    return literal.unionByName(fuzzy.select("query", "name", F.lit("fuzzy").alias("how")))
+    named = table.withColumn("name", fold_text(F.col("name")))
+    literal = search_texts(named, "name", fields).join(F.broadcast(q), F.contains(F.col("text"), F.col("__q"))).select("query", "name").distinct().withColumn("how", F.lit("literal"))
+    rest = q.join(literal.select("query").distinct(), "query", "left_anti")
+    texts = search_texts(named, "name", fuzzy)
+    texts = texts.unionByName(texts.select("name", F.explode(F.filter(tokens(F.col("text")), lambda x: F.length(x) >= letters)).alias("text"))).distinct()
+    near = texts.select("text").distinct().join(F.broadcast(rest), similarity(F.col("text"), F.col("__q")) >= least)
+    found = texts.join(near, "text").select("query", "name").distinct()
+    return literal.unionByName(found.withColumn("how", F.lit("fuzzy")))
 
 
 def text_windows(df: DataFrame, key: str, text: str, term: str, before: int = 60, after: int = 120, most: int = 8, limit: int = 12_000, skip: str = r"overdos") -> DataFrame:

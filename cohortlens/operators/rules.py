@@ -13,14 +13,16 @@ def band_join(patients: DataFrame, rules: DataFrame) -> DataFrame:
     """(patient_id, med_id, rule_id) where exactly one rule of the drug and metric holds the value.
 
     Edges are inclusive or not each by itself; NaN, infinite, negative values, dialysis and reversed bands are
-    refused. All matching rules are counted before one is taken: two matches mean no answer.
+    refused. All different matching rules are seen before one is taken: two mean no answer. A patient's row
+    given twice has its answer twice.
     """
     ok = patients.filter(~F.isnan("value") & (C("value") >= 0) & (C("value") < float("inf")) & ~F.coalesce("dialysis", F.lit(False)))
     both = ok.join(rules.filter(C("lo").isNull() | C("hi").isNull() | (C("lo") <= C("hi"))), ["med_id", "metric"])
     above = C("lo").isNull() | (C("value") > C("lo")) | (C("lo_incl") & (C("value") == C("lo")))
     below = C("hi").isNull() | (C("value") < C("hi")) | (C("hi_incl") & (C("value") == C("hi")))
-    hits = both.filter(above & below).withColumn("n", F.count("*").over(W.partitionBy("patient_id", "med_id", "metric", "value")))
-    return hits.filter("n = 1").select("patient_id", "med_id", "rule_id")
+    one = W.partitionBy("patient_id", "med_id", "metric", "value")
+    hits = both.filter(above & below).withColumn("only", F.min("rule_id").over(one) == F.max("rule_id").over(one))
+    return hits.filter("only").select("patient_id", "med_id", "rule_id")
 
 
 def demographic_join(patients: DataFrame, rules: DataFrame, key: str) -> DataFrame:
@@ -55,14 +57,17 @@ def compile_conditions(rules: list[dict]) -> list[tuple]:
 def condition_rules(context: DataFrame, clauses: DataFrame) -> DataFrame:
     """(patient_id, rule_id, priority) of rules with a clause whose leaves all hold; context is (patient_id, field, value).
 
-    A leaf over a missing field is false, and its negation true.
+    A leaf over a missing field is false, and its negation true. Clauses are met from their leaves that hold;
+    only clauses of negations alone ask about every patient.
     """
     leaf = clauses.withColumn("leaf", F.monotonically_increasing_id())
     v, x = C("value"), C("limit")
     holds = F.when(C("op") == ">", v > x).when(C("op") == ">=", v >= x).when(C("op") == "<", v < x).when(C("op") == "<=", v <= x).when(C("op") == "==", v == x).when(C("op") == "exists", v.isNotNull())
-    seen = context.join(F.broadcast(leaf), "field").withColumn("met", F.coalesce(holds, F.lit(False)))
+    seen = context.join(leaf, "field").withColumn("met", F.coalesce(holds, F.lit(False)))
     hit = seen.filter("met").groupBy("patient_id", "rule_id", "clause").agg(F.countDistinct(F.when(~C("negate"), C("leaf"))).alias("pos"), F.countDistinct(F.when(C("negate"), C("leaf"))).alias("bad"))
     need = leaf.groupBy("rule_id", "priority", "clause").agg(F.count_if(~C("negate")).alias("need"))
-    patients = context.select("patient_id").distinct()
-    every = patients.crossJoin(F.broadcast(need)).join(hit, ["patient_id", "rule_id", "clause"], "left").fillna(0, ["pos", "bad"])
-    return every.filter("pos = need and bad = 0").select("patient_id", "rule_id", "priority").distinct()
+    clause = ["rule_id", "clause"]
+    met = hit.join(need.filter("need > 0"), clause).filter("pos = need and bad = 0").select("patient_id", "rule_id", "priority")
+    free = context.select("patient_id").distinct().crossJoin(need.filter("need = 0").select(*clause, "priority"))
+    free = free.join(hit.filter("bad > 0").select("patient_id", *clause), ["patient_id", *clause], "left_anti").select("patient_id", "rule_id", "priority")
+    return met.unionByName(free).distinct()

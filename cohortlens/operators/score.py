@@ -212,3 +212,9 @@ def first_exposure_accuracy(evaluations: DataFrame, key: str, order: str, by: li
     """Accuracy over the first prediction of each item; later ones were made after learning."""
     first = evaluations.groupBy(*by, key).agg(F.min_by("correct", F.col(order)).alias("correct"))
     return first.groupBy(*by).agg(F.count("correct").alias("n"), F.avg(F.col("correct").cast("double")).alias("accuracy"))
+
+
+def worst_errors(df: DataFrame, keys: list[str], k: int = 25) -> DataFrame:
+    """The k pairs of engine and comparator that lie furthest apart, ties by key; pairs with a null are none."""
+    error = F.col("engine") - F.col("comparator")
+    return df.withColumn("error", error).filter("error is not null").orderBy(F.round(F.abs("error"), 6).desc(), *keys).limit(k).select(*keys, "engine", "comparator", "error")

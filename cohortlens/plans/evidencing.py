@@ -101,9 +101,9 @@ def _(t):
 
 @query("t01_annotation_upsert_stream", "SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1, 2")
 def _(t):
-    return streams.upsert_stream_result(t.spark, f"{t._dir}/events.parquet", ["user_id", "event_type"], ["event_id", "value"], "ts", "event_id")
+    return streams.upsert_stream_result(t.spark, streams.in_lots(t.events, 5, "event_id"), ["user_id", "event_type"], ["event_id", "value"], "ts", "event_id")
 
 
 @query("t02_evaluate_before_learn_stream")
 def _(t):
-    return streams.evaluate_before_learn(t.spark, f"{t._dir}/embeddings.parquet")
+    return streams.evaluate_before_learn(t.spark, streams.in_lots(t.embeddings, 6, "vec_id"))

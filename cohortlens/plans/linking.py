@@ -96,9 +96,10 @@ def _(t):
     return t.pages.select("page_id", F.size(kept).alias("n_kept")).withColumn("accepted", F.col("n_kept") >= 2)
 
 
-@query("j02_name_or_id_lookup", f"SELECT p_partkey AS med_id, p_name AS generic_name, CASE WHEN p_partkey % 7 = 0 THEN 'id' WHEN {_FOLD('p_name')} IN (SELECT {_FOLD('p_name')} FROM part WHERE p_partkey % 97 = 0) THEN 'name' END AS supported_by FROM part")
+@query("j02_name_or_id_lookup", f"SELECT p_partkey AS med_id, p_name AS generic_name, CASE WHEN p_type = 'ECONOMY' THEN 'id' WHEN {_FOLD('p_name')} IN (SELECT {_FOLD('p_name')} FROM part WHERE p_brand = 'Brand#7') THEN 'name' END AS supported_by FROM part")
 def _(t):
-    src = t.cat.filter("med_id % 7 = 0").select("med_id", F.lit(None).cast("string").alias("generic_name")).unionByName(t.cat.filter("med_id % 97 = 0").select(F.lit(None).cast("bigint").alias("med_id"), F.upper("generic_name").alias("generic_name")))
+    # One source knows ids of a class, the other names of a maker.
+    src = t.cat.filter("class = 'ECONOMY'").select("med_id", F.lit(None).cast("string").alias("generic_name")).unionByName(t.cat.filter("brand = 'Brand#7'").select(F.lit(None).cast("bigint").alias("med_id"), F.upper("generic_name").alias("generic_name")))
     return link.name_or_id_lookup(t.cat.select("med_id", "generic_name"), src)
 
 
@@ -117,44 +118,48 @@ def _(t):
     return t.part.select(F.col("p_name").alias("code")).join(labels, "code").groupBy("target").agg(F.count("*").alias("n"))
 
 
-_CAND = f"WITH n AS (SELECT DISTINCT p_name AS name FROM part), p AS (SELECT a.name, b.name AS candidate, round({_SIM('a.name', 'b.name')}, 4) AS score FROM n a JOIN n b ON substr(a.name, 1, 1) = substr(b.name, 1, 1) AND a.name <> b.name), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY name ORDER BY score DESC, candidate) AS INT) AS rank FROM p) "
+_CAND = f"WITH n AS (SELECT DISTINCT p_name AS name FROM part), p AS (SELECT a.name, b.name AS candidate, round({_SIM('a.name', 'b.name')}, 4) AS score FROM n a JOIN n b ON list_has_any(string_split(a.name, ' '), string_split(b.name, ' ')) AND a.name <> b.name), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY name ORDER BY score DESC, candidate) AS INT) AS rank FROM p) "
 
 
-def candidates(t):
-    names = t.part.select(F.col("p_name").alias("name"))
-    return link.fuzzy_candidates(names, names, F.substring("name", 1, 1))
+def names(t):
+    return t.part.select(F.col("p_name").alias("name"))
 
 
 @query("j05_fuzzy_candidates", _CAND + "SELECT * FROM r WHERE rank <= 5")
 def _(t):
-    return candidates(t)
+    return link.fuzzy_candidates(names(t), names(t))
 
 
 @query("j05_difflib_candidates")
 def _(t):
-    return candidates(t).withColumn("difflib", link.difflib_ratio(F.col("name"), F.col("candidate")))
+    return link.fuzzy_candidates(names(t), names(t), link.difflib_ratio)
 
 
 @query("j06_priority_review", _CAND + "SELECT name, candidate, score, second, score >= 60 AND score - coalesce(second, 0) >= 3 AS priority FROM (SELECT *, lead(score) OVER (PARTITION BY name ORDER BY rank) AS second FROM r WHERE rank <= 5) WHERE rank = 1")
 def _(t):
-    return link.priority_review(candidates(t), 60.0, 3.0)
+    return link.priority_review(link.fuzzy_candidates(names(t), names(t)), 60.0, 3.0)
 
 
-@query("j07_component_identity_join", "WITH c AS (SELECT p_partkey AS med_id, list_distinct(string_split(p_name, ' ')) AS parts FROM part), s AS (SELECT n_nationkey AS source_id, string_split(x, ' ') AS ing FROM nation JOIN (SELECT DISTINCT p_partkey AS k, p_name || ' extra' AS x FROM part) ON n_nationkey = k) SELECT med_id, source_id FROM c, s WHERE list_has_all(ing, parts) AND (len(parts) > 1 OR len(ing) = 1)")
+# A label carries all ingredients of its name and one more; names stand once, under their least key.
+@query("j07_component_identity_join", "WITH c AS (SELECT p_partkey AS med_id, list_distinct(string_split(p_name, ' ')) AS parts FROM part), s AS (SELECT min(p_partkey) AS source_id, string_split(p_name || ' extra', ' ') AS ing FROM part GROUP BY p_name) SELECT med_id, source_id FROM c, s WHERE list_has_all(ing, parts) AND (len(parts) > 1 OR len(ing) = 1)")
 def _(t):
     cat = t.part.select(F.col("p_partkey").alias("med_id"), F.array_distinct(F.split("p_name", " ")).alias("parts"))
-    src = t.nation.join(t.part, F.col("n_nationkey") == F.col("p_partkey")).select(F.col("n_nationkey").alias("source_id"), F.split(F.concat("p_name", F.lit(" extra")), " ").alias("ingredients"))
+    src = t.part.groupBy("p_name").agg(F.min("p_partkey").alias("source_id")).select("source_id", F.split(F.concat("p_name", F.lit(" extra")), " ").alias("ingredients"))
     return link.component_identity(cat, src)
 
 
-@query("j08_crosswalk_identity")
+# Codes are those of the economy class; the rest of the catalogue meets labels by name. Names are two different words, so a
+# name with a token set alike to 96 is the same name or one with its words turned round.
+@query("j08_crosswalk_identity", "WITH l AS (SELECT min(p_partkey) AS label_id, p_name AS name FROM part GROUP BY p_name), lc AS (SELECT l.label_id, p.p_brand AS code FROM l JOIN part p ON p.p_partkey = l.label_id WHERE p.p_type = 'ECONOMY'), c AS (SELECT DISTINCT p_partkey AS med_id, label_id FROM part JOIN lc ON p_brand = code WHERE p_type IN ('ECONOMY', 'PROMO')), r AS (SELECT p_partkey AS med_id, p_name AS name FROM part WHERE p_partkey NOT IN (SELECT med_id FROM c)), n AS (SELECT r.med_id, l.label_id FROM r JOIN l ON list_sort(string_split(r.name, ' ')) = list_sort(string_split(l.name, ' '))) SELECT med_id, label_id, 'codes' AS basis FROM c UNION ALL SELECT med_id, label_id, 'name' FROM n UNION ALL SELECT med_id, NULL, 'no_label' FROM r WHERE med_id NOT IN (SELECT med_id FROM n)")
 def _(t):
-    cat = t.part.select(F.col("p_partkey").alias("med_id"), F.col("p_name").alias("name"), F.when(F.col("p_partkey") % 2 == 0, F.array("p_brand")).otherwise(F.array().cast("array<string>")).alias("codes"))
-    lab = t.part.filter("p_partkey % 50 = 0").select(F.col("p_partkey").alias("label_id"), F.col("p_name").alias("name"), F.when(F.col("p_partkey") % 100 == 0, F.array("p_brand")).otherwise(F.array().cast("array<string>")).alias("codes"))
+    codes = lambda kinds: F.when(F.col("p_type").isin(kinds), F.array("p_brand")).otherwise(F.array().cast("array<string>")).alias("codes")
+    cat = t.part.select(F.col("p_partkey").alias("med_id"), F.col("p_name").alias("name"), codes(["ECONOMY", "PROMO"]))
+    first = t.part.groupBy("p_name").agg(F.min("p_partkey").alias("p_partkey"))
+    lab = t.part.join(first, ["p_name", "p_partkey"]).select(F.col("p_partkey").alias("label_id"), F.col("p_name").alias("name"), codes(["ECONOMY"]))
     return link.crosswalk_identity(cat, lab)
 
 
-@query("j21_match_confidence")
+@query("j21_match_confidence", f"WITH m AS (SELECT p_partkey AS med_id, lower(p_name) AS label, unnest([substr(p_name, 1, 4), lower(p_type)]) AS part, p_size * 2.0 AS lexical, p_retailprice % 100 AS terminology FROM part), s AS (SELECT med_id, part, max({_SIM('part', 'token')}) AS s FROM (SELECT *, unnest(string_split(label, ' ')) AS token FROM (SELECT med_id, label, unnest(string_split(part, ' ')) AS part FROM m)) WHERE token <> '' GROUP BY 1, 2), c AS (SELECT med_id, min(s) AS least FROM s GROUP BY 1), p AS (SELECT med_id, max(lexical) AS lexical, max(terminology) AS terminology, bool_or(least >= 72) AS covered FROM m JOIN c USING (med_id) GROUP BY 1) SELECT med_id, round(lexical, 6) AS lexical, round(terminology, 6) AS terminology, covered, CASE WHEN covered AND greatest(lexical, terminology) >= 92 THEN 'HIGH' WHEN covered OR greatest(lexical, terminology) >= 80 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM p")
 def _(t):
     m = t.part.select(F.col("p_partkey").alias("med_id"), F.lower("p_name").alias("label"), F.split(F.concat_ws(" ", F.substring("p_name", 1, 4), F.lower("p_type")), " ").alias("parts"), (F.col("p_size") * 2.0).alias("lexical"), (F.col("p_retailprice") % 100).alias("terminology"))
     return link.match_confidence(m)
@@ -183,14 +188,17 @@ def _(t):
     return link.section_top_k(t.conversations.select(F.col("conv_id").alias("doc"), F.col("turn").alias("section"), F.col("role").alias("title"), F.col("text").alias("body")), "^user$", "the|les")
 
 
-@query("w13_catalogue_search", "SELECT query, med_id, name, CAST(rank AS INT) AS rank FROM (SELECT q.query, p_partkey AS med_id, lower(p_name) AS name, row_number() OVER (PARTITION BY q.query ORDER BY lower(p_name), p_partkey) AS rank FROM part JOIN (VALUES ('Bolt', 'bolt'), ('é red', 'e red'), ('HOT G', 'hot g')) q(query, f) ON contains(lower(p_name), q.f)) WHERE rank <= 20")
+@query("w13_catalogue_search", "WITH q(query, f) AS (VALUES ('Bolt', 'bolt'), ('é red', 'e red'), ('HOT G', 'hot g'), ('brand#2', 'brand#2'), ('77', '77')), x AS (SELECT p_partkey, unnest([CAST(p_partkey AS VARCHAR), lower(p_name), lower(p_brand), lower(p_type)]) AS text FROM part), h AS (SELECT DISTINCT query, p_partkey FROM x JOIN q ON contains(text, f)) SELECT query, med_id, name, CAST(rank AS INT) AS rank FROM (SELECT query, p_partkey AS med_id, lower(p_name) AS name, row_number() OVER (PARTITION BY query ORDER BY lower(p_name), p_partkey) AS rank FROM h JOIN part USING (p_partkey)) WHERE rank <= 20")
 def _(t):
-    return link.catalogue_search(t.spark.createDataFrame([("Bolt",), ("é red",), ("HOT G",)], "query string"), t.cat)
+    catalog = t.cat.withColumn("aliases", F.array("brand", "class"))
+    return link.catalogue_search(t.spark.createDataFrame([("Bolt",), ("é red",), ("HOT G",), ("brand#2",), ("77",)], "query string"), catalog, ["med_id", "generic_name", "aliases"])
 
 
-@query("w14_literal_then_fuzzy_search", f"WITH q(query, f) AS (VALUES ('red bolt', 'red bolt'), ('Smal ring', 'smal ring'), ('zzz', 'zzz')), n AS (SELECT DISTINCT lower(p_name) AS name FROM part), l AS (SELECT query, name, 'literal' AS how FROM n JOIN q ON contains(name, f)) SELECT * FROM l UNION ALL SELECT query, name, 'fuzzy' FROM n JOIN q ON substr(name, 1, 1) = substr(f, 1, 1) WHERE query NOT IN (SELECT query FROM l) AND {_SIM('name', 'f')} >= 64")
+@query("w14_literal_then_fuzzy_search", f"WITH q(query, f) AS (VALUES ('red bolt', 'red bolt'), ('Xmall ring', 'xmall ring'), ('widgte', 'widgte'), ('economi', 'economi'), ('zzz', 'zzz')), n AS (SELECT DISTINCT lower(p_name) AS name, unnest([lower(p_name), lower(p_brand), lower(p_type), CAST(p_size AS VARCHAR)]) AS text, unnest([true, false, true, false]) AS fuzzy FROM part), l AS (SELECT DISTINCT query, name FROM n JOIN q ON contains(text, f)), x AS (SELECT name, text FROM n WHERE fuzzy UNION SELECT name, token FROM (SELECT name, unnest(string_split(text, ' ')) AS token FROM n WHERE fuzzy) WHERE length(token) >= 4) SELECT query, name, 'literal' AS how FROM l UNION ALL SELECT DISTINCT query, name, 'fuzzy' FROM x JOIN q ON {_SIM('text', 'f')} >= 64 WHERE query NOT IN (SELECT query FROM l)")
 def _(t):
-    return link.literal_then_fuzzy(t.spark.createDataFrame([("red bolt",), ("Smal ring",), ("zzz",)], "query string"), t.part.select(F.col("p_name").alias("name")))
+    table = t.part.select(F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), F.col("p_type").alias("class"), F.col("p_size").alias("size"))
+    queries = t.spark.createDataFrame([("red bolt",), ("Xmall ring",), ("widgte",), ("economi",), ("zzz",)], "query string")
+    return link.literal_then_fuzzy(queries, table, ["name", "brand", "class", "size"], ["name", "class"])
 
 
 @query("g11_text_release_gate", f"SELECT doc_id, contains(f, 'mg/kg') AS weight_based, regexp_matches(f, 'diali|dialy') AS dialysis, regexp_matches(f, 'no (requiere )?ajuste|no adjust') AS no_adjustment, regexp_matches(f, ' o | or |alternativ') AS alternative, regexp_matches(f, 'titul|titrat') AS titration, NOT regexp_matches(f, '[0-9]') AS missing_quantity FROM (SELECT doc_id, {_FOLD('text')} AS f FROM documents)")

@@ -139,3 +139,8 @@ def _(t):
 def _(t):
     seen = t.orders.select(F.col("o_orderpriority").alias("target"), "o_custkey", "o_orderkey", (F.col("o_totalprice") > 150000).alias("correct"))
     return score.first_exposure_accuracy(seen, "o_custkey", "o_orderkey", ["target"])
+
+
+@query("w11_worst_errors", "SELECT record_id, lead, round(engine, 6) AS engine, round(comparator, 6) AS comparator, round(engine - comparator, 6) AS error FROM meas ORDER BY round(abs(engine - comparator), 6) DESC, record_id, lead LIMIT 25")
+def _(t):
+    return score.worst_errors(t.meas, ["record_id", "lead"], 25)

@@ -161,13 +161,53 @@ def _(t):
 _SAM = "s AS (SELECT vec_id AS record_id, unnest(range(len(embedding))) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)"
 
 
-@query("e13_template_rank", f"WITH {_SAM}, c AS (SELECT record_id, i, v - avg(v) OVER (PARTITION BY record_id) AS v FROM s), p AS (SELECT a.record_id, b.record_id AS template, sum(a.v * b.v) / sqrt(sum(a.v * a.v) * sum(b.v * b.v)) AS score FROM c a JOIN c b ON a.i = b.i WHERE b.record_id < 8 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY score DESC, template) AS rank FROM p) SELECT record_id, template, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 3")
+# Kinds of events stand for leads, days for seconds.
+_DAY = 86_400_000
+_LEADS = f"g AS (SELECT record_id, kind, t_ms, t_ms - lag(t_ms) OVER (PARTITION BY record_id, kind ORDER BY t_ms) AS gap FROM (SELECT DISTINCT record_id, kind, t_ms FROM evts)), v AS (SELECT record_id, kind, stddev_samp(gap) / avg(gap) AS pp_cv FROM g WHERE gap IS NOT NULL GROUP BY 1, 2), a AS (SELECT record_id, kind AS lead, (max(t_ms) - min(t_ms)) / {_DAY}.0::DOUBLE AS duration_s, count(*) AS r_count, count(DISTINCT t_ms) AS p_count, avg(amplitude) / 100 AS confidence, count(*) FILTER (amplitude > 50) AS high FROM evts GROUP BY 1, 2), leads AS (SELECT a.*, v.pp_cv FROM a LEFT JOIN v ON a.record_id = v.record_id AND a.lead = v.kind)"
+
+
+def leads(t):
+    a = t.evts.groupBy("record_id", C("kind").alias("lead")).agg(((F.max("t_ms") - F.min("t_ms")) / float(_DAY)).alias("duration_s"), F.count("*").alias("r_count"), F.countDistinct("t_ms").alias("p_count"), (F.avg("amplitude") / 100).alias("confidence"), F.count_if(C("amplitude") > 50).alias("high"))
+    cv = E.interval_stats(t.evts, ("record_id", "kind")).select("record_id", C("kind").alias("lead"), C("cv").alias("pp_cv"))
+    return a.join(cv, ["record_id", "lead"], "left")
+
+
+@query("w12_rhythm_lead_pick", f"WITH {_LEADS}, u AS (SELECT *, lead = 'view' AND duration_s >= 5 AND r_count >= 5 AS usual FROM leads WHERE high > 0) SELECT record_id, arg_max(lead, (usual, duration_s * greatest(confidence, 0.1), lead)) AS lead FROM u WHERE usual OR r_count >= 4 GROUP BY 1")
+def _(t):
+    return E.rhythm_lead_pick(leads(t).withColumn("evaluable", C("high") > 0), "view", 5.0)
+
+
+@query("w12_conduction_lead_pick", f"WITH {_LEADS}, s AS (SELECT record_id, lead, 40.0::DOUBLE * CAST(high > 2 AS INT) + 25.0::DOUBLE * coalesce(CAST(pp_cv <= 0.12 AS INT), 0) + 10.0::DOUBLE * least(1.0, greatest(0.0, confidence)) + 8.0::DOUBLE * least(1.0, high / r_count) + least(p_count, 12) + 0.5::DOUBLE * least(r_count, 12) + 2.0::DOUBLE * (4 - list_position(['view', 'click', 'purchase'], lead)) / 3 AS score FROM leads WHERE lead IN ('view', 'click', 'purchase') AND high > 0 AND p_count >= 4 AND r_count >= 3) SELECT record_id, arg_max(lead, (score, lead)) AS lead, round(max(score), 6) AS score FROM s GROUP BY 1")
+def _(t):
+    x = leads(t).withColumns({"evaluable": C("high") > 0, "reproducible": C("high") > 2, "coupling": C("high") / C("r_count")})
+    return E.conduction_lead_pick(x, ["view", "click", "purchase"])
+
+
+# Halves of an embedding stand for two leads; templates are the mean waves of the labels.
+_WINDOWS = [(0, 12, 0.12), (8, 12, 0.48), (16, 16, 0.40)]
+_HALVES = "s AS (SELECT vec_id AS record_id, label, i // 32 AS lead, i % 32 AS i, v FROM (SELECT vec_id, label, unnest(range(len(embedding))) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)), m AS (SELECT label AS template, lead, i, avg(v) AS v FROM s GROUP BY ALL)"
+
+
+def halves(t):
+    rows = t.embeddings.select(C("vec_id").alias("record_id"), "label", F.posexplode("embedding").alias("k", "v")).withColumns({"lead": F.floor(C("k") / 32).cast("int"), "i": C("k") % 32, "v": C("v").cast("double")})
+    array = lambda df, *keys: df.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("wave"))
+    return array(rows, "record_id", "lead"), array(rows.groupBy(C("label").alias("template"), "lead", "i").agg(F.avg("v").alias("v")), "template", "lead")
+
+
+@query(
+    "e13_template_rank",
+    f"WITH {_HALVES}, w(k, first, size, weight) AS (VALUES {', '.join(f'({k}, {a}, {n}, {x}::DOUBLE)' for k, (a, n, x) in enumerate(_WINDOWS))}), c AS (SELECT s.record_id, m.template, s.lead, w.k, w.weight, d.d, corr(s.v, m.v) AS c FROM s JOIN w ON s.i >= w.first AND s.i < w.first + w.size JOIN (VALUES (-2), (-1), (0), (1), (2)) d(d) ON s.i + d.d >= w.first AND s.i + d.d < w.first + w.size JOIN m ON m.lead = s.lead AND m.i = s.i + d.d GROUP BY ALL HAVING count(*) >= 10), b AS (SELECT record_id, template, lead, weight, least(1, greatest(0, (max(c) + 1) / 2)) AS shape FROM c GROUP BY record_id, template, lead, k, weight), "
+    "h AS (SELECT record_id, template, lead, sum(shape * weight) / sum(weight) AS shape FROM b GROUP BY ALL), p AS (SELECT record_id, lead, max(v) - min(v) AS p FROM s GROUP BY ALL), q AS (SELECT template, lead, max(v) - min(v) AS q FROM m GROUP BY ALL), l AS (SELECT record_id, template, avg(0.85::DOUBLE * shape + 0.15::DOUBLE * exp(-abs(ln((p + 1e-6) / (q + 1e-6))))) AS visual FROM h JOIN p USING (record_id, lead) JOIN q USING (template, lead) GROUP BY ALL), "
+    "x AS (SELECT l.*, CASE WHEN e.label = template THEN 1.0::DOUBLE WHEN template % 3 = 0 THEN 0.1::DOUBLE END AS criteria, CASE WHEN template % 2 = 0 THEN 0.8::DOUBLE END AS measurement FROM l JOIN embeddings e ON e.vec_id = record_id), f AS (SELECT *, (0.35::DOUBLE * visual + coalesce(0.45::DOUBLE * criteria, 0) + coalesce(0.20::DOUBLE * measurement, 0)) / (0.35::DOUBLE + CASE WHEN criteria IS NULL THEN 0 ELSE 0.45::DOUBLE END + CASE WHEN measurement IS NULL THEN 0 ELSE 0.20::DOUBLE END) AS fusion FROM x), r AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY round(fusion, 6) DESC, template) AS rank FROM f) "
+    "SELECT record_id, template, round(fusion, 6) AS fusion, CASE WHEN criteria >= 0.95 AND visual >= 0.72 AND fusion >= 0.75 THEN 'CONCORDANT_HIGH' WHEN criteria >= 0.95 AND visual >= 0.56 AND fusion >= 0.63 THEN 'CONCORDANT_MODERATE' WHEN criteria >= 0.95 THEN 'CRITERIA_POSITIVE_VISUAL_DISCORDANT' WHEN criteria IS NULL AND visual >= 0.78 THEN 'VISUAL_ONLY_NO_RULE' WHEN criteria <= 0.20 AND visual >= 0.78 THEN 'VISUAL_MATCH_WITHOUT_CRITERIA' WHEN criteria <= 0.20 AND fusion < 0.60 THEN 'NOT_SUPPORTED' ELSE 'INDETERMINATE' END AS status, CAST(rank AS INT) AS rank FROM r WHERE rank <= 3",
+)
 def _(t):
-    w = t.embeddings.select(C("vec_id").alias("record_id"), F.transform("embedding", lambda x: x.cast("double")).alias("wave"))
-    return E.template_rank(w, w.filter("record_id < 8").withColumnRenamed("record_id", "template"))
+    scores = E.template_scores(*halves(t), _WINDOWS, 2).join(t.embeddings.select(C("vec_id").alias("record_id"), "label"), "record_id")
+    scores = scores.withColumns({"criteria": F.when(C("label") == C("template"), 1.0).when(C("template") % 3 == 0, 0.1), "measurement": F.when(C("template") % 2 == 0, 0.8)})
+    return E.fused_rank(scores)
 
 
-@query("e17_harmonic_period")
+@query("e17_harmonic_period", f"WITH g AS (SELECT record_id, CAST(t_ms - lag(t_ms) OVER (PARTITION BY record_id ORDER BY t_ms) AS DOUBLE) AS gap FROM (SELECT DISTINCT record_id, t_ms FROM evts WHERE kind = 'view')), h AS (SELECT * FROM g WHERE gap IS NOT NULL), c AS (SELECT DISTINCT record_id, gap / k AS period FROM h, (VALUES (1), (2), (3), (4)) v(k) WHERE gap / k BETWEEN {3.0 * H} AND {90.0 * H}), m AS (SELECT c.record_id, period, median(abs(gap / period - round(gap / period))) AS residual FROM c JOIN h ON c.record_id = h.record_id GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY round(residual, 9), period DESC) AS n FROM m) SELECT record_id, round(period, 6) AS period, round(residual, 6) AS residual FROM r WHERE n = 1")
 def _(t):
     return E.harmonic_period(kind(t, "view"), 3.0 * H, 90.0 * H)
 

@@ -2,31 +2,30 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-C = F.col
-
+from cohortlens.sources.shared import shared_path
 
-def _home(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share; a local one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-stream-')}"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+C = F.col
+BUCKETS = 16
 
 
-def _files(spark: SparkSession, path: str, per_batch: int) -> DataFrame:
-    """A Parquet file or folder as a stream, one trigger per file or few."""
-    schema = spark.read.parquet(path).schema
-    folder, _, name = path.rpartition("/")
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(path if _is_folder(spark, path) else f"{folder}/{name}*")
+def in_lots(table: DataFrame, lots: int, *keys: str) -> str:
+    """A folder with the table in `lots` files, by a hash of the keys, written one after the other: a stream reads them so."""
+    folder = shared_path(table.sparkSession, "lots")
+    lot = F.pmod(F.xxhash64(*keys), F.lit(lots))
+    for k in range(lots):
+        table.filter(lot == k).coalesce(1).write.parquet(f"{folder}/lot={k}")
+    return folder
 
 
-def _is_folder(spark: SparkSession, path: str) -> bool:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(hadoop).isDirectory()
+def _files(spark: SparkSession, folder: str, per_batch: int) -> DataFrame:
+    """A folder of Parquet files as a stream, one trigger per file or few."""
+    schema = spark.read.option("recursiveFileLookup", "true").parquet(folder).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(folder)
 
 
 def latest(rows: DataFrame, keys: list[str], fields: list[str], at: str, tie: str) -> DataFrame:
@@ -34,28 +33,54 @@ def latest(rows: DataFrame, keys: list[str], fields: list[str], at: str, tie: st
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(at, tie)).alias("x")).select(*keys, "x.*")
 
 
-def upsert_stream(stream: DataFrame, keys: list[str], fields: list[str], at: str, tie: str, home: str) -> str:
-    """Applies every micro-batch to a snapshot table: the latest row of a key stays, whatever the order of arrival.
+def _current(spark: SparkSession, home: str, before: int | None = None) -> dict[int, int]:
+    """The batch that wrote each bucket last, before a batch: as many rows as there are buckets and batches that moved them."""
+    try:
+        moves = spark.read.parquet(f"{home}/moves")
+    except Exception as missing:
+        if "PATH_NOT_FOUND" not in str(missing) and "UNABLE_TO_INFER_SCHEMA" not in str(missing):
+            raise
+        return {}
+    moves = moves if before is None else moves.filter(C("batch") < before)
+    return {r[0]: r[1] for r in moves.groupBy("bucket").agg(F.max("batch")).collect()}
+
 
-    Each batch writes a new snapshot numbered by the batch, so a batch that is run again replaces its own
-    and reads the one before it: exactly once. Returns the folder of snapshots.
+def _rows(spark: SparkSession, home: str, at: dict[int, int]) -> DataFrame | None:
+    parts = [spark.read.parquet(*[f"{home}/data/batch={n}/bucket={b}" for b, k in at.items() if k == n]) for n in sorted(set(at.values()))]
+    return reduce(DataFrame.unionByName, parts) if parts else None
+
+
+def upsert_stream(stream: DataFrame, keys: list[str], fields: list[str], at: str, tie: str, home: str) -> None:
+    """Applies every micro-batch to a bucketed table: the latest row of a key stays, whatever the order of arrival.
+
+    A batch rewrites only the buckets of its keys, under its own number, and then notes which they are. A batch
+    that is run again reads what stood before it and replaces its own: exactly once.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        new = batch.select(*dict.fromkeys([*keys, *fields, at, tie]))
-        if number:
-            new = new.unionByName(spark.read.parquet(f"{home}/snapshot={number - 1}"))
-        latest(new, keys, fields, at, tie).write.mode("overwrite").parquet(f"{home}/snapshot={number}")
+        new = batch.select(*dict.fromkeys([*keys, *fields, at, tie])).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int"))
+        touched = [r[0] for r in new.select("bucket").distinct().collect()]  # BUCKETS at most
+        if not touched:
+            return
+        old = _rows(spark, home, {b: n for b, n in _current(spark, home, number).items() if b in touched})
+        if old is not None:
+            new = new.unionByName(old.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")))
+        latest(new, [*keys, "bucket"], fields, at, tie).write.mode("overwrite").partitionBy("bucket").parquet(f"{home}/data/batch={number}")
+        spark.createDataFrame([(b,) for b in touched], "bucket int").coalesce(1).write.mode("overwrite").parquet(f"{home}/moves/batch={number}")
 
     query = stream.writeStream.foreachBatch(apply).option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return f"{home}/snapshot={query.lastProgress['batchId']}"
 
 
-def upsert_stream_result(spark: SparkSession, path: str, keys: list[str], fields: list[str], at: str, tie: str) -> DataFrame:
-    done = upsert_stream(_files(spark, path, 1), keys, fields, at, tie, _home(spark, "upsert"))
-    return spark.read.parquet(done).select(*keys, *fields)
+def upsert_stream_result(spark: SparkSession, folder: str, keys: list[str], fields: list[str], at: str, tie: str, home: str | None = None) -> DataFrame:
+    """The table after all files of the folder; a run with the same `home` goes on where the last one ended."""
+    home = home or shared_path(spark, "upsert")
+    stream = _files(spark, folder, 1)
+    upsert_stream(stream, keys, fields, at, tie, home)
+    rows = _rows(spark, home, _current(spark, home))
+    empty = spark.createDataFrame([], stream.schema) if rows is None else rows
+    return empty.select(*keys, *fields)
 
 
 def evaluate_before_learn(spark: SparkSession, path: str, per_batch: int = 1) -> DataFrame:
@@ -64,7 +89,7 @@ def evaluate_before_learn(spark: SparkSession, path: str, per_batch: int = 1) ->
     The model is sums and counts per class and dimension, a small table; evaluations name its version, the
     number of the last batch learned. First exposures only: an id that was seen before is not scored again.
     """
-    home = _home(spark, "learn")
+    home = shared_path(spark, "learn")
     points = lambda df: df.select("vec_id", "label", F.posexplode("embedding").alias("d", "v"))
 
     def apply(batch: DataFrame, number: int) -> None:

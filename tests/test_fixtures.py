@@ -190,3 +190,81 @@ def test_no_cross_products_in_plans(spark, sf_dir):
     for name in ("j05_fuzzy_candidates", "j16_tolerance_match_candidates", "j09_band_join", "j18_interval_exclusion", "w01_hash_cohort", "a04_agreement_metrics"):
         plan = catalogue.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_known_blood_gases(spark):
+    gases = [(7.20, 60.0, 24.0), (7.20, 30.0, 11.0), (7.50, 30.0, 23.0), (7.50, 48.0, 36.0), (7.10, 50.0, 15.0), (7.40, 50.0, 30.0), (7.38, 50.0, 30.0), (7.42, 50.0, 30.0), (7.40, 40.0, 24.0), (7.36, 30.0, 18.0), (7.30, 60.0, 31.0), (7.40, 50.0, 20.0), (None, 40.0, 24.0)]
+    rows = measures.acid_base_class(spark.createDataFrame(gases, "ph double, pco2 double, hco3 double")).collect()
+    assert [r.primary for r in rows] == ["RESP_ACIDOSIS", "MET_ACIDOSIS", "RESP_ALKALOSIS", "MET_ALKALOSIS", "RESP_ACIDOSIS+MET_ACIDOSIS", "RESP_ACIDOSIS_OR_MET_ALKALOSIS", "RESP_ACIDOSIS", "MET_ALKALOSIS", "NONE", "MET_ACIDOSIS", "RESP_ACIDOSIS", "RESP_ACIDOSIS", None]
+    assert [r.chronicity for r in rows][:3] == ["ACUTE", None, "ACUTE"] and rows[10].chronicity == "CHRONIC"
+    assert rows[1].second == "RESP_ACIDOSIS" and rows[4].second is None
+
+
+def test_a_patient_given_twice_keeps_the_one_rule(spark):
+    p = spark.createDataFrame([(1, 7, "crcl", 20.0, False)] * 2 + [(2, 7, "crcl", 20.0, False), (3, 7, "crcl", 30.0, False)], "patient_id int, med_id int, metric string, value double, dialysis boolean")
+    r = spark.createDataFrame([(7, "crcl", 1, None, 30.0, True, True), (7, "crcl", 2, 30.0, None, True, True)], "med_id int, metric string, rule_id int, lo double, hi double, lo_incl boolean, hi_incl boolean")
+    assert sorted(map(tuple, rules.band_join(p, r).collect())) == [(1, 7, 1), (1, 7, 1), (2, 7, 1)]
+
+
+def test_conditions_of_negations_alone_ask_about_everybody(spark):
+    tree = [{"rule_code": "none", "status": "PUBLISHED", "condition": {"not": {"field": "a", "op": "exists"}}}, {"rule_code": "both", "status": "PUBLISHED", "condition": {"all": [{"field": "a", "op": ">", "value": 1}, {"not": {"field": "b", "op": "<", "value": 5}}]}}]
+    clauses = spark.createDataFrame(rules.compile_conditions(tree), "rule_id string, priority int, clause int, field string, op string, limit double, negate boolean")
+    context = spark.createDataFrame([(1, "a", 2.0), (2, "b", 1.0), (3, "a", 2.0), (3, "b", 1.0), (4, "a", 2.0), (4, "b", 9.0)], "patient_id int, field string, value double")
+    assert sorted((r.patient_id, r.rule_id) for r in rules.condition_rules(context, clauses).collect()) == [(1, "both"), (2, "none"), (4, "both")]
+
+
+def test_difflib_ranks_by_its_own_ratio(spark):
+    from difflib import SequenceMatcher
+
+    names = ["red bolt", "bolt red", "red bold", "red belt long", "rod bolt", "blue bolt", "red bolts", "bolt"]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    got = link.fuzzy_candidates(df, df, link.difflib_ratio).collect()
+    for n in names:
+        near = sorted(((-round(SequenceMatcher(None, n, c).ratio(), 4), c) for c in names if c != n and set(n.split()) & set(c.split())))[:5]
+        assert [(r.candidate, r["rank"]) for r in sorted((r for r in got if r.name == n), key=lambda r: r["rank"])] == [(c, k + 1) for k, (_, c) in enumerate(near)]
+
+
+def test_searches_by_id_alias_and_token(spark):
+    cat = spark.createDataFrame([(101, "Ácido fólico", ["B9", None]), (202, "Warfarin", ["Coumadin"])], "med_id long, generic_name string, aliases array<string>")
+    q = lambda *x: spark.createDataFrame([(v,) for v in x], "query string")
+    assert {(r.query, r.med_id) for r in link.catalogue_search(q("acido", "20", "b9", "coum", "zz"), cat, ["med_id", "generic_name", "aliases"]).collect()} == {("acido", 101), ("20", 202), ("b9", 101), ("coum", 202)}
+    names = cat.select(C("generic_name").alias("name"), "aliases")
+    assert {(r.query, r.name, r.how) for r in link.literal_then_fuzzy(q("xoumadin", "folicc", "warf"), names, ["name", "aliases"], ["name", "aliases"]).collect()} == {("xoumadin", "warfarin", "fuzzy"), ("folicc", "acido folico", "fuzzy"), ("warf", "warfarin", "literal")}
+
+
+def test_lead_picks(spark):
+    rows = [(1, "II", True, 5.0, 5, 0.1), (1, "V1", True, 60.0, 60, 1.0), (2, "II", True, 4.0, 9, 1.0), (2, "V1", True, 10.0, 4, 0.9), (2, "V2", True, 99.0, 3, 1.0), (3, "II", False, 9.0, 9, 1.0), (4, "V5", True, 1.0, 4, None), (4, "V6", True, 1.0, 4, None)]
+    df = spark.createDataFrame(rows, "record_id int, lead string, evaluable boolean, duration_s double, r_count int, confidence double")
+    assert {(r.record_id, r.lead) for r in events.rhythm_lead_pick(df).collect()} == {(1, "II"), (2, "V1"), (4, "V6")}
+    rows = [(1, "II", 4, 3, 0.5, False, 0.0, 0.0), (1, "V1", 9, 9, 0.1, True, 0.5, 0.9), (2, "II", 5, 5, None, False, 0.2, 0.2), (2, "aVF", 5, 5, None, False, 0.2, 0.2), (3, "II", 3, 3, 0.1, True, 1.0, 1.0), (4, "X", 9, 9, 0.1, True, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "record_id int, lead string, p_count int, r_count int, pp_cv double, reproducible boolean, coupling double, confidence double").withColumn("evaluable", F.lit(True))
+    got = {r.record_id: (r.lead, r.score) for r in events.conduction_lead_pick(df, ["II", "V1", "aVF"]).collect()}
+    assert {k: v[0] for k, v in got.items()} == {1: "V1", 2: "II"} and abs(got[1][1] - (40 + 25 + 9 + 4 + 9 + 4.5 + 4 / 3)) < 1e-9
+
+
+def test_templates_are_found_under_a_shift(spark):
+    wave = [float((i * 7) % 13) for i in range(30)]
+    rows = [(1, "I", wave), (2, "I", wave[1:] + [0.0]), (3, "II", wave)]
+    waves = spark.createDataFrame(rows, "record_id int, lead string, wave array<double>")
+    templates = spark.createDataFrame([("same", "I", wave), ("same", "II", wave), ("flat", "I", [1.0] * 30)], "template string, lead string, wave array<double>")
+    got = {(r.record_id, r.template): (r.visual, r.coverage) for r in events.template_scores(waves, templates, [(0, 30, 1.0)], 1).collect()}
+    assert abs(got[1, "same"][0] - 0.85) < 1e-6 and got[1, "same"][1] == 0.5 and got[2, "same"][0] > 0.84 and got[1, "flat"][0] is None
+    still = {(r.record_id, r.template): r.visual for r in events.template_scores(waves, templates, [(0, 30, 1.0)], 0).collect()}
+    assert still[2, "same"] < 0.8
+    fused = spark.createDataFrame([(1, "a", 1.0, 0.8, None, 0.6), (1, "b", 0.1, 0.9, 0.2, 0.6), (1, "c", None, None, None, 0.0), (1, "d", None, 0.8, None, 0.5)], "record_id int, template string, criteria double, visual double, measurement double, coverage double")
+    got = {r.template: (r.fusion, r.status, r["rank"]) for r in events.fused_rank(fused, 4).collect()}
+    assert {k: v[1] for k, v in got.items()} == {"a": "CONCORDANT_HIGH", "b": "VISUAL_MATCH_WITHOUT_CRITERIA", "c": "NO_VALORABLE", "d": "VISUAL_ONLY_NO_RULE"}
+    assert abs(got["a"][0] - (0.45 + 0.28) / 0.8) < 1e-9 and got["c"][2] == 4
+
+
+def test_a_stream_goes_on_and_moves_only_its_buckets(spark, tmp_path):
+    folder, home = str(tmp_path / "in"), f"file://{tmp_path}/home"
+    write = lambda rows: spark.createDataFrame(rows, "k int, at int, v int").coalesce(1).write.mode("append").parquet(folder)
+    run = lambda: sorted(map(tuple, streams.upsert_stream_result(spark, folder, ["k"], ["v"], "at", "v", home).collect()))
+    write([(k, 5, k) for k in range(40)])
+    assert run() == [(k, k) for k in range(40)]
+    assert run() == [(k, k) for k in range(40)]  # no new files
+    write([(3, 4, 100), (7, 6, 100)])
+    assert run() == [(k, 100 if k == 7 else k) for k in range(40)]
+    assert spark.read.parquet(f"{home}/moves").groupBy("batch").count().count() == 2
+    assert spark.read.parquet(f"{home}/moves").filter("batch = 1").count() <= 2

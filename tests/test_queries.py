@@ -34,10 +34,14 @@ def test_query_matches_sql(spark, sf_dir, duck, name):
     assert cells(got) == cells(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL)))
-def test_query_without_sql_runs(spark, sf_dir, name):
-    df = catalogue.QUERIES[name](spark, sf_dir)
-    assert df.columns and df.count() >= 0
+#: Held to plain Python in test_plain_versions.py, or to known answers in test_fixtures.py.
+ELSEWHERE = "a06_bootstrap_ci e04_cross_channel_cluster_exact e07_conduction_class e09_coupling_relation e11_threshold_sweep f18_measurement_envelope j05_difflib_candidates j15_asof_claimed j16_tolerance_match m01_balanced_softmax_fit p06_clinical_text_windows t02_evaluate_before_learn_stream".split()
+
+
+def test_every_query_is_held_to_something(spark, sf_dir):
+    assert sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL)) == sorted(ELSEWHERE)
+    for name in ("a06_bootstrap_ci", "j05_difflib_candidates"):
+        assert catalogue.QUERIES[name](spark, sf_dir).count() > 0
 
 
 def test_entry(spark):
