@@ -18,16 +18,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
-from .components import component_labels, nearest_forest
-from .shingle_join import similar_documents
+from .common import sent_if_small, whole_groups, written
+from .components import component_labels
+from .gray import GrayIndex, differing, spanning_links
+from .similar import similar_documents
 
 BITS = 64
-FAN_OUT = 8
 #: Distinct fingerprints that one bucket holds at most; a larger bucket is dealt on by further blocks.
 BUCKET_ROWS = 512
 CHUNK_ROWS = 2048
-PAIRS_AT_ONCE = 250_000
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -63,93 +62,18 @@ def fingerprints(documents: DataFrame, shingle: int = 3) -> DataFrame:
     return docs.mapInArrow(_print_batches(shingle), "doc_id bigint, print bigint")
 
 
-def gray_rank(x: np.ndarray) -> np.ndarray:
-    """The place of a bit pattern in the reflected Gray code."""
-    for shift in (1, 2, 4, 8, 16, 32):
-        x = x ^ (x >> np.uint64(shift))
-    return x
-
-
-class GrayIndex:
-    """Fingerprints of several buckets, each a tree of its own over its Gray order."""
-
-    def __init__(self, bucket: np.ndarray, prints: np.ndarray):
-        self.order = np.lexsort((gray_rank(prints), bucket))
-        own, held = bucket[self.order], prints[self.order]
-        # Per level: first child (with an end mark), bits that all members share, their values.
-        self.levels = [(np.arange(len(held) + 1), np.full(len(held), ~np.uint64(0)), held)]
-        while len(own) and np.any(own[1:] == own[:-1]):
-            heads = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-            place = np.arange(len(own)) - np.repeat(heads, np.diff(np.r_[heads, len(own)]))
-            first = np.flatnonzero(place % FAN_OUT == 0)
-            _, mask, value = self.levels[-1]
-            ones = np.bitwise_and.reduceat(value & mask, first)
-            zeros = np.bitwise_and.reduceat(~value & mask, first)
-            self.levels.append((np.r_[first, len(own)], ones | zeros, ones))
-            own = own[first]
-
-    def pairs(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of rows of one bucket that differ in at most `radius` bits."""
-        top = len(self.levels) - 1
-        roots = np.arange(len(self.levels[top][2]))
-        todo = [(top, roots, roots)]
-        while todo:
-            level, a, b = todo.pop()
-            if level == 0:
-                yield self.order[a], self.order[b]
-                continue
-            first = self.levels[level][0]
-            wide = (first[a + 1] - first[a]) * (first[b + 1] - first[b])
-            cuts = np.searchsorted(np.cumsum(wide), np.arange(PAIRS_AT_ONCE, wide.sum() + PAIRS_AT_ONCE, PAIRS_AT_ONCE), side="left") + 1
-            for part in np.split(np.arange(len(a)), np.unique(np.minimum(cuts, len(a)))):
-                if len(part):
-                    x, y = self._children(level, a[part], b[part])
-                    _, mask, value = self.levels[level - 1]
-                    near = np.bitwise_count((value[x] ^ value[y]) & mask[x] & mask[y]) <= radius
-                    near &= (x < y) if level == 1 else (x <= y)
-                    if near.any():
-                        todo.append((level - 1, x[near], y[near]))
-
-    def _children(self, level: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        first = self.levels[level][0]
-        na, nb = first[a + 1] - first[a], first[b + 1] - first[b]
-        wide = na * nb
-        k = np.arange(wide.sum()) - np.repeat(np.cumsum(wide) - wide, wide)
-        per = np.repeat(nb, wide)
-        return np.repeat(first[a], wide) + k // per, np.repeat(first[b], wide) + k % per
-
-
 def _links_of(rows: pa.Table, radius: int) -> pa.RecordBatch:
     """A spanning forest of the links inside each bucket."""
-    table, key = rows["table"].to_numpy(), rows["key"].to_numpy()
-    bucket = np.cumsum(np.r_[0, (np.diff(table) != 0) | (np.diff(key) != 0)])
+    bucket = np.cumsum(np.r_[0, (np.diff(rows["table"].to_numpy()) != 0) | (np.diff(rows["key"].to_numpy()) != 0)])
     prints, nodes = rows["print"].to_numpy().view(np.uint64), rows["node"].to_numpy()
-    found = list(GrayIndex(bucket, prints).pairs(radius))
-    a = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int64)
-    b = np.concatenate([y for _, y in found]) if found else np.zeros(0, np.int64)
-    bits = np.bitwise_count(prints[a] ^ prints[b]).astype(np.int64)
-    own = nearest_forest(len(nodes), a, b, bits)
-    return pa.RecordBatch.from_arrays([pa.array(nodes[a[own]]), pa.array(nodes[b[own]]), pa.array(bits[own])], names=["a", "b", "bits"])
+    a, b = spanning_links(GrayIndex(bucket, prints), [prints], np.arange(len(nodes)), radius)
+    return pa.RecordBatch.from_arrays([pa.array(nodes[a]), pa.array(nodes[b]), pa.array(differing([prints[a]], [prints[b]]))], names=["a", "b", "bits"])
 
 
 def _link_batches(radius: int):
-    """Rows come sorted by bucket; whole buckets are taken together, CHUNK_ROWS or little more at a time."""
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-        for batch in batches:
-            held.append(pa.Table.from_batches([batch]))
-            if sum(map(len, held)) < CHUNK_ROWS:
-                continue
-            rows = pa.concat_tables(held).combine_chunks()
-            table, key = rows["table"].to_numpy(), rows["key"].to_numpy()
-            same = (table == table[-1]) & (key == key[-1])
-            cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
-            if cut:
-                yield _links_of(rows.slice(0, cut).combine_chunks(), radius)
-            held = [rows.slice(cut)]
-        if held:
-            yield _links_of(pa.concat_tables(held).combine_chunks(), radius)
+        for rows in whole_groups(batches, ["table", "key"], CHUNK_ROWS):
+            yield _links_of(rows, radius)
 
     return run
 
@@ -222,7 +146,19 @@ def near_duplicates(documents: DataFrame, shingle: int = 3, radius: int = 3, blo
 
 
 def one_of_each(documents: DataFrame, **options) -> DataFrame:
-    """documents with the least doc_id of each component; all columns stay. Null doc_ids stay."""
-    found = similar_documents(documents, **options)
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return documents.join(gone, documents["doc_id"].cast("bigint") == gone["__gone"], "left_anti")
+    """documents with one row of each component of alike texts, one of least doc_id; all columns stay.
+
+    Of rows that repeat a doc_id one stays, that of the least text hash. Rows with a null doc_id are in no
+    component and stay. Texts without words are one component. Empty table: no rows.
+    """
+    found = written(similar_documents(documents, **options), "alike")
+    gone = sent_if_small(written(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone"))
+    more = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__gone"))
+    own = documents["doc_id"].cast("bigint")
+    stay = documents.join(gone, own == gone["__gone"], "left_anti")
+    if more.isEmpty():
+        return stay
+    repeated = stay.join(more, own == more["__gone"], "left_semi")
+    row = F.struct(*[F.col(f"`{c}`").alias(c) for c in documents.columns])
+    first = repeated.groupBy(F.col("doc_id").cast("bigint").alias("__id")).agg(F.min_by(row, F.xxhash64("text")).alias("__row")).select("__row.*")
+    return stay.join(more, own == more["__gone"], "left_anti").unionByName(first)

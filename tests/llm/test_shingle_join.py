@@ -1,6 +1,9 @@
 import random
+from collections import defaultdict
 
-from cohortlens.llm import shingle_join, simhash
+import numpy as np
+
+from cohortlens.llm import dealing, gray, shingle_join, similar, simhash
 
 SCHEMA = "doc_id bigint, text string"
 
@@ -81,11 +84,69 @@ def test_all_pairs_are_found_in_large_buckets(spark, monkeypatch):
             for _ in range(rng.randint(0, 3)):
                 own[rng.randrange(len(own))] = words(rng, 1)[0]
             rows.append((family * 100 + c, " ".join(shared + own if family % 2 else own)))
-    for chunk, common in ((65_536, 200_000), (4, 0)):
+    for chunk, common, most in ((65_536, 200_000, 1 << 16), (4, 0, 10)):
         monkeypatch.setattr(shingle_join, "CHUNK_ROWS", chunk)
         monkeypatch.setattr(shingle_join, "PAIRS_AT_ONCE", 7 if chunk == 4 else 250_000)
+        monkeypatch.setattr(gray, "PAIRS_AT_ONCE", 7 if chunk == 4 else 250_000)
         monkeypatch.setattr(shingle_join, "COMMON_HASHES", common)
-        assert dict(simhash.similar_documents(spark.createDataFrame(rows, SCHEMA)).collect()) == plain_components(rows)
+        assert dict(simhash.similar_documents(spark.createDataFrame(rows, SCHEMA), most_rows=most).collect()) == plain_components(rows)
+
+
+def test_a_family_that_is_not_alike_makes_few_pairs(spark, monkeypatch):
+    """Texts with a sixth of their words of their own are near by fingerprint and not alike: prefixes rule them out."""
+    rng = random.Random(14)
+    base, seen = words(rng, 120), []
+    rows = [(k, " ".join(base[: 120 - n] + words(rng, n))) for k, n in enumerate([rng.choice((2, 3, 16)) for _ in range(300)])]
+    plain = shingle_join.confirmed
+    monkeypatch.setattr(shingle_join, "confirmed", lambda pairs, *a: (seen.append(pairs.count()), plain(pairs, *a))[1])
+    assert dict(simhash.similar_documents(spark.createDataFrame(rows, SCHEMA)).collect()) == plain_components(rows)
+    assert sum(seen) < 3000
+
+
+def test_every_two_of_other_labels_meet_in_one_cell(spark):
+    rng = random.Random(15)
+    rows = [(k, n, 0 if rng.random() < 0.7 else n) for k, many in ((1, 90), (2, 5), (3, 33)) for n in range(many)]
+    got = dealing.dealt(spark.createDataFrame(rows, "key bigint, node bigint, label bigint"), 10).collect()
+    cells = defaultdict(list)
+    for r in got:
+        cells[r.key, r.cell, r.other].append(r)
+    met = {(r.key, min(r.node, s.node), max(r.node, s.node)) for own in cells.values() for r in own for s in own if r.node != s.node and (r.side != s.side or r.side == 2)}
+    assert {(k, i, j) for k, i, a in rows for m, j, b in rows if k == m and i < j and a != b} <= met
+    assert max(map(len, cells.values())) < 33
+    assert {(r.key, r.node) for r in dealing.salted(spark.createDataFrame(rows, "key bigint, node bigint, label bigint"), 10).collect()} == {(k, n) for k, n, _ in rows}
+
+
+def test_samples_of_bits_hold_recall_at_every_size():
+    rng = np.random.default_rng(16)
+    p = np.arccos(1.6 / 1.8) / np.pi
+    for rows in (1_000, 10**6, 10**8):
+        samples = np.zeros((len(similar.bit_samples(rows, 0.8)), similar.BITS), bool)
+        for k, bits in enumerate(similar.bit_samples(rows, 0.8)):
+            samples[k, bits] = True
+        apart = rng.random((4000, similar.BITS)) < p
+        found = ((apart.astype(np.int32) @ samples.T) == 0).any(axis=1) & (apart.sum(axis=1) <= similar.radius_of(0.8))
+        assert found.mean() > 0.95
+
+
+def test_recall_on_texts_of_all_lengths(spark):
+    """Pairs just over 0.8, by words changed here and there or by a stretch."""
+    rng = random.Random(17)
+    rows = []
+    for k in range(200):
+        own = words(rng, rng.choice((50, 120, 400, 2000)))
+        other = list(own)
+        n = int(len(own) * rng.uniform(0.05, 0.105))
+        if k % 2:
+            a = rng.randrange(len(own) - n)
+            other[a : a + n] = words(rng, n)
+        else:
+            for a in rng.sample(range(len(own)), max(1, n // 5)):
+                other[a] = words(rng, 1)[0]
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(other))]
+    sets = sets_of(rows)
+    want = [k for k in range(200) if len(sets[2 * k] & sets[2 * k + 1]) >= 0.8 * len(sets[2 * k] | sets[2 * k + 1])]
+    got = dict(simhash.similar_documents(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert len(want) > 150 and sum(got[2 * k] == got[2 * k + 1] for k in want) >= 0.97 * len(want)
 
 
 def test_repeated_ids_and_texts_without_words(spark):

@@ -4,7 +4,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from cohortlens.llm import simhash
+from cohortlens.llm import gray, simhash
 from cohortlens.llm.components import component_labels, nearest_forest
 
 
@@ -73,6 +73,28 @@ def test_edge_rows(spark):
     assert got == [(-1, None), (1, 1), (2, 1), (3, 3), (5, 3), (5, 3), (7, 3)]
     assert simhash.near_duplicates(df.limit(0)).count() == 0
     assert sorted((r.doc_id or -1) for r in simhash.one_of_each(df).select("doc_id").collect()) == [-1, 1, 3]
+    again = df.unionByName(df).unionByName(spark.createDataFrame([(3, "other words of an id that is there", "x")], "doc_id bigint, text string, print string").withColumn("component_id", F.lit(1)))
+    kept = simhash.one_of_each(again)
+    assert kept.columns == again.columns and sorted((r.doc_id or -1) for r in kept.select("doc_id").collect()) == [-1, -1, 1, 3]
+
+
+def test_very_long_text(spark):
+    rng = random.Random(18)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(400_000))
+    rows = [(1, long), (2, long + " and one more word"), (3, "short one")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_duplicates(df).collect()}
+    assert got == {i: (f"{plain_fingerprint(t):016x}", 1 if i < 3 else 3) for i, t in rows}
+    assert dict(simhash.similar_documents(df).collect()) == {1: 1, 2: 1, 3: 3}
+
+
+def test_gray_order_of_several_words():
+    x = np.arange(1 << 10, dtype=np.uint64)
+    # Words of five bits held in the upper bits: neighbours in the order differ in one bit.
+    words = [(x >> np.uint64(5)) << np.uint64(59), (x & np.uint64(31)) << np.uint64(59)]
+    by = np.lexsort((*reversed(gray.gray_ranks(words)),))
+    steps = gray.differing([w[by][1:] for w in words], [w[by][:-1] for w in words])
+    assert (steps == 1).all()
 
 
 def test_documents_match_brute_force(spark, sf_dir):
