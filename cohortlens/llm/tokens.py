@@ -16,39 +16,115 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import files_of, mixed, powers, written
 
 END_ID = 1
 #: Ids in a shard, unless one document alone has more.
 SHARD_IDS = 1 << 20
+#: Bytes of ids in a range of documents, and how many ranges there are at most; beyond, ranges grow.
+PART_BYTES = 16 << 20
+MOST_PARTS = 20_000
 #: Texts in a batch of this many code points go through the tokenizer together.
 BATCH_CHARS = 1 << 20
-#: Word pieces that a task remembers before it begins again.
-MEMO_WORDS = 400_000
+#: Words that a task remembers before it begins again.
+MEMO_WORDS = 1_500_000
 MAGIC = b"FRVB\x01\x00\x00\x00"
 
 #: Texts of these characters only are cut into words before the tokenizer sees them: in this range lower
 #: case, normal form C and white space are what they are character by character.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-įĲ-ſ]*")
-# In lower case. The tokenizer file's own split pattern, its classes written out for PLAIN.
-WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ſ]+|[0-9²³¹¼½¾]|[^\t\n\r a-zªµºß-öø-ſ0-9²³¹¼½¾]+")
-
-
-class _Memo(dict):
-    """Numbers of words; a word not seen before gets the next one and is put down as new."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
+# In lower case. The classes of the tokenizer file's own split pattern, written out for PLAIN, and
+# the endings that go with an apostrophe.
+LETTERS = re.compile(r"[a-zªµºß-öø-ſ]")
+DIGITS = re.compile(r"[0-9²³¹¼½¾]")
+ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
+SPACE, LETTER, DIGIT, OTHER = 0, 1, 2, 3
+_KIND = np.array([SPACE if chr(c) in "\t\n\r " else LETTER if LETTERS.match(chr(c)) else DIGIT if DIGITS.match(chr(c)) else OTHER for c in range(0x180)], np.uint8)
+_CHAR = mixed(np.arange(1, 0x181, dtype=np.uint64))
+_IN_WORD = 0x9E3779B97F4A7C15
+
+
+def words_in(low: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin, size and 64-bit hash of each word of a plain text in lower case.
+
+    Words are runs of letters, single digits and runs of other signs; an apostrophe that begins one takes an
+    ending of ENDINGS with it.
+    """
+    codes = np.frombuffer(low.encode("utf-16-le"), "<u2")
+    kind = _KIND[codes]
+    starts = kind != SPACE
+    starts[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+    marks = np.flatnonzero(starts[:-1] & (codes[:-1] == ord("'")) & (kind[1:] == LETTER))
+    if len(marks):
+        after, then = codes[marks + 1], codes[np.minimum(marks + 2, len(codes) - 1)]
+        then = np.where(marks + 2 < len(codes), then, 0)
+        taken = np.zeros(len(marks), np.int64)
+        for x in ENDINGS:
+            taken[(after == ord(x[0])) & ((then == ord(x[1])) if len(x) == 2 else True)] = len(x)
+        marks, taken = marks[taken > 0], taken[taken > 0]
+        starts[marks + 1] = False
+        rest = marks + 1 + taken
+        rest = rest[rest < len(codes)]
+        starts[rest] |= kind[rest] == LETTER
+    first = np.flatnonzero(starts)
+    if not len(first):
+        return first, first, np.zeros(0, np.uint64)
+    at = np.flatnonzero(kind)
+    head = np.searchsorted(at, first)
+    size = np.diff(np.append(head, len(at)))
+    place = np.arange(len(at)) - np.repeat(head, size)
+    return first, size, mixed(np.add.reduceat(_CHAR[codes[at]] * powers(_IN_WORD, int(size.max()))[place], head))
+
+
+class Numbers:
+    """Numbers 0, 1, .. of 64-bit hashes in the order they are added: open addressing, all looked up at once."""
+
+    def __init__(self, bits: int = 16):
+        self.count = 0
+        self._make(bits)
+
+    def _make(self, bits: int) -> None:
+        self.shift = np.uint64(64 - bits)
+        self.most = (1 << bits) - 1
+        self.held, self.number = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each hash, -1 where it has none."""
+        at = (hashes >> self.shift).astype(np.int64)
+        out = np.where(self.held[at] == hashes, self.number[at], -1)
+        left = np.flatnonzero((out < 0) & (self.number[at] >= 0))
+        at = at[left]
+        while len(left):
+            at = (at + 1) & self.most
+            own, used = self.held[at] == hashes[left], self.number[at] >= 0
+            out[left[own & used]] = self.number[at[own & used]]
+            go = used & ~own
+            left, at = left[go], at[go]
+        return out
 
-    def __missing__(self, word: str) -> int:
-        self[word] = number = len(self)
-        self.new.append(word)
-        return number
+    def add(self, hashes: np.ndarray) -> None:
+        """New hashes, each once."""
+        numbers = np.arange(self.count, self.count + len(hashes), dtype=np.int32)
+        self.count += len(hashes)
+        if 2 * self.count > self.most:
+            old, kept = self.held[self.number >= 0], self.number[self.number >= 0]
+            bits = 64 - int(self.shift)
+            while 2 * self.count > (1 << bits):
+                bits += 1
+            self._make(bits + 1)
+            hashes, numbers = np.concatenate([old, hashes]), np.concatenate([kept, numbers])
+        at = (hashes >> self.shift).astype(np.int64)
+        while len(hashes):
+            free = self.number[at] < 0
+            self.number[at[free]] = numbers[free]
+            self.held[at[free]] = hashes[free]
+            lost = self.number[at] != numbers  # taken before, or by another of these
+            hashes, numbers, at = hashes[lost], numbers[lost], (at[lost] + 1) & self.most
 
 
 class Encoder:
@@ -66,19 +142,18 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.memo = _Memo()
+        self.memo = Numbers()
         self.ids, self.offsets = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def _learn(self) -> None:
-        """Ids of the new words. Words in a row, with spaces between, come back one by one: each has one last piece."""
-        words, self.memo.new = self.memo.new, []
+    def _learn(self, words: list[str]) -> None:
+        """Ids of new words. Words in a row, with spaces between, come back one by one: each has one last piece."""
         ids, sizes = [], []
         for k in range(0, len(words), 2000):
             part = words[k : k + 2000]
-            got = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, np.uint32)
+            got = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
             last = np.flatnonzero(self.ends[got]) + 1
             if len(last) != len(part) or last[-1] != len(got):
-                each = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch(part, add_special_tokens=False)]
+                each = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
                 got, last = np.concatenate(each), np.cumsum([len(x) for x in each])
             ids.append(got)
             sizes.append(np.diff(last, prepend=0))
@@ -90,20 +165,27 @@ class Encoder:
         plain = [k for k, t in enumerate(texts) if self.by_word and "<|" not in t and PLAIN.fullmatch(t)]
         known = set(plain)
         rest = [k for k in range(len(texts)) if k not in known]
-        for k, x in zip(rest, self.tokenizer.encode_batch([texts[k] for k in rest], add_special_tokens=False), strict=True):
+        for k, x in zip(rest, self.tokenizer.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False), strict=True):
             out[k] = np.array(x.ids, np.uint32)
-        if len(self.memo) > MEMO_WORDS:
+        if self.memo.count > MEMO_WORDS:
             self._forget()
-        number = self.memo.__getitem__
-        for k in plain:
-            words = WORDS.findall(texts[k].lower())
-            out[k] = np.fromiter(map(number, words), np.int64, len(words))
-        if self.memo.new:
-            self._learn()
-        for k in plain:
-            a, b = self.offsets[out[k]], self.offsets[out[k] + 1]
-            size = b - a
-            out[k] = self.ids[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(a, size)]
+        if plain:
+            low = "\n".join(texts[k] for k in plain).lower()
+            ends = np.cumsum([len(texts[k]) + 1 for k in plain])
+            first, size, hashes = words_in(low)
+            number = self.memo.find(hashes)
+            new = np.flatnonzero(number < 0)
+            if len(new):
+                _, once = np.unique(hashes[new], return_index=True)
+                once = new[np.sort(once)]
+                self._learn([low[a : a + n] for a, n in zip(first[once].tolist(), size[once].tolist(), strict=True)])
+                self.memo.add(hashes[once])
+                number[new] = self.memo.find(hashes[new])
+            a, many = self.offsets[number], self.offsets[number + 1] - self.offsets[number]
+            upto = np.r_[0, np.cumsum(many)]
+            ids = self.ids[np.arange(upto[-1]) - np.repeat(upto[:-1] - a, many)]
+            for k, x in zip(plain, np.split(ids, upto[np.searchsorted(first, ends)][:-1]), strict=True):
+                out[k] = x
         return out
 
 
@@ -192,24 +274,23 @@ def read_shard(payload: bytes, id_of: np.ndarray) -> tuple[list[int | None], lis
     return [None if z else int(i) for i, z in zip(ids, null, strict=True)], np.split(tokens, np.cumsum(lengths)[:-1])
 
 
-def _pack(rank_of):
+def _pack(rank_of, shard_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
         ids: list = []
         parts: list[np.ndarray] = []
-        held, seq = 0, 0
+        held, before = 0, 0
 
         def out():
-            return pa.RecordBatch.from_arrays(
-                [pa.array([ids[0]], pa.int64()), pa.array([seq], pa.int64()), pa.array([held], pa.int64()), pa.array([shard_bytes(ids, parts, rank_of.value)], pa.binary())],
-                names=["first_doc", "seq", "n_ids", "payload"],
-            )
+            columns = [pa.array([x], pa.int64()) for x in (part, before, held)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([shard_bytes(ids, parts, rank_of.value)], pa.binary())], names=["part", "before", "n_ids", "payload"])
 
         for batch in batches:
             for doc_id, small, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 own = _ids(small, payload)
-                if parts and held + len(own) > SHARD_IDS:
+                if parts and held + len(own) > shard_ids:
                     yield out()
-                    ids, parts, held, seq = [], [], 0, seq + 1
+                    ids, parts, held, before = [], [], 0, before + held
                 ids.append(doc_id)
                 parts.append(own)
                 held += len(own)
@@ -231,33 +312,41 @@ def _unpack(id_of):
     return run
 
 
-def write_shards(documents: DataFrame, vocabulary: str, by_word: bool) -> tuple[DataFrame, np.ndarray]:
-    """Shards of the documents' ids in ascending doc_id order, and the ids by rank."""
+def write_shards(documents: DataFrame, vocabulary: str, by_word: bool, shard_ids: int = SHARD_IDS) -> tuple[DataFrame, np.ndarray]:
+    """Shards (part, before, n_ids, payload) of the documents' ids in ascending doc_id order, and the ids by rank.
+
+    `part` numbers ranges of doc_ids in their order, `before` counts the ids of earlier shards of the part.
+    """
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    encoded = written(docs.mapInArrow(_encode(vocabulary, by_word), "doc_id bigint, small boolean, ids binary"), "ids")
+    encoded = written(docs.mapInArrow(_encode(vocabulary, by_word), "doc_id bigint, small boolean, ids binary"), "ids", compression="zstd")
     counted = encoded.select("small", "ids").mapInArrow(_count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
     # As many rows as the vocabulary has ids at most.
     ranked = np.array([r[0] for r in sorted(counted.collect(), key=lambda r: (-r[1], r[0]))], np.int64)
     rank_of = np.zeros(int(ranked.max()) + 1 if len(ranked) else 1, np.uint32)
     rank_of[ranked] = np.arange(len(ranked), dtype=np.uint32)
-    parts = max(1, encoded.agg(F.sum(F.length("ids"))).first()[0] or 0) // (8 << 20) + 1
-    ordered = encoded.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), F.xxhash64("ids")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("ids"))
-    shards = written(ordered.mapInArrow(_pack(spark.sparkContext.broadcast(rank_of)), "first_doc bigint, seq bigint, n_ids bigint, payload binary"), "shards")
-    return shards, ranked.astype(np.uint32)
+    parts = min(MOST_PARTS, (encoded.agg(F.sum(F.length("ids"))).first()[0] or 0) // PART_BYTES + 1)
+    order = (F.col("doc_id").asc_nulls_first(), F.xxhash64("ids"))
+    ordered = encoded.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    shards = ordered.mapInArrow(_pack(spark.sparkContext.broadcast(rank_of), shard_ids), "part bigint, before bigint, n_ids bigint, payload binary")
+    return written(shards, "shards"), ranked.astype(np.uint32)
 
 
 def read_shards(shards: DataFrame, id_of: np.ndarray) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document in the shards."""
+    """(doc_id, start, n_tokens, ids_crc32) of every document in the shards; payloads are not shuffled."""
     spark = shards.sparkSession
-    order = W.orderBy(F.col("first_doc").asc_nulls_first(), "seq", "digest").rowsBetween(W.unboundedPreceding, 0)
-    # One row per shard of about a million ids.
-    begins = shards.select("first_doc", "seq", "n_ids", F.xxhash64("payload").alias("digest")).withColumn("start", F.sum("n_ids").over(order) - F.col("n_ids"))
-    placed = shards.withColumn("digest", F.xxhash64("payload")).alias("s").join(begins.alias("b"), F.col("s.first_doc").eqNullSafe(F.col("b.first_doc")) & (F.col("s.seq") == F.col("b.seq")) & (F.col("s.digest") == F.col("b.digest")))
-    return placed.select(F.col("b.start"), F.col("s.payload")).mapInArrow(_unpack(spark.sparkContext.broadcast(id_of)), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    # One row per part, MOST_PARTS at most.
+    begins = shards.groupBy("part").agg(F.sum("n_ids").alias("n")).withColumn("begin", F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, 0)) - F.col("n"))
+    placed = shards.join(F.broadcast(begins.select("part", "begin")), "part")
+    return placed.select((F.col("begin") + F.col("before")).alias("start"), "payload").mapInArrow(_unpack(spark.sparkContext.broadcast(id_of)), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+
+
+def save_shards(shards: DataFrame, folder: str) -> DataFrame:
+    """Writes every shard to a .frvb file of its own in `folder` (a URI that all machines see): (path, n_bytes)."""
+    return files_of(shards.orderBy("part", "before"), "payload", folder, ".frvb")
 
 
-def token_output(documents: DataFrame, vocabulary: str, by_word: bool = True) -> DataFrame:
+def token_output(documents: DataFrame, vocabulary: str, by_word: bool = True, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Encode, write the shards, read them back: (doc_id, start, n_tokens, ids_crc32) of every document.
 
     `vocabulary` is the path of a tokenizers file, there on every machine. `by_word` is for word_bpe_49k.json
@@ -265,4 +354,4 @@ def token_output(documents: DataFrame, vocabulary: str, by_word: bool = True) ->
     empty texts have the end id alone. A null doc_id comes first; rows that repeat a doc_id follow each other
     in the order of their ids' hash. Empty table: no rows. Other columns are ignored.
     """
-    return read_shards(*write_shards(documents, vocabulary, by_word))
+    return read_shards(*write_shards(documents, vocabulary, by_word, shard_ids))

@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 import numpy as np
@@ -48,15 +49,47 @@ def test_edge_rows(spark):
     assert len(twice) == 12 and len({r.start for r in twice}) == 12
 
 
-def test_small_shards(spark, monkeypatch):
+def test_small_shards(spark):
     rng = random.Random(1)
     rows = [(i, " ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(rng.randint(0, 30)))) for i in range(50)]
-    shards, id_of = tokens.write_shards(spark.createDataFrame(rows, "doc_id bigint, text string"), PATH, True)
+    shards, id_of = tokens.write_shards(spark.createDataFrame(rows, "doc_id bigint, text string"), PATH, True, shard_ids=40)
+    assert shards.count() > 15 and shards.filter("before > 0").count() > 10
     assert sorted((tuple(r) for r in tokens.read_shards(shards, id_of).collect()), key=lambda r: r[1]) == expected(rows)
     with pytest.raises(ValueError):
         tokens.read_shard(b"x" * 60, id_of)
 
 
+def test_words_of_plain_texts():
+    pattern = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ſ]+|[0-9²³¹¼½¾]|[^\t\n\r a-zªµºß-öø-ſ0-9²³¹¼½¾]+")
+    rng = random.Random(5)
+    for _ in range(2000):
+        low = "".join(rng.choice("aabdelrstvm''''.,\"! \n019é½ſßx-") for _ in range(rng.randint(1, 40)))
+        first, size, _ = tokens.words_in(low)
+        assert [low[a : a + n] for a, n in zip(first.tolist(), size.tolist(), strict=True)] == pattern.findall(low)
+
+
+def test_numbers_of_hashes():
+    rng = np.random.default_rng(6)
+    own, held = tokens.Numbers(4), {}
+    for _ in range(30):
+        x = rng.integers(0, 1 << 9, 60).astype(np.uint64) << np.uint64(55)
+        got = own.find(x)
+        assert got.tolist() == [held.get(v, -1) for v in x.tolist()]
+        new = np.unique(x[got < 0])
+        own.add(new)
+        held |= {v: len(held) + k for k, v in enumerate(new.tolist())}
+
+
+def test_long_texts_and_forgotten_words(monkeypatch):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 7)))
+    texts = [" ".join(word() for _ in range(n)) for n in (200_000, 5, 3000, 1)]
+    encoder = tokens.Encoder(PATH, True)
+    monkeypatch.setattr(tokens, "MEMO_WORDS", 100)
+    for t in texts:
+        assert encoder.encode([t])[0].tolist() == PLAIN.encode(t, add_special_tokens=False).ids
+
+
 def test_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = sorted((tuple(r) for r in tokens.token_output(docs, PATH).collect()), key=lambda r: r[1])
