@@ -278,7 +278,12 @@ def _bucket(table: pa.Table) -> pa.Table:
 
 
 def _alike_stretches(rows: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return alike(np.concatenate([rows, lo[:, None].astype(np.uint8), hi[:, None].astype(np.uint8), np.zeros((len(rows), 6), np.uint8)], axis=1))
+    """As alike, by bytes and places of windows (zeros alone do not tell them), numbered as kinds first occur."""
+    lead, kind = alike(np.concatenate([rows, lo[:, None].astype(np.uint8), hi[:, None].astype(np.uint8), np.zeros((len(rows), 6), np.uint8)], axis=1))
+    order = np.argsort(lead)
+    number = np.empty(len(lead), np.int64)
+    number[order] = np.arange(len(lead))
+    return lead[order], number[kind]
 
 
 class Block:
@@ -302,14 +307,9 @@ class Block:
                 parts.append((own[lead], a[lead], b[lead], kind + seen, docs[np.searchsorted(ends, x, side="right")], x + begin, (y - x).astype(np.uint8)))
                 seen += len(lead)
         rows, lo, hi, kind, self.doc, self.first, self.span = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros((0, WIDE), np.uint8), *[np.zeros(0, np.int64)] * 6)
-        # Places of windows count in what makes stretches alike: zeros alone do not tell them.
-        lead, over = _alike_stretches(rows, lo, hi)
         # Kinds are numbered as they first occur: a payload in this order packs well and needs no numbers.
-        order = np.argsort(lead)
-        number = np.empty(len(lead), np.int64)
-        number[order] = np.arange(len(lead))
-        self.kind = number[over[kind]] if len(kind) else kind
-        lead = lead[order]
+        lead, over = _alike_stretches(rows, lo, hi)
+        self.kind = over[kind] if len(kind) else kind
         self.rows, self.lo, self.hi = rows[lead], lo[lead], hi[lead]
         # The first stretch of each kind in the order of documents.
         self.lead = np.full(len(lead), len(self.kind))
