@@ -77,10 +77,10 @@ def _(t):
     return V.final_findings(fused(t), ["VT", "AF"])
 
 
-@query("r06_cross_engine_agreement", "WITH f AS (SELECT doc_id AS record_id, CASE WHEN quality = 1 THEN 'Q' ELSE 'T' END AS code FROM labels), m(code, label) AS (VALUES ('Q', 'q')), p AS (SELECT doc_id AS record_id, 'q' AS label, CAST(n_chars % 101 AS DOUBLE) / 100 AS p FROM documents WHERE doc_id % 3 > 0), x AS (SELECT f.record_id, f.code, m.label FROM f LEFT JOIN m USING (code)), b AS (SELECT coalesce(x.record_id, p.record_id) AS record_id, x.code, x.label, p.label AS l, p.p FROM x FULL JOIN p ON x.label = p.label AND x.record_id = p.record_id) SELECT record_id, coalesce(code, l) AS item, agreement FROM (SELECT *, CASE WHEN code IS NULL THEN CASE WHEN p >= 0.8 THEN 'REVIEW' END WHEN label IS NULL OR p IS NULL THEN 'NOT_COMPARABLE' WHEN p >= 0.8 THEN 'SUPPORTED' WHEN p <= 0.2 THEN 'DISCORDANT' ELSE 'NEUTRAL' END AS agreement FROM b) WHERE agreement IS NOT NULL")
+@query("r06_cross_engine_agreement", "WITH f AS (SELECT doc_id AS record_id, CASE WHEN quality = 1 THEN 'Q' ELSE 'T' END AS code FROM labels), m(code, label) AS (VALUES ('Q', 'q')), p AS (SELECT doc_id AS record_id, 'q' AS label, CAST(n_chars % 101 AS DOUBLE) / 100 AS p FROM documents WHERE lang <> 'de'), x AS (SELECT f.record_id, f.code, m.label FROM f LEFT JOIN m USING (code)), b AS (SELECT coalesce(x.record_id, p.record_id) AS record_id, x.code, x.label, p.label AS l, p.p FROM x FULL JOIN p ON x.label = p.label AND x.record_id = p.record_id) SELECT record_id, coalesce(code, l) AS item, agreement FROM (SELECT *, CASE WHEN code IS NULL THEN CASE WHEN p >= 0.8 THEN 'REVIEW' END WHEN label IS NULL OR p IS NULL THEN 'NOT_COMPARABLE' WHEN p >= 0.8 THEN 'SUPPORTED' WHEN p <= 0.2 THEN 'DISCORDANT' ELSE 'NEUTRAL' END AS agreement FROM b) WHERE agreement IS NOT NULL")
 def _(t):
     findings = t.labels.select(C("doc_id").alias("record_id"), F.when(C("quality") == 1, "Q").otherwise("T").alias("code"))
-    probs = t.documents.filter("doc_id % 3 > 0").select(C("doc_id").alias("record_id"), F.lit("q").alias("label"), ((C("n_chars") % 101).cast("double") / 100).alias("p"))
+    probs = t.documents.filter("lang <> 'de'").select(C("doc_id").alias("record_id"), F.lit("q").alias("label"), ((C("n_chars") % 101).cast("double") / 100).alias("p"))
     return V.cross_engine_agreement(findings, probs, t.spark.createDataFrame([("Q", "q")], "code string, label string"))
 
 

@@ -22,9 +22,9 @@ def _(t):
     return merge.upsert_table(target, t.customer.select(C("c_custkey").alias("k"), (C("c_acctbal") * 30).alias("v")), ["k"], C("s.v") > C("t.v"))
 
 
-@query("s07_insert_if_absent", "SELECT o_custkey AS k, o_orderstatus AS s FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT c_custkey, 'new' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 3 = 0 AND o_orderstatus = 'F')")
+@query("s07_insert_if_absent", "SELECT o_custkey AS k, o_orderstatus AS s FROM orders WHERE o_orderstatus <> 'O' UNION ALL SELECT c_custkey, 'new' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
 def _(t):
-    target = t.orders.filter("o_orderkey % 3 = 0").select(C("o_custkey").alias("k"), C("o_orderstatus").alias("s"))
+    target = t.orders.filter("o_orderstatus <> 'O'").select(C("o_custkey").alias("k"), C("o_orderstatus").alias("s"))
     return merge.insert_if_absent(target, t.customer.select(C("c_custkey").alias("k"), F.lit("new").alias("s")), ["k"], C("s") == "F")
 
 
@@ -35,9 +35,9 @@ def _(t):
     return merge.analysis_cache(rec, cache, "record_id", "v2", lambda d: d.withColumn("value", C("o_totalprice") * 2))
 
 
-@query("j12_fallback_chain", "WITH p AS (SELECT p_partkey AS med_id, 'published' AS level, p_brand AS v FROM part WHERE p_partkey % 3 = 0), l AS (SELECT s_suppkey AS med_id, 'local' AS level, s_name AS v FROM supplier), a AS (SELECT * FROM p UNION ALL SELECT * FROM l WHERE med_id NOT IN (SELECT med_id FROM p)) SELECT p_partkey AS med_id, v, coalesce(level, 'none') AS level FROM part LEFT JOIN a ON a.med_id = p_partkey")
+@query("j12_fallback_chain", "WITH p AS (SELECT p_partkey AS med_id, 'published' AS level, p_brand AS v FROM part WHERE p_type IN ('PROMO', 'ECONOMY')), l AS (SELECT s_suppkey AS med_id, 'local' AS level, s_name AS v FROM supplier), a AS (SELECT * FROM p UNION ALL SELECT * FROM l WHERE med_id NOT IN (SELECT med_id FROM p)) SELECT p_partkey AS med_id, v, coalesce(level, 'none') AS level FROM part LEFT JOIN a ON a.med_id = p_partkey")
 def _(t):
-    published = t.cat.filter("med_id % 3 = 0").select("med_id", C("brand").alias("v"))
+    published = t.cat.filter("class in ('PROMO', 'ECONOMY')").select("med_id", C("brand").alias("v"))
     return merge.fallback_chain(t.cat, [("published", published), ("local", t.supplier.select(C("s_suppkey").alias("med_id"), C("s_name").alias("v")))], "med_id")
 
 
@@ -70,9 +70,9 @@ def _(t):
     return merge.priority_evidence(ev, {"A": 3, "R": 2, "N": 1})
 
 
-@query("u01_overlay_merge", "SELECT coalesce(c_custkey, s_suppkey) AS k, coalesce(s.name, c.c_name) AS name, c.c_name AS name_original, CASE WHEN s_suppkey IS NULL THEN 'base' WHEN c_custkey IS NULL THEN 'new_reviewed' ELSE 'reviewed' END AS origin FROM (SELECT * FROM customer WHERE c_custkey % 2 = 0) c FULL JOIN (SELECT s_suppkey, CASE WHEN s_suppkey % 5 > 0 THEN s_name END AS name FROM supplier) s ON c_custkey = s_suppkey")
+@query("u01_overlay_merge", "SELECT coalesce(c_custkey, s_suppkey) AS k, coalesce(s.name, c.c_name) AS name, c.c_name AS name_original, CASE WHEN s_suppkey IS NULL THEN 'base' WHEN c_custkey IS NULL THEN 'new_reviewed' ELSE 'reviewed' END AS origin FROM (SELECT * FROM customer WHERE c_mktsegment <> 'BUILDING') c FULL JOIN (SELECT s_suppkey, CASE WHEN s_suppkey % 5 > 0 THEN s_name END AS name FROM supplier) s ON c_custkey = s_suppkey")
 def _(t):
-    base = t.customer.filter("c_custkey % 2 = 0").select(C("c_custkey").alias("k"), C("c_name").alias("name"))
+    base = t.customer.filter("c_mktsegment <> 'BUILDING'").select(C("c_custkey").alias("k"), C("c_name").alias("name"))
     return merge.overlay_merge(base, t.supplier.select(C("s_suppkey").alias("k"), F.when(C("s_suppkey") % 5 > 0, C("s_name")).alias("name")), "k", ["name"])
 
 
@@ -110,10 +110,10 @@ def _(t):
     return merge.split_with_proof(matrix(t), C("resolution").isin("multi", "single"))
 
 
-@query("u08_code_set_ops", "WITH e AS (SELECT o_custkey AS k, list_sort(list(DISTINCT o_orderpriority)) AS e FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1), f AS (SELECT o_custkey AS k, list_sort(list(DISTINCT o_orderpriority)) AS f FROM orders WHERE o_orderkey % 3 > 0 GROUP BY 1), b AS (SELECT coalesce(e.k, f.k) AS k, coalesce(e, []) AS e, coalesce(f, []) AS f FROM e FULL JOIN f ON e.k = f.k) SELECT k, array_to_string([x FOR x IN e IF list_contains(f, x)], ',') AS common, array_to_string([x FOR x IN e IF NOT list_contains(f, x)], ',') AS missing, array_to_string([x FOR x IN f IF NOT list_contains(e, x)], ',') AS extra, list_has_all(f, e) AS complete, array_to_string([x FOR x IN f IF x IN ('5-LOW')], ',') AS forbidden FROM b")
+@query("u08_code_set_ops", "WITH e AS (SELECT o_custkey AS k, list_sort(list(DISTINCT o_orderpriority)) AS e FROM orders WHERE o_orderstatus <> 'O' GROUP BY 1), f AS (SELECT o_custkey AS k, list_sort(list(DISTINCT o_orderpriority)) AS f FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1), b AS (SELECT coalesce(e.k, f.k) AS k, coalesce(e, []) AS e, coalesce(f, []) AS f FROM e FULL JOIN f ON e.k = f.k) SELECT k, array_to_string([x FOR x IN e IF list_contains(f, x)], ',') AS common, array_to_string([x FOR x IN e IF NOT list_contains(f, x)], ',') AS missing, array_to_string([x FOR x IN f IF NOT list_contains(e, x)], ',') AS extra, list_has_all(f, e) AS complete, array_to_string([x FOR x IN f IF x IN ('5-LOW')], ',') AS forbidden FROM b")
 def _(t):
-    codes = t.orders.select(C("o_custkey").alias("k"), C("o_orderpriority").alias("code"), "o_orderkey")
-    return merge.code_set_ops(codes.filter("o_orderkey % 2 = 0"), codes.filter("o_orderkey % 3 > 0"), "k", ["5-LOW"])
+    codes = t.orders.select(C("o_custkey").alias("k"), C("o_orderpriority").alias("code"), "o_orderstatus")
+    return merge.code_set_ops(codes.filter("o_orderstatus <> 'O'"), codes.filter("o_orderstatus <> 'F'"), "k", ["5-LOW"])
 
 
 @query("u09_candidate_dedupe", "SELECT l_orderkey AS record_id, l_linestatus AS domain, l_returnflag AS code, round(max(l_discount), 6) AS score, count(*) AS n, string_agg(DISTINCT CAST(l_linenumber AS VARCHAR), ',' ORDER BY CAST(l_linenumber AS VARCHAR)) AS sources FROM lineitem GROUP BY 1, 2, 3")
@@ -141,10 +141,10 @@ def _(t):
     return merge.evidence_signatures(t.lineitem.select(C("l_orderkey").alias("record_id"), F.concat("l_returnflag", "l_linestatus").alias("item")))
 
 
-@query("a11_shard_merge", "SELECT o_orderpriority AS code, CAST(count(*) AS BIGINT) AS n, 1 AS missing_shards FROM orders WHERE o_orderkey % 8 <> 7 GROUP BY 1")
+@query("a11_shard_merge", "SELECT o_orderpriority AS code, CAST(count(*) AS BIGINT) AS n, 1 AS missing_shards FROM orders GROUP BY 1")
 def _(t):
-    parts = t.orders.filter("o_orderkey % 8 <> 7").groupBy(C("o_orderpriority").alias("code"), (C("o_orderkey") % 8).alias("shard")).agg(F.count("*").alias("n"))
-    return merge.shard_merge(parts, ["code"], 8)
+    parts = t.orders.groupBy(C("o_orderpriority").alias("code"), F.expr("instr('FOP', o_orderstatus) - 1").alias("shard")).agg(F.count("*").alias("n"))
+    return merge.shard_merge(parts, ["code"], 4)
 
 
 @query("a25_entity_summary", "SELECT c_custkey AS k, coalesce(n, 0) AS orders_rows, coalesce(p, 0) AS orders_published, coalesce(p, 0) > 0 AS has_orders FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS p FROM orders GROUP BY 1) ON o_custkey = c_custkey")

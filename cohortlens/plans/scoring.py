@@ -23,9 +23,9 @@ def _(t):
     return joined.crossJoin(F.broadcast(joined.agg(F.count("*").alias("n_rows"))))
 
 
-@query("j01_join_violations", "WITH l AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1), r AS (SELECT c_custkey AS k, count(*) AS n FROM customer WHERE c_custkey % 3 = 0 GROUP BY 1), b AS (SELECT CAST(coalesce(l.k, r.k) AS VARCHAR) AS keys, coalesce(l.n, 0) AS l, coalesce(r.n, 0) AS r FROM l FULL JOIN r ON l.k = r.k) SELECT keys, 'left_repeated' AS problem FROM b WHERE l > 1 UNION ALL SELECT keys, 'right_repeated' FROM b WHERE r > 1 UNION ALL SELECT keys, 'missing' FROM b WHERE l > 0 AND r = 0")
+@query("j01_join_violations", "WITH l AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1), r AS (SELECT c_custkey AS k, count(*) AS n FROM customer WHERE c_mktsegment <> 'BUILDING' GROUP BY 1), b AS (SELECT CAST(coalesce(l.k, r.k) AS VARCHAR) AS keys, coalesce(l.n, 0) AS l, coalesce(r.n, 0) AS r FROM l FULL JOIN r ON l.k = r.k) SELECT keys, 'left_repeated' AS problem FROM b WHERE l > 1 UNION ALL SELECT keys, 'right_repeated' FROM b WHERE r > 1 UNION ALL SELECT keys, 'missing' FROM b WHERE l > 0 AND r = 0")
 def _(t):
-    return score.join_violations(t.orders.withColumnRenamed("o_custkey", "k"), t.customer.filter("c_custkey % 3 = 0").withColumnRenamed("c_custkey", "k"), ["k"])
+    return score.join_violations(t.orders.withColumnRenamed("o_custkey", "k"), t.customer.filter("c_mktsegment <> 'BUILDING'").withColumnRenamed("c_custkey", "k"), ["k"])
 
 
 @query("a01_binary_metrics", f"SELECT *, {_RATES} FROM (SELECT target, stage, {_CELLS} FROM stage_long GROUP BY ALL)")
@@ -33,9 +33,9 @@ def _(t):
     return score.binary_metrics(t.stage_long, ["target", "stage"])
 
 
-@query("a02_cohort_metrics", f"WITH v AS (SELECT *, 'all_positives' AS view FROM pred WHERE y = 1 UNION ALL SELECT *, 'general' FROM pred WHERE record_id % 2 = 0 UNION ALL SELECT *, 'controls' FROM pred WHERE y = 0 UNION ALL SELECT *, 'union' FROM pred) SELECT *, {_RATES} FROM (SELECT view, target, {_CELLS.replace('p =', 'final =').replace('p <>', 'final <>')} FROM v GROUP BY ALL)")
+@query("a02_cohort_metrics", f"WITH v AS (SELECT *, 'all_positives' AS view FROM pred WHERE y = 1 UNION ALL SELECT *, 'general' FROM pred WHERE lang = 'en' UNION ALL SELECT *, 'controls' FROM pred WHERE y = 0 UNION ALL SELECT *, 'union' FROM pred) SELECT *, {_RATES} FROM (SELECT view, target, {_CELLS.replace('p =', 'final =').replace('p <>', 'final <>')} FROM v GROUP BY ALL)")
 def _(t):
-    views = {"all_positives": F.col("y") == 1, "general": F.col("record_id") % 2 == 0, "controls": F.col("y") == 0, "union": F.lit(True)}
+    views = {"all_positives": F.col("y") == 1, "general": F.col("lang") == "en", "controls": F.col("y") == 0, "union": F.lit(True)}
     return score.cohort_metrics(t.pred, views, ["target"], pred="final")
 
 
