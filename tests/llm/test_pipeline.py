@@ -4,6 +4,8 @@ import corpus_pipeline
 from cohortlens.llm import decontaminate, quality
 from cohortlens.llm.common import written
 
+DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
 
 def test_stages_against_plain_rules(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -44,3 +46,30 @@ def test_clashing_and_extra_columns_stay(spark):
     assert good.columns == docs.columns and good.count() == 30
     mixed = corpus_pipeline.mixing_stage(spark, good, "")
     assert mixed.columns == docs.columns and 0 < mixed.count() <= 60
+
+
+def tables(spark, folder, documents, labels=(), benchmark=()):
+    spark.createDataFrame(documents, DOCUMENTS).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(list(labels), "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(list(benchmark), "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def test_empty_tables(spark, tmp_path):
+    run = corpus_pipeline.run(spark, tables(spark, tmp_path, []))
+    assert run.columns[:4] == ["doc_id", "start", "n_tokens", "ids_crc32"] and run.count() == 0
+
+
+def test_nulls_in_every_column_and_no_labels(spark, tmp_path):
+    clean = " ".join(f"word{n}" for n in range(40))
+    rows = [(None, None, None, None, None), (1, None, "en", None, 0), (2, "", None, "s", 0), (3, clean, "en", "s", 9), (3, clean, "en", "s", 9), (4, clean + " more", None, None, None), (None, "a text that no other document has at all", "en", "s", 1)]
+    benchmark = [(1, None), (None, "never seen in any of the texts above at all"), (2, "")]
+    folder = tables(spark, tmp_path, rows, [], benchmark)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    kept = docs
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        kept = written(stage(spark, kept, folder), "edge")
+        assert kept.columns == docs.columns
+    # Without labels all score a half and stay; of the alike 3, 3 and 4 and of the empty 1 and 2 the least id; null ids stay.
+    assert Counter(r.doc_id for r in kept.collect()) == Counter({None: 2, 1: 1, 3: 1})
+    assert {r.doc_id for r in corpus_pipeline.run(spark, folder).collect()} <= {None, 1, 3}

@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -39,3 +40,36 @@ def test_edge_rows(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} >= {1, 3, 7}
     assert quality.score_quality(docs.limit(0), labels).count() == 0
     assert {r.score for r in quality.score_quality(docs, labels.limit(0)).collect()} == {0.5}
+
+
+def test_scores_match_the_plain_form(spark, sf_dir):
+    """Each score again, token by token: shapes, repeats, the mean vector, both layers and the temperature."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    words, net = quality.learn(docs, labels)
+    got = {r.doc_id: r.score for r in quality.score_quality(docs, labels).collect()}
+    for r in docs.collect():
+        line = quality.TOKEN.findall(r.text or "")
+        seen = []
+        for k, t in enumerate(line):
+            n = words.number.get(t, words.number.get(quality.shape(t), words.number["<none>"]))
+            seen.append(words.vectors[n])
+            if words.is_word[n] and t in line[max(0, k - 2) : k]:
+                seen.append(words.vectors[words.number["<again>"]])
+        x = np.mean(np.array(seen, np.float64), axis=0) if seen else np.zeros(quality.DIMENSIONS)
+        hidden = [math.tanh(sum((x[i] - net.mean[i]) / net.scale[i] * net.w1[i, j] for i in range(quality.DIMENSIONS)) + net.b1[j]) for j in range(quality.HIDDEN)]
+        logit = sum(h * w for h, w in zip(hidden, net.w2)) + net.b2
+        assert abs(got[r.doc_id] - 1 / (1 + math.exp(-logit / net.temperature))) < 1e-4
+
+
+def test_word_vectors_match_the_plain_form():
+    texts = ["one two three two one", "two three 44 55 !!", "one one one"]
+    words = quality.WordVectors.learn(texts)
+    lines = [[t if t in words.number else quality.shape(t) for t in quality.TOKEN.findall(x)] for x in texts]
+    for name in ("one", "two", "three", "<digits>", "<sign2>"):
+        context = np.zeros(quality.DIMENSIONS)
+        for line in lines:
+            for k, t in enumerate(line):
+                if t == name:
+                    context += sum((quality.index_vector(line[j]) for j in range(max(0, k - quality.REACH), min(len(line), k + quality.REACH + 1)) if j != k), np.zeros(quality.DIMENSIONS))
+        want = quality.index_vector(name) / math.sqrt(quality.NONZERO) + context / (np.linalg.norm(context) or 1)
+        assert np.allclose(words.vectors[words.number[name]], want, atol=1e-5)
