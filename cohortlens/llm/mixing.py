@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 from .common import written
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Documents of a source are ordered by size class, then by this many hex digits of a hash, then by id, so
-#: the running number of a document needs only counts of (source, class, digits) and one small window.
-SALT_DIGITS = 2
+#: Documents of a source are ordered by size class, then by this many hex digits of a hash, then by id.
+KEY_DIGITS = 8
+#: The running number of a document needs counts of (source, class, first digits) and a window of those alike in
+#: them; so many first digits are taken, two at least, that a window has about this many rows. The order stays.
+WINDOW_ROWS = 1 << 17
 
 
 def n_words(text: Column) -> Column:
@@ -29,6 +31,11 @@ def size_class(size: Column) -> Column:
     return F.when(size < 16, size).otherwise(bits * 8 + F.call_function("shiftright", size, bits - 4).bitwiseAND(F.lit(7))).cast("bigint")
 
 
+def first_digits(rows: int) -> int:
+    """Digits of the hash that deal `rows` documents of one source and class into windows of WINDOW_ROWS."""
+    return next((d for d in range(2, KEY_DIGITS) if rows <= WINDOW_ROWS * 16**d), KEY_DIGITS)
+
+
 def unit_offset(key: Column, seed: int) -> Column:
     """A number in [0, 1) that the key and the seed fix."""
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), key)), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
@@ -65,8 +72,10 @@ def mix_counts(documents: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
     no rows. Other columns are ignored.
     """
     sized = documents.select(F.col("doc_id").cast("bigint").alias("__id"), F.col("source").cast("string").alias("__source"), n_words(F.col("text")).alias("__size"))
-    sized = sized.withColumn("__class", size_class(F.col("__size"))).withColumn("__salt", F.substring(F.md5(F.coalesce(F.col("__id").cast("string"), F.lit(""))), 1, SALT_DIGITS))
+    sized = sized.withColumn("__class", size_class(F.col("__size"))).withColumn("__key", F.substring(F.md5(F.coalesce(F.col("__id").cast("string"), F.lit(""))), 1, KEY_DIGITS))
     sized = written(sized, "sized")
+    largest = sized.groupBy("__source", "__class").count().agg(F.max("count")).first()[0] or 0
+    sized = sized.withColumn("__salt", F.substring("__key", 1, first_digits(largest)))
     groups = sized.groupBy("__source", "__class", "__salt").agg(F.count("*").alias("__n"), F.sum("__size").alias("__words"))
     groups = written(groups, "groups")
     targets = source_targets(groups.groupBy("__source").agg(F.sum("__words").alias("__total")), weights, share, most)
@@ -75,7 +84,7 @@ def mix_counts(documents: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
     steps = steps.alias("g").join(targets.alias("t"), F.col("g.__source").eqNullSafe(F.col("t.__source"))).select(
         F.col("g.__source").alias("__source"), "__class", "__salt", "__before", "__total", "__target", rate.alias("__rate"), unit_offset(F.coalesce(F.col("g.__source"), F.lit("")), seed).alias("__offset")
     )
-    ranked = sized.withColumn("__rank", F.row_number().over(W.partitionBy("__source", "__class", "__salt").orderBy("__id", "__size")))
+    ranked = sized.withColumn("__rank", F.row_number().over(W.partitionBy("__source", "__class", "__salt").orderBy("__key", "__id", "__size")))
     both = ranked.alias("d").join(
         steps.alias("s"), F.col("d.__source").eqNullSafe(F.col("s.__source")) & (F.col("d.__class") == F.col("s.__class")) & (F.col("d.__salt") == F.col("s.__salt"))
     )

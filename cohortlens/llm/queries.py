@@ -71,13 +71,13 @@ FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN it ON it.doc_id = d.doc_
 
 OP3_SQL = r"""
 WITH s AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
-c AS (SELECT *, CASE WHEN size < 16 THEN size ELSE length(bin(size)) * 8 + ((size >> (length(bin(size)) - 4)) & 7) END AS class, substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 2) AS salt FROM s),
+c AS (SELECT *, CASE WHEN size < 16 THEN size ELSE length(bin(size)) * 8 + ((size >> (length(bin(size)) - 4)) & 7) END AS class, substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS key FROM s),
 t AS (SELECT source, CAST(sum(size) AS BIGINT) AS total FROM c GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS w, total * 2.0::DOUBLE AS cap, sum(total) OVER () * 1.5::DOUBLE AS budget FROM t),
 l AS (SELECT *, (budget - sum(cap) OVER o + cap) / (sum(w) OVER () - sum(w) OVER o + w) AS level, cap / w AS limit_ FROM w WINDOW o AS (ORDER BY cap / w, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
 g AS (SELECT source, total, least(cap, coalesce(w * max(CASE WHEN limit_ > level THEN level END) OVER (), cap)) AS target FROM l),
 r AS (SELECT c.*, g.total, g.target, CASE WHEN g.total > 0 THEN g.target / g.total ELSE 0.0::DOUBLE END AS rate, ('0x' || substr(md5('42|' || coalesce(c.source, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS off_,
- row_number() OVER (PARTITION BY c.source ORDER BY class, salt, doc_id, size) AS rank FROM c JOIN g ON c.source IS NOT DISTINCT FROM g.source)
+ row_number() OVER (PARTITION BY c.source ORDER BY class, key, doc_id, size) AS rank FROM c JOIN g ON c.source IS NOT DISTINCT FROM g.source)
 SELECT doc_id, size, total AS source_size, target, CAST(floor(off_ + rate * rank) - floor(off_ + rate * (rank - 1)) AS BIGINT) * size AS taken FROM r
 """
 

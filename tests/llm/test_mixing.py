@@ -55,3 +55,14 @@ def test_edge_rows(spark):
 def test_main_path_is_native(spark, sf_dir):
     plan = mixing.mix_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_smaller_windows_give_the_same_mix(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = sorted(mixing.mix_counts(docs).collect())
+    monkeypatch.setattr(mixing, "first_digits", lambda rows: 4)
+    assert sorted(mixing.mix_counts(docs).collect()) == want
+
+
+def test_digits_follow_the_largest_group():
+    assert [mixing.first_digits(n) for n in (0, 1 << 17, 1 << 25, (1 << 25) + 1, 1 << 29, 1 << 62)] == [2, 2, 2, 3, 3, 8]
