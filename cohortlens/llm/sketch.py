@@ -1,7 +1,8 @@
 """Document fingerprints: threshold-scaled sketches, in DataFrame operations only.
 
 A sketch keeps every shingle hash below a fixed fraction of the hash range, so sketches of any two texts
-are comparable however unequal their lengths, and the sketch of a union is the union of sketches.
+are comparable however unequal their lengths, and the sketch of a union is the union of sketches; only a text
+whose hashes all lie above keeps its least one, which a union with another text need not hold.
 """
 
 from __future__ import annotations
