@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import decontaminate, html_text, language, lines, mixing, quality, simhash, sketch, substrings, tokens, warc
+from . import decontaminate, html_text, language, lines, mixing, quality, simhash, sketch, substrings, tokens, warc, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), most=16)
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = lines.dedup_lines(table(spark, sf_dir, "documents"), min_documents=10)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
@@ -114,6 +118,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_token_output": op9_token_output,
     "op10_quality": op10_quality,
+    "op11_whitening": op11_whitening,
     "op13_line_dedup": op13_line_dedup,
     "pipeline": corpus_pipeline.run,
 }
