@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import decontaminate, html_text, language, lines, mixing, quality, simhash, sketch, substrings, tokens, warc, whitening
+from . import decontaminate, html_text, language, lines, mixing, prefix_trie, quality, simhash, sketch, substrings, tokens, warc, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"), most=16)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = lines.dedup_lines(table(spark, sf_dir, "documents"), min_documents=10)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
@@ -99,6 +103,22 @@ CASE WHEN m.n > 1 AND p.page_id IS DISTINCT FROM m.top THEN m.top END AS refers_
 FROM p LEFT JOIN m ON m.payload_bytes = p.payload_bytes AND m.payload_digest = p.payload_digest
 """
 
+OP12_SQL = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, sha256(length(role) || ' ' || role || text)) AS x FROM t GROUP BY conv_id),
+c AS (SELECT conv_id, x, conv_id - conv_id % 20 AS base, (list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda s: ord(s)::UBIGINT)),
+ lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)::UBIGINT[]), lambda u, i: CASE WHEN u & 1 = 1 THEN xor(u >> 1, 3988292384::UBIGINT) ELSE u >> 1 END)) & 3) AS crc FROM o),
+r AS (SELECT c.conv_id, list_concat(coalesce(list_slice(b.x, 1, 3 - crc), []), list_slice(c.x, 4 - crc, len(c.x))) AS x FROM c LEFT JOIN o b ON b.conv_id = c.base),
+m AS (SELECT conv_id, x, unnest(range(len(x) + 1)) AS depth FROM r),
+n AS (SELECT list_slice(x, 1, depth) AS path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(x) = depth), '')) AS ends_sha256,
+ CASE WHEN depth > 0 THEN len(regexp_extract_all(any_value(x[depth].text), '[^\x20\x09-\x0D]+')) ELSE 0 END AS words FROM m GROUP BY path, depth),
+k AS (SELECT list_slice(path, 1, depth - 1) AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+v AS (SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM n LEFT JOIN k ON k.path = n.path),
+s AS (SELECT path, sum((n_children = 0)::INT) AS n_leaves, sum(saved) AS saved_tokens FROM (SELECT list_slice(path, 1, unnest(range(depth + 1))) AS path, n_children, (n_convs - 1) * words AS saved FROM v) GROUP BY path)
+SELECT v.conv_id, v.depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, v.ends_sha256
+FROM v JOIN s ON s.path = v.path LEFT JOIN n p ON v.depth > 0 AND p.depth = v.depth - 1 AND p.path = list_slice(v.path, 1, v.depth - 1)
+"""
+
 OP13_SQL = r"""
 WITH l AS (SELECT doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS w FROM documents)),
 k AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
@@ -119,7 +139,8 @@ QUERIES = {
     "op9_token_output": op9_token_output,
     "op10_quality": op10_quality,
     "op11_whitening": op11_whitening,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_line_dedup": op13_line_dedup,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE_SQL = {"op1_decontaminate": OP1_SQL, "op3_mix_sources": OP3_SQL, "op8_warc": OP8_SQL, "op13_line_dedup": OP13_SQL}
+ORACLE_SQL = {"op1_decontaminate": OP1_SQL, "op3_mix_sources": OP3_SQL, "op8_warc": OP8_SQL, "op12_prefix_trie": OP12_SQL, "op13_line_dedup": OP13_SQL}
