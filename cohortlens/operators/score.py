@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cohortlens.operators.quantiles import agreement_ci as resampled_agreement
+from cohortlens.operators.quantiles import summarised
+
 
 def ratio(a: Column, b: Column) -> Column:
     return (a / F.nullif(b, F.lit(0))).cast("double")
@@ -66,14 +69,21 @@ def agreement_metrics(meas: DataFrame, by: list[str], error: str = "linear", wit
     paired = F.col("engine").isNotNull() & F.col("comparator").isNotNull()
     raw = F.col("engine") - F.col("comparator") if error == "linear" else circular_error(F.col("engine"), F.col("comparator"))
     e = F.when(paired, raw)
-    out = meas.withColumn("__e", e).groupBy(*by).agg(
-        F.count("*").alias("n"), F.count("engine").alias("n_engine"), F.count("__e").alias("n_paired"), F.avg("__e").alias("bias"), F.stddev_samp("__e").alias("sd"),
-        F.avg(F.abs("__e")).alias("mae"), F.median(F.abs("__e")).alias("median_ae"), F.percentile(F.abs("__e"), F.lit(0.95)).alias("p95_ae"), F.sqrt(F.avg(F.col("__e") * F.col("__e"))).alias("rmse"),
-        *[F.avg((F.abs("__e") <= w).cast("int")).alias(f"within_{w:g}") for w in within],
+    out = summarised(
+        meas.withColumn("__e", e).withColumn("__abs", F.abs("__e")), by,
+        [F.count("*").alias("n"), F.count("engine").alias("n_engine"), F.count("__e").alias("n_paired"), F.avg("__e").alias("bias"), F.stddev_samp("__e").alias("sd"), F.avg("__abs").alias("mae"), F.sqrt(F.avg(F.col("__e") * F.col("__e"))).alias("rmse")]
+        + [F.avg((F.col("__abs") <= w).cast("int")).alias(f"within_{w:g}") for w in within],
+        "__abs", {"median_ae": 0.5, "p95_ae": 0.95},
     )
     return out.withColumns({"availability": ratio(F.col("n_engine"), F.col("n")), "loa_low": F.col("bias") - 1.96 * F.col("sd"), "loa_high": F.col("bias") + 1.96 * F.col("sd")})
 
 
+def agreement_ci(meas: DataFrame, by: list[str], error: str = "linear", n_boot: int = 1000, seed: int = 20, least: int = 20) -> DataFrame:
+    """Resampled limits of bias, MAE, median and P95 of engine against comparator; null under `least` finite errors."""
+    raw = F.col("engine") - F.col("comparator") if error == "linear" else circular_error(F.col("engine"), F.col("comparator"))
+    return resampled_agreement(meas, by, raw, n_boot, seed, least)
+
+
 def hash_uniform(seed: int, draw: Column, key: Column) -> Column:
     """A number in [0, 1) that seed, draw number and key fix."""
     return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(str(seed)), draw.cast("string"), key), 256), 1, 12), 16, 10).cast("double") / float(1 << 48)
@@ -122,21 +132,24 @@ def rate_summary(df: DataFrame, rates: dict[str, Column], by: list[str] | None =
 
 def calibration_summary(meas: DataFrame, by: list[str]) -> DataFrame:
     """Bias and the share of comparators inside engine +/- its stated uncertainty."""
-    e = F.col("engine") - F.col("comparator")
-    return meas.groupBy(*by).agg(F.count(e).alias("n"), F.avg(e).alias("bias"), F.median(e).alias("median_bias"), F.avg(F.abs(e)).alias("mae"), F.avg((F.abs(e) <= F.col("uncertainty")).cast("int")).alias("coverage"))
+    e = F.col("__e")
+    aggregates = [F.count(e).alias("n"), F.avg(e).alias("bias"), F.avg(F.abs(e)).alias("mae"), F.avg((F.abs(e) <= F.col("uncertainty")).cast("int")).alias("coverage")]
+    return summarised(meas.withColumn("__e", F.col("engine") - F.col("comparator")), by, aggregates, "__e", {"median_bias": 0.5})
 
 
-def source_quantiles(beats: DataFrame, value: str, by: list[str]) -> DataFrame:
-    q = F.percentile(value, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    out = beats.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), q.alias("__q"))
-    return out.select(*by, "n", "mean", *[F.col("__q")[k].alias(n) for k, n in enumerate(("p10", "median", "p90"))])
+def source_quantiles(beats: DataFrame, value: str, by: list[str], approximate: int | None = None) -> DataFrame:
+    """n, mean, P10, median and P90; exact, or by a sketch whose ranks are off by n / approximate at most."""
+    wanted, aggregates = {"p10": 0.1, "median": 0.5, "p90": 0.9}, [F.count(value).alias("n"), F.avg(value).alias("mean")]
+    if approximate is None:
+        return summarised(beats, by, aggregates, value, wanted)
+    sketch = F.percentile_approx(F.col(value).cast("double"), [*wanted.values()], approximate).alias("__q")
+    return beats.groupBy(*by).agg(*aggregates, sketch).select(*by, "n", "mean", *[F.col("__q")[k].alias(name) for k, name in enumerate(wanted)])
 
 
 def paired_run_delta(run_a: DataFrame, run_b: DataFrame, keys: list[str], value: str, by: list[str]) -> DataFrame:
     """Absolute differences of one measure between two runs of a case."""
     both = run_a.select(*keys, *[c for c in by if c not in keys], F.col(value).alias("__a")).join(run_b.select(*keys, F.col(value).alias("__b")), keys)
-    d = F.abs(F.col("__a") - F.col("__b"))
-    return both.groupBy(*by).agg(F.count("*").alias("n"), F.avg(d).alias("mean_delta"), F.median(d).alias("median_delta"), F.percentile(d, F.lit(0.95)).alias("p95_delta"))
+    return summarised(both.withColumn("__d", F.abs(F.col("__a") - F.col("__b"))), by, [F.count("*").alias("n"), F.avg("__d").alias("mean_delta")], "__d", {"median_delta": 0.5, "p95_delta": 0.95})
 
 
 def stage_waterfall(pred: DataFrame, target: str = "target", stages: tuple[str, ...] = ("candidate", "fusion", "final")) -> DataFrame:

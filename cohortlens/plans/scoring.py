@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cohortlens.operators import score
+from cohortlens.operators import quantiles, score
 from cohortlens.plans.registry import query
 
 _RATES = "round(tp / nullif(tp + fn, 0), 6) AS sensitivity, round(tn / nullif(tn + fp, 0), 6) AS specificity, round(tp / nullif(tp + fp, 0), 6) AS ppv, round(tn / nullif(tn + fn, 0), 6) AS npv, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1"
@@ -62,6 +62,11 @@ def _(t):
     return score.bootstrap_ci(final(t), ["target"])
 
 
+@query("a06_agreement_ci")
+def _(t):
+    return score.agreement_ci(t.meas, ["grp"])
+
+
 @query("a13_rate_summary", "SELECT lang, count(*) AS n, round(avg(CASE WHEN n_chars < 500 THEN 1 ELSE 0 END), 6) AS abstention, round(avg(CASE WHEN toxic = 1 AND n_chars > 1000 THEN 1 ELSE 0 END), 6) AS remeasure FROM lab GROUP BY lang")
 def _(t):
     return score.rate_summary(t.lab, {"abstention": F.col("n_chars") < 500, "remeasure": (F.col("toxic") == 1) & (F.col("n_chars") > 1000)}, ["lang"])
@@ -77,6 +82,12 @@ def _(t):
     return score.source_quantiles(t.meas, "engine", ["grp", "lead"])
 
 
+@query("a15_hot_group_quantiles", "SELECT run, count(engine) AS n, round(quantile_cont(engine, 0), 6) AS least, round(quantile_cont(engine, 0.1), 6) AS p10, round(quantile_cont(engine, 0.5), 6) AS median, round(quantile_cont(engine, 0.9), 6) AS p90, round(quantile_cont(engine, 1), 6) AS greatest FROM meas GROUP BY run")
+def _(t):
+    # Every group counts as hot here, so all ranks are selected.
+    return quantiles.quantiles(t.meas, ["run"], "engine", {"least": 0.0, "p10": 0.1, "median": 0.5, "p90": 0.9, "greatest": 1.0}, most=1)
+
+
 @query("a24_paired_run_delta", "WITH r AS (SELECT record_id, grp, run, max(engine) AS engine FROM meas GROUP BY ALL), d AS (SELECT a.grp, abs(a.engine - b.engine) AS d FROM r a JOIN r b ON a.record_id = b.record_id AND a.grp = b.grp WHERE a.run = 'F' AND b.run = 'O') SELECT grp, count(*) AS n, round(avg(d), 6) AS mean_delta, round(median(d), 6) AS median_delta, round(quantile_cont(d, 0.95), 6) AS p95_delta FROM d GROUP BY grp")
 def _(t):
     runs = t.meas.groupBy("record_id", "grp", "run").agg(F.max("engine").alias("engine"))
