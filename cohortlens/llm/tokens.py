@@ -49,8 +49,8 @@ _CHAR = mixed(np.arange(1, 0x181, dtype=np.uint64))
 _IN_WORD = 0x9E3779B97F4A7C15
 
 
-def words_in(low: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Begin, size and 64-bit hash of each word of a plain text in lower case.
+def words_in(low: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Begin, size and 64-bit hash of each word of a plain text in lower case, and the words' code units on end.
 
     Words are runs of letters, single digits and runs of other signs; an apostrophe that begins one takes an
     ending of ENDINGS with it.
@@ -73,12 +73,13 @@ def words_in(low: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         starts[rest] |= kind[rest] == LETTER
     first = np.flatnonzero(starts)
     if not len(first):
-        return first, first, np.zeros(0, np.uint64)
+        return first, first, np.zeros(0, np.uint64), codes[:0]
     at = np.flatnonzero(kind)
     head = np.searchsorted(at, first)
     size = np.diff(np.append(head, len(at)))
     place = np.arange(len(at)) - np.repeat(head, size)
-    return first, size, mixed(np.add.reduceat(_CHAR[codes[at]] * powers(_IN_WORD, int(size.max()))[place], head))
+    units = codes[at]
+    return first, size, mixed(np.add.reduceat(_CHAR[units] * powers(_IN_WORD, int(size.max()))[place], head)), units
 
 
 class Numbers:
@@ -127,8 +128,34 @@ class Numbers:
             hashes, numbers, at = hashes[lost], numbers[lost], (at[lost] + 1) & self.most
 
 
+class Lists:
+    """Lists of numbers on end, with room to grow."""
+
+    def __init__(self, kind: type):
+        self.held, self.ends, self.count = np.zeros(1 << 12, kind), np.zeros(1 << 10, np.int64), 0
+
+    def add(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        begin, n = self.ends[self.count], len(sizes)
+        while self.count + n + 1 > len(self.ends):
+            self.ends = np.append(self.ends, np.zeros_like(self.ends))
+        while begin + len(values) > len(self.held):
+            self.held = np.append(self.held, np.zeros_like(self.held))
+        self.held[begin : begin + len(values)] = values
+        self.ends[self.count + 1 : self.count + n + 1] = begin + np.cumsum(sizes)
+        self.count += n
+
+    def places(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and size of each list."""
+        begin = self.ends[numbers]
+        return begin, self.ends[numbers + 1] - begin
+
+
 class Encoder:
-    """Ids of whole texts, exactly as the tokenizer gives them."""
+    """Ids of whole texts, exactly as the tokenizer gives them.
+
+    Words are found by a hash and then compared, so a word with the hash of another is never taken for it: such
+    words are kept by themselves.
+    """
 
     def __init__(self, path: str, by_word: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
@@ -142,8 +169,8 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.memo = Numbers()
-        self.ids, self.offsets = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.memo, self.others = Numbers(), {}
+        self.ids, self.units = Lists(np.uint32), Lists(np.uint16)
 
     def _learn(self, words: list[str]) -> None:
         """Ids of new words. Words in a row, with spaces between, come back one by one: each has one last piece."""
@@ -157,8 +184,17 @@ class Encoder:
                 got, last = np.concatenate(each), np.cumsum([len(x) for x in each])
             ids.append(got)
             sizes.append(np.diff(last, prepend=0))
-        self.ids = np.concatenate([self.ids, *ids])
-        self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(np.concatenate(sizes))])
+        self.ids.add(np.concatenate(ids), np.concatenate(sizes))
+        self.units.add(np.frombuffer("".join(words).encode("utf-16-le"), "<u2"), np.array([len(w) for w in words]))
+
+    def _same(self, numbers: np.ndarray, size: np.ndarray, units: np.ndarray) -> np.ndarray:
+        """Whether each word, of these code units, is the one that has its number."""
+        begin, known = self.units.places(numbers)
+        head = np.cumsum(size) - size
+        same = known == size
+        at = np.repeat(np.where(same, begin - head, 0), size) + np.arange(len(units))
+        at[np.repeat(~same, size)] = 0
+        return same & np.logical_and.reduceat(self.units.held[at] == units, head)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray | None] = [None] * len(texts)
@@ -172,18 +208,25 @@ class Encoder:
         if plain:
             low = "\n".join(texts[k] for k in plain).lower()
             ends = np.cumsum([len(texts[k]) + 1 for k in plain])
-            first, size, hashes = words_in(low)
+            first, size, hashes, units = words_in(low)
             number = self.memo.find(hashes)
             new = np.flatnonzero(number < 0)
+            word = lambda k: low[first[k] : first[k] + size[k]]
             if len(new):
                 _, once = np.unique(hashes[new], return_index=True)
                 once = new[np.sort(once)]
-                self._learn([low[a : a + n] for a, n in zip(first[once].tolist(), size[once].tolist(), strict=True)])
+                self._learn([word(k) for k in once.tolist()])
                 self.memo.add(hashes[once])
                 number[new] = self.memo.find(hashes[new])
-            a, many = self.offsets[number], self.offsets[number + 1] - self.offsets[number]
+            odd = np.flatnonzero(~self._same(number, size, units)) if len(first) else first
+            for k in odd.tolist():
+                if (own := word(k)) not in self.others:
+                    self._learn([own])
+                    self.others[own], self.memo.count = self.memo.count, self.memo.count + 1
+                number[k] = self.others[own]
+            a, many = self.ids.places(number)
             upto = np.r_[0, np.cumsum(many)]
-            ids = self.ids[np.arange(upto[-1]) - np.repeat(upto[:-1] - a, many)]
+            ids = self.ids.held[np.arange(upto[-1]) - np.repeat(upto[:-1] - a, many)]
             for k, x in zip(plain, np.split(ids, upto[np.searchsorted(first, ends)][:-1]), strict=True):
                 out[k] = x
         return out

@@ -64,10 +64,41 @@ def test_words_of_plain_texts():
     rng = random.Random(5)
     for _ in range(2000):
         low = "".join(rng.choice("aabdelrstvm''''.,\"! \n019é½ſßx-") for _ in range(rng.randint(1, 40)))
-        first, size, _ = tokens.words_in(low)
+        first, size, _, units = tokens.words_in(low)
+        assert units.tobytes().decode("utf-16-le") == "".join(pattern.findall(low))
         assert [low[a : a + n] for a, n in zip(first.tolist(), size.tolist(), strict=True)] == pattern.findall(low)
 
 
+def halves(doublings):
+    """Two words of 2 ** doublings letters whose polynomial hashes are equal whatever the factor: each half is the other one's complement."""
+    a, b = "a", "b"
+    for _ in range(doublings):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_with_equal_hashes_have_their_own_ids():
+    pairs = [halves(k) for k in (10, 11, 12)]
+    for a, b in pairs:
+        _, _, hashes, _ = tokens.words_in(f"{a} {b}")
+        assert hashes[0] == hashes[1]
+    texts = [" ".join([a, b, "plain", b, a]) for a, b in pairs]
+    texts += [b for _, b in pairs] + [texts[0] + " " + texts[2], "plain words"]
+    encoder = tokens.Encoder(PATH, True)
+    for part in ([texts[0]], texts[1:4], texts[4:], texts):
+        assert [x.tolist() for x in encoder.encode(part)] == [PLAIN.encode(t, add_special_tokens=False).ids for t in part]
+    assert len(encoder.others) == 3
+
+
+def test_any_words_with_equal_hashes(monkeypatch):
+    rng = random.Random(8)
+    monkeypatch.setattr(tokens, "mixed", lambda x: x % np.uint64(5))
+    encoder = tokens.Encoder(PATH, True)
+    for _ in range(40):
+        texts = [" ".join("".join(rng.choice("abcé1!'s") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(0, 30))) for _ in range(3)]
+        assert [x.tolist() for x in encoder.encode(texts)] == [PLAIN.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_numbers_of_hashes():
     rng = np.random.default_rng(6)
     own, held = tokens.Numbers(4), {}
