@@ -42,6 +42,14 @@ def sent_if_small(df: DataFrame, most: int = 1 << 20) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores on end until df has no such column, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def files_of(df: DataFrame, column: str, folder: str, suffix: str) -> DataFrame:
     """(path, n_bytes) of files that hold one cell of `column` each, written when this is read.
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, pieces, powers, sliding_min, utf8, written
+from .common import free_name, mixed, pieces, powers, sliding_min, utf8, written
 
 SPAN = 10
 GRAM = 5
@@ -325,7 +325,7 @@ def clean_documents(documents: DataFrame, benchmark: DataFrame, block_windows: i
     """
     docs, items, block = _inputs(documents, benchmark, block_windows)
     if block is not None:
-        return documents.withColumn("__text", F.col("text").cast("string")).mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(block)), documents.schema)
+        return documents.withColumn(free_name(documents, "judged"), F.col("text").cast("string")).mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(block)), documents.schema)
     bad = joined_hits(docs, items).select(F.col("doc_id").alias("__bad"), "text_md5")
     same = documents["doc_id"].cast("bigint").eqNullSafe(bad["__bad"]) & (F.md5(F.coalesce(documents["text"].cast("string"), F.lit(""))) == bad["text_md5"])
     return documents.join(bad, same, "left_anti")

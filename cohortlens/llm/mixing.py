@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import free_name, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents of a source are ordered by size class, then by this many hex digits of a hash, then by id.
@@ -64,7 +64,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, mos
 
 
 def mix_counts(documents: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 42) -> DataFrame:
-    """(doc_id, size, source_size, target, copies, taken) of every document.
+    """(doc_id, source, size, source_size, target, copies, taken) of every document.
 
     Null text has size 0; null source is a source of its own, named last. Sources of size 0 have target 0
     and no copies. Repeated documents are separate documents; among equal ids the order is immaterial, as
@@ -90,18 +90,21 @@ def mix_counts(documents: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
     )
     upto = F.col("__before") + F.col("__rank")
     copies = (F.floor(F.col("__offset") + F.col("__rate") * upto) - F.floor(F.col("__offset") + F.col("__rate") * (upto - 1))).cast("bigint")
-    return both.select(F.col("__id").alias("doc_id"), F.col("__size").alias("size"), F.col("__total").alias("source_size"), F.col("__target").alias("target"), copies.alias("copies"), (copies * F.col("__size")).alias("taken"))
+    return both.select(F.col("__id").alias("doc_id"), F.col("d.__source").alias("source"), F.col("__size").alias("size"), F.col("__total").alias("source_size"), F.col("__target").alias("target"), copies.alias("copies"), (copies * F.col("__size")).alias("taken"))
 
 
 def mixed_documents(documents: DataFrame, **options) -> DataFrame:
     """documents with each row as often as the mix takes it; all columns stay.
 
-    Rows that repeat a doc_id share its copies evenly: the first rows get one more.
+    Rows with the same doc_id, source and size share their copies evenly: the first rows get one more.
     """
-    per_id = mix_counts(documents, **options).groupBy("doc_id").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
-    per_id = per_id.withColumnRenamed("doc_id", "__key")
-    joined = documents.join(per_id, documents["doc_id"].cast("bigint").eqNullSafe(per_id["__key"]))
-    single = joined.filter("__rows = 1").withColumn("__times", F.col("__copies"))
-    several = joined.filter("__rows > 1").withColumn("__k", F.row_number().over(W.partitionBy("__key").orderBy("source", F.xxhash64("text"))))
-    several = several.withColumn("__times", F.floor(F.col("__copies") / F.col("__rows")) + F.when(F.col("__k") <= F.col("__copies") % F.col("__rows"), 1).otherwise(0)).drop("__k")
-    return single.unionByName(several).filter("__times > 0").withColumn("__each", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*documents.columns)
+    key, mine, copies, rows, k, each = (free_name(documents, c) for c in ("mix_key", "mix_own", "mix_copies", "mix_rows", "mix_number", "mix_each"))
+    counts = mix_counts(documents, **options)
+    alike = counts.groupBy(F.struct("doc_id", "source", "size").alias(key)).agg(F.sum("copies").alias(copies), F.count("*").alias(rows))
+    own = F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"))
+    joined = documents.withColumn(mine, own).join(alike, F.col(mine).eqNullSafe(F.col(key)))
+    single = joined.filter(F.col(rows) == 1).withColumn(each, F.col(copies))
+    several = joined.filter(F.col(rows) > 1).withColumn(k, F.row_number().over(W.partitionBy(key).orderBy(F.xxhash64("text"))))
+    several = several.withColumn(each, F.floor(F.col(copies) / F.col(rows)) + F.when(F.col(k) <= F.col(copies) % F.col(rows), 1).otherwise(0)).drop(k)
+    taken = single.unionByName(several).filter(F.col(each) > 0)
+    return taken.withColumn(each, F.explode(F.sequence(F.lit(1), F.col(each).cast("int")))).select(*documents.columns)

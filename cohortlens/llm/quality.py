@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import PIECE_BYTES
+from .common import PIECE_BYTES, free_name
 
 #: Bounds of what is learned from: labelled rows for the network, texts (and their bytes) for word vectors.
 TRAIN_ROWS = 20_000
@@ -249,17 +249,17 @@ def score_quality(documents: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "text").mapInArrow(_score(model), "doc_id bigint, held_out boolean, score double, predicted int")
 
 
-def _passes(model):
+def _passes(model, column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, net = model.value
         memo: dict[str, int] = {}
         for batch in batches:
-            at = batch.schema.get_field_index("__text")
+            at = batch.schema.get_field_index(column)
             good = []
             for a in range(0, len(batch), 256):
                 part = [x.as_py() for x in batch.column(at).slice(a, 256)]
                 good += (net.probability(words.pooled(part, memo)) >= THRESHOLD).tolist()
-            yield batch.filter(pa.array(good, pa.bool_())).drop_columns(["__text"])
+            yield batch.filter(pa.array(good, pa.bool_())).drop_columns([column])
 
     return run
 
@@ -267,4 +267,5 @@ def _passes(model):
 def good_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """documents without those whose score is below THRESHOLD; all their columns stay."""
     model = documents.sparkSession.sparkContext.broadcast(learn(documents, labels))
-    return documents.withColumn("__text", F.col("text").cast("string")).mapInArrow(_passes(model), documents.schema)
+    column = free_name(documents, "judged")
+    return documents.withColumn(column, F.col("text").cast("string")).mapInArrow(_passes(model, column), documents.schema)

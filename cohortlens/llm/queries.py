@@ -23,7 +23,7 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_counts(table(spark, sf_dir, "documents")).drop("copies")
+    return mixing.mix_counts(table(spark, sf_dir, "documents")).drop("copies", "source")
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

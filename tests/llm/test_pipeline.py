@@ -1,7 +1,7 @@
 from collections import Counter
 
 import corpus_pipeline
-from cohortlens.llm import decontaminate, quality
+from cohortlens.llm import decontaminate, mixing, quality
 from cohortlens.llm.common import written
 
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -48,6 +48,36 @@ def test_clashing_and_extra_columns_stay(spark):
     assert mixed.columns == docs.columns and 0 < mixed.count() <= 60
 
 
+#: Names that stages use inside, now or before.
+INSIDE = "__text judged __key __copies __rows __times __k __each mix_key mix_own mix_copies mix_rows mix_number mix_each __bad __gone __id __row text_md5 size class node label print print_0 component_id ids small".split()
+
+
+def test_every_stage_keeps_columns_with_its_own_names(spark, tmp_path):
+    rows = [(i, f"words of line {i} and {i * 7} more {i * i} to tell it from others here", "en", f"s{i % 3}", 10) for i in range(12)]
+    rows += [(3, "repeated id with another text in it", "en", "s1", 9), (3, "repeated id with another text in it", "en", "s2", 9), (None, None, None, None, None)]
+    folder = tables(spark, tmp_path, rows, [(1, 1, 0)], [(1, "a passage of ten words or more that no document has at all")])
+    plain = spark.read.parquet(f"{folder}/documents.parquet")
+    docs = plain.selectExpr("*", *[f"'x' AS `{c}`" for c in INSIDE])
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        got, want = stage(spark, docs, folder), stage(spark, plain, folder)
+        if k < 4:
+            assert got.columns == docs.columns
+            assert Counter(map(str, got.select(*plain.columns).collect())) == Counter(map(str, want.collect()))
+            assert got.filter("size = 'x' and judged = 'x'").count() == got.count()
+        else:
+            assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    # With a large benchmark, too.
+    benchmark = spark.read.parquet(f"{folder}/benchmark.parquet")
+    assert decontaminate.clean_documents(docs, benchmark, block_windows=0).columns == docs.columns
+
+
+def test_rows_of_an_id_are_mixed_by_their_own_source(spark):
+    # Source b is taken twice, a hardly at all: the row of b comes twice whatever the row of a with its id does.
+    docs = spark.createDataFrame([(1, "w " * 50, "a"), (1, "w " * 50, "b")] + [(k, "w " * 50, "a") for k in range(2, 300)], "doc_id bigint, text string, source string")
+    counts = Counter((r.doc_id, r.source) for r in mixing.mix_counts(docs).collect() for _ in range(r.copies))
+    assert Counter((r.doc_id, r.source) for r in mixing.mixed_documents(docs).collect()) == counts and counts[1, "b"] == 2
+
+
 def tables(spark, folder, documents, labels=(), benchmark=()):
     spark.createDataFrame(documents, DOCUMENTS).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(list(labels), "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
