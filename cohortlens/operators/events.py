@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cohortlens.sources.shared import written
+
 C = F.col
 
 
@@ -41,34 +45,53 @@ def claimed_pairs(r: DataFrame, p: DataFrame, lo: float, hi: float) -> DataFrame
     return both.groupBy("record_id").applyInPandas(_claim(lo, hi), "record_id bigint, r_ms double, p_ms double")
 
 
-def near_pairs(a: DataFrame, b: DataFrame, tol: float) -> DataFrame:
-    """(record_id, a_ms, b_ms, error) of all pairs within tol: equal time buckets and their neighbours meet."""
-    left = a.select("record_id", C("t_ms").alias("a_ms"), F.floor(C("t_ms") / tol).alias("__k"))
-    right = b.select("record_id", C("t_ms").alias("b_ms"), F.explode(F.array(*[F.floor(C("t_ms") / tol) + d for d in (-1, 0, 1)])).alias("__k"))
-    return left.join(right, ["record_id", "__k"]).withColumn("error", F.abs(C("a_ms") - C("b_ms"))).filter(C("error") <= tol).drop("__k")
+def near_pairs(a: DataFrame, b: DataFrame, tol: float, by: tuple[str, ...] = ("record_id",), also: tuple[str, ...] = ()) -> DataFrame:
+    """(record_id, a_ms, b_ms, error) of all pairs within tol: equal time buckets and their neighbours meet.
 
+    Columns `also` of either side go with it as a_ and b_.
+    """
+    left = a.select(*by, C("t_ms").alias("a_ms"), *[C(c).alias(f"a_{c}") for c in also], F.floor(C("t_ms") / tol).alias("__k"))
+    right = b.select(*by, C("t_ms").alias("b_ms"), *[C(c).alias(f"b_{c}") for c in also], F.explode(F.array(*[F.floor(C("t_ms") / tol) + d for d in (-1, 0, 1)])).alias("__k"))
+    return left.join(right, [*by, "__k"]).withColumn("error", F.abs(C("a_ms") - C("b_ms"))).filter(C("error") <= tol).drop("__k")
 
-def _greedy(key, part: pd.DataFrame) -> pd.DataFrame:
-    used_a, used_b, out = set(), set(), []
-    for row in part.sort_values(["error", "a_ms", "b_ms"]).itertuples():
-        if row.a_ms not in used_a and row.b_ms not in used_b:
-            used_a.add(row.a_ms)
-            used_b.add(row.b_ms)
-            out.append((key[0], row.a_ms, row.b_ms, row.error))
-    return pd.DataFrame(out, columns=["record_id", "a_ms", "b_ms", "error"])
 
+#: Rounds of matching in one job; then what is still open is written.
+ROUNDS = 4
 
-def tolerance_match(truth: DataFrame, found: DataFrame, tol: float) -> DataFrame:
-    """One-to-one matches, shortest error first; ties by truth, then detection: one record's pairs at a time."""
-    pairs = near_pairs(truth, found, tol).select("record_id", *[C(c).cast("double").alias(c) for c in ("a_ms", "b_ms", "error")])
-    return pairs.groupBy("record_id").applyInPandas(_greedy, "record_id bigint, a_ms double, b_ms double, error double")
 
+def tolerance_match(truth: DataFrame, found: DataFrame, tol: float, by: tuple[str, ...] = ("record_id",)) -> DataFrame:
+    """(record_id, a_ms, b_ms, error, round): one-to-one matches, shortest error first; ties by truth, then detection.
 
-def match_counts(truth: DataFrame, found: DataFrame, tol: float) -> DataFrame:
+    In each round the pairs that are best for both of their events, under that order, are matched, and pairs with a
+    matched event go; when no pair is left, these are the matches of the greedy walk over all pairs in that order.
+    Rows are dealt by record, which all windows of a job share. Events of one time are separate events.
+    """
+    numbered = lambda df: df.withColumn("n", F.row_number().over(W.partitionBy(*by, "t_ms").orderBy("t_ms")))
+    pairs = near_pairs(numbered(truth), numbered(found), tol, by, ("n",)).select(*by, *[C(c).cast("double").alias(c) for c in ("a_ms", "b_ms", "error")], "a_n", "b_n", F.lit(0).alias("round"))
+    key = F.struct("error", "a_ms", "a_n", "b_ms", "b_n")
+    of_a, of_b = W.partitionBy(*by, "a_ms", "a_n"), W.partitionBy(*by, "b_ms", "b_n")
+    open_, done, number = pairs, None, 0
+    while True:
+        x = open_.repartition(*by)
+        for _ in range(ROUNDS):  # round: 0 open, -1 without a chance, else the round that matched it
+            number += 1
+            free = C("round") == 0
+            x = x.withColumn("best", F.min(F.when(free, key)).over(of_a)).withColumn("won", free & (key == C("best")) & (key == F.min(F.when(free, key)).over(of_b)))
+            x = x.withColumn("gone", F.max("won").over(of_b)).withColumn("gone", C("gone") | F.max("won").over(of_a))
+            x = x.withColumn("round", F.when(C("won"), number).when(free & C("gone"), -1).otherwise(C("round"))).drop("best", "won", "gone")
+        held = written(x.filter("round >= 0"), "matched")
+        matched = held.filter("round > 0").select(*by, "a_ms", "b_ms", "error", "round")
+        done = matched if done is None else done.unionByName(matched)
+        open_ = held.filter("round = 0")
+        if open_.isEmpty():
+            return done
+
+
+def match_counts(truth: DataFrame, found: DataFrame, tol: float, by: tuple[str, ...] = ("record_id",)) -> DataFrame:
     """Matched, missed and extra events with the median error."""
-    n = truth.groupBy("record_id").agg(F.count("*").alias("n_truth")).join(found.groupBy("record_id").agg(F.count("*").alias("n_found")), "record_id", "full").fillna(0)
-    m = tolerance_match(truth, found, tol).groupBy("record_id").agg(F.count("*").alias("matched"), F.median("error").alias("median_error"))
-    return n.join(m, "record_id", "left").fillna(0, ["matched"]).withColumns({"missed": C("n_truth") - C("matched"), "extra": C("n_found") - C("matched")})
+    n = truth.groupBy(*by).agg(F.count("*").alias("n_truth")).join(found.groupBy(*by).agg(F.count("*").alias("n_found")), list(by), "full").fillna(0, ["n_truth", "n_found"])
+    m = tolerance_match(truth, found, tol, by).groupBy(*by).agg(F.count("*").alias("matched"), F.median("error").alias("median_error"))
+    return n.join(m, list(by), "left").fillna(0, ["matched"]).withColumns({"missed": C("n_truth") - C("matched"), "extra": C("n_found") - C("matched")})
 
 
 def near_any(a: DataFrame, b: DataFrame, tol: float) -> DataFrame:
@@ -170,26 +193,6 @@ def organised_sequence(events: DataFrame, low: float, high: float, cv: float = 0
     return s.select("record_id", (C("n") + 1).alias("n_events"), "median", "cv", F.coalesce(ok, F.lit(False)).alias("organised"))
 
 
-def sequence_topology(p: DataFrame, r: DataFrame, lo: float, hi: float) -> DataFrame:
-    """p to r ratio, conducted p, the longest run of dropped ones and their alternation."""
-    line = p.select("record_id", "t_ms").distinct().withColumn("near_r", F.lit(None).cast("double"))
-    nxt = asof_after(line, r, lo, hi)
-    w = rec().orderBy("p_ms")
-    x = nxt.withColumn("dropped", C("r_ms").isNull().cast("int"))
-    x = x.withColumns({"island": F.sum(1 - C("dropped")).over(w.rowsBetween(W.unboundedPreceding, 0)), "alt": (C("dropped") != F.lag("dropped").over(w)).cast("int")})
-    runs = x.groupBy("record_id", "island").agg(F.sum("dropped").alias("d")).groupBy("record_id").agg(F.max("d").alias("longest_drop"))
-    a = x.groupBy("record_id").agg(F.count("*").alias("n_p"), F.sum(1 - C("dropped")).alias("conducted"), F.avg("alt").alias("alternation"))
-    n = r.select("record_id", "t_ms").distinct().groupBy("record_id").agg(F.count("*").alias("n_r"))
-    return a.join(runs, "record_id").join(n, "record_id", "left").withColumn("p_r_ratio", C("n_p") / C("n_r")).fillna(0, ["n_r"])
-
-
-def asof_after(p: DataFrame, r: DataFrame, lo: float, hi: float) -> DataFrame:
-    """Each p event (p_ms) with the first r event from lo to hi after it."""
-    line = p.select("record_id", (C("t_ms") + lo).alias("at"), F.lit(0).alias("o"), C("t_ms").alias("p_ms"), F.lit(None).cast("double").alias("r_ms")).unionByName(r.select("record_id", C("t_ms").alias("at"), F.lit(1).alias("o"), F.lit(None).cast("bigint").alias("p_ms"), C("t_ms").cast("double").alias("r_ms")))
-    got = line.withColumn("r_ms", F.first("r_ms", ignorenulls=True).over(rec().orderBy("at", "o").rowsBetween(0, W.unboundedFollowing))).filter("p_ms is not null")
-    return got.select("record_id", "p_ms", F.when(C("r_ms") <= C("p_ms") + hi, C("r_ms")).alias("r_ms"))
-
-
 def coupling_relation(p: DataFrame, r: DataFrame, lo: float, hi: float, fraction: float = 0.70, mad: float = 30.0) -> DataFrame:
     """Share of p events that an r event of their own follows, and whether the delay is stable."""
     pairs = claimed_pairs(r, p, lo, hi).filter("p_ms is not null").withColumn("d", C("r_ms") - C("p_ms"))
@@ -199,20 +202,6 @@ def coupling_relation(p: DataFrame, r: DataFrame, lo: float, hi: float, fraction
     return out.withColumn("related", F.coalesce((C("coupled") / C("n_p") >= fraction) & (C("delay_mad") <= mad), F.lit(False)))
 
 
-def conduction_class(p: DataFrame, r: DataFrame, lo: float, hi: float, long_delay: float, stable: float) -> DataFrame:
-    """one_to_one, first_degree, two_to_one, high_grade, mobitz, wenckebach, dissociation or undetermined per record."""
-    pairs = claimed_pairs(r, p, lo, hi)
-    got = p.select("record_id", C("t_ms").cast("double").alias("p_ms")).distinct().join(pairs.filter("p_ms is not null"), ["record_id", "p_ms"], "left")
-    w = rec().orderBy("p_ms")
-    x = got.withColumns({"drop": C("r_ms").isNull().cast("int"), "d": C("r_ms") - C("p_ms")})
-    x = x.withColumns({"k": F.row_number().over(w), "rise": (C("d") > F.lag("d").over(w)).cast("int"), "island": F.sum(1 - C("drop")).over(w.rowsBetween(W.unboundedPreceding, 0))})
-    runs = x.groupBy("record_id", "island").agg(F.sum("drop").alias("s")).groupBy("record_id").agg(F.max("s").alias("longest"))
-    a = x.groupBy("record_id").agg(F.count("*").alias("n"), F.sum("drop").alias("dropped"), F.median("d").alias("delay"), F.avg("rise").alias("rising"), F.sum(F.when(C("k") % 2 == 0, C("drop")).otherwise(0)).alias("even"))
-    m = x.join(a.select("record_id", "delay"), "record_id").groupBy("record_id").agg(F.median(F.abs(C("d") - C("delay"))).alias("delay_mad"))
-    o = a.join(runs, "record_id").join(m, "record_id")
-    return o.select("record_id", "n", "dropped", "longest", F.when(C("n") < 4, "undetermined").when((C("dropped") == 0) & (C("delay") > long_delay), "first_degree").when(C("dropped") == 0, "one_to_one").when(C("delay_mad").isNull() | (C("delay_mad") > 4 * stable), "dissociation").when((C("longest") == 1) & F.greatest(C("even"), C("dropped") - C("even")).isin(F.floor(C("n") / 2)) , "two_to_one").when(C("longest") >= 2, "high_grade").when(C("rising") >= 0.6, "wenckebach").when(C("delay_mad") <= stable, "mobitz").otherwise("undetermined").alias("conduction"))
-
-
 def relative_amplitude_filter(beats: DataFrame, t: float = 0.15) -> DataFrame:
     """Beats of at least t times the median of the upper half of amplitudes; unevaluable ones stay."""
     w = rec().orderBy(F.desc_nulls_last("amplitude"), "event_id")
@@ -222,12 +211,10 @@ def relative_amplitude_filter(beats: DataFrame, t: float = 0.15) -> DataFrame:
 
 
 def threshold_sweep(beats: DataFrame, truth: DataFrame, thresholds: list[float], tol: float) -> DataFrame:
-    """Matched, missed and extra events after the amplitude filter, per threshold."""
-    out = None
-    for t in thresholds:
-        m = match_counts(truth, relative_amplitude_filter(beats, t).select("record_id", "t_ms"), tol).agg(*[F.sum(c).alias(c) for c in ("matched", "missed", "extra")]).withColumn("threshold", F.lit(t))
-        out = m if out is None else out.unionByName(m)
-    return out
+    """Matched, missed and extra events after the amplitude filter, per threshold; all thresholds are matched together."""
+    kept = reduce(DataFrame.unionByName, [relative_amplitude_filter(beats, t).select("record_id", "t_ms", F.lit(t).alias("threshold")) for t in thresholds])
+    each = truth.select("record_id", "t_ms", F.explode(F.array(*[F.lit(t) for t in thresholds])).alias("threshold"))
+    return match_counts(each, kept, tol, ("threshold", "record_id")).groupBy("threshold").agg(*[F.sum(c).alias(c) for c in ("matched", "missed", "extra")])
 
 
 def extra_event_attribution(extras: DataFrame, p: DataFrame, q: DataFrame, tol: float) -> DataFrame:
@@ -236,15 +223,6 @@ def extra_event_attribution(extras: DataFrame, p: DataFrame, q: DataFrame, tol:
     return both.withColumn("attribution", F.when(C("near_p"), "near_p").when(C("near_q"), "near_t").otherwise("other"))
 
 
-def harmonic_period(events: DataFrame, low: float, high: float) -> DataFrame:
-    """Of gap / 1..4 within bounds the period with the least median relative residual; ties: the longer."""
-    g = gaps(events).filter("gap is not null").groupBy("record_id", C("gap").cast("double").alias("gap")).agg(F.count("*").alias("n"))
-    cand = g.select("record_id", F.explode(F.array(*[C("gap") / k for k in (1, 2, 3, 4)])).alias("period")).filter(C("period").between(low, high)).distinct()
-    both = cand.join(g, "record_id").withColumn("res", F.abs(C("gap") / C("period") - F.round(C("gap") / C("period"))))
-    m = both.groupBy("record_id", "period").agg(F.percentile("res", F.lit(0.5), C("n")).alias("residual"))
-    return m.groupBy("record_id").agg(F.min_by(F.struct("period", "residual"), F.struct(F.round("residual", 9), -C("period"))).alias("x")).select("record_id", "x.*")
-
-
 def trim_padding(samples: DataFrame, eps: float, most: int | None = None) -> DataFrame:
     """Samples between the first and last index where any channel exceeds eps; at most the first `most` of them."""
     live = samples.groupBy("record_id", "i").agg(F.max(F.abs("v")).alias("m")).filter(C("m") > eps).groupBy("record_id").agg(F.min("i").alias("a"), F.max("i").alias("b"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortlens.operators import events as E
+from cohortlens.operators import phases as P
 from cohortlens.operators import rules as R
 from cohortlens.plans.registry import query
 
@@ -65,7 +66,14 @@ def _(t):
     return E.near_pairs(d("purchase"), d("view"), 6 * H)
 
 
-@query("j16_tolerance_match")
+# Greedy over all pairs in order: a fold that keeps what is used. The first element of each list is the empty state.
+_STATE = "{'a': CAST([] AS VARCHAR[]), 'b': CAST([] AS VARCHAR[]), 'e': CAST([] AS BIGINT[])}"
+_FOLD = "list_reduce(list_prepend(" + _STATE + ", l), lambda s, x: CASE WHEN list_contains(s.a, x.a[1]) OR list_contains(s.b, x.b[1]) THEN s ELSE {'a': s.a || x.a, 'b': s.b || x.b, 'e': s.e || x.e} END).e"
+_PAIRS = "list({'a': [a.t_ms || '#' || a.n], 'b': [b.t_ms || '#' || b.n], 'e': [abs(a.t_ms - b.t_ms)]} ORDER BY abs(a.t_ms - b.t_ms), a.t_ms, a.n, b.t_ms, b.n) AS l"
+_NUMBERED = "SELECT record_id, t_ms, row_number() OVER (PARTITION BY record_id, t_ms) AS n FROM evts WHERE kind = "
+
+
+@query("j16_tolerance_match", f"WITH a AS ({_NUMBERED}'purchase'), b AS ({_NUMBERED}'view'), p AS (SELECT record_id, {_PAIRS} FROM a JOIN b USING (record_id) WHERE abs(a.t_ms - b.t_ms) <= {6 * H} GROUP BY 1), m AS (SELECT record_id, {_FOLD} AS e FROM p), n AS (SELECT record_id, coalesce(x, 0) AS n_truth, coalesce(y, 0) AS n_found FROM (SELECT record_id, count(*) AS x FROM a GROUP BY 1) FULL JOIN (SELECT record_id, count(*) AS y FROM b GROUP BY 1) USING (record_id)) SELECT record_id, n_truth, n_found, coalesce(len(e), 0) AS matched, CAST(list_median(e) AS DOUBLE) AS median_error, n_truth - coalesce(len(e), 0) AS missed, n_found - coalesce(len(e), 0) AS extra FROM n LEFT JOIN m USING (record_id)")
 def _(t):
     return E.match_counts(kind(t, "purchase"), kind(t, "view"), 6 * H)
 
@@ -130,12 +138,24 @@ def _(t):
 
 @query("e07_conduction_class")
 def _(t):
-    return E.conduction_class(kind(t, "view"), kind(t, "purchase"), float(H), 48.0 * H, 30.0 * H, 6.0 * H)
+    return P.conduction_class(kind(t, "view"), kind(t, "purchase"), H, 48.0 * H, 20.0 * H, 12.0 * H, 1.0 * H, 2.0 * H, regular=0.9)
+
+
+_GAPS = "{0}g AS (SELECT record_id, count(*) AS n, median(g) AS m, CASE WHEN count(g) >= 2 THEN stddev_samp(g) / avg(g) END AS cv FROM (SELECT record_id, t_ms - lag(t_ms) OVER (PARTITION BY record_id ORDER BY t_ms) AS g FROM {0}) GROUP BY 1)"
 
 
-@query("e08_sequence_topology", f"WITH {_ONE}, x AS (SELECT p.record_id, p.t_ms, CASE WHEN EXISTS (SELECT 1 FROM r WHERE r.record_id = p.record_id AND r.t_ms BETWEEN p.t_ms + {H} AND p.t_ms + {48 * H}) THEN 0 ELSE 1 END AS d FROM p), y AS (SELECT *, sum(1 - d) OVER w AS island, CASE WHEN d <> lag(d) OVER w THEN 1 WHEN lag(d) OVER w IS NOT NULL THEN 0 END AS alt FROM x WINDOW w AS (PARTITION BY record_id ORDER BY t_ms)), l AS (SELECT record_id, max(s) AS longest FROM (SELECT record_id, island, sum(d) AS s FROM y GROUP BY 1, 2) GROUP BY 1), a AS (SELECT record_id, count(*) AS n_p, sum(1 - d) AS conducted, avg(alt) AS alternation FROM y GROUP BY 1), n AS (SELECT record_id, count(*) AS n_r FROM r GROUP BY 1) SELECT a.record_id, n_p, CAST(conducted AS BIGINT) AS conducted, round(alternation, 6) AS alternation, CAST(longest AS BIGINT) AS longest_drop, coalesce(n_r, 0) AS n_r, round(n_p / n_r, 6) AS p_r_ratio FROM a JOIN l USING (record_id) LEFT JOIN n USING (record_id)")
+@query(
+    "e08_sequence_topology",
+    f"WITH {_ONE}, {_GAPS.format('p')}, {_GAPS.format('r')}, x AS (SELECT record_id, t_ms AS t, (SELECT max(t_ms) FROM r WHERE r.record_id = p.record_id AND r.t_ms < p.t_ms) AS rb, (SELECT min(t_ms) FROM r WHERE r.record_id = p.record_id AND r.t_ms > p.t_ms) AS ra FROM p), y AS (SELECT *, CASE WHEN ra - t BETWEEN {H} AND {48 * H} THEN ra - t END AS d, row_number() OVER (PARTITION BY record_id ORDER BY t) - 1 AS i FROM x), "
+    "z AS (SELECT *, sum(CAST(d IS NOT NULL AS INT)) OVER w AS island, lag(d, 1) OVER w AS d1, lag(d, 2) OVER w AS d2, lag(d, 3) OVER w AS d3, CASE WHEN d IS NULL THEN CAST(t - rb AS DOUBLE) / (ra - rb) END AS place FROM y WINDOW w AS (PARTITION BY record_id ORDER BY t)), l AS (SELECT record_id, max(s) AS longest FROM (SELECT record_id, island, count(*) FILTER (d IS NULL) AS s FROM z GROUP BY 1, 2) GROUP BY 1), "
+    f"a AS (SELECT record_id, count(d) AS c, count(*) AS n, abs(count(d) FILTER (i % 2 = 0) - count(d) FILTER (i % 2 = 1)) >= greatest(1, count(*) // 3) AS alt, bool_or(coalesce(d IS NULL AND d2 - d3 > {H} AND d1 - d2 > {H}, false)) AS rising, count(place) AS dn, count(*) FILTER (place BETWEEN 0.25 AND 0.75) AS dmid, median(place) AS dm, median(d) AS pm FROM z GROUP BY 1), k AS (SELECT z.record_id, CASE WHEN count(d) >= 3 THEN median(abs(d - pm)) END AS mad FROM z JOIN a USING (record_id) GROUP BY 1), "
+    "h AS (SELECT record_id, d, median(d) OVER (PARTITION BY record_id) AS m FROM (SELECT r.record_id, r.t_ms - (SELECT max(t_ms) FROM p WHERE p.record_id = r.record_id AND p.t_ms < r.t_ms) AS d, pg.m AS g FROM r JOIN pg USING (record_id)) WHERE d <= 1.05::DOUBLE * g), f AS (SELECT record_id, count(*) AS n, median(abs(d - m)) AS mad, max(d) - min(d) AS span FROM h GROUP BY 1), "
+    f"o AS (SELECT i.record_id, coalesce(pg.n, 0) AS p_n, coalesce(rg.n, 0) AS r_n, coalesce(pg.n, 0) >= 4 AND coalesce(rg.n, 0) >= 3 AS e, pg.cv AS pcv, rg.cv AS rcv, c, a.n - c AS dropped, longest, alt, coalesce(k.mad <= {20 * H}, false) AS stable, rising, coalesce(f.n >= 3 AND f.mad >= greatest({2 * H}, 0.15::DOUBLE * pg.m) AND f.span >= 0.30::DOUBLE * pg.m, false) AS diss, dmid, dn, dm, pm, k.mad AS mad FROM (SELECT record_id FROM p UNION SELECT record_id FROM r) i LEFT JOIN pg USING (record_id) LEFT JOIN rg USING (record_id) LEFT JOIN a USING (record_id) LEFT JOIN l USING (record_id) LEFT JOIN k USING (record_id) LEFT JOIN f USING (record_id)) "
+    "SELECT record_id, e AS evaluable, p_n, r_n, CASE WHEN e THEN round(pcv, 6) END AS pp_cv, CASE WHEN e THEN round(rcv, 6) END AS rr_cv, CASE WHEN e THEN c END AS conducted_n, CASE WHEN e THEN dropped END AS dropped_n, CASE WHEN e THEN longest END AS max_consecutive_drop, CASE WHEN e THEN round(p_n / r_n, 6) END AS p_r_ratio, CASE WHEN e THEN alt END AS alternating, CASE WHEN e THEN stable END AS stable_pr, CASE WHEN e THEN rising END AS progressive_pr, CASE WHEN e THEN diss END AS phase_dissociation, CASE WHEN e THEN dmid END AS dropped_rr_phase_mid_n, CASE WHEN e THEN dn END AS dropped_rr_phase_n, CASE WHEN e THEN round(dm, 6) END AS dropped_rr_phase_median, CASE WHEN e THEN round(pm, 6) END AS pr_median_ms, CASE WHEN e THEN round(mad, 6) END AS pr_mad_ms FROM o",
+)
 def _(t):
-    return E.sequence_topology(kind(t, "view"), kind(t, "purchase").select("record_id", "t_ms").distinct(), H, 48 * H)
+    out = P.sequence_topology(kind(t, "view"), kind(t, "purchase"), H, 48.0 * H, 20.0 * H, 1.0 * H, 2.0 * H)
+    return out.select(*[C(c).cast("bigint").alias(c) if d == "int" else C(c) for c, d in out.dtypes])
 
 
 @query("e09_coupling_relation")
@@ -148,7 +168,7 @@ def _(t):
     return E.relative_amplitude_filter(t.evts).select("event_id", "reference")
 
 
-@query("e11_threshold_sweep")
+@query("e11_threshold_sweep", f"WITH k AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY amplitude DESC NULLS LAST, event_id) AS k, count(amplitude) OVER (PARTITION BY record_id) AS n FROM evts WHERE kind = 'view'), r AS (SELECT record_id, median(amplitude) AS reference FROM k WHERE k <= ceil(n / 2) GROUP BY 1), h AS (SELECT unnest([0.15::DOUBLE, 0.2::DOUBLE, 0.25::DOUBLE]) AS threshold), b0 AS (SELECT threshold, record_id, t_ms FROM h, k LEFT JOIN r USING (record_id) WHERE amplitude IS NULL OR reference IS NULL OR amplitude >= threshold * reference), b AS (SELECT *, row_number() OVER (PARTITION BY threshold, record_id, t_ms) AS n FROM b0), a AS (SELECT threshold, x.* FROM h, ({_NUMBERED}'purchase') x), p AS (SELECT threshold, record_id, {_PAIRS} FROM a JOIN b USING (threshold, record_id) WHERE abs(a.t_ms - b.t_ms) <= {6 * H} GROUP BY 1, 2), m AS (SELECT threshold, sum(len({_FOLD})) AS matched FROM p GROUP BY 1), t AS (SELECT threshold, count(*) AS x FROM a GROUP BY 1), f AS (SELECT threshold, count(*) AS y FROM b GROUP BY 1) SELECT threshold, CAST(coalesce(matched, 0) AS BIGINT) AS matched, CAST(x - coalesce(matched, 0) AS BIGINT) AS missed, CAST(y - coalesce(matched, 0) AS BIGINT) AS extra FROM t JOIN f USING (threshold) LEFT JOIN m USING (threshold)")
 def _(t):
     return E.threshold_sweep(kind(t, "view"), kind(t, "purchase"), [0.15, 0.2, 0.25], 6 * H)
 
@@ -207,9 +227,17 @@ def _(t):
     return E.fused_rank(scores)
 
 
-@query("e17_harmonic_period", f"WITH g AS (SELECT record_id, CAST(t_ms - lag(t_ms) OVER (PARTITION BY record_id ORDER BY t_ms) AS DOUBLE) AS gap FROM (SELECT DISTINCT record_id, t_ms FROM evts WHERE kind = 'view')), h AS (SELECT * FROM g WHERE gap IS NOT NULL), c AS (SELECT DISTINCT record_id, gap / k AS period FROM h, (VALUES (1), (2), (3), (4)) v(k) WHERE gap / k BETWEEN {3.0 * H} AND {90.0 * H}), m AS (SELECT c.record_id, period, median(abs(gap / period - round(gap / period))) AS residual FROM c JOIN h ON c.record_id = h.record_id GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY round(residual, 9), period DESC) AS n FROM m) SELECT record_id, round(period, 6) AS period, round(residual, 6) AS residual FROM r WHERE n = 1")
+@query(
+    "e17_harmonic_period",
+    f"WITH {_ONE}, {_GAPS.format('p')}, {_GAPS.format('r')}, g AS (SELECT record_id, CAST(t_ms - lag(t_ms) OVER (PARTITION BY record_id ORDER BY t_ms) AS DOUBLE) AS gap FROM p), h AS (SELECT * FROM g WHERE gap > 0), c AS (SELECT DISTINCT record_id, gap / k AS period FROM h, (VALUES (1), (2), (3), (4)) v(k) WHERE gap / k BETWEEN {3.0 * H} AND {90.0 * H}), m AS (SELECT c.record_id, period, median(abs(gap - greatest(1, round_even(gap / period, 0)) * period) / period) AS residual FROM c JOIN h ON c.record_id = h.record_id GROUP BY 1, 2), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY round(residual, 9), period DESC) AS n FROM m) WHERE n = 1), "
+    "s AS (SELECT record_id, min(t_ms) AS first FROM p GROUP BY 1), w AS (SELECT r.record_id, period, CAST(r.t_ms - first AS DOUBLE) % period AS v FROM r JOIN s USING (record_id) JOIN b USING (record_id)), q AS (SELECT record_id, period, CASE WHEN v < 0 THEN v + period ELSE v END AS v FROM w), u AS (SELECT *, row_number() OVER o AS k, round(coalesce(lead(v) OVER o, first_value(v) OVER o + period) - v, 6) AS ahead FROM q WINDOW o AS (PARTITION BY record_id ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)), "
+    "cut AS (SELECT record_id, arg_max(k, (ahead, -k)) AS upto FROM u GROUP BY 1), ring AS (SELECT record_id, CASE WHEN k > upto THEN v ELSE v + period END AS v FROM u JOIN cut USING (record_id)), y AS (SELECT record_id, median(v) AS m, max(v) - min(v) AS span, count(*) AS n FROM ring GROUP BY 1), z AS (SELECT ring.record_id, median(abs(v - m)) AS mad FROM ring JOIN y USING (record_id) GROUP BY 1), "
+    f"o AS (SELECT pg.record_id, pg.n AS event_n, pg.n >= 3 AND coalesce(rg.n, 0) >= 3 AS e, b.period, b.residual, rg.cv, coalesce(b.residual <= 0.12, false) AS cons, coalesce(rg.cv <= 0.9, false) AS reg, coalesce(60000 / b.period > 1.25::DOUBLE * 60000 / rg.m, false) AS fast, z.mad, y.span, coalesce(y.n >= 3 AND z.mad >= greatest({2 * H}, 0.15::DOUBLE * b.period) AND y.span >= 0.30::DOUBLE * b.period, false) AS diss FROM pg LEFT JOIN rg USING (record_id) LEFT JOIN b USING (record_id) LEFT JOIN y USING (record_id) LEFT JOIN z USING (record_id)) "
+    "SELECT record_id, e AS evaluable, event_n, CASE WHEN e THEN round(period, 6) END AS period, CASE WHEN e THEN round(residual, 6) END AS residual, CASE WHEN e THEN round(60000 / period, 6) END AS atrial_rate, CASE WHEN e THEN round(cv, 6) END AS rr_cv, CASE WHEN e THEN round(mad, 3) END AS phase_mad, CASE WHEN e THEN round(span, 3) END AS phase_range, e AND cons AS harmonic_consistent, e AND reg AS ventricular_regular, e AND fast AS faster, e AND diss AS phase_dissociation, e AND cons AND fast AND reg AND diss AS complete_block FROM o",
+)
 def _(t):
-    return E.harmonic_period(kind(t, "view"), 3.0 * H, 90.0 * H)
+    out = P.harmonic_period(kind(t, "view"), kind(t, "purchase"), 3.0 * H, 90.0 * H, 2.0 * H, regular=0.9)
+    return out.withColumns({c: F.round(c, 3) for c in ("phase_mad", "phase_range")}).withColumn("event_n", C("event_n").cast("bigint"))
 
 
 def series(t):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from cohortlens.functions import text as X
-from cohortlens.operators import cohort, consensus, events, link, measures, merge, rules, score
+from cohortlens.operators import cohort, consensus, events, link, measures, merge, phases, rules, score
 from cohortlens.sources import readers
 from cohortlens.streaming import streams
 
@@ -113,8 +113,79 @@ def beats(spark, times, kind):
 
 def test_two_to_one_conduction(spark):
     p, r = beats(spark, range(100, 1351, 250), "P"), beats(spark, (175, 675, 1175), "R")
-    got = events.conduction_class(p, r, 80.0, 500.0, 200.0, 30.0).first()
-    assert got.conduction == "two_to_one" and got.dropped == 3
+    got = phases.conduction_class(p, r).first()
+    assert (got.classification, got.confidence, got.dropped_n) == ("two_to_one", 0.84, 3)
+    top = phases.sequence_topology(p, r).first()
+    assert (top.evaluable, top.conducted_n, top.dropped_n, top.max_consecutive_drop, top.alternating, top.stable_pr) == (True, 3, 3, 1, True, True)
+    assert top.dropped_rr_phase_n == 2 and top.dropped_rr_phase_mid_n == 2 and top.dropped_rr_phase_median == pytest.approx(0.35)
+
+
+def test_wenckebach_and_complete_block(spark):
+    steps, p, r = (160, 200, 260, None, 160, 200, 260, None), [], []
+    for k, d in enumerate(steps):
+        p.append(400 * k)
+        r += [400 * k + d // 2 * 2] if d else []
+    p, r = beats(spark, [x // 2 for x in p], "P"), beats(spark, [x // 2 for x in r], "R")
+    assert phases.sequence_topology(p, r).first().progressive_pr
+    assert phases.conduction_class(p, r).first().classification == "wenckebach"
+    p, r = beats(spark, [300 * k for k in range(20)], "P"), beats(spark, [37 + 437 * k for k in range(13)], "R")
+    got, relation = phases.conduction_class(p, r).first(), phases.harmonic_period(p, r).first()
+    assert got.classification == "complete_block"
+    assert relation.complete_block and relation.period == 600 and relation.atrial_rate == 100 and relation.faster
+
+
+def test_ring_is_cut_at_its_largest_gap(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    rings = [[990.0, 5.0, 995.0], [0.0, 500.0], [10.0], [250.0, 250.0, 750.0], [0.0, 250.0, 500.0, 750.0], *[rng.uniform(0, 1000, n).round(3).tolist() for n in (3, 8, 40)]]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(rings)], "k int, v array<double>").select("k", phases.cut_ring(F.col("v"), F.lit(1000.0)).alias("ring")).withColumns({"mad": phases.mad(F.col("ring")), "span": phases.spread(F.col("ring"))})
+    for row in df.collect():
+        s = np.sort(rings[row.k])
+        at = int(np.argmax(np.diff(np.r_[s, s[0] + 1000]).round(6)))
+        want = np.r_[s[at + 1 :], s[: at + 1] + 1000]
+        assert row.ring == pytest.approx(want.tolist()) and row.span == pytest.approx(want.max() - want.min())
+        assert row.mad == pytest.approx(np.median(np.abs(want - np.median(want))))
+    assert df.filter("k = 0").first().span == 15
+
+
+def test_events_too_few_to_judge(spark):
+    p, r = beats(spark, (1, 2, 3), "P"), beats(spark, (5, 6), "R")
+    got = phases.harmonic_period(p, r).first()
+    assert (got.evaluable, got.event_n, got.period, got.complete_block) == (False, 3, None, False)
+    top = phases.sequence_topology(p, r).first()
+    assert (top.evaluable, top.p_n, top.r_n, top.conducted_n) == (False, 3, 2, None)
+    none = p.limit(0)
+    assert phases.sequence_topology(none, none).count() == phases.conduction_class(none, r).count() == phases.harmonic_period(none, r).count() == 0
+    late = phases.harmonic_period(beats(spark, (0, 5000, 11000), "P"), beats(spark, (5, 6, 9), "R")).first()
+    assert (late.evaluable, late.period, late.harmonic_consistent) == (True, None, False)
+
+
+def test_rounds_give_the_greedy_match(spark):
+    import numpy as np
+
+    rng, rows = np.random.default_rng(9), {"a": [], "b": []}
+    for record in range(30):
+        for side in rows:
+            rows[side] += [(record, int(t)) for t in rng.integers(0, 400 if record % 2 else 60, rng.integers(0, 60))]
+    a, b = (spark.createDataFrame(rows[s], "record_id bigint, t_ms bigint") for s in "ab")
+    matched = events.tolerance_match(a, b, 25).collect()
+    want = []
+    for record in range(30):
+        own = {s: sorted(t for r, t in rows[s] if r == record) for s in "ab"}
+        used_a, used_b = set(), set()
+        for e, i, j in sorted((abs(x - y), i, j) for i, x in enumerate(own["a"]) for j, y in enumerate(own["b"]) if abs(x - y) <= 25):
+            if i not in used_a and j not in used_b:
+                used_a.add(i)
+                used_b.add(j)
+                want.append((record, own["a"][i], own["b"][j], e))
+    assert sorted((r.record_id, r.a_ms, r.b_ms, r.error) for r in matched) == sorted(want)
+    assert 1 < max(r["round"] for r in matched) <= 3 * np.log2(len(rows["a"]))
+    plan = events.tolerance_match(a, b, 25)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan
+    times = np.cumsum([60 - k for k in range(24)]).tolist()  # every pair waits for the next one
+    a, b = (spark.createDataFrame([(1, int(t)) for t in times[k::2]], "record_id bigint, t_ms bigint") for k in (0, 1))
+    assert events.tolerance_match(a, b, 60).count() == 12
 
 
 def test_greedy_match_takes_shortest_first(spark):

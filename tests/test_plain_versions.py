@@ -76,36 +76,50 @@ def test_e04_exact_clusters(spark, sf_dir, events):
     assert sorted((r["record_id"], r["channels"], r["t_ms"], r["spread"]) for r in rows(spark, sf_dir, "e04_cross_channel_cluster_exact")) == sorted(want)
 
 
+def cv(x):
+    return np.std(x, ddof=1) / np.mean(x) if len(x) >= 2 else None
+
+
+def conduction(p, r, lo, hi, long_delay, stable, rise, floor, regular):
+    p, r = sorted(set(p)), sorted(set(r))
+    pair = {x: t - x for t, x in claims(r, p, lo, hi) if x is not None}
+    d = [pair.get(x) for x in p]
+    known = [x for x in d if x is not None]
+    delay = median(known) if known else None
+    mad = median(abs(x - delay) for x in known) if known else None
+    longest = max(map(len, "".join("d" if x is None else "-" for x in d).split("-")))
+    pp, rr = np.diff(p), np.diff(r)
+    phase = [t - max(x for x in p if x < t) for t in r if any(x < t for x in p)]
+    phase = [x for x in phase if len(pp) and x <= 1.05 * np.median(pp)]
+    wander = np.median(np.abs(phase - np.median(phase))) if len(phase) >= 3 else None
+    span = max(phase) - min(phase) if len(phase) >= 3 else None
+    apart = wander is not None and wander >= max(floor, 0.15 * np.median(pp)) and span >= 0.30 * np.median(pp)
+    steady = len(known) >= 3 and mad <= stable
+    p_regular, r_regular = (x is not None and x <= regular for x in (cv(pp), cv(rr)))
+    flags = [x is not None for x in d]
+    alternating = abs(sum(flags[::2]) - sum(flags[1::2])) >= max(1, len(flags) // 3)
+    rising = any(d[k] is None and None not in d[k - 3 : k] and d[k - 2] - d[k - 3] > rise and d[k - 1] - d[k - 2] > rise for k in range(3, len(d)))
+    dropping = p_regular and not all(flags) and len(known) >= 2
+    if all(flags) and len(known) >= 3 and abs(len(p) - len(r)) <= 1 and steady and delay > long_delay:
+        kind = "first_degree"
+    elif p_regular and r_regular and len(p) >= 5 and len(r) >= 3 and np.median(rr) > 1.25 * np.median(pp) and apart and not steady:
+        kind = "complete_block"
+    elif dropping and 1.75 <= len(p) / len(r) <= 2.25 and alternating:
+        kind = "two_to_one"
+    elif dropping and longest >= 2:
+        kind = "high_grade"
+    elif dropping and steady:
+        kind = "mobitz_two"
+    else:
+        kind = "wenckebach" if dropping and rising else "none_established"
+    return len(p), len(r), len(known), longest, delay, mad, wander, span, kind
+
+
 def test_e07_conduction(spark, sf_dir, events):
-    got = {r["record_id"]: (r["n"], r["dropped"], r["longest"], r["conduction"]) for r in rows(spark, sf_dir, "e07_conduction_class")}
-    for u, ps in events["view"].items():
-        p = sorted({t for t, *_ in ps})
-        pair = {x: t for t, x in claims(times(events, "purchase", u), times(events, "view", u), H, 48 * H) if x is not None}
-        d = [pair[x] - x if x in pair else None for x in p]
-        drops = [x is None for x in d]
-        longest = max(map(len, "".join("d" if x else "-" for x in drops).split("-")))
-        known = [x for x in d if x is not None]
-        delay = median(known) if known else None
-        mad = median(abs(x - delay) for x in known) if known else None
-        rising = [d[k] > d[k - 1] for k in range(1, len(d)) if d[k] is not None and d[k - 1] is not None]
-        even = sum(drops[1::2])
-        n = len(p)
-        if n < 4:
-            kind = "undetermined"
-        elif not any(drops):
-            kind = "first_degree" if delay > 30 * H else "one_to_one"
-        elif mad is None or mad > 24 * H:
-            kind = "dissociation"
-        elif longest == 1 and max(even, sum(drops) - even) == n // 2:
-            kind = "two_to_one"
-        elif longest >= 2:
-            kind = "high_grade"
-        elif rising and sum(rising) / len(rising) >= 0.6:
-            kind = "wenckebach"
-        else:
-            kind = "mobitz" if mad <= 6 * H else "undetermined"
-        assert got[u] == (n, sum(drops), longest, kind), u
-    assert len(got) == len(events["view"])
+    got = {r["record_id"]: tuple(r[c] for c in ("p_n", "r_n", "conducted_n", "max_consecutive_drop", "pr_median_ms", "pr_mad_ms", "phase_mad", "phase_range", "classification")) for r in rows(spark, sf_dir, "e07_conduction_class")}
+    both = set(events["view"]) & set(events["purchase"])
+    want = {u: conduction(times(events, "view", u), times(events, "purchase", u), H, 48 * H, 20 * H, 12 * H, H, 2 * H, 0.9) for u in both}
+    assert got == want and len({w[-1] for w in want.values()}) >= 2
 
 
 def test_e09_coupling(spark, sf_dir, events):
