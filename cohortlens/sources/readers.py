@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from cohortlens.functions.text import MARKED, PLAIN
+from cohortlens.sources.labels import read_labels
 
 
 def read_catalog(spark: SparkSession, path: str, schema: StructType, optional: bool = False) -> DataFrame:
@@ -44,11 +45,11 @@ def resolve_columns(df: DataFrame, wanted: dict[str, list[str]], contains: dict[
 
 
 def read_label_documents(spark: SparkSession, path: str, fields: list[str]) -> DataFrame:
-    """Rows of label JSON files ({results: [...]}) that have any of the fields; scalars and lists both become arrays."""
-    types = ", ".join(f"{f}: string" for f in fields)
-    raw = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", f"results array<struct<id: string, effective_time: string, {types}>>")["results"]).alias("r"))
-    as_list = lambda f: F.when(F.col(f"r.{f}").isNull(), F.lit(None)).otherwise(F.coalesce(F.from_json(F.col(f"r.{f}"), "array<string>"), F.array(F.col(f"r.{f}"))))
-    return raw.select("r.id", "r.effective_time", *[as_list(f).alias(f) for f in fields]).filter(F.coalesce(*[F.col(f) for f in fields]).isNotNull())
+    """Rows of label JSON files ({results: [...]}) that have any of the fields; scalars and lists both become arrays.
+
+    Files are read element by element (sources/labels.py), so their size is no matter; one that is cut off is an error.
+    """
+    return read_labels(spark, path, fields)
 
 
 def read_prediction_shards(spark: SparkSession, glob: str, id_cols: list[str]) -> DataFrame:
