@@ -2,12 +2,12 @@
 
 Text blocks are grouped by their tag path, the block elements from the root to the one that holds the text. A
 path's ratio is its text length per block, and punctuation per block makes an extended ratio; along the page
-both are smoothed and fused, and paths whose mean ratio reaches a threshold that the ratios' spread gives are
-content. What a page says of its elements is evidence that moves a path's ratio before the threshold: a marked
-article lifts the paths inside it and lowers those outside; names of boilerplate, and text that is all links,
-take the lift away, so that such a path stands on its ratio alone; names that can only be adverts, menus,
-comments of readers and the like lower it out of reach. Elements that are no article by their meaning (menus,
-footers, forms, scripts) have no content.
+both are smoothed and fused with the path's own. A path is content if its fused ratio, times a bounded prior, reaches a
+share of the greatest ratio of the page (less what speaks against its path). The prior is what the page says of its elements: those made for text
+(paragraphs, list items, cells) may be shorter than boxes, what lies outside a marked article must be longer, names that
+hint at boilerplate and text that is all links count against a path. Elements that are no article by their meaning
+(menus, footers, forms, scripts), hidden ones, and those whose whole name says menu, advert, comments of readers or the
+like have no content, whatever their ratio.
 """
 
 from __future__ import annotations
@@ -21,9 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Nodes to either side that smoothing takes in, and the share of the spread that is the threshold.
-RADIUS = 2
-SPREAD = 0.6
+#: Nodes to either side that smoothing takes in, and the weight of a path's own ratio among the three that are fused.
+RADIUS, OWN = 2, 2 / 3
+#: Share of the page's greatest fused ratio, less what speaks against its path, that content reaches.
+SHARE = 0.2
+#: Priors: of elements made for text, of what lies outside a marked article, of a name that hints at boilerplate, and of
+#: a path of links.
+TEXT, OUTSIDE, MAYBE, LINKED = 64.0, 1 / 256, 0.5, 0.01
+#: Share of a path's text in links, and its blocks, from which on it is a path of links.
+LINK_SHARE, LINK_BLOCKS = 0.8, 3
 
 # Element names of HTML by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -33,25 +39,27 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 LEVEL = {"li": ("li", {"ul", "ol", "menu"}), "dt": ("dt dd", {"dl"}), "dd": ("dt dd", {"dl"}), "tr": ("tr td th", {"table"}), "td": ("td th", {"tr", "table"}), "th": ("td th", {"tr", "table"}), "option": ("option", {"select"})}
 HEADING = re.compile(r"h[1-6]$")
-# Words in class and id names by which pages mark what is not their article.
-ONLY_BOILERPLATE = frozenset(
+FOR_TEXT = frozenset("p li dd dt td th pre blockquote figcaption caption h1 h2 h3 h4 h5 h6".split())
+# Words in class and id names by which pages mark what is not their article, and words that say nothing
+# beside them. A name of such words only, one of the first kind among them, is the name of boilerplate.
+BOILERPLATE = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion promoted banner cookie cookies consent gdpr nav navbar navigation menu menus breadcrumb breadcrumbs pager pagination "
-    "sidebar widget widgets footer masthead topbar comment comments commentlist respond replies disqus share sharing sharebar related recommended recommendations newsletter subscribe subscription signup login popup modal "
+    "sidebar widget widgets footer masthead topbar comment comments commentlist discussion discussions respond replies reply disqus share sharing sharebar related recommended recommendations newsletter subscribe subscription signup login popup modal "
     "overlay skiplink toolbar notice notices".split()
 )
-MAYBE_BOILERPLATE = frozenset("alert header social tags tag copyright legal byline meta info tools print side bar list links".split())
-#: Words of names that say that a block belongs to the article, and first words of names that only mention a thing.
+NEUTRAL = frozenset(
+    "area bar block body bottom box button buttons center col column container content element form group holder icons inner item items js left layout links list main module outer page panel posts primary reader readers right row secondary section site slot small "
+    "social static sticky thread top unit user users wrap wrapper".split()
+)
+HINTS = frozenset("alert header social tags tag copyright legal byline meta info tools print side bar list links".split())
+#: Words of names that say that a block belongs to the article, and words of names that only mention a thing.
 ARTICLE_WORDS = frozenset("article post entry content story body text main page prose".split())
-NEGATING = frozenset("no has with without".split())
+NEGATING = frozenset("no has with without none".split())
 NO_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 MARKED = frozenset(["article", "main"])
 NAME_WORD = re.compile(r"[a-z]+")
-
-#: Factors on a path's ratio: the lift inside a marked article (its inverse outside), names of maybe boilerplate,
-#: paths of links in pages without a mark, names of boilerplate only.
-LIFT, MAYBE, LINKED, NEVER_BY_NAME = 1000.0, 0.5, 0.1, 1e-9
-#: Share of a path's text in links, and its blocks, from which on it is a path of links.
-LINK_SHARE, LINK_BLOCKS = 0.8, 3
+#: The factor of a named boilerplate element: no prior, as it puts the element out of reach.
+BY_NAME = 1e-9
 
 # Quotes are passed over whole, so a > inside one does not end the tag; nothing is scanned twice.
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*+)")
@@ -67,24 +75,23 @@ def _attributes(raw: str) -> dict[str, str]:
 
 
 def evidence(name: str, raw: str) -> float:
-    """What an element's name and attributes say of its content: 0 if it has none, 1 if nothing, or a factor."""
+    """What an element's name and attributes say of its content: 0 if it has none, BY_NAME if its name is boilerplate's, else a prior."""
     if name in NEVER:
         return 0.0
-    if not raw.strip() or name in ("body", "html", "article", "main"):
+    if not raw.strip():
         return 1.0
     has = _attributes(raw)
     if "hidden" in has or has.get("aria-hidden", "").lower() == "true" or has.get("role", "").lower() in NO_ROLE:
         return 0.0
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", has.get("style", ""), re.IGNORECASE):
         return 0.0
-    names = [NAME_WORD.findall(x) for x in f"{has.get('class', '')} {has.get('id', '')}".lower().split()]
-    names = [x for x in names if x and x[0] not in NEGATING]
-    other = [x for x in names if not ARTICLE_WORDS & {*x}]
-    if any(x[0] in ONLY_BOILERPLATE or x[-1] in ONLY_BOILERPLATE for x in other):
-        return NEVER_BY_NAME if len(other) == len(names) else MAYBE
-    if any(MAYBE_BOILERPLATE & {*x} for x in other) or any(ONLY_BOILERPLATE & {*x} for x in names):
-        return MAYBE
-    return 1.0
+    if name in ("body", "html"):  # their names are those of the page's layout
+        return 1.0
+    names = [{*NAME_WORD.findall(x)} for x in f"{has.get('class', '')} {has.get('id', '')}".lower().split()]
+    names = [x for x in names if x and not x & NEGATING]
+    if any(x & BOILERPLATE and x <= BOILERPLATE | NEUTRAL for x in names):
+        return BY_NAME
+    return MAYBE if any(x & (BOILERPLATE | HINTS) for x in names) else 1.0
 
 
 class Blocks:
@@ -215,24 +222,23 @@ def smoothed(x: np.ndarray, radius: int = RADIUS) -> np.ndarray:
 
 
 def path_ratios(path: np.ndarray, length: np.ndarray, marks: np.ndarray) -> np.ndarray:
-    """Fused ratio of each path: text a block, and text by punctuation a block, smoothed along the page, mean over its blocks."""
+    """Fused ratio of each path: text a block, and text by punctuation a block, smoothed along the page, with its own; mean over its blocks."""
     blocks = np.bincount(path)
     text, punctuation = np.bincount(path, length) / blocks, np.bincount(path, marks) / blocks
     plain, extended = smoothed(text[path]), smoothed((text * np.log2(2 + punctuation))[path])
-    fused = np.cbrt(plain * extended * text[path])  # with the ratio itself, so that neighbours alone make no content
+    fused = text[path] ** OWN * (plain * extended) ** ((1 - OWN) / 2)
     return np.bincount(path, fused) / blocks
 
 
-def factors(blocks: Blocks, path: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """What the evidence makes of each path's ratio."""
-    own, inside = np.array(blocks.factor)[first], np.array(blocks.marked, bool)[first]
-    links = (np.bincount(path, blocks.linked) >= LINK_SHARE * np.bincount(path, length)) & (np.bincount(path) >= LINK_BLOCKS)
-    if not inside.any():
-        return own * np.where(links, LINKED, 1.0)
-    # A name alone does not empty an article: if all that is inside has such names, they only lower it.
-    if (own[inside] < MAYBE**8).all():
-        own = np.where(inside, 1.0, own)
-    return np.where(inside, own * np.where((own == 1) & ~links, LIFT, 1.0), own / LIFT)
+def priors(names: np.ndarray, factor: np.ndarray, inside: np.ndarray, links: np.ndarray) -> np.ndarray:
+    """What the page says of each path, its names' factor among it."""
+    own = factor.copy()
+    # A name alone does not empty an article: if all that is inside has such names, they only count against it.
+    if inside.any() and (own[inside] < MAYBE**8).all():
+        own[inside] = MAYBE
+    leaf = [x.rpartition("/")[2].partition("~")[0] for x in names]
+    own = own * np.where([x in FOR_TEXT for x in leaf], TEXT, 1.0) * np.where(links, LINKED, 1.0)
+    return own * np.where(inside, 1.0, OUTSIDE) if inside.any() else own
 
 
 def main_text(page: str | None) -> str:
@@ -242,23 +248,24 @@ def main_text(page: str | None) -> str:
         return ""
     keys = [f"{p}{'*' if m else ''}" for p, m in zip(blocks.path, blocks.marked, strict=True)]
     names, first, path = np.unique(keys, return_index=True, return_inverse=True)
+    names = np.array([x.rstrip("*") for x in names])
     length = np.array([len(t) for t in blocks.text])
     ratio = path_ratios(path, length, np.array([len(PUNCTUATION.findall(t)) for t in blocks.text]))
-    factor = factors(blocks, path, first, length)
-    able = factor > MAYBE**8 / LIFT
+    links = (np.bincount(path, blocks.linked) >= LINK_SHARE * np.bincount(path, length)) & (np.bincount(path) >= LINK_BLOCKS)
+    prior = priors(names, np.array(blocks.factor)[first], np.array(blocks.marked, bool)[first], links)
+    able = prior > BY_NAME * TEXT
     if not able.any():
         return ""
-    over = ratio[path][able[path]]
-    threshold = max(1.0, SPREAD * over.std(), 0.3 * over.mean())
-    score = ratio * factor
-    keep = able & (score >= threshold)
-    if not keep.any():
-        keep = able & (score == score[able].max())
-    # A heading goes with the content of its own parent.
-    parents = {names[k].rstrip("*").rpartition("/")[0] for k in np.flatnonzero(keep)}
-    for k in np.flatnonzero(able & ~keep):
-        parent, _, leaf = names[k].rstrip("*").rpartition("/")
-        keep[k] = bool(HEADING.match(leaf.partition("~")[0])) and parent in parents
+    heading = np.array([bool(HEADING.match(x.rpartition("/")[2].partition("~")[0])) for x in names])
+    judged = able & ~heading if (able & ~heading).any() else able
+    keep = able & (ratio * prior >= SHARE * (ratio * np.minimum(prior, 1))[judged].max())
+    if not (keep & judged).any():
+        keep |= judged & (ratio * prior == (ratio * prior)[judged].max())
+    # A heading goes with the content of its own parent; inside a marked article it stands by its ratio, too.
+    parents = {names[k].rpartition("/")[0] for k in np.flatnonzero(keep & ~heading)}
+    marked = np.array(blocks.marked, bool)[first]
+    for k in np.flatnonzero(able & heading):
+        keep[k] = names[k].rpartition("/")[0] in parents or keep[k] and (marked[k] or not (able & ~heading).any())
     return "\n".join(blocks.text[k] for k in np.flatnonzero(keep[path]))
 
 

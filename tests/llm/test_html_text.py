@@ -3,6 +3,7 @@ import math
 import random
 import re
 import time
+from collections import Counter
 
 import pytest
 
@@ -72,17 +73,20 @@ def plain_text(nodes):
 
     own = [size[key(n)] for n in nodes]
     plain, extended = smooth(own), smooth([size[key(n)] * math.log2(2 + signs[key(n)]) for n in nodes])
-    fused = [(a * b * c) ** (1 / 3) for a, b, c in zip(plain, extended, own)]
+    fused = [c ** (2 / 3) * (a * b) ** (1 / 6) for a, b, c in zip(plain, extended, own)]
     ratio = {k: sum(f for f, n in zip(fused, nodes) if key(n) == k) / len(g) for k, g in groups.items()}
     some = any(n[4] for n in nodes)
-    factor = {k: k[2] * ((1000 if k[2] == 1 else 1) if k[3] else 1 / 1000) if some else k[2] for k in groups}
-    able = {k for k in groups if factor[k] > 1e-6}
-    over = [ratio[key(n)] for n in nodes if key(n) in able]
-    mean = sum(over) / len(over)
-    threshold = max(1, 0.6 * (sum((x - mean) ** 2 for x in over) / len(over)) ** 0.5, 0.3 * mean)
-    keep = {k for k in able if ratio[k] * factor[k] >= threshold} or {max(able, key=lambda k: ratio[k] * factor[k])}
-    parents = {k[0] for k in keep}
-    return "\n".join(n[2] for n in nodes if key(n) in keep or (key(n) in able and n[1] == "h2" and n[0] in parents))
+    prior = {k: k[2] * (64 if k[1] != "div" else 1) * (1 / 256 if some and not k[3] else 1) for k in groups}
+    score = {k: ratio[k] * prior[k] for k in groups}
+    able = {k for k in groups if k[2] > 1e-6}
+    judged = {k for k in able if k[1] != "h2"} or able
+    keep = {k for k in able if score[k] >= 0.2 * max(ratio[j] * min(1, prior[j]) for j in judged)}
+    if not keep & judged:
+        keep |= {max(judged, key=lambda k: score[k])}
+    parents = {k[0] for k in keep if k[1] != "h2"}
+    alone = not {k for k in able if k[1] != "h2"}
+    stay = lambda k: k in able and (k[0] in parents or k in keep and (k[3] or alone)) if k[1] == "h2" else k in keep
+    return "\n".join(n[2] for n in nodes if stay(key(n)))
 
 
 @pytest.mark.parametrize("marked", [False, True])
@@ -92,11 +96,11 @@ def test_ratios_match_the_plain_rule(marked):
     for _ in range(150):
         nodes, page = [], []
         for _ in range(rng.randint(2, 6)):
-            home = rng.choice(["div", "section", "article" if marked else "div", "td"])
+            home = rng.choice(["main", "section", "article" if marked else "main"]).replace("main", "center")
             name = rng.choice(["", "", "legal", "sidebar"]) if home != "article" else ""
             inner = []
             for _ in range(rng.randint(1, 5)):
-                tag = rng.choice(["p", "p", "h2", "blockquote"])
+                tag = rng.choice(["p", "div", "h2", "blockquote"])
                 text = " ".join(rng.choice(["word", "longer", "it,", "end.", "a"]) for _ in range(rng.choice([1, 3, 12, 60])))
                 factor = {"": 1.0, "legal": 0.5, "sidebar": 1e-9}[name]
                 nodes.append((f"{home}{name}", tag, text, factor, home == "article"))
@@ -110,6 +114,51 @@ def test_ratios_match_the_plain_rule(marked):
     assert kept > 50
 
 
+@pytest.mark.parametrize("around", ["article", "main", "div"])
+def test_ratios_decide_on_a_box_without_a_name(around):
+    page = lambda box: f"<body><nav>Menu</nav><{around}><h1>Head</h1><p>{PROSE}</p><div>{box}</div><p>{PROSE * 3}</p></{around}></body>"
+    assert html_text.main_text(page("Buy now")) == f"Head\n{PROSE}\n{PROSE * 3}"
+    assert html_text.main_text(page(PROSE)) == f"Head\n{PROSE}\n{PROSE}\n{PROSE * 3}"
+
+
+def test_a_clear_ratio_outweighs_the_mark():
+    page = lambda text: f"<body><div><p>{text}</p></div><main><p>Choose a page.</p></main></body>"
+    assert html_text.main_text(page(PROSE * 9)) == f"{PROSE * 9}\nChoose a page."
+    page = lambda text: f"<body><div>{text}</div><main><p>{PROSE}</p></main></body>"
+    assert html_text.main_text(page(PROSE)) == PROSE
+    assert html_text.main_text(page(PROSE * 600)) == f"{PROSE * 600}\n{PROSE}"
+
+
+@pytest.mark.parametrize("part", ['<article class="comment">', "<article hidden>", '<article class="advert">', '<section role="complementary">', '<div class="discussion">', '<div id="reader-comments">', '<div class="ad-banner top">', '<main aria-hidden="true">'])
+def test_marks_do_not_save_what_is_no_article(part):
+    name = re.match(r"<(\w+)", part)[1]
+    page = f"<body><article><h1>Head</h1><p>{PROSE}</p>{part}<p>{PROSE * 4}</p></{name}></article></body>"
+    assert html_text.main_text(page) == f"Head\n{PROSE}"
+
+
+@pytest.mark.parametrize("name", ['class="share-price"', 'id="menus-of-the-past"', 'class="comment-on-the-law"', 'class="notice-of-sale lead"'])
+def test_names_that_only_begin_or_end_like_boilerplate(name):
+    page = f"<body><article><h1>Head</h1><p>{PROSE}</p><div {name}><p>{PROSE * 2}</p></div></article></body>"
+    assert html_text.main_text(page) == f"Head\n{PROSE}\n{PROSE * 2}"
+
+
+def test_short_parts_of_an_article_stay():
+    page = f"<body><article><h1>Head</h1><p>{PROSE * 5}</p><ul><li>one</li><li>two</li></ul><section><p>So.</p></section><table><tr><td>7</td><td>eight</td></tr></table><blockquote>Yes!</blockquote></article></body>"
+    assert html_text.main_text(page) == f"Head\n{PROSE * 5}\none\ntwo\nSo.\n7\neight\nYes!"
+
+
+def test_pages_without_marks_and_names(spark):
+    found = right = asked = 0
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        want = Counter(html_text.main_text(r.html).split("\n"))
+        bare = re.sub(r"<(/?)(article|nav|footer)[^>]*>", r"<\1div>", r.html.replace(' class="ad"', ""))
+        got = Counter(html_text.main_text(bare).split("\n"))
+        right += sum((got & want).values())
+        found += sum(got.values())
+        asked += sum(want.values())
+    assert right / asked > 0.99 and right / found > 0.8
+
+
 @pytest.mark.parametrize("name", ["post tags", "social-science", "legal", "post nav-x", "content-sidebar-none"])
 def test_no_name_alone_empties_an_article(name):
     page = f'<body><nav>Menu</nav><article><h1>Head</h1><div class="{name}"><p>{PROSE}</p><p>{PROSE}</p></div></article></body>'
