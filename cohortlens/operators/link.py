@@ -10,6 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortlens.functions.text import fold_text, similarity, token_set_ratio, tokens
+from cohortlens.operators.near_names import banded_pairs, similar_pairs
+from cohortlens.sources.shared import written
 
 
 def name_or_id_lookup(catalog: DataFrame, source: DataFrame) -> DataFrame:
@@ -36,13 +38,26 @@ def pattern_labels(codes: DataFrame, patterns: dict[str, list[str]], exclusions:
     return codes.select("code", F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())).alias("target"))
 
 
-def name_pairs(left: DataFrame, right: DataFrame, least: int = 3) -> DataFrame:
+#: Pairs of names that one token may make; the names of a hotter one meet by their q-grams.
+MOST_PAIRS = 1 << 22
+
+
+def name_pairs(left: DataFrame, right: DataFrame, least: int = 3, most_pairs: int = MOST_PAIRS) -> DataFrame:
     """(name, candidate) of different names that share a token of `least` letters or more, each pair once.
 
-    Names are distinct before they meet; a token is as hot as the names that have it, and its join may be split.
+    Names are distinct before they meet. A token that would make more than `most_pairs` pairs brings none together by
+    itself: names with such a token meet those others with which they share a band of their q-grams (near_names).
     """
     keyed = lambda df, name: df.select(F.col("name").alias(name)).distinct().withColumn("__t", F.explode(F.array_distinct(F.filter(tokens(F.col(name)), lambda x: F.length(x) >= least))))
-    return keyed(left, "name").join(keyed(right, "candidate"), "__t").filter("name <> candidate").select("name", "candidate").distinct()
+    a, b = keyed(left, "name"), keyed(right, "candidate")
+    held = a.groupBy("__t").agg(F.count("*").alias("a")).join(b.groupBy("__t").agg(F.count("*").alias("b")), "__t")
+    hot = held.filter(F.col("a") * F.col("b") > most_pairs).select("__t")
+    if hot.isEmpty():
+        return a.join(b, "__t").filter("name <> candidate").select("name", "candidate").distinct()
+    hot = written(hot, "hot_tokens")
+    rare = a.join(hot, "__t", "left_anti").join(b.join(hot, "__t", "left_anti"), "__t").filter("name <> candidate").select("name", "candidate")
+    crowded = lambda df, name: df.join(hot, "__t", "left_semi").select(F.col(name).alias("name")).distinct()
+    return rare.unionByName(banded_pairs(crowded(a, "name"), crowded(b, "candidate"))).distinct()
 
 
 def fuzzy_candidates(left: DataFrame, right: DataFrame, score: Callable[[Column, Column], Column] = similarity, k: int = 5) -> DataFrame:
@@ -153,11 +168,12 @@ def catalogue_search(queries: DataFrame, catalog: DataFrame, fields: list[str],
     return ranked.filter(F.col("rank") <= limit).select("query", "med_id", "name", "rank")
 
 
-def literal_then_fuzzy(queries: DataFrame, table: DataFrame, fields: list[str], fuzzy: list[str], least: float = 64.0, letters: int = 4) -> DataFrame:
+def literal_then_fuzzy(queries: DataFrame, table: DataFrame, fields: list[str], fuzzy: list[str], least: float = 64.0, letters: int = 4, most_queries: int = 1000) -> DataFrame:
     """(query, name, how): literal hits on any of `fields`; only queries without any are matched by similarity.
 
-    Similarity is that to one of the `fuzzy` fields, whole or to one of its tokens of `letters` or more. The
-    stated queries are sent to all rows; what they meet is each different text once.
+    Similarity is that to one of the `fuzzy` fields, whole or to one of its tokens of `letters` or more. Up to
+    `most_queries` queries are sent to all rows, of which they meet each different text once; of more, the literal ones
+    still do, and the others meet texts by q-grams, without loss.
     """
     q = queries.select("query", fold_text(F.col("query")).alias("__q"))
     named = table.withColumn("name", fold_text(F.col("name")))
@@ -165,7 +181,12 @@ def literal_then_fuzzy(queries: DataFrame, table: DataFrame, fields: list[str],
     rest = q.join(literal.select("query").distinct(), "query", "left_anti")
     texts = search_texts(named, "name", fuzzy)
     texts = texts.unionByName(texts.select("name", F.explode(F.filter(tokens(F.col("text")), lambda x: F.length(x) >= letters)).alias("text"))).distinct()
-    near = texts.select("text").distinct().join(F.broadcast(rest), similarity(F.col("text"), F.col("__q")) >= least)
+    if queries.count() <= most_queries:
+        near = texts.select("text").distinct().join(F.broadcast(rest), similarity(F.col("text"), F.col("__q")) >= least)
+    else:
+        pairs = similar_pairs(rest.select(F.col("__q").alias("name")), texts.select(F.col("text").alias("name")), least)
+        alike = pairs.filter(similarity(F.col("name"), F.col("candidate")) >= least).select(F.col("name").alias("__q"), F.col("candidate").alias("text"))
+        near = alike.join(rest, "__q")
     found = texts.join(near, "text").select("query", "name").distinct()
     return literal.unionByName(found.withColumn("how", F.lit("fuzzy")))
 
