@@ -44,7 +44,8 @@ def balanced_selection(records: DataFrame, folds: list[int], namespace: str, k_p
     allowed = records.filter(F.col("fold").isin(folds)).withColumn("hash", id_hash(namespace, "record_id"))
     group = F.coalesce("target", F.lit("control"))
     ranked = allowed.withColumn("arm", group).withColumn("rank", F.row_number().over(W.partitionBy("arm").orderBy("hash", "record_id")))
-    return ranked.filter(F.col("rank") <= F.when(F.col("arm") == "control", k_neg).otherwise(k_pos)).select("arm", "record_id", "rank")
+    first = ranked.filter(F.col("rank") <= max(k_pos, k_neg))  # a literal, so each task keeps no more than these
+    return first.filter((F.col("arm") == "control") | (F.col("rank") <= k_pos)).filter((F.col("arm") != "control") | (F.col("rank") <= k_neg)).select("arm", "record_id", "rank")
 
 
 def stage_loss_cases(pred: DataFrame, target: str, lost_at: str, kept_at: str | None, k: int, namespace: str) -> DataFrame:
@@ -95,3 +96,23 @@ def panel_contract(panel: DataFrame, records: DataFrame, size: int, roles: dict[
     checks = [("size", F.col("n") == size, F.col("n")), ("unique", F.col("n") == F.col("ids"), F.col("ids")), ("folds", F.col("bad_fold") == 0, F.col("bad_fold")), ("present", F.col("absent") == 0, F.col("absent"))]
     checks += [(f"role_{r}", F.col(f"role_{r}") == k, F.col(f"role_{r}")) for r, k in roles.items()]
     return counts.select(F.explode(F.array(*[F.struct(F.lit(n).alias("check_name"), ok.alias("ok"), found.alias("found")) for n, ok, found in checks])).alias("c")).select("c.*")
+
+
+def panel_violations(panel: DataFrame, records: DataFrame, codes: DataFrame, targets: dict[str, list[str]], folds: list[int], adult: float = 18.0) -> DataFrame:
+    """(record_id, role, target, problem) of panel rows that break the contract; a panel without any may be used.
+
+    panel(record_id, role, target), records(record_id, fold, age), codes(record_id, code). A positive must name a
+    target of `targets` (name to codes) and still have one of its codes; a control must have no code of any target.
+    """
+    target_of = F.create_map(*[x for t, own in targets.items() for x in (F.lit(t), F.array(*[F.lit(c) for c in own]))])
+    held = codes.join(panel.select("record_id").distinct(), "record_id", "left_semi").groupBy("record_id").agg(F.collect_set("code").alias("codes"))
+    here = panel.join(records.select("record_id", "fold", "age").withColumn("there", F.lit(True)), "record_id", "left").join(held, "record_id", "left")
+    here = here.withColumn("codes", F.coalesce("codes", F.array().cast("array<string>"))).withColumn("wanted", F.try_element_at(target_of, F.col("target")))
+    positive, control = F.col("role") == "POSITIVE", F.col("role") == "NEGATIVE_CONTROL"
+    there, every = F.col("there").isNotNull(), F.array(*[F.lit(c) for own in targets.values() for c in own])
+    problems = F.array(
+        F.when(~there, "missing_record"), F.when(there & ~F.coalesce(F.col("fold").isin(folds), F.lit(False)), "forbidden_fold"), F.when(F.col("age") < adult, "pediatric"),
+        F.when(positive & F.col("wanted").isNull(), "unknown_target"), F.when(there & positive & ~F.arrays_overlap("wanted", "codes"), "target_no_longer_true"),
+        F.when(control & F.arrays_overlap("codes", every), "control_matches_target"), F.when(~F.coalesce(positive | control, F.lit(False)), "unsupported_role"),
+    )
+    return here.select("record_id", "role", "target", F.explode(F.filter(problems, lambda x: x.isNotNull())).alias("problem"))

@@ -40,6 +40,40 @@ def upper_envelope(leads: DataFrame, by: list[str]) -> DataFrame:
     return ranked.filter((C("r") <= 3) | (C("n") < 3)).groupBy(*by).agg(F.median("value").alias("value"), (F.max("value") - F.min("value")).alias("spread"), F.first("n").alias("n"))
 
 
+#: Fixed values of a duration over all channels: bounds, least and trusted confidence, least spread that is an outlier's.
+LOW, HIGH, LEAST_CONF, TRUSTED, SPREAD_FLOOR = 40.0, 220.0, 0.20, 0.45, 30.0
+
+
+def global_duration(leads: DataFrame, by: list[str]) -> DataFrame:
+    """(by, value, spread, confidence, n_used, n_eligible, mode): the duration over all channels, by their upper envelope.
+
+    Of plausible channels the trusted count if there are three, else all; those above median + max(30, 3 robust
+    spreads) go if three remain; the value is the median of the three longest. Confidence is the mean of theirs, by
+    how near they are to each other and by the share of six channels. Below three channels it is robust_consensus.
+    """
+    able = leads.filter(C("value").between(LOW, HIGH) & (F.coalesce("confidence", F.lit(0.0)) >= LEAST_CONF))
+    g = able.groupBy(*by).agg(F.collect_list(F.struct((-C("value")).alias("down"), "lead", "value", "confidence")).alias("all"))  # a record's channels
+    g = g.withColumn("trusted", F.filter("all", lambda x: x["confidence"] >= TRUSTED))
+    g = g.withColumn("rows", F.array_sort(F.when(F.size("trusted") >= 3, C("trusted")).otherwise(C("all")))).filter(F.size("rows") >= 3)
+    g = g.withColumn("m", middle(C("rows.value")))
+    g = g.withColumn("limit", C("m") + F.greatest(F.lit(SPREAD_FLOOR), 3 * 1.4826 * middle(F.transform("rows", lambda x: F.abs(x["value"] - C("m"))))))
+    g = g.withColumn("kept", F.filter("rows", lambda x: x["value"] <= C("limit")))
+    g = g.withColumn("kept", F.when(F.size("kept") >= 3, C("kept")).otherwise(C("rows")))
+    g = g.withColumn("top", F.slice("kept", 1, 3)).withColumns({"value": C("top.value")[1], "spread": C("top.value")[0] - C("top.value")[2]})
+    mean = F.aggregate("top", F.lit(0.0), lambda s, x: s + x["confidence"]) / 3
+    unit = lambda x, low: F.least(F.lit(1.0), F.greatest(F.lit(low), x))
+    sure = mean * unit(1 - C("spread") / F.greatest(C("value"), F.lit(60.0)), 0.45) * unit(F.size("kept") / 6, 0.60)
+    upper = g.select(*by, "value", "spread", sure.alias("confidence"), F.lit(3).cast("bigint").alias("n_used"), F.size("kept").cast("bigint").alias("n_eligible"), F.lit("upper_envelope").alias("mode"))
+    rest = robust_consensus(leads.join(upper.select(*by), by, "left_anti"), by)
+    return upper.unionByName(rest.select(*by, "value", F.lit(None).cast("double").alias("spread"), "confidence", "n_used", C("n_used").alias("n_eligible"), C("tier").alias("mode")))
+
+
+def middle(a: Column) -> Column:
+    """Median of a short array."""
+    s, n = F.array_sort(a), F.size(a)
+    return (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.ceil((n - 1) / 2).cast("int"))) / 2
+
+
 def inlier_rate(leads: DataFrame, by: list[str], selected: str = "is_selected") -> DataFrame:
     """Median over channels within max(8, 18 %) of the first median if three remain, and whether the selected channel is an outlier."""
     first = leads.groupBy(*by).agg(F.median("value").alias("m0"))

@@ -9,9 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cohortlens.sources.shared import written
+from cohortlens.sources.shared import sent, written
 
 C = F.col
+#: Waves of all templates together: with a few hundred numbers each, some MB.
+MOST_TEMPLATES = 10_000
 
 
 def rec():
@@ -150,6 +152,38 @@ def premature_events(beats: DataFrame, early: float = 0.82) -> DataFrame:
     return flags.select("record_id", "event_id", "outlier", "pause", F.when(C("outlier") & C("pause"), "ventricular_like").when(C("outlier") | C("pause"), "undetermined").otherwise("supraventricular_like").alias("class"))
 
 
+#: Fixed values of premature beats: gap and pause by the median gap, width by itself and over the median, amplitude by itself and by the median.
+EARLY, PAUSE, WIDE, WIDER, TALL, TALLER = 0.82, 1.75, 120.0, 25.0, 0.30, 0.60
+
+
+def ectopic_beats(beats: DataFrame) -> DataFrame:
+    """Premature beats of records with five beats or more: (record_id, event_id, wide, amplitude_outlier, pause, kind).
+
+    beats(record_id, event_id, t_ms, width, amplitude); unknown widths and amplitudes are no outliers. The first and
+    the last beat of a record are not judged.
+    """
+    w = rec().orderBy("t_ms", "event_id")
+    g = beats.withColumns({"gap": C("t_ms") - F.lag("t_ms").over(w), "after": F.lead("t_ms").over(w) - C("t_ms")})
+    m = g.groupBy("record_id").agg(F.count("*").alias("n"), F.median("gap").alias("m_gap"), F.median("width").alias("m_width"), F.median("amplitude").alias("m_amp")).filter("n >= 5")
+    p = g.filter("after is not null").join(m, "record_id").filter(C("gap") < EARLY * C("m_gap"))
+    no = F.lit(False)
+    p = p.withColumns({
+        "wide": F.coalesce((C("width") >= WIDE) | (C("width") >= C("m_width") + WIDER), no), "amplitude_outlier": F.coalesce(F.abs(C("amplitude") - C("m_amp")) >= F.greatest(F.lit(TALL), TALLER * F.abs("m_amp")), no),
+        "pause": C("gap") + C("after") >= PAUSE * C("m_gap"),
+    })
+    kind = F.when(C("wide") & (C("amplitude_outlier") | C("pause")), "ventricular").when(~C("wide"), "supraventricular").otherwise("unclassified")
+    return p.select("record_id", "event_id", "wide", "amplitude_outlier", "pause", kind.alias("kind"))
+
+
+def ectopy_burden(beats: DataFrame) -> DataFrame:
+    """Per record: beats, premature ones by kind, their share of all beats, and whether they may explain irregular gaps."""
+    n = beats.groupBy("record_id").agg(F.count("*").alias("n_beats"))
+    k = ectopic_beats(beats).groupBy("record_id").agg(F.count("*").alias("premature"), F.count_if(C("kind") == "ventricular").alias("ventricular"), F.count_if(C("kind") == "supraventricular").alias("supraventricular"))
+    out = n.join(k, "record_id", "left").fillna(0, ["premature", "ventricular", "supraventricular"]).withColumn("evaluable", C("n_beats") >= 5)
+    out = out.withColumn("burden", F.when(C("evaluable"), C("premature") / C("n_beats")))
+    return out.withColumn("explains_irregularity", F.coalesce((C("premature") >= 2) & (C("burden") >= 0.10), F.lit(False)))
+
+
 def gap_clusters(evts: DataFrame, tol: float, channels: int = 2, by: tuple[str, ...] = ("record_id",)) -> DataFrame:
     """Clusters of events less than tol apart, with their channels, median time and spread; those of enough channels."""
     w = W.partitionBy(*by).orderBy("t_ms", "kind")
@@ -324,7 +358,7 @@ def template_scores(waves: DataFrame, templates: DataFrame, windows: list[tuple[
     amp = F.when((p > 1e-6) & (q > 1e-6), F.exp(-F.abs(F.log((p + 1e-6) / (q + 1e-6)))))
     score = F.when(amp.isNull(), mean).otherwise((1 - amplitude) * mean + amplitude * amp)
     leads = templates.groupBy("template").agg(F.count("*").alias("n"))
-    both = waves.join(templates.withColumnRenamed("wave", "__t"), "lead").withColumn("score", score)
+    both = waves.join(sent(templates.withColumnRenamed("wave", "__t"), "the set of templates", MOST_TEMPLATES), "lead").withColumn("score", score)
     by = both.groupBy("record_id", "template").agg(F.avg("score").alias("mean"), F.count("score").alias("k")).join(leads, "template")
     coverage = C("k") / C("n")
     return by.select("record_id", "template", (C("mean") * (0.70 + 0.30 * coverage)).alias("visual"), coverage.alias("coverage"))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cohortlens.sources.keeping import keep_model, model_version
+
 C = F.col
 
 
@@ -86,13 +88,36 @@ def advisory_findings(raw: DataFrame, codes: DataFrame) -> DataFrame:
     return known.select("record_id", "external_code", "code", reason.alias("reason"), reason.isNull().alias("accepted"))
 
 
+def _training_rows(features: DataFrame, version: str) -> DataFrame:
+    return features.filter((C("version") == version) & ~F.coalesce("excluded", F.lit(False)))
+
+
 def balanced_softmax_fit(features: DataFrame, version: str):
     """Class-balanced multinomial logistic regression on features of one version that are not excluded."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
-    rows = features.filter((C("version") == version) & ~F.coalesce("excluded", F.lit(False)))
+    rows = _training_rows(features, version)
     every = W.partitionBy()
     counts = rows.groupBy("label").agg(F.count("*").alias("n_c")).withColumns({"n": F.sum("n_c").over(every), "k": F.count("*").over(every)})
     weighted = rows.join(F.broadcast(counts), "label").withColumns({"weight": C("n") / (C("k") * C("n_c")), "features": array_to_vector("embedding"), "y": C("label").cast("double")})
     return LogisticRegression(family="multinomial", labelCol="y", weightCol="weight", maxIter=20, regParam=0.01).fit(weighted)
+
+
+def versioned_softmax(features: DataFrame, feature_version: str, home: str, key: str = "vec_id"):
+    """(version, model): the fit of these training rows, kept in `home` under a version that they fix; it is not fitted again."""
+    from pyspark.ml.classification import LogisticRegressionModel
+
+    version = model_version(_training_rows(features, feature_version).select(key, "label", "embedding"), feature_version)
+    excluded = features.filter(F.coalesce("excluded", F.lit(False))).select(key)
+    return version, keep_model(home, version, lambda: balanced_softmax_fit(features, feature_version), LogisticRegressionModel.load, excluded)
+
+
+def score_by_version(features: DataFrame, home: str, version: str) -> DataFrame:
+    """features with what the kept model of a version predicts."""
+    from pyspark.ml.classification import LogisticRegressionModel
+    from pyspark.ml.functions import array_to_vector
+
+    model = LogisticRegressionModel.load(f"{home}/models/{version}")
+    scored = model.transform(features.withColumn("features", array_to_vector("embedding")))
+    return scored.select(*features.columns, C("prediction").cast("int").alias("predicted"), F.lit(version).alias("model_version"))

@@ -213,6 +213,28 @@ def text_windows(df: DataFrame, key: str, text: str, term: str, before: int = 60
     return df.select(key, text).mapInPandas(run, f"{key} bigint, n_hits bigint, context string")
 
 
+def anonymised_headers(headers: DataFrame, key: str, text: str, signals: int = 12, rate: float = 500.0) -> DataFrame:
+    """(key, kept, n_samples, reason) of text headers: their record and signal lines only, never what follows them.
+
+    The first line has the record's name, signals, rate (before a slash) and samples. reason is malformed (too few
+    fields or lines, no numbers), wrong_signals or wrong_rate, null for those that are accepted; kept is null for all others.
+    """
+    whole = F.coalesce(F.col(text), F.lit(""))
+    lines = F.split(F.regexp_replace(whole, "\r?\n$", ""), "\r?\n")
+    h = headers.select(key, F.when(whole != "", lines).otherwise(F.array().cast("array<string>")).alias("l"))
+    h = h.withColumn("f", F.filter(F.split(F.coalesce(F.get("l", F.lit(0)), F.lit("")), r"\s+"), lambda x: x != ""))
+    h = h.withColumns({"n": F.expr("try_cast(get(f, 1) as int)"), "r": F.expr("try_cast(split(get(f, 2), '/')[0] as double)"), "n_samples": F.expr("try_cast(get(f, 3) as bigint)")})
+    broken = (F.size("f") < 4) | F.col("n").isNull() | F.col("r").isNull() | F.col("n_samples").isNull() | (F.size("l") < F.col("n") + 1)
+    reason = F.when(broken, "malformed").when(F.col("n") != signals, "wrong_signals").when(F.abs(F.col("r") - rate) > 1e-6, "wrong_rate")
+    kept = F.array_join(F.expr("slice(l, 1, greatest(n, 0) + 1)"), "\n")
+    return h.withColumn("reason", reason).select(key, F.when(F.col("reason").isNull(), kept).alias("kept"), F.when(F.col("reason").isNull(), F.col("n_samples")).alias("n_samples"), "reason")
+
+
+def header_rejections(headers: DataFrame) -> DataFrame:
+    """(reason, n) of anonymised headers, accepted ones among them."""
+    return headers.groupBy(F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n"))
+
+
 def section_top_k(sections: DataFrame, title: str, body: str, least: int = 50, k: int = 4) -> DataFrame:
     """(doc, section, score, rank): sections scored by title and body hits, same texts once, the best k of each document."""
     score = 60 * F.rlike("title", F.lit(title)).cast("int") + 30 * F.rlike("body", F.lit(body)).cast("int") + F.least(F.lit(30), F.regexp_count("body", F.lit(body)) * 10)

@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cohortlens.sources.shared import sent
+
 C = F.col
+#: Leaves of all rules together.
+MOST_LEAVES = 10_000
 
 
 def band_join(patients: DataFrame, rules: DataFrame) -> DataFrame:
@@ -63,11 +67,16 @@ def condition_rules(context: DataFrame, clauses: DataFrame) -> DataFrame:
     leaf = clauses.withColumn("leaf", F.monotonically_increasing_id())
     v, x = C("value"), C("limit")
     holds = F.when(C("op") == ">", v > x).when(C("op") == ">=", v >= x).when(C("op") == "<", v < x).when(C("op") == "<=", v <= x).when(C("op") == "==", v == x).when(C("op") == "exists", v.isNotNull())
-    seen = context.join(leaf, "field").withColumn("met", F.coalesce(holds, F.lit(False)))
+    seen = context.join(sent(leaf, "the rules' clauses", MOST_LEAVES), "field").withColumn("met", F.coalesce(holds, F.lit(False)))
     hit = seen.filter("met").groupBy("patient_id", "rule_id", "clause").agg(F.countDistinct(F.when(~C("negate"), C("leaf"))).alias("pos"), F.countDistinct(F.when(C("negate"), C("leaf"))).alias("bad"))
     need = leaf.groupBy("rule_id", "priority", "clause").agg(F.count_if(~C("negate")).alias("need"))
     clause = ["rule_id", "clause"]
-    met = hit.join(need.filter("need > 0"), clause).filter("pos = need and bad = 0").select("patient_id", "rule_id", "priority")
-    free = context.select("patient_id").distinct().crossJoin(need.filter("need = 0").select(*clause, "priority"))
-    free = free.join(hit.filter("bad > 0").select("patient_id", *clause), ["patient_id", *clause], "left_anti").select("patient_id", "rule_id", "priority")
+    met = hit.join(F.broadcast(need.filter("need > 0")), clause).filter("pos = need and bad = 0").select("patient_id", "rule_id", "priority")
+    # Clauses of negations alone hold for every patient of whom no leaf of theirs is met: MOST_LEAVES at most.
+    alone = [F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.clause).alias("clause"), F.lit(r.priority).alias("priority")) for r in need.filter("need = 0").orderBy(*clause).collect()]
+    if not alone:
+        return met.distinct()
+    bad = hit.filter("bad > 0").groupBy("patient_id").agg(F.collect_list(F.struct(*clause)).alias("bad"))
+    every = context.select("patient_id").distinct().join(bad, "patient_id", "left")
+    free = every.select("patient_id", F.explode(F.filter(F.array(*alone), lambda c: ~F.coalesce(F.array_contains("bad", F.struct(c["rule_id"], c["clause"])), F.lit(False)))).alias("c")).select("patient_id", "c.rule_id", "c.priority")
     return met.unionByName(free).distinct()

@@ -67,3 +67,18 @@ def _(t):
 def _(t):
     panel = t.orders.filter("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("record_id"), F.expr("case when o_orderkey % 5 = 0 then 'control' else 'positive' end").alias("role"))
     return cohort.panel_contract(panel, t.coh, 3000, {"positive": 2400, "control": 600}, list(range(1, 9)))
+
+
+_PANEL = "p AS (SELECT o_orderkey AS record_id, CASE o_orderkey % 7 WHEN 0 THEN 'NEGATIVE_CONTROL' WHEN 1 THEN 'NO_SUCH' ELSE 'POSITIVE' END AS role, CASE WHEN o_orderkey % 7 > 1 THEN CASE o_orderkey % 3 WHEN 0 THEN 'urgent' WHEN 1 THEN 'low' ELSE 'other' END END AS target FROM orders WHERE o_orderstatus <> 'P'), r AS (SELECT o_orderkey AS record_id, o_orderkey % 10 + 1 AS fold, o_custkey % 95 + 1 AS age, o_orderpriority AS code FROM orders WHERE o_orderstatus <> 'O')"
+
+
+@query("g02_panel_labels", f"WITH {_PANEL}, h AS (SELECT p.*, fold, age, code, r.record_id IS NOT NULL AS there, CASE target WHEN 'urgent' THEN ['1-URGENT', '2-HIGH'] WHEN 'low' THEN ['5-LOW'] END AS wanted FROM p LEFT JOIN r ON r.record_id = p.record_id), x AS (SELECT record_id, role, target, unnest([CASE WHEN NOT there THEN 'missing_record' END, CASE WHEN there AND fold > 8 THEN 'forbidden_fold' END, CASE WHEN age < 18 THEN 'pediatric' END, CASE WHEN role = 'POSITIVE' AND wanted IS NULL THEN 'unknown_target' END, CASE WHEN there AND role = 'POSITIVE' AND NOT list_contains(wanted, code) THEN 'target_no_longer_true' END, CASE WHEN role = 'NEGATIVE_CONTROL' AND code IN ('1-URGENT', '2-HIGH', '5-LOW') THEN 'control_matches_target' END, CASE WHEN role NOT IN ('POSITIVE', 'NEGATIVE_CONTROL') THEN 'unsupported_role' END]) AS problem FROM h) SELECT * FROM x WHERE problem IS NOT NULL")
+def _(t):
+    k = F.col("o_orderkey")
+    role = F.when(k % 7 == 0, "NEGATIVE_CONTROL").when(k % 7 == 1, "NO_SUCH").otherwise("POSITIVE")
+    target = F.when(k % 7 > 1, F.when(k % 3 == 0, "urgent").when(k % 3 == 1, "low").otherwise("other"))
+    panel = t.orders.filter("o_orderstatus <> 'P'").select(k.alias("record_id"), role.alias("role"), target.alias("target"))
+    known = t.orders.filter("o_orderstatus <> 'O'")
+    records = known.select(k.alias("record_id"), (k % 10 + 1).alias("fold"), (F.col("o_custkey") % 95 + 1).alias("age"))
+    codes = known.select(k.alias("record_id"), F.col("o_orderpriority").alias("code"))
+    return cohort.panel_violations(panel, records, codes, {"urgent": ["1-URGENT", "2-HIGH"], "low": ["5-LOW"]}, list(range(1, 9)))

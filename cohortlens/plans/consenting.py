@@ -26,6 +26,11 @@ def _(t):
     return K.upper_envelope(leads(t), ["record_id"])
 
 
+@query("a17_global_duration", f"WITH leads AS (SELECT record_id, lead, engine / 10 AS value, confidence FROM meas WHERE lead <= 6), able AS (SELECT *, count(*) FILTER (confidence >= 0.45) OVER (PARTITION BY record_id) AS nt FROM leads WHERE value BETWEEN 40 AND 220 AND confidence >= 0.20), used AS (SELECT *, median(value) OVER (PARTITION BY record_id) AS m, count(*) OVER (PARTITION BY record_id) AS n FROM able WHERE nt < 3 OR confidence >= 0.45), dev AS (SELECT *, median(abs(value - m)) OVER (PARTITION BY record_id) AS mad FROM used WHERE n >= 3), lim AS (SELECT *, value <= m + greatest(30, 3 * 1.4826 * mad) AS ok, count(*) FILTER (value <= m + greatest(30, 3 * 1.4826 * mad)) OVER (PARTITION BY record_id) AS n_ok FROM dev), kept AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY value DESC, lead) AS r, count(*) OVER (PARTITION BY record_id) AS k FROM lim WHERE ok OR n_ok < 3), top AS (SELECT record_id, median(value) AS value, max(value) - min(value) AS spread, avg(confidence) AS c, max(k) AS k FROM kept WHERE r <= 3 GROUP BY 1), upper AS (SELECT record_id, round(value, 9) AS value, round(spread, 9) AS spread, round(c * least(1, greatest(0.45, 1 - spread / greatest(value, 60))) * least(1, greatest(0.60, k / 6)), 9) AS confidence, CAST(3 AS BIGINT) AS n_used, k AS n_eligible, 'upper_envelope' AS mode FROM top), rest AS (SELECT * FROM leads WHERE record_id NOT IN (SELECT record_id FROM upper)), t AS (SELECT record_id, count(*) FILTER (confidence >= 0.45) AS nt FROM rest GROUP BY 1), u AS (SELECT rest.*, nt FROM rest JOIN t USING (record_id) WHERE nt = 0 OR confidence >= 0.45), c AS (SELECT record_id, median(value) AS m, count(*) AS n, avg(confidence) AS mc, max(nt) AS nt FROM u GROUP BY 1), s AS (SELECT u.record_id, median(abs(value - m)) AS mad FROM u JOIN c USING (record_id) GROUP BY 1) SELECT record_id, value, spread, confidence, n_used, n_eligible, mode FROM upper UNION ALL BY NAME SELECT record_id, round(m, 9) AS value, CAST(NULL AS DOUBLE) AS spread, n AS n_used, n AS n_eligible, CASE WHEN nt >= 2 THEN 'multi_trusted' WHEN nt > 0 THEN 'single_trusted' WHEN n >= 2 THEN 'multi_low' ELSE 'single_low' END AS mode, round(least(1, mc / (1 + mad / greatest(1, abs(m) * 0.1)) * CASE WHEN nt >= 2 THEN 1 WHEN nt > 0 THEN 0.85 WHEN n >= 2 THEN 0.75 ELSE 0.65 END), 9) AS confidence FROM c JOIN s USING (record_id)", places=9)
+def _(t):
+    return K.global_duration(leads(t).filter("lead <= 6").withColumn("value", C("value") / 10), ["record_id"])
+
+
 @query("a18_inlier_rate_consensus", f"WITH {_LEADS}, c AS (SELECT record_id, median(value) AS m0 FROM leads GROUP BY 1), d AS (SELECT leads.*, m0, abs(value - m0) <= greatest(8, 0.18 * abs(m0)) AS inl FROM leads JOIN c USING (record_id)) SELECT record_id, round(CASE WHEN count(*) FILTER (inl) >= 3 THEN median(value) FILTER (inl) ELSE max(m0) END, 9) AS rate, count(*) FILTER (inl) AS n_in, bool_or(lead = 2 AND NOT inl) AS selected_outlier FROM d GROUP BY 1", places=9)
 def _(t):
     return K.inlier_rate(leads(t).withColumn("is_selected", C("lead") == 2), ["record_id"])

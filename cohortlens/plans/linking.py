@@ -96,6 +96,24 @@ def _(t):
     return t.pages.select("page_id", F.size(kept).alias("n_kept")).withColumn("accepted", F.col("n_kept") >= 2)
 
 
+# Headers as text: one of nine has too few fields, lines or a rate that is no number; others have other signals or rates.
+_HEAD = "h AS (SELECT o_orderkey AS record_id, CASE o_orderkey % 9 WHEN 0 THEN 'r' || o_orderkey || ' 12' WHEN 1 THEN 'r 12 fast 5000' WHEN 2 THEN 'r 3 500 5000' WHEN 3 THEN 'r 12 250/360 5000' ELSE 'r' || o_orderkey || ' 12 500/1000 ' || (5000 + o_custkey % 10) END AS first, CASE WHEN o_orderkey % 9 = 4 THEN 7 WHEN o_orderkey % 9 = 2 THEN 3 ELSE 12 END AS m FROM orders)"
+
+
+def headers(t):
+    return t.spark.sql("SELECT record_id, first || chr(10) || repeat('sig.dat 16 1000' || chr(10), m) || CASE WHEN m = 7 THEN '' ELSE '# diagnosis: hidden' || chr(10) END AS text FROM (" + _HEAD[6:-1].replace("FROM orders", "FROM {orders}") + ")", orders=t.orders)
+
+
+@query("p15_header_lines", f"WITH {_HEAD}, x AS (SELECT record_id, CASE WHEN m = 7 OR record_id % 9 < 2 THEN 'malformed' WHEN m = 3 THEN 'wrong_signals' WHEN record_id % 9 = 3 THEN 'wrong_rate' END AS reason, first || repeat(chr(10) || 'sig.dat 16 1000', m) AS kept, string_split(first, ' ') AS f FROM h) SELECT record_id, reason, CASE WHEN reason IS NULL THEN kept END AS kept, CASE WHEN reason IS NULL THEN CAST(f[4] AS BIGINT) END AS n_samples FROM x")
+def _(t):
+    return link.anonymised_headers(headers(t), "record_id", "text")
+
+
+@query("p15_header_rejections", "SELECT CASE WHEN o_orderkey % 9 IN (0, 1, 4) THEN 'malformed' WHEN o_orderkey % 9 = 2 THEN 'wrong_signals' WHEN o_orderkey % 9 = 3 THEN 'wrong_rate' ELSE 'accepted' END AS reason, count(*) AS n FROM orders GROUP BY 1")
+def _(t):
+    return link.header_rejections(link.anonymised_headers(headers(t), "record_id", "text"))
+
+
 @query("j02_name_or_id_lookup", f"SELECT p_partkey AS med_id, p_name AS generic_name, CASE WHEN p_type = 'ECONOMY' THEN 'id' WHEN {_FOLD('p_name')} IN (SELECT {_FOLD('p_name')} FROM part WHERE p_brand = 'Brand#7') THEN 'name' END AS supported_by FROM part")
 def _(t):
     # One source knows ids of a class, the other names of a maker.

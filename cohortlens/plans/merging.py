@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from cohortlens.operators import merge
 from cohortlens.plans.registry import query
+from cohortlens.sources import keeping
+from cohortlens.sources.shared import shared_path
 from cohortlens.sources.readers import resolve_columns
 
 C = F.col
@@ -35,6 +37,16 @@ def _(t):
     return merge.analysis_cache(rec, cache, "record_id", "v2", lambda d: d.withColumn("value", C("o_totalprice") * 2))
 
 
+@query("s08_analysis_cache_table", "SELECT o_orderkey AS record_id, CASE WHEN o_orderstatus = 'F' AND o_orderkey % 5 <> 0 THEN o_totalprice ELSE o_totalprice * 2 END AS value, o_orderstatus = 'F' AND o_orderkey % 5 <> 0 AS cached FROM orders")
+def _(t):
+    # A first run keeps what it has of some records, unsound results among it; another engine's results are no matter.
+    rec, path = t.orders.select(C("o_orderkey").alias("record_id"), "o_totalprice", "o_orderstatus"), shared_path(t.spark, "cache")
+    before = lambda d: d.select("record_id", F.when(C("record_id") % 5 != 0, C("o_totalprice")).alias("value"))
+    keeping.cached_analysis(rec.filter("o_orderstatus = 'F'"), path, "record_id", "v2", before)
+    keeping.cached_analysis(rec, path, "record_id", "v1", lambda d: d.select("record_id", F.lit(0.0).alias("value")))
+    return keeping.cached_analysis(rec, path, "record_id", "v2", lambda d: d.select("record_id", (C("o_totalprice") * 2).alias("value")))
+
+
 @query("j12_fallback_chain", "WITH p AS (SELECT p_partkey AS med_id, 'published' AS level, p_brand AS v FROM part WHERE p_type IN ('PROMO', 'ECONOMY')), l AS (SELECT s_suppkey AS med_id, 'local' AS level, s_name AS v FROM supplier), a AS (SELECT * FROM p UNION ALL SELECT * FROM l WHERE med_id NOT IN (SELECT med_id FROM p)) SELECT p_partkey AS med_id, v, coalesce(level, 'none') AS level FROM part LEFT JOIN a ON a.med_id = p_partkey")
 def _(t):
     published = t.cat.filter("class in ('PROMO', 'ECONOMY')").select("med_id", C("brand").alias("v"))
@@ -157,6 +169,16 @@ def _(t):
     return merge.total_invariants({"catalog": t.part, "suppliers": t.supplier}, {"catalog": 2000, "suppliers": 7})
 
 
+@query("g12_publish_checked", "SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1")
+def _(t):
+    # Sizes add up in the action that writes; what is read is what was published.
+    folder = shared_path(t.spark, "published")
+    frames = {"orders": t.orders, "open": t.orders.filter("o_orderstatus = 'O'"), "rest": t.orders.filter("o_orderstatus <> 'O'")}
+    keeping.publish_checked(frames, folder, {}, {"orders": ["open", "rest"]})
+    both = keeping.read_published(t.spark, folder, "open").unionByName(keeping.read_published(t.spark, folder, "rest"))
+    return both.groupBy(C("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
+
+
 @query("g13_module_coverage_audit", "SELECT * FROM (SELECT c_custkey AS k, CAST(a AS INT) + CAST(b AS INT) AS n_missing, array_to_string([x FOR x IN [CASE WHEN a THEN 'orders' END, CASE WHEN b THEN 'urgent' END] IF x IS NOT NULL], ',') AS missing FROM (SELECT c_custkey, c_custkey NOT IN (SELECT o_custkey FROM orders) AS a, c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') AS b FROM customer)) WHERE n_missing > 0")
 def _(t):
     k = t.orders.withColumnRenamed("o_custkey", "k")

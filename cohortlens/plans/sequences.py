@@ -113,6 +113,23 @@ def _(t):
     return E.premature_events(t.evts)
 
 
+_ECTOPIC = "b AS (SELECT record_id, event_id, t_ms, amplitude, 60 + event_id % 80 AS width FROM evts), g AS (SELECT *, t_ms - lag(t_ms) OVER w AS gap, lead(t_ms) OVER w - t_ms AS after FROM b WINDOW w AS (PARTITION BY record_id ORDER BY t_ms, event_id)), m AS (SELECT record_id, count(*) AS n, median(gap) AS mg, median(width) AS mw, median(amplitude) AS ma FROM g GROUP BY 1), p AS (SELECT g.record_id, event_id, coalesce(width >= 120 OR width >= mw + 25, false) AS wide, coalesce(abs(amplitude - ma) >= greatest(0.30, 0.60::DOUBLE * abs(ma)), false) AS amplitude_outlier, gap + after >= 1.75::DOUBLE * mg AS pause FROM g JOIN m USING (record_id) WHERE n >= 5 AND after IS NOT NULL AND gap < 0.82::DOUBLE * mg), x AS (SELECT *, CASE WHEN wide AND (amplitude_outlier OR pause) THEN 'ventricular' WHEN NOT wide THEN 'supraventricular' ELSE 'unclassified' END AS kind FROM p)"
+
+
+def wide_beats(t):
+    return t.evts.select("record_id", "event_id", "t_ms", "amplitude", (60 + C("event_id") % 80).alias("width"))
+
+
+@query("e03_ectopic_beats", f"WITH {_ECTOPIC} SELECT * FROM x")
+def _(t):
+    return E.ectopic_beats(wide_beats(t))
+
+
+@query("e03_ectopy_burden", f"WITH {_ECTOPIC}, k AS (SELECT record_id, count(*) AS premature, count(*) FILTER (kind = 'ventricular') AS v, count(*) FILTER (kind = 'supraventricular') AS s FROM x GROUP BY 1), o AS (SELECT record_id, n AS n_beats, coalesce(premature, 0) AS premature, coalesce(v, 0) AS ventricular, coalesce(s, 0) AS supraventricular, n >= 5 AS evaluable FROM m LEFT JOIN k USING (record_id)) SELECT *, CASE WHEN evaluable THEN round(premature / n_beats, 6) END AS burden, evaluable AND premature >= 2 AND premature / n_beats >= 0.10 AS explains_irregularity FROM o")
+def _(t):
+    return E.ectopy_burden(wide_beats(t))
+
+
 _CLUST = f"k0 AS (SELECT *, CASE WHEN t_ms - lag(t_ms) OVER (PARTITION BY record_id ORDER BY t_ms, kind) <= {6 * H} THEN 0 ELSE 1 END AS n FROM evts), k1 AS (SELECT *, sum(n) OVER (PARTITION BY record_id ORDER BY t_ms, kind ROWS UNBOUNDED PRECEDING) AS c FROM k0), k AS (SELECT record_id, c, count(DISTINCT kind) AS channels, median(t_ms) AS t_ms, CAST(max(t_ms) - min(t_ms) AS DOUBLE) AS spread FROM k1 GROUP BY 1, 2)"
 
 

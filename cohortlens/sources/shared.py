@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -23,3 +24,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sent(df: DataFrame, what: str, most: int = 1 << 20) -> DataFrame:
+    """df for broadcast, of a table that is small by its role; refused where it has more than `most` rows."""
+    n = df.limit(most + 1).count()
+    if n > most:
+        raise ValueError(f"{what} has more than {most} rows, too many to be sent to every task")
+    return F.broadcast(df)

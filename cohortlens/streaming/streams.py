@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.sources.shared import shared_path
 
 C = F.col
-BUCKETS = 16
 
 
 def in_lots(table: DataFrame, lots: int, *keys: str) -> str:
@@ -33,41 +30,54 @@ def latest(rows: DataFrame, keys: list[str], fields: list[str], at: str, tie: st
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(at, tie)).alias("x")).select(*keys, "x.*")
 
 
-def _current(spark: SparkSession, home: str, before: int | None = None) -> dict[int, int]:
-    """The batch that wrote each bucket last, before a batch: as many rows as there are buckets and batches that moved them."""
+#: Rows of deltas, as a share of the base, from which on they are merged into it, and rows of a bucket of the base.
+DELTA_SHARE, BUCKET_ROWS = 0.5, 1 << 20
+
+
+def _numbers(spark: SparkSession, path: str, schema: str) -> DataFrame:
     try:
-        moves = spark.read.parquet(f"{home}/moves")
+        return spark.read.schema(schema).parquet(path)
     except Exception as missing:
-        if "PATH_NOT_FOUND" not in str(missing) and "UNABLE_TO_INFER_SCHEMA" not in str(missing):
+        if "PATH_NOT_FOUND" not in str(missing):
             raise
-        return {}
-    moves = moves if before is None else moves.filter(C("batch") < before)
-    return {r[0]: r[1] for r in moves.groupBy("bucket").agg(F.max("batch")).collect()}
+        return spark.createDataFrame([], schema)
 
 
-def _rows(spark: SparkSession, home: str, at: dict[int, int]) -> DataFrame | None:
-    parts = [spark.read.parquet(*[f"{home}/data/batch={n}/bucket={b}" for b, k in at.items() if k == n]) for n in sorted(set(at.values()))]
-    return reduce(DataFrame.unionByName, parts) if parts else None
+def _state(spark: SparkSession, home: str, before: int | None = None) -> tuple[int | None, int, list[int]]:
+    """The last base before a batch, its rows, and the deltas after it."""
+    limit = F.lit(True) if before is None else C("number") < before
+    base = _numbers(spark, f"{home}/bases", "number bigint, n bigint").filter(limit).orderBy(F.desc("number")).first()
+    # One row a batch since the last base, which is at most half as large as they are together.
+    after = _numbers(spark, f"{home}/batches", "number bigint").filter(limit & (C("number") > (base.number if base else -1))).distinct()
+    return base and base.number, base.n if base else 0, sorted(r[0] for r in after.collect())
 
 
-def upsert_stream(stream: DataFrame, keys: list[str], fields: list[str], at: str, tie: str, home: str) -> None:
-    """Applies every micro-batch to a bucketed table: the latest row of a key stays, whatever the order of arrival.
+def _rows(spark: SparkSession, home: str, base: int | None, deltas: list[int]) -> DataFrame | None:
+    paths = [f"{home}/base/{base}"] * (base is not None) + [f"{home}/delta/{n}" for n in deltas]
+    return spark.read.parquet(*paths) if paths else None
 
-    A batch rewrites only the buckets of its keys, under its own number, and then notes which they are. A batch
-    that is run again reads what stood before it and replaces its own: exactly once.
+
+def upsert_stream(stream: DataFrame, keys: list[str], fields: list[str], at: str, tie: str, home: str, share: float = DELTA_SHARE) -> None:
+    """Applies every micro-batch to a table of which the latest row of a key counts, whatever the order of arrival.
+
+    A batch writes its own rows only, as a delta. When the deltas since the last base hold `share` of its rows, all are
+    merged into a new base, in buckets of BUCKET_ROWS: a row is rewritten a few times for each doubling of the
+    table. A batch that is run again reads what stood before it and replaces its own: exactly once.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        new = batch.select(*dict.fromkeys([*keys, *fields, at, tie])).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int"))
-        touched = [r[0] for r in new.select("bucket").distinct().collect()]  # BUCKETS at most
-        if not touched:
-            return
-        old = _rows(spark, home, {b: n for b, n in _current(spark, home, number).items() if b in touched})
-        if old is not None:
-            new = new.unionByName(old.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")))
-        latest(new, [*keys, "bucket"], fields, at, tie).write.mode("overwrite").partitionBy("bucket").parquet(f"{home}/data/batch={number}")
-        spark.createDataFrame([(b,) for b in touched], "bucket int").coalesce(1).write.mode("overwrite").parquet(f"{home}/moves/batch={number}")
+        new = latest(batch, keys, fields, at, tie)
+        new.write.mode("overwrite").parquet(f"{home}/delta/{number}")
+        spark.createDataFrame([(number,)], "number bigint").coalesce(1).write.mode("overwrite").parquet(f"{home}/batches/batch={number}")
+        base, n, deltas = _state(spark, home, number)
+        deltas.append(number)
+        rows = _rows(spark, home, None, deltas).count()
+        if rows and rows >= share * n:
+            merged = latest(_rows(spark, home, base, deltas), keys, fields, at, tie)
+            merged.repartition((n + rows) // BUCKET_ROWS + 1, *keys).write.mode("overwrite").parquet(f"{home}/base/{number}")
+            held = spark.read.parquet(f"{home}/base/{number}").count()
+            spark.createDataFrame([(number, held)], "number bigint, n bigint").coalesce(1).write.mode("overwrite").parquet(f"{home}/bases/batch={number}")
 
     query = stream.writeStream.foreachBatch(apply).option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
@@ -78,9 +88,9 @@ def upsert_stream_result(spark: SparkSession, folder: str, keys: list[str], fiel
     home = home or shared_path(spark, "upsert")
     stream = _files(spark, folder, 1)
     upsert_stream(stream, keys, fields, at, tie, home)
-    rows = _rows(spark, home, _current(spark, home))
-    empty = spark.createDataFrame([], stream.schema) if rows is None else rows
-    return empty.select(*keys, *fields)
+    base, _, deltas = _state(spark, home)
+    rows = _rows(spark, home, base, deltas)
+    return spark.createDataFrame([], stream.schema).select(*keys, *fields) if rows is None else latest(rows, keys, fields, at, tie).select(*keys, *fields)
 
 
 def evaluate_before_learn(spark: SparkSession, path: str, per_batch: int = 1) -> DataFrame:
