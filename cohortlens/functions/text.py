@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,37 @@ def fold_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(F.lower(c), MARKED, PLAIN), r"\s+", " "))
 
 
+#: Case- and accent-insensitive collation of all scripts.
+ANY_CASE = "UNICODE_CI_AI"
+
+
+def fold_unicode(c: Column) -> Column:
+    """Compatibility decomposition (NFKD) without marks, case folded, blanks collapsed and trimmed, in any script.
+
+    Texts of ASCII and the letters of MARKED are folded as they are; only others go through Python, in Arrow batches.
+    """
+    @F.pandas_udf("string")
+    def whole(x: pd.Series) -> pd.Series:
+        def fold(t: str) -> str:
+            plain = "".join(ch for ch in unicodedata.normalize("NFKD", t) if not unicodedata.combining(ch))
+            return " ".join(plain.casefold().split())
+
+        return x.map(fold, na_action="ignore")
+
+    other = F.rlike(c, F.lit(f"[^\\x00-\\x7F{MARKED}{MARKED.upper()}]"))
+    return F.coalesce(whole(F.when(other, c)), fold_text(c))
+
+
+def same_text(a: Column, b: Column) -> Column:
+    """Equal but for case and accents, in any script."""
+    return F.collate(a, ANY_CASE) == F.collate(b, ANY_CASE)
+
+
+def holds_text(a: Column, b: Column) -> Column:
+    """Whether a holds b, but for case and accents, in any script."""
+    return F.contains(F.collate(a, ANY_CASE), F.collate(b, ANY_CASE))
+
+
 def norm_drug_name(c: Column, keep: str = "/+") -> Column:
     """Folded upper case; & becomes a slash; other punctuation is dropped."""
     x = F.regexp_replace(F.upper(fold_text(c)), "&", " / ")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cohortlens.functions.text import fold_text, similarity, token_set_ratio, tokens
+from cohortlens.functions.text import ANY_CASE, fold_text, holds_text, similarity, token_set_ratio, tokens
 from cohortlens.operators.near_names import banded_pairs, similar_pairs
 from cohortlens.sources.shared import written
 
@@ -168,6 +168,14 @@ def catalogue_search(queries: DataFrame, catalog: DataFrame, fields: list[str],
     return ranked.filter(F.col("rank") <= limit).select("query", "med_id", "name", "rank")
 
 
+def collated_search(catalog: DataFrame, key: str, fields: list[str], query: str, limit: int = 20) -> DataFrame:
+    """(key, name, rank): rows of which a field holds the query, but for case and accents in any script; by name, then key."""
+    texts = F.array(*[F.col(f).cast("string") for f in fields])
+    hits = catalog.filter(F.exists(texts, lambda x: F.coalesce(holds_text(x, F.lit(query)), F.lit(False))))
+    top = hits.select(key, F.col(fields[0]).cast("string").alias("name")).orderBy(F.collate(F.col("name"), ANY_CASE), key).limit(limit)
+    return top.withColumn("rank", F.row_number().over(W.orderBy(F.collate(F.col("name"), ANY_CASE), key)))  # of `limit` rows
+
+
 def literal_then_fuzzy(queries: DataFrame, table: DataFrame, fields: list[str], fuzzy: list[str], least: float = 64.0, letters: int = 4, most_queries: int = 1000) -> DataFrame:
     """(query, name, how): literal hits on any of `fields`; only queries without any are matched by similarity.
 

@@ -48,6 +48,15 @@ def nested_lookup(parent: DataFrame, child: DataFrame, key: str, order: list[str
     return parent.join(lists, key, "left").withColumn(name, F.coalesce(name, F.array().cast(lists.schema[name].dataType)))
 
 
+def latest_lateral(left: DataFrame, right: DataFrame, left_key: str, right_key: str, order: list[str], fields: list[str]) -> DataFrame:
+    """left with the fields of the row of right that comes last in the order, by a lateral join; null where there is none.
+
+    Spark ranks the rows of right once by key, so nothing is looked up row by row.
+    """
+    newest = right.where(F.col(right_key) == F.col(left_key).outer()).orderBy(*[F.desc(c) for c in order]).limit(1).select(*fields)
+    return left.lateralJoin(newest, how="left")
+
+
 def best_record(df: DataFrame, key: str | list[str], order: list[Column], fields: list[str]) -> DataFrame:
     """Of each key the fields of the row that comes last in the order (ascending; the greatest wins)."""
     keys = [key] if isinstance(key, str) else key

@@ -56,6 +56,7 @@ def _(t):
     return cohort.uniqueness_report(t.coh, {"patient": ["patient_id"], "record": ["record_id"], "site_code": ["site", "code"]})
 
 
+# Datasets from 22 on are not registered: uses of an unknown dataset are one of the refusals.
 @query("g01_provenance_guard", "WITH reg AS (SELECT n_nationkey AS dataset, n_nationkey % 3 = 0 AS v, n_nationkey % 4 = 1 AS tu, n_nationkey % 5 = 1 AS fr, (n_nationkey + 1) % 25 AS ov FROM nation WHERE n_nationkey < 22), u AS (SELECT n_nationkey AS dataset, CASE WHEN n_nationkey % 2 = 0 THEN 'validation' ELSE 'tuning' END AS role FROM nation), h AS (SELECT u.dataset, role, reg.dataset AS known, v, tu, fr, ov FROM u LEFT JOIN reg ON u.dataset = reg.dataset) SELECT dataset, 'unknown_dataset' AS problem FROM h WHERE known IS NULL UNION ALL SELECT dataset, 'validation_refused' FROM h WHERE role = 'validation' AND NOT coalesce(v, false) UNION ALL SELECT dataset, 'tuning_refused' FROM h WHERE role = 'tuning' AND NOT coalesce(tu, false) UNION ALL SELECT dataset, 'frozen_but_tunable' FROM h WHERE coalesce(tu, false) AND coalesce(fr, false) UNION ALL SELECT h.dataset, 'overlaps_' || u.dataset FROM h JOIN u ON h.ov = u.dataset AND h.role <> u.role")
 def _(t):
     k = F.col("n_nationkey")

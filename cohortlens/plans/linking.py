@@ -212,6 +212,17 @@ def _(t):
     return link.catalogue_search(t.spark.createDataFrame([("Bolt",), ("é red",), ("HOT G",), ("brand#2",), ("77",)], "query string"), catalog, ["med_id", "generic_name", "aliases"])
 
 
+@query("w13_collated_search", "SELECT p_partkey AS med_id, p_name AS name, CAST(row_number() OVER (ORDER BY p_name, p_partkey) AS INT) AS rank FROM (SELECT * FROM part WHERE contains(lower(p_name), 'bolt') OR contains(lower(p_brand), 'bolt') ORDER BY p_name, p_partkey LIMIT 50)")
+def _(t):
+    found = link.collated_search(t.part, "p_partkey", ["p_name", "p_brand"], "BÓLT", 50)
+    return found.select(F.col("p_partkey").alias("med_id"), "name", "rank")
+
+
+@query("p01_fold_unicode")
+def _(t):
+    return t.documents.select("doc_id", X.fold_unicode(F.col("text")).alias("f")).select("doc_id", F.length("f").alias("n"), F.md5("f").alias("digest"))
+
+
 @query("w14_literal_then_fuzzy_search", f"WITH q(query, f) AS (VALUES ('red bolt', 'red bolt'), ('Xmall ring', 'xmall ring'), ('widgte', 'widgte'), ('economi', 'economi'), ('zzz', 'zzz')), n AS (SELECT DISTINCT lower(p_name) AS name, unnest([lower(p_name), lower(p_brand), lower(p_type), CAST(p_size AS VARCHAR)]) AS text, unnest([true, false, true, false]) AS fuzzy FROM part), l AS (SELECT DISTINCT query, name FROM n JOIN q ON contains(text, f)), x AS (SELECT name, text FROM n WHERE fuzzy UNION SELECT name, token FROM (SELECT name, unnest(string_split(text, ' ')) AS token FROM n WHERE fuzzy) WHERE length(token) >= 4) SELECT query, name, 'literal' AS how FROM l UNION ALL SELECT DISTINCT query, name, 'fuzzy' FROM x JOIN q ON {_SIM('text', 'f')} >= 64 WHERE query NOT IN (SELECT query FROM l)")
 def _(t):
     table = t.part.select(F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), F.col("p_type").alias("class"), F.col("p_size").alias("size"))

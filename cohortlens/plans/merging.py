@@ -66,6 +66,11 @@ def _(t):
     return t.customer.select(C("c_custkey").alias("k")).join(latest, C("k") == C("o_custkey"), "left").drop("o_custkey")
 
 
+@query("j14_lateral_form", "SELECT c_custkey AS k, o_orderkey, o_totalprice FROM customer LEFT JOIN LATERAL (SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = c_custkey ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1) ON true")
+def _(t):
+    return merge.latest_lateral(t.customer.select(C("c_custkey").alias("k")), t.orders, "k", "o_custkey", ["o_orderdate", "o_orderkey"], ["o_orderkey", "o_totalprice"])
+
+
 @query("w07_best_record", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY (o_orderpriority = '1-URGENT') DESC, o_totalprice DESC, o_orderkey DESC) AS r FROM orders) WHERE r = 1")
 def _(t):
     return merge.best_record(t.orders, "o_custkey", [C("o_orderpriority") == "1-URGENT", C("o_totalprice"), C("o_orderkey")], ["o_orderkey"])
@@ -101,10 +106,10 @@ def _(t):
 
 def matrix(t):
     ids = lambda cond: t.cat.filter(cond).select("med_id")
-    return merge.resolution_matrix(t.cat, {"label": ids("med_id % 2 = 0"), "agency": ids("med_id % 3 = 0"), "ward": ids("med_id % 5 = 0")}, {"ward"})
+    return merge.resolution_matrix(t.cat, {"label": ids("class = 'ECONOMY'"), "agency": ids("size <= 25"), "ward": ids("price > 910")}, {"ward"})
 
 
-_MATRIX = "SELECT p_partkey AS med_id, p_partkey % 2 = 0 AS label, p_partkey % 3 = 0 AS agency, p_partkey % 5 = 0 AS ward, CAST(p_partkey % 2 = 0 AS INT) + CAST(p_partkey % 3 = 0 AS INT) AS n_official, CASE WHEN p_partkey % 6 = 0 THEN 'multi' WHEN p_partkey % 2 = 0 OR p_partkey % 3 = 0 THEN 'single' WHEN p_partkey % 5 = 0 THEN 'local_only' ELSE 'pending' END AS resolution FROM part"
+_MATRIX = "SELECT med_id, label, agency, ward, CAST(label AS INT) + CAST(agency AS INT) AS n_official, CASE WHEN label AND agency THEN 'multi' WHEN label OR agency THEN 'single' WHEN ward THEN 'local_only' ELSE 'pending' END AS resolution FROM (SELECT p_partkey AS med_id, p_type = 'ECONOMY' AS label, p_size <= 25 AS agency, p_retailprice > 910 AS ward FROM part)"
 
 
 @query("u05_resolution_matrix", _MATRIX)

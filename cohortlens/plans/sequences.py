@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from cohortlens.operators import events as E
+from cohortlens.operators import patterns as N
 from cohortlens.operators import phases as P
 from cohortlens.operators import rules as R
 from cohortlens.plans.registry import query
@@ -231,10 +234,15 @@ def halves(t):
     return array(rows, "record_id", "lead"), array(rows.groupBy(C("label").alias("template"), "lead", "i").agg(F.avg("v").alias("v")), "template", "lead")
 
 
+_WAVES = (
+    f"{_HALVES}, w(k, first, size, weight) AS (VALUES {', '.join(f'({k}, {a}, {n}, {x}::DOUBLE)' for k, (a, n, x) in enumerate(_WINDOWS))}), c AS (SELECT s.record_id, m.template, s.lead, w.k, w.weight, d.d, corr(s.v, m.v) AS c FROM s JOIN w ON s.i >= w.first AND s.i < w.first + w.size JOIN (VALUES (-2), (-1), (0), (1), (2)) d(d) ON s.i + d.d >= w.first AND s.i + d.d < w.first + w.size JOIN m ON m.lead = s.lead AND m.i = s.i + d.d GROUP BY ALL HAVING count(*) >= 10), b AS (SELECT record_id, template, lead, weight, least(1, greatest(0, (max(c) + 1) / 2)) AS shape FROM c GROUP BY record_id, template, lead, k, weight), "
+    "h AS (SELECT record_id, template, lead, sum(shape * weight) / sum(weight) AS shape FROM b GROUP BY ALL), p AS (SELECT record_id, lead, max(v) - min(v) AS p FROM s GROUP BY ALL), q AS (SELECT template, lead, max(v) - min(v) AS q FROM m GROUP BY ALL), l AS (SELECT record_id, template, avg(0.85::DOUBLE * shape + 0.15::DOUBLE * exp(-abs(ln((p + 1e-6) / (q + 1e-6))))) AS visual FROM h JOIN p USING (record_id, lead) JOIN q USING (template, lead) GROUP BY ALL), "
+)
+
+
 @query(
     "e13_template_rank",
-    f"WITH {_HALVES}, w(k, first, size, weight) AS (VALUES {', '.join(f'({k}, {a}, {n}, {x}::DOUBLE)' for k, (a, n, x) in enumerate(_WINDOWS))}), c AS (SELECT s.record_id, m.template, s.lead, w.k, w.weight, d.d, corr(s.v, m.v) AS c FROM s JOIN w ON s.i >= w.first AND s.i < w.first + w.size JOIN (VALUES (-2), (-1), (0), (1), (2)) d(d) ON s.i + d.d >= w.first AND s.i + d.d < w.first + w.size JOIN m ON m.lead = s.lead AND m.i = s.i + d.d GROUP BY ALL HAVING count(*) >= 10), b AS (SELECT record_id, template, lead, weight, least(1, greatest(0, (max(c) + 1) / 2)) AS shape FROM c GROUP BY record_id, template, lead, k, weight), "
-    "h AS (SELECT record_id, template, lead, sum(shape * weight) / sum(weight) AS shape FROM b GROUP BY ALL), p AS (SELECT record_id, lead, max(v) - min(v) AS p FROM s GROUP BY ALL), q AS (SELECT template, lead, max(v) - min(v) AS q FROM m GROUP BY ALL), l AS (SELECT record_id, template, avg(0.85::DOUBLE * shape + 0.15::DOUBLE * exp(-abs(ln((p + 1e-6) / (q + 1e-6))))) AS visual FROM h JOIN p USING (record_id, lead) JOIN q USING (template, lead) GROUP BY ALL), "
+    f"WITH {_WAVES}"
     "x AS (SELECT l.*, CASE WHEN e.label = template THEN 1.0::DOUBLE WHEN template % 3 = 0 THEN 0.1::DOUBLE END AS criteria, CASE WHEN template % 2 = 0 THEN 0.8::DOUBLE END AS measurement FROM l JOIN embeddings e ON e.vec_id = record_id), f AS (SELECT *, (0.35::DOUBLE * visual + coalesce(0.45::DOUBLE * criteria, 0) + coalesce(0.20::DOUBLE * measurement, 0)) / (0.35::DOUBLE + CASE WHEN criteria IS NULL THEN 0 ELSE 0.45::DOUBLE END + CASE WHEN measurement IS NULL THEN 0 ELSE 0.20::DOUBLE END) AS fusion FROM x), r AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY round(fusion, 6) DESC, template) AS rank FROM f) "
     "SELECT record_id, template, round(fusion, 6) AS fusion, CASE WHEN criteria >= 0.95 AND visual >= 0.72 AND fusion >= 0.75 THEN 'CONCORDANT_HIGH' WHEN criteria >= 0.95 AND visual >= 0.56 AND fusion >= 0.63 THEN 'CONCORDANT_MODERATE' WHEN criteria >= 0.95 THEN 'CRITERIA_POSITIVE_VISUAL_DISCORDANT' WHEN criteria IS NULL AND visual >= 0.78 THEN 'VISUAL_ONLY_NO_RULE' WHEN criteria <= 0.20 AND visual >= 0.78 THEN 'VISUAL_MATCH_WITHOUT_CRITERIA' WHEN criteria <= 0.20 AND fusion < 0.60 THEN 'NOT_SUPPORTED' ELSE 'INDETERMINATE' END AS status, CAST(rank AS INT) AS rank FROM r WHERE rank <= 3",
 )
@@ -244,6 +252,32 @@ def _(t):
     return E.fused_rank(scores)
 
 
+_STATS2 = re.sub(r"\b(g0|g|a|m|s)\b", r"st_\1", _STATS)
+_BOUNDS = [(100, "median_h", 10.0, 30.0), (100, "cv", 0.0, 1.0), (3, "cv", 0.5, 0.7)]
+
+
+@query(
+    "e13_rhythm_patterns",
+    f"WITH {_WAVES}{_STATS2}, qs AS (SELECT *, coalesce(cv <= 0.10 AND mad / median <= 0.08, false) AS vr FROM st_s), st AS (SELECT record_id, 'IRREGULAR' AS rule_id, CASE WHEN n < 4 OR cv IS NULL THEN 'NOT_ASSESSABLE' WHEN cv > 0.9 AND mad / median <= 0.08 THEN 'CONFOUNDED' WHEN cv > 0.9 THEN 'POSITIVE' ELSE 'NEGATIVE' END AS status FROM qs UNION ALL SELECT record_id, 'VERY_REGULAR', CASE WHEN n < 4 OR cv IS NULL THEN 'NOT_ASSESSABLE' WHEN vr THEN 'POSITIVE' ELSE 'NEGATIVE' END FROM qs), pat(template, rule_id) AS (VALUES (100, 'IRREGULAR'), (101, 'VERY_REGULAR'), (102, 'ABSENT')), "
+    "vis AS (SELECT record_id, template, visual, 1.0::DOUBLE AS coverage FROM l UNION ALL SELECT e.vec_id, pat.template, CASE status WHEN 'POSITIVE' THEN 0.90::DOUBLE WHEN 'NEGATIVE' THEN 0.15::DOUBLE WHEN 'CONFOUNDED' THEN 0.35::DOUBLE ELSE 0.50::DOUBLE END, 1.0::DOUBLE FROM embeddings e CROSS JOIN pat LEFT JOIN st ON st.record_id = e.vec_id AND st.rule_id = pat.rule_id), "
+    "rul(template, rule_id) AS (VALUES (100, 'IRREGULAR'), (101, 'VERY_REGULAR'), (3, 'IRREGULAR'), (3, 'VERY_REGULAR')), cri AS (SELECT record_id, template, avg(CASE status WHEN 'POSITIVE' THEN 1.0::DOUBLE WHEN 'NEGATIVE' THEN 0.0::DOUBLE WHEN 'CONFOUNDED' THEN 0.35::DOUBLE END) AS criteria FROM st JOIN rul USING (rule_id) GROUP BY ALL), "
+    f"bnd(template, key, lo, hi) AS (VALUES {', '.join(f"({a}, '{b}', {c}::DOUBLE, {d}::DOUBLE)" for a, b, c, d in _BOUNDS)}), mes AS (SELECT record_id, 'cv' AS key, cv AS value FROM qs UNION ALL SELECT record_id, 'median_h', median / {H} FROM qs), con AS (SELECT record_id, template, avg(exp(-greatest(lo - value, value - hi, 0) / greatest(10, (hi - lo) * 0.30::DOUBLE))) AS measurement FROM mes JOIN bnd USING (key) WHERE value IS NOT NULL GROUP BY ALL), "
+    "x AS (SELECT vis.*, criteria, measurement FROM vis LEFT JOIN cri USING (record_id, template) LEFT JOIN con USING (record_id, template)), f AS (SELECT *, (0.35::DOUBLE * visual + coalesce(0.45::DOUBLE * criteria, 0) + coalesce(0.20::DOUBLE * measurement, 0)) / (0.35::DOUBLE + CASE WHEN criteria IS NULL THEN 0 ELSE 0.45::DOUBLE END + CASE WHEN measurement IS NULL THEN 0 ELSE 0.20::DOUBLE END) AS fusion FROM x), r AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY round(fusion, 6) DESC, template) AS rank FROM f) "
+    "SELECT record_id, template, round(fusion, 6) AS fusion, CASE WHEN criteria >= 0.95 AND visual >= 0.72 AND fusion >= 0.75 THEN 'CONCORDANT_HIGH' WHEN criteria >= 0.95 AND visual >= 0.56 AND fusion >= 0.63 THEN 'CONCORDANT_MODERATE' WHEN criteria >= 0.95 THEN 'CRITERIA_POSITIVE_VISUAL_DISCORDANT' WHEN criteria IS NULL AND visual >= 0.78 THEN 'VISUAL_ONLY_NO_RULE' WHEN criteria <= 0.20 AND visual >= 0.78 THEN 'VISUAL_MATCH_WITHOUT_CRITERIA' WHEN criteria <= 0.20 AND fusion < 0.60 THEN 'NOT_SUPPORTED' ELSE 'INDETERMINATE' END AS status, CAST(rank AS INT) AS rank FROM r WHERE rank <= 4",
+)
+def _(t):
+    # Waves are those of the embeddings; the rhythm of a record is that of the user with its id, where there is one.
+    stats = E.interval_stats(t.evts, short=H)
+    states = N.rhythm_states(stats, 0.9)
+    table = lambda rows, schema: t.spark.createDataFrame(rows, schema)
+    patterns = table([(100, "IRREGULAR"), (101, "VERY_REGULAR"), (102, "ABSENT")], "template int, rule_id string")
+    rules = table([(100, "IRREGULAR"), (101, "VERY_REGULAR"), (3, "IRREGULAR"), (3, "VERY_REGULAR")], "template int, rule_id string")
+    measures = stats.select("record_id", F.explode(F.create_map(F.lit("cv"), C("cv"), F.lit("median_h"), C("median") / H)).alias("key", "value"))
+    constraints = table(_BOUNDS, "template int, key string, lo double, hi double")
+    visual = [E.template_scores(*halves(t), _WINDOWS, 2), N.rhythm_scores(t.embeddings.select(C("vec_id").alias("record_id")), states, patterns)]
+    return N.pattern_rank(visual, N.criteria_scores(states, rules), N.constraint_scores(measures, constraints), 4)
+
+
 @query(
     "e17_harmonic_period",
     f"WITH {_ONE}, {_GAPS.format('p')}, {_GAPS.format('r')}, g AS (SELECT record_id, CAST(t_ms - lag(t_ms) OVER (PARTITION BY record_id ORDER BY t_ms) AS DOUBLE) AS gap FROM p), h AS (SELECT * FROM g WHERE gap > 0), c AS (SELECT DISTINCT record_id, gap / k AS period FROM h, (VALUES (1), (2), (3), (4)) v(k) WHERE gap / k BETWEEN {3.0 * H} AND {90.0 * H}), m AS (SELECT c.record_id, period, median(abs(gap - greatest(1, round_even(gap / period, 0)) * period) / period) AS residual FROM c JOIN h ON c.record_id = h.record_id GROUP BY 1, 2), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY round(residual, 9), period DESC) AS n FROM m) WHERE n = 1), "

@@ -186,3 +186,26 @@ def test_t02_predicts_from_earlier_batches_only(spark, sf_dir):
         own = table[r["vec_id"]][1]
         near = {k: float(((own - c) ** 2).sum()) for k, c in centre.items()}
         assert near[r["predicted"]] <= min(near.values()) + 1e-9
+
+
+def test_p01_folds_any_script(spark, sf_dir):
+    import hashlib
+    import unicodedata
+
+    from pyspark.sql import functions as F
+
+    from cohortlens.functions import text as X
+
+    def fold(t):
+        return " ".join("".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).casefold().split())
+
+    texts = ["Ñandú  ÀÉ", "Ελληνικά ΆΣΣ ς", "Ёлка ЙОД", "Tiếng Việt Đường", "ﬁne ﬂow ½ ª Ⅷ", "Straße İ", "ｆｕｌｌ width", "한글", "e\u0301 cafe\u0301", " \t\n", "", None]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    got = {r.k: r.f for r in df.select("k", X.fold_unicode(F.col("t")).alias("f")).collect()}
+    assert got == {k: None if t is None else fold(t) for k, t in enumerate(texts)}
+    pairs = [("ΆΝΑ", "ανα", True), ("Ёлка", "елка", True), ("Việt", "viet", True), ("a", "b", False), ("STRASSE", "straße", True)]
+    both = spark.createDataFrame([p[:2] for p in pairs], "a string, b string").select(X.same_text(F.col("a"), F.col("b")).alias("same"), X.holds_text(F.concat(F.lit("x "), "a"), F.col("b")).alias("holds"))
+    assert [r.same for r in both.collect()] == [p[2] for p in pairs] and [r.holds for r in both.collect()][:4] == [p[2] for p in pairs][:4]
+    want = {r.doc_id: fold(r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect() if r.text is not None}
+    found = {r["doc_id"]: (r["n"], r["digest"]) for r in rows(spark, sf_dir, "p01_fold_unicode") if r["n"] is not None}
+    assert found == {i: (len(t), hashlib.md5(t.encode()).hexdigest()) for i, t in want.items()}
