@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +76,21 @@ def files_of(df: DataFrame, column: str, folder: str, suffix: str) -> DataFrame:
     return written(df.select(F.col(column).cast("binary")).mapInArrow(run, "path string, n_bytes bigint"), "files")
 
 
+def given_back(run: Callable) -> Callable:
+    """A function of batches after which the worker, which stays for later stages, holds no free memory."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column and the n + 1 places where its texts begin and end; null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, mixed, pieces, powers, sliding_min, utf8, written
+from .common import free_name, given_back, mixed, pieces, powers, sliding_min, utf8, written
 
 SPAN = 10
 GRAM = 5
@@ -185,7 +185,7 @@ def _clean(block):
             good = [not (len(mine) and hits_of(texts[k].as_py(), mine, held)[0]) for k, mine in _word_hashes(texts)]
             yield batch.filter(pa.array(good, pa.bool_())).drop_columns([batch.schema.names[-1]])
 
-    return run
+    return given_back(run)
 
 
 def _word_hashes(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:

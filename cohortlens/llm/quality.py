@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import PIECE_BYTES, free_name
+from .common import PIECE_BYTES, free_name, given_back
 
 #: Bounds of what is learned from: labelled rows for the network, texts (and their bytes) for word vectors.
 TRAIN_ROWS = 20_000
@@ -261,7 +261,7 @@ def _passes(model, column: str):
                 good += (net.probability(words.pooled(part, memo)) >= THRESHOLD).tolist()
             yield batch.filter(pa.array(good, pa.bool_())).drop_columns([column])
 
-    return run
+    return given_back(run)
 
 
 def good_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:

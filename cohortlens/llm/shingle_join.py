@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, whole_groups, written
+from .common import given_back, mixed, whole_groups, written
 from .dealing import dealt, labelled, sorted_by
 from .sketch import likeness
 
@@ -34,7 +34,7 @@ class Words(dict):
     """XXH64 of words, held for the next use."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = out = xxhash.xxh64_intdigest(word, 42)
         return out
@@ -108,7 +108,7 @@ def _prefix_batches(similarity: float, common):
             columns = [batch.column(0), pa.array(sizes, pa.int32()), *(pa.array(maps[:, k]) for k in range(MAP_WORDS)), lists(prefixes)]
             yield pa.RecordBatch.from_arrays(columns, names=["node", "n", *MAP, "prefix"])
 
-    return run
+    return given_back(run)
 
 
 def _can_be_alike(n: np.ndarray, place: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
@@ -169,7 +169,7 @@ def _pair_batches(similarity: float):
         for rows in whole_groups(batches, ["key", "cell", "other"], CHUNK_ROWS):
             yield from _pairs(rows, similarity)
 
-    return run
+    return given_back(run)
 
 
 def alike_links(sets: DataFrame, labels: DataFrame, similarity: float, most_rows: int) -> DataFrame:

@@ -6,7 +6,8 @@
 2. In a bucket the Gray-order index finds the fingerprints within the radius of the similarity. A forest of
    nearest pairs is compared on the whole sets, and what is alike becomes one component.
 3. Fingerprints that have others of another component within the radius are what the forest did not decide.
-   Their sets alone go through an exact join by prefixes: no pair of them that is alike is missed.
+   Their sets alone go through an exact join by prefixes: no pair of them that is alike is missed. A corpus that
+   would need more than MOST_SAMPLES samples sends all its sets through that join, with the components so far as labels.
 
 Only links found alike on the whole sets join components.
 """
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, pieces, sent_if_small, utf8, whole_groups, written
+from .common import given_back, mixed, pieces, sent_if_small, utf8, whole_groups, written
 from .components import component_labels
 from .dealing import dealt, labelled, salted, sorted_by
 from .gray import GrayIndex, spanning_links
@@ -30,6 +31,9 @@ BITS = 128
 #: Chance that two sets just as alike as asked lie beyond the radius, and that no sample of bits brings them together.
 BEYOND = 0.01
 APART = 0.02
+#: Samples at most: a document has that many rows in buckets, whatever the corpus. Where APART asks for more (from about
+#: a million documents on) these samples still bring most copies together, and all sets go through the exact join.
+MOST_SAMPLES = 16
 #: Fingerprints that share a bucket by chance.
 BUCKET_ROWS = 2048
 #: Rows of one bucket in a task; a bucket of more is dealt out.
@@ -90,7 +94,7 @@ def _set_batches(shingle: int):
                 columns = [part.column(0), pa.array([set_key(s) for s in sets], pa.int64()), *(pa.array([p[k] for p in prints], pa.int64()) for k in (0, 1))]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "p", "q"])
 
-    return run
+    return given_back(run)
 
 
 def _chosen_sets(shingle: int):
@@ -106,7 +110,7 @@ def _chosen_sets(shingle: int):
                 own = [k for k, s in enumerate(sets) if set_key(s) == nodes[k]]
                 yield pa.RecordBatch.from_arrays([pa.array([nodes[k] for k in own], pa.int64()), lists([sets[k] for k in own])], names=["node", "hashes"])
 
-    return run
+    return given_back(run)
 
 
 def _columns(rows: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -130,7 +134,7 @@ def _forest_batches(radius: int):
             a, b = spanning_links(GrayIndex(_runs(rows, ["key", "cell"]), words), words, label, radius)
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b]))], names=["a", "b"])
 
-    return run
+    return given_back(run)
 
 
 def _undecided_batches(radius: int):
@@ -155,7 +159,7 @@ def _undecided_batches(radius: int):
                 seen[b] = True
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(node[seen]))], names=["node"])
 
-    return run
+    return given_back(run)
 
 
 def similar_documents(documents: DataFrame, shingle: int = 5, similarity: float = 0.8, most_rows: int = MOST_ROWS) -> DataFrame:
@@ -172,15 +176,17 @@ def similar_documents(documents: DataFrame, shingle: int = 5, similarity: float
     radius = radius_of(similarity)
 
     # Buckets: the bits of each sample, hashed with the sample's number.
-    masks = [[sum(1 << (b % 64) for b in bits if b // 64 == w) for w in (0, 1)] for bits in bit_samples(nodes.count(), similarity)]
+    samples = bit_samples(nodes.count(), similarity)
+    whole, samples = len(samples) > MOST_SAMPLES, samples[:MOST_SAMPLES]
+    masks = [[sum(1 << (b % 64) for b in bits if b // 64 == w) for w in (0, 1)] for bits in samples]
     signed = lambda x: F.lit(x - (1 << 64) if x >> 63 else x)
     keys = F.array(*[F.xxhash64(F.lit(k), F.col("p").bitwiseAND(signed(m)), F.col("q").bitwiseAND(signed(n))) for k, (m, n) in enumerate(masks)])
     rows = written(nodes.select(F.explode(keys).alias("key"), "p", "q", "node"), "buckets")
     forest = sorted_by(salted(rows.withColumn("label", F.col("node")), most_rows), "key", "cell").select("key", "cell", "p", "q", "node", "label")
     pairs = written(forest.mapInArrow(_forest_batches(radius), "a bigint, b bigint").distinct(), "near")
 
-    # Only the sets of nodes that have a near one are made, once.
-    asked = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "doc_id"), "node"), "asked")
+    # Only the sets of nodes that have a near one are made, once; or all.
+    asked = nodes.select("node", "doc_id") if whole else written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "doc_id"), "node"), "asked")
     ids = asked.select("doc_id", "node")
     texts = docs.join(sent_if_small(ids), "doc_id")
     sets = written(texts.select("node", "text").mapInArrow(_chosen_sets(shingle), "node bigint, hashes array<bigint>").groupBy("node").agg(F.first("hashes").alias("hashes")), "sets")
@@ -190,11 +196,12 @@ def similar_documents(documents: DataFrame, shingle: int = 5, similarity: float
     labels = written(component_labels(links), "labels")
 
     # What has a near one in another component is decided exactly.
-    of_asked = labelled(asked.select("node"), labels)
-    left = dealt(rows.join(of_asked, "node").select("key", "p", "q", "node", "label"), most_rows)
-    left = sorted_by(left, "key", "cell", "other").select("key", "cell", "other", "side", "p", "q", "node", "label")
-    undecided = written(left.mapInArrow(_undecided_batches(radius), "node bigint").distinct(), "undecided")
-    more = alike_links(sets.join(undecided, "node"), labels, similarity, most_rows)
+    if not whole:
+        of_asked = labelled(asked.select("node"), labels)
+        left = dealt(rows.join(of_asked, "node").select("key", "p", "q", "node", "label"), most_rows)
+        left = sorted_by(left, "key", "cell", "other").select("key", "cell", "other", "side", "p", "q", "node", "label")
+        undecided = written(left.mapInArrow(_undecided_batches(radius), "node bigint").distinct(), "undecided")
+    more = alike_links(sets if whole else sets.join(undecided, "node"), labels, similarity, most_rows)
     labels = written(component_labels(links.unionByName(more)), "labels")
 
     of_node = labelled(nodes.select("node", "doc_id"), labels)

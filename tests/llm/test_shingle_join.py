@@ -155,3 +155,16 @@ def test_repeated_ids_and_texts_without_words(spark):
     got = simhash.similar_documents(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted((r.doc_id or -1, r.component_id) for r in got) == [(-1, None), (3, 3), (4, 3), (4, 3), (5, 5), (6, 5), (7, 7), (8, 7), (9, 3)]
     assert simhash.similar_documents(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_rows_of_a_document_are_bounded_at_every_size(spark, monkeypatch):
+    """Beyond MOST_SAMPLES all sets go through the exact join, whatever the few samples found."""
+    assert [min(similar.MOST_SAMPLES, len(similar.bit_samples(n, 0.8))) for n in (1_000, 10**6, 10**9, 5 * 10**10)][1:] == [similar.MOST_SAMPLES] * 3
+    rng = random.Random(29)
+    rows = cut_pairs(rng, 60) + [(1000 + k, " ".join(words(rng, 4))) for k in range(20)] + [(2000, ""), (2001, ""), (2002, rng.choice("ab") * 3)]
+    rows += [(3000 + k, rows[0][1]) for k in range(5)]
+    monkeypatch.setattr(similar, "MOST_SAMPLES", 1)
+    docs = spark.createDataFrame([*rows, (None, rows[0][1])], SCHEMA)
+    got = simhash.similar_documents(docs).collect()
+    assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == plain_components(rows)
+    assert simhash.similar_documents(docs.limit(0)).count() == 0
