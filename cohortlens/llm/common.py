@@ -51,29 +51,40 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def files_of(df: DataFrame, column: str, folder: str, suffix: str) -> DataFrame:
-    """(path, n_bytes) of files that hold one cell of `column` each, written when this is read.
+def files_of(df: DataFrame, column: str, folder: str, suffix: str, also: list[str] | None = None) -> DataFrame:
+    """(path, n_bytes, also) of files that hold one cell of `column` each, written once, here.
 
-    `folder` is a URI. Names follow partition and row, and a file appears whole, so a task that runs again
-    writes the same files.
+    `folder` is a URI. Every attempt of a task writes under names of its own, so what a lost one left is in the folder
+    but not in this table: read_files reads by the table.
     """
+    kept = df.select(F.col(column).cast("binary"), *(also or []))
+    schema = ", ".join(["path string", "n_bytes bigint", *[f"{f.name} {f.dataType.simpleString()}" for f in kept.schema[1:]]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = pyarrow.fs.FileSystem.from_uri(folder)
         store.create_dir(path)
-        part, number = TaskContext.get().partitionId(), 0
+        attempt, number = f"{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}", 0
         for batch in batches:
             names = []
             for cell in batch.column(0):
-                names.append(f"{path}/part-{part:05d}-{number:05d}{suffix}")
+                names.append(f"{path}/part-{attempt}-{number:05d}{suffix}")
                 number += 1
-                held = f"{names[-1]}.{uuid.uuid4().hex}.tmp"
-                with store.open_output_stream(held) as out:
+                with store.open_output_stream(names[-1], compression=None) as out:
                     out.write(cell.as_py() or b"")
-                store.move(held, names[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([len(c.as_py() or b"") for c in batch.column(0)], pa.int64())], names=["path", "n_bytes"])
+            columns = [pa.array(names, pa.string()), pa.array([len(c.as_py() or b"") for c in batch.column(0)], pa.int64()), *batch.columns[1:]]
+            yield pa.RecordBatch.from_arrays(columns, names=["path", "n_bytes", *batch.schema.names[1:]])
 
-    return written(df.select(F.col(column).cast("binary")).mapInArrow(run, "path string, n_bytes bigint"), "files")
+    return written(kept.mapInArrow(run, schema), "files")
+
+
+def read_files(files: DataFrame, folder: str, suffix: str) -> DataFrame:
+    """The columns of `files` (of files_of) with the `content` of each, through Spark's reader of binary files."""
+    spark = files.sparkSession
+    named = files.withColumn("name", F.element_at(F.split("path", "/"), -1)).drop("path", "n_bytes")
+    if files.isEmpty():
+        return named.withColumn("content", F.lit(None).cast("binary")).drop("name")
+    found = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(folder)
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content").join(sent_if_small(named), "name").drop("name")
 
 
 def given_back(run: Callable) -> Callable:

@@ -2,8 +2,7 @@
 
 The ids of a vocabulary are renumbered by how often they occur, so frequent ones take one byte. A shard
 holds the control bytes (two bits per id: its length less one) apart from the data bytes, so both are read
-by table lookup. Shards are rows of a Parquet table: Spark's readers and writers carry the file format to
-any store the cluster has.
+by table lookup. Every shard is a file; Spark's reader of binary files reads them back.
 """
 
 from __future__ import annotations
@@ -11,6 +10,7 @@ from __future__ import annotations
 import os
 import re
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -21,11 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import files_of, mixed, powers, written
+from .common import files_of, mixed, powers, read_files, shared_dir, written
 
 END_ID = 1
 #: Ids in a shard, unless one document alone has more.
-SHARD_IDS = 1 << 20
+SHARD_IDS = 1 << 22
 #: Bytes of ids in a range of documents, and how many ranges there are at most; beyond, ranges grow.
 PART_BYTES = 16 << 20
 MOST_PARTS = 20_000
@@ -33,6 +33,7 @@ MOST_PARTS = 20_000
 BATCH_CHARS = 1 << 20
 #: Words that a task remembers before it begins again.
 MEMO_WORDS = 1_500_000
+SUFFIX = ".frvb"
 MAGIC = b"FRVB\x01\x00\x00\x00"
 
 #: Texts of these characters only are cut into words before the tokenizer sees them: in this range lower
@@ -372,29 +373,36 @@ def write_shards(documents: DataFrame, vocabulary: str, by_word: bool, shard_ids
     order = (F.col("doc_id").asc_nulls_first(), F.xxhash64("ids"))
     ordered = encoded.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     shards = ordered.mapInArrow(_pack(spark.sparkContext.broadcast(rank_of), shard_ids), "part bigint, before bigint, n_ids bigint, payload binary")
-    return written(shards, "shards"), ranked.astype(np.uint32)
+    return shards, ranked.astype(np.uint32)
 
 
-def read_shards(shards: DataFrame, id_of: np.ndarray) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document in the shards; payloads are not shuffled."""
+def read_shards(shards: DataFrame, begins: DataFrame, id_of: np.ndarray) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every document in the shards (part, before, payload).
+
+    begins(part, n_ids) has as many rows as there are shards; payloads are not shuffled.
+    """
     spark = shards.sparkSession
     # One row per part, MOST_PARTS at most.
-    begins = shards.groupBy("part").agg(F.sum("n_ids").alias("n")).withColumn("begin", F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, 0)) - F.col("n"))
-    placed = shards.join(F.broadcast(begins.select("part", "begin")), "part")
+    each = begins.groupBy("part").agg(F.sum("n_ids").alias("n")).withColumn("begin", F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, 0)) - F.col("n"))
+    placed = shards.join(F.broadcast(each.select("part", "begin")), "part")
     return placed.select((F.col("begin") + F.col("before")).alias("start"), "payload").mapInArrow(_unpack(spark.sparkContext.broadcast(id_of)), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def save_shards(shards: DataFrame, folder: str) -> DataFrame:
-    """Writes every shard to a .frvb file of its own in `folder` (a URI that all machines see): (path, n_bytes)."""
-    return files_of(shards.orderBy("part", "before"), "payload", folder, ".frvb")
+    """Writes every shard to a .frvb file of its own in `folder` (a URI that all machines see): (path, n_bytes, part, before, n_ids)."""
+    return files_of(shards, "payload", folder, SUFFIX, ["part", "before", "n_ids"])
 
 
-def token_output(documents: DataFrame, vocabulary: str, by_word: bool = True, shard_ids: int = SHARD_IDS) -> DataFrame:
-    """Encode, write the shards, read them back: (doc_id, start, n_tokens, ids_crc32) of every document.
+def token_output(documents: DataFrame, vocabulary: str, by_word: bool = True, shard_ids: int = SHARD_IDS, folder: str | None = None) -> DataFrame:
+    """Encode, write the shards as .frvb files to `folder` (None: a new one in the shared folder), read the files back:
+    (doc_id, start, n_tokens, ids_crc32) of every document.
 
     `vocabulary` is the path of a tokenizers file, there on every machine. `by_word` is for word_bpe_49k.json
     only: words are then looked up and only new ones go through the tokenizer; the ids are the same. Null and
     empty texts have the end id alone. A null doc_id comes first; rows that repeat a doc_id follow each other
     in the order of their ids' hash. Empty table: no rows. Other columns are ignored.
     """
-    return read_shards(*write_shards(documents, vocabulary, by_word, shard_ids))
+    folder = folder or f"{shared_dir(documents.sparkSession)}/tokens-{uuid.uuid4().hex}"
+    shards, id_of = write_shards(documents, vocabulary, by_word, shard_ids)
+    files = save_shards(shards, folder)
+    return read_shards(read_files(files, folder, SUFFIX).withColumnRenamed("content", "payload"), files.select("part", "n_ids"), id_of)

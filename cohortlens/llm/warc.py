@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import files_of, sent_if_small, written
+from .common import files_of, read_files, sent_if_small, shared_dir, written
 
 DICTIONARY_MAGIC = 0x184D2A5D
 ARCHIVE_BYTES = 8 << 20
@@ -173,11 +174,13 @@ def save_archives(archives: DataFrame, folder: str) -> DataFrame:
     return files_of(archives, "archive", folder, ".warc.zst")
 
 
-def archive_round_trip(pages: DataFrame) -> DataFrame:
-    """Write the archives to the shared folder and read them back.
+def archive_round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
+    """Write the archives as .warc.zst files to `folder` (None: a new one in the shared folder) and read the files back.
 
     Null html is an empty payload; a null url has no target line; a null page_id is smaller than all. Rows
     that repeat the largest page_id of a group are all responses. Empty table: no rows. Other columns are
     ignored.
     """
-    return read_archives(written(write_archives(pages), "warc"))
+    folder = folder or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+    files = save_archives(write_archives(pages), folder)
+    return read_archives(read_files(files, folder, ".warc.zst").withColumnRenamed("content", "archive"))

@@ -54,7 +54,7 @@ def test_small_shards(spark):
     rows = [(i, " ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(rng.randint(0, 30)))) for i in range(50)]
     shards, id_of = tokens.write_shards(spark.createDataFrame(rows, "doc_id bigint, text string"), PATH, True, shard_ids=40)
     assert shards.count() > 15 and shards.filter("before > 0").count() > 10
-    assert sorted((tuple(r) for r in tokens.read_shards(shards, id_of).collect()), key=lambda r: r[1]) == expected(rows)
+    assert sorted((tuple(r) for r in tokens.read_shards(shards, shards, id_of).collect()), key=lambda r: r[1]) == expected(rows)
     with pytest.raises(ValueError):
         tokens.read_shard(b"x" * 60, id_of)
 
@@ -125,3 +125,15 @@ def test_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = sorted((tuple(r) for r in tokens.token_output(docs, PATH).collect()), key=lambda r: r[1])
     assert got == expected([tuple(r) for r in docs.select("doc_id", "text").collect()])
+
+
+def test_the_query_reads_its_files(spark, tmp_path):
+    rows = [(i, f"some words {i % 7} more") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    folder = f"file://{tmp_path}/shards"
+    got = tokens.token_output(df, PATH, shard_ids=100, folder=folder)
+    files = [f for f in (tmp_path / "shards").iterdir() if f.suffix == ".frvb"]
+    assert len(files) > 5 and all(f.read_bytes()[:8] == tokens.MAGIC for f in files)
+    # What an attempt that was lost left behind is not read; a file that is gone is missed.
+    (tmp_path / "shards" / "part-00000-lost-00000.frvb").write_bytes(files[0].read_bytes())
+    assert sorted((tuple(r) for r in got.collect()), key=lambda r: r[1]) == expected(rows)
