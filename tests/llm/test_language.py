@@ -1,3 +1,5 @@
+import math
+import re
 import zlib
 
 import numpy as np
@@ -65,3 +67,41 @@ def test_a_repeated_id_teaches_once(spark):
     rows = [(1, f"text number {k} of one id", "en") for k in range(500)] + [(3, "der text", "de")]
     texts = language.training_texts(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
     assert len(texts["en"]) < 40
+
+
+def plain_phrases_fast(text, known):
+    """As plain_phrases; the longest match is found by doubling and halving."""
+    n = i = 0
+    while i < len(text):
+        low, high = 1, 2
+        while i + high <= len(text) and text[i : i + high] in known:
+            low, high = high, 2 * high
+        high = min(high, len(text) - i + 1)
+        while high - low > 1:
+            mid = (low + high) // 2
+            low, high = (mid, high) if text[i : i + mid] in known else (low, mid)
+        n, i = n + 1, i + low
+    return n
+
+
+def test_whole_rows_like_the_plain_rule(spark, sf_dir):
+    """lang_pred and score of documents from the training passages, by substring search alone."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    fold = lambda b: re.sub(rb"[^a-z\x80-\xff]+", b" ", b.lower())
+    known = {k: fold(t + b" ") for k, t in language.training_texts(docs.select("doc_id", "text", "lang")).items()}
+    names = sorted(known)
+    got = {r.doc_id: r for r in language.identify(docs).collect()}
+    judged = 0
+    for r in docs.collect():
+        own = got[r.doc_id]
+        if r.text is None or not any(c.isalpha() for c in r.text):
+            assert (own.lang_pred, own.score) == ("und", 0.0)
+            continue
+        text = fold(r.text.lower().encode())
+        if len(text) > 3000:
+            continue
+        bits = [plain_phrases_fast(text, known[k]) * math.log2(max(2, len(known[k]))) / max(1, len(text)) for k in names]
+        weight = sum(2 ** (-8.0 * (b - min(bits))) for b in bits)
+        assert own.lang_pred == names[bits.index(min(bits))] and abs(own.score - 1 / weight) < 1e-9
+        judged += 1
+    assert judged > 100
