@@ -54,8 +54,9 @@ def shingle_set(text: str | None, width: int, held: dict | None = None) -> np.nd
     return np.unique(mixed(out))
 
 
-def set_key(hashes: np.ndarray) -> int:
-    return int(np.uint64(xxhash.xxh3_64_intdigest(hashes.tobytes())).astype(np.int64))
+def set_key(hashes: np.ndarray) -> bytes:
+    """128 bits of a set; sets with equal keys are taken for equal, of 5e10 sets with a chance of 4e-18 wrongly."""
+    return xxhash.xxh3_128_digest(hashes.tobytes())
 
 
 def prefix_length(n: int, similarity: float) -> int:

@@ -88,18 +88,17 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def near_links(prints: DataFrame, radius: int = 3, blocks: int | None = None, agree: int | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def near_links(prints: DataFrame, radius: int = 3, blocks: int | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Links (a, b, bits) between nodes of (print, node), print distinct, that join all within `radius` bits.
 
-    Buckets are made by every choice of `agree` of the blocks. Nothing is missed up to blocks - agree bits,
-    which is the radius unless `agree` is given; beyond it, links are found if `agree` blocks happen to be equal.
+    Buckets are made by every choice of blocks - radius of the blocks: prints within the radius agree in one of them.
 
     Not every pair is listed: of the pairs in one bucket a spanning forest stays, which keeps each
     component whole. A bucket of more than `bucket_rows` is dealt on by blocks of its remaining bits, again
     and again; as prints are distinct, this ends.
     """
-    blocks = blocks or radius + 1
-    agree = agree or blocks - radius
+    spark, blocks = prints.sparkSession, blocks or radius + 1
+    agree = blocks - radius
     masks = _block_masks(list(range(BITS)), blocks, agree)
     rows = prints.select("print", "node", F.explode(F.array(*[F.struct(F.lit(m).alias("table"), F.col("print").bitwiseAND(F.lit(m)).alias("key")) for m in map(_signed, masks)])).alias("k"))
     rows = rows.select(F.col("k.table").alias("table"), F.col("k.key").alias("key"), "print", "node")
@@ -113,13 +112,13 @@ def near_links(prints: DataFrame, radius: int = 3, blocks: int | None = None, ag
         level += 1
         if not tables:
             break
-        further = F.lit(None)
+        further = []
         for t in tables:
             left = [x for x in range(BITS) if not (t >> x) & 1]
-            choices = [_signed(m | (t & ((1 << 64) - 1))) for m in _block_masks(left, blocks, agree)]
-            further = F.when(F.col("table") == t, F.array(*[F.lit(m) for m in choices])).otherwise(further)
+            further += [(t, _signed(m | (t & ((1 << 64) - 1)))) for m in _block_masks(left, blocks, agree)]
         hot = rows.join(large, ["table", "key"], "left_semi")
-        rows = hot.select("print", "node", F.explode(further).alias("table")).select("table", F.col("print").bitwiseAND(F.col("table")).alias("key"), "print", "node").distinct()
+        dealt = hot.join(F.broadcast(spark.createDataFrame(further, "table bigint, next bigint")), "table")
+        rows = dealt.select(F.col("next").alias("table"), F.col("print").bitwiseAND(F.col("next")).alias("key"), "print", "node").distinct()
     for part in ready:
         own = part.repartition("table", "key").sortWithinPartitions("table", "key").mapInArrow(_link_batches(radius), "a bigint, b bigint, bits bigint")
         links = own if links is None else links.unionByName(own)

@@ -91,8 +91,8 @@ def _set_batches(shingle: int):
                 part = batch.slice(a, b - a)
                 sets = [shingle_set(x.as_py(), shingle, held) for x in part.column(1)]
                 prints = [set_print(s) for s in sets]
-                columns = [part.column(0), pa.array([set_key(s) for s in sets], pa.int64()), *(pa.array([p[k] for p in prints], pa.int64()) for k in (0, 1))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "p", "q"])
+                columns = [part.column(0), pa.array([set_key(s) for s in sets], pa.binary()), *(pa.array([p[k] for p in prints], pa.int64()) for k in (0, 1))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "set", "p", "q"])
 
     return given_back(run)
 
@@ -103,11 +103,11 @@ def _chosen_sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Words()
         for batch in batches:
-            for a, b in pieces(utf8(batch.column(1))[1]):
+            for a, b in pieces(utf8(batch.column(2))[1]):
                 part = batch.slice(a, b - a)
-                sets = [shingle_set(x.as_py(), shingle, held) for x in part.column(1)]
-                nodes = part.column(0).to_pylist()
-                own = [k for k, s in enumerate(sets) if set_key(s) == nodes[k]]
+                sets = [shingle_set(x.as_py(), shingle, held) for x in part.column(2)]
+                nodes, keys = (part.column(k).to_pylist() for k in (0, 1))
+                own = [k for k, s in enumerate(sets) if set_key(s) == keys[k]]
                 yield pa.RecordBatch.from_arrays([pa.array([nodes[k] for k in own], pa.int64()), lists([sets[k] for k in own])], names=["node", "hashes"])
 
     return given_back(run)
@@ -166,13 +166,15 @@ def similar_documents(documents: DataFrame, shingle: int = 5, similarity: float
     """(doc_id, component_id) of documents whose sets of word shingles are alike to `similarity` or more.
 
     Components join pairs with a Jaccard similarity of at least `similarity`, compared on whole sets of
-    64-bit hashes; pairs are found as the module says. Equal sets are one node. Texts without words are
+    64-bit hashes; pairs are found as the module says. Equal sets (by 128 bits of them) are one node. Texts without words are
     alike. Repeated doc_ids each have their row, and join their texts' components; a null doc_id links
     nothing and has a null component. Empty table: no rows. Other columns are ignored.
     """
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    own = written(docs.mapInArrow(_set_batches(shingle), "doc_id bigint, node bigint, p bigint, q bigint"), "prints")
-    nodes = written(own.filter("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("p").alias("p"), F.first("q").alias("q")), "nodes")
+    read = written(docs.mapInArrow(_set_batches(shingle), "doc_id bigint, set binary, p bigint, q bigint"), "prints")
+    once = read.filter("doc_id is not null").groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.first("p").alias("p"), F.first("q").alias("q"))
+    nodes = written(once.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    own = written(read.select("doc_id", "set").join(nodes.select("set", "node"), "set", "left").select("doc_id", "node"), "own")
     radius = radius_of(similarity)
 
     # Buckets: the bits of each sample, hashed with the sample's number.
@@ -186,10 +188,9 @@ def similar_documents(documents: DataFrame, shingle: int = 5, similarity: float
     pairs = written(forest.mapInArrow(_forest_batches(radius), "a bigint, b bigint").distinct(), "near")
 
     # Only the sets of nodes that have a near one are made, once; or all.
-    asked = nodes.select("node", "doc_id") if whole else written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "doc_id"), "node"), "asked")
-    ids = asked.select("doc_id", "node")
-    texts = docs.join(sent_if_small(ids), "doc_id")
-    sets = written(texts.select("node", "text").mapInArrow(_chosen_sets(shingle), "node bigint, hashes array<bigint>").groupBy("node").agg(F.first("hashes").alias("hashes")), "sets")
+    asked = nodes.select("node", "doc_id", "set") if whole else written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "doc_id", "set"), "node"), "asked")
+    texts = docs.join(sent_if_small(asked.select("doc_id", "node", "set")), "doc_id")
+    sets = written(texts.select("node", "set", "text").mapInArrow(_chosen_sets(shingle), "node bigint, hashes array<bigint>").groupBy("node").agg(F.first("hashes").alias("hashes")), "sets")
     repeated = own.filter("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b")
     same_id = own.join(repeated.select("doc_id", "a"), "doc_id").select("a", F.col("node").alias("b"))
     links = written(confirmed(pairs, sets, similarity).unionByName(same_id), "alike")
