@@ -16,7 +16,10 @@ def leads(t):
     return t.meas.select("record_id", "lead", C("engine").alias("value"), "confidence")
 
 
-@query("a16_robust_consensus", f"WITH {_LEADS}, t AS (SELECT record_id, count(*) FILTER (confidence >= 0.45) AS nt FROM leads GROUP BY 1), u AS (SELECT leads.*, nt FROM leads JOIN t USING (record_id) WHERE nt = 0 OR confidence >= 0.45), c AS (SELECT record_id, median(value) AS m, count(*) AS n, avg(confidence) AS mc, max(nt) AS nt FROM u GROUP BY 1), s AS (SELECT u.record_id, median(abs(value - m)) AS mad FROM u JOIN c USING (record_id) GROUP BY 1) SELECT record_id, round(m, 9) AS value, round(mad, 9) AS mad, n AS n_used, CASE WHEN nt >= 2 THEN 'multi_trusted' WHEN nt > 0 THEN 'single_trusted' WHEN n >= 2 THEN 'multi_low' ELSE 'single_low' END AS tier, round(least(1, mc / (1 + mad / greatest(1, abs(m) * 0.1)) * CASE WHEN nt >= 2 THEN 1 WHEN nt > 0 THEN 0.85 WHEN n >= 2 THEN 0.75 ELSE 0.65 END), 9) AS confidence FROM c JOIN s USING (record_id)", places=9)
+_A16 = f"WITH {_LEADS}, t AS (SELECT record_id, count(*) FILTER (confidence >= 0.45) AS nt FROM leads GROUP BY 1), u AS (SELECT leads.*, nt FROM leads JOIN t USING (record_id) WHERE nt = 0 OR confidence >= 0.45), c AS (SELECT record_id, median(value) AS m, count(*) AS n, avg(confidence) AS mc, max(nt) AS nt FROM u GROUP BY 1), s AS (SELECT u.record_id, median(abs(value - m)) AS mad FROM u JOIN c USING (record_id) GROUP BY 1) SELECT record_id, round(m, 9) AS value, round(mad, 9) AS mad, n AS n_used, CASE WHEN nt >= 2 THEN 'multi_trusted' WHEN nt > 0 THEN 'single_trusted' WHEN n >= 2 THEN 'multi_low' ELSE 'single_low' END AS tier, round(least(1, mc / (1 + mad / greatest(1, abs(m) * 0.1)) * CASE WHEN nt >= 2 THEN 1 WHEN nt > 0 THEN 0.85 WHEN n >= 2 THEN 0.75 ELSE 0.65 END), 9) AS confidence FROM c JOIN s USING (record_id)"
+
+
+@query("a16_robust_consensus", _A16, places=9)
 def _(t):
     return K.robust_consensus(leads(t), ["record_id"])
 
@@ -97,10 +100,18 @@ def _(t):
     return K.threshold_relation(K.measurement_state(intervals(t)), 120.0).groupBy("relation").agg(F.count("*").alias("n"))
 
 
-@query("f18_measurement_envelope")
+_WHOLE = _A16.replace("round(m, 9) AS", "m AS").replace("round(mad, 9) AS", "mad AS").replace("round(least(", "(least(").replace(" END), 9) AS confidence", " END)) AS confidence")
+
+
+@query(
+    "f18_measurement_envelope",
+    f"SELECT k.record_id, round(value, 6) AS value, CASE WHEN mad > 12 THEN 'WITH_UNCERTAINTY' ELSE 'HIGH_CONFIDENCE' END AS state, round(value - u, 6) AS low, round(value + u, 6) AS high, n_sources, round(source_mean, 6) AS source_mean FROM (SELECT *, greatest(4.0, 1.4826 * mad, (1 - confidence) * 10) AS u FROM ({_WHOLE}) a) k JOIN (SELECT record_id, count(*) AS n_sources, avg(v) AS source_mean FROM (SELECT record_id, lead, avg(engine) AS v FROM meas GROUP BY 1, 2) GROUP BY 1) n ON n.record_id = k.record_id",
+)
 def _(t):
     c = K.measurement_state(K.uncertainty_interval(K.robust_consensus(leads(t), ["record_id"]).withColumns({"digitizer": F.lit(2.0), "disagreement": F.lit(0.0)})))
-    return K.measurement_envelope(c, leads(t), ["record_id"]).select("record_id", "envelope.value", "envelope.state", F.size("envelope.sources").alias("n_sources"))
+    e = K.measurement_envelope(c, leads(t), ["record_id"])
+    mean = F.aggregate(F.map_values("envelope.sources"), F.lit(0.0), lambda s, v: s + v) / F.size("envelope.sources")
+    return e.select("record_id", "envelope.value", "envelope.state", "envelope.low", "envelope.high", F.size("envelope.sources").alias("n_sources"), mean.alias("source_mean"))
 
 
 _FLAGS = "f AS (SELECT l_orderkey AS record_id, l_quantity > 20 AS wide, l_discount > 0.05 AS rsr, l_tax > 0.04 AS notched FROM lineitem)"

@@ -35,7 +35,7 @@ def test_query_matches_sql(spark, sf_dir, duck, name):
 
 
 #: Held to plain Python in test_plain_versions.py, or to known answers in test_fixtures.py.
-ELSEWHERE = "a06_agreement_ci a06_bootstrap_ci e04_cross_channel_cluster_exact e07_conduction_class e09_coupling_relation f18_measurement_envelope j05_difflib_candidates j15_asof_claimed m01_balanced_softmax_fit p01_fold_unicode p06_clinical_text_windows t02_evaluate_before_learn_stream".split()
+ELSEWHERE = "a06_agreement_ci a06_bootstrap_ci e04_cross_channel_cluster_exact e07_conduction_class e09_coupling_relation j05_difflib_candidates j15_asof_claimed m01_balanced_softmax_fit p01_fold_unicode p06_clinical_text_windows t02_evaluate_before_learn_stream".split()
 
 
 def test_every_query_is_held_to_something(spark, sf_dir):
