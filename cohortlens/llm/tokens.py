@@ -50,8 +50,8 @@ _CHAR = mixed(np.arange(1, 0x181, dtype=np.uint64))
 _IN_WORD = 0x9E3779B97F4A7C15
 
 
-def words_in(low: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Begin, size and 64-bit hash of each word of a plain text in lower case, and the words' code units on end.
+def words_in(low: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Begin, size and 64-bit hash of each word of a plain text in lower case; the words' code units on end and their places in them.
 
     Words are runs of letters, single digits and runs of other signs; an apostrophe that begins one takes an
     ending of ENDINGS with it.
@@ -74,13 +74,13 @@ def words_in(low: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         starts[rest] |= kind[rest] == LETTER
     first = np.flatnonzero(starts)
     if not len(first):
-        return first, first, np.zeros(0, np.uint64), codes[:0]
+        return first, first, np.zeros(0, np.uint64), codes[:0], first
     at = np.flatnonzero(kind)
     head = np.searchsorted(at, first)
     size = np.diff(np.append(head, len(at)))
     place = np.arange(len(at)) - np.repeat(head, size)
     units = codes[at]
-    return first, size, mixed(np.add.reduceat(_CHAR[units] * powers(_IN_WORD, int(size.max()))[place], head)), units
+    return first, size, mixed(np.add.reduceat(_CHAR[units] * powers(_IN_WORD, int(size.max()))[place], head)), units, place
 
 
 class Numbers:
@@ -188,14 +188,16 @@ class Encoder:
         self.ids.add(np.concatenate(ids), np.concatenate(sizes))
         self.units.add(np.frombuffer("".join(words).encode("utf-16-le"), "<u2"), np.array([len(w) for w in words]))
 
-    def _same(self, numbers: np.ndarray, size: np.ndarray, units: np.ndarray) -> np.ndarray:
-        """Whether each word, of these code units, is the one that has its number."""
+    def _others(self, numbers: np.ndarray, size: np.ndarray, units: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Words, of these code units, that are not those that have their numbers."""
         begin, known = self.units.places(numbers)
-        head = np.cumsum(size) - size
-        same = known == size
-        at = np.repeat(np.where(same, begin - head, 0), size) + np.arange(len(units))
-        at[np.repeat(~same, size)] = 0
-        return same & np.logical_and.reduceat(self.units.held[at] == units, head)
+        if (known == size).all():
+            alike = self.units.held[np.repeat(begin, size) + place] == units
+            return np.flatnonzero(~np.logical_and.reduceat(alike, np.cumsum(size) - size)) if not alike.all() else begin[:0]
+        whole = known == size
+        at = np.where(np.repeat(whole, size), np.repeat(begin, size) + place, 0)
+        alike = (self.units.held[at] == units) & np.repeat(whole, size)
+        return np.flatnonzero(~np.logical_and.reduceat(alike, np.cumsum(size) - size))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray | None] = [None] * len(texts)
@@ -209,7 +211,7 @@ class Encoder:
         if plain:
             low = "\n".join(texts[k] for k in plain).lower()
             ends = np.cumsum([len(texts[k]) + 1 for k in plain])
-            first, size, hashes, units = words_in(low)
+            first, size, hashes, units, place = words_in(low)
             number = self.memo.find(hashes)
             new = np.flatnonzero(number < 0)
             word = lambda k: low[first[k] : first[k] + size[k]]
@@ -219,7 +221,7 @@ class Encoder:
                 self._learn([word(k) for k in once.tolist()])
                 self.memo.add(hashes[once])
                 number[new] = self.memo.find(hashes[new])
-            odd = np.flatnonzero(~self._same(number, size, units)) if len(first) else first
+            odd = self._others(number, size, units, place) if len(first) else first
             for k in odd.tolist():
                 if (own := word(k)) not in self.others:
                     self._learn([own])
