@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import files_of, mixed, powers, read_files, shared_dir, written
+from .common import files_of, given_back, mixed, powers, read_files, shared_dir, written
 
 END_ID = 1
 #: Ids in a shard, unless one document alone has more.
@@ -32,7 +32,7 @@ MOST_PARTS = 20_000
 #: Texts in a batch of this many code points go through the tokenizer together.
 BATCH_CHARS = 1 << 20
 #: Words that a task remembers before it begins again.
-MEMO_WORDS = 1_500_000
+MEMO_WORDS = 600_000
 SUFFIX = ".frvb"
 MAGIC = b"FRVB\x01\x00\x00\x00"
 
@@ -133,10 +133,10 @@ class Lists:
     """Lists of numbers on end, with room to grow."""
 
     def __init__(self, kind: type):
-        self.held, self.ends, self.count = np.zeros(1 << 12, kind), np.zeros(1 << 10, np.int64), 0
+        self.held, self.ends, self.count = np.zeros(1 << 12, kind), np.zeros(1 << 10, np.int32), 0
 
     def add(self, values: np.ndarray, sizes: np.ndarray) -> None:
-        begin, n = self.ends[self.count], len(sizes)
+        begin, n = int(self.ends[self.count]), len(sizes)
         while self.count + n + 1 > len(self.ends):
             self.ends = np.append(self.ends, np.zeros_like(self.ends))
         while begin + len(values) > len(self.held):
@@ -147,7 +147,7 @@ class Lists:
 
     def places(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Begin and size of each list."""
-        begin = self.ends[numbers]
+        begin = self.ends[numbers].astype(np.int64)
         return begin, self.ends[numbers + 1] - begin
 
 
@@ -254,7 +254,7 @@ def _encode(path: str, by_word: bool):
                 )
                 first = last
 
-    return run
+    return given_back(run)
 
 
 def _ids(small: bool, payload: bytes) -> np.ndarray:
@@ -343,7 +343,7 @@ def _pack(rank_of, shard_ids: int):
         if parts:
             yield out()
 
-    return run
+    return given_back(run)
 
 
 def _unpack(id_of):
