@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions.text import ANY_CASE, fold_text, holds_text, similarity, token_set_ratio, tokens
 from cohortlens.operators.near_names import banded_pairs, similar_pairs
-from cohortlens.sources.shared import written
+from cohortlens.sources.shared import sent_if_small, written
 
 
 def name_or_id_lookup(catalog: DataFrame, source: DataFrame) -> DataFrame:
@@ -90,16 +90,23 @@ def component_identity(catalog: DataFrame, sources: DataFrame, least: float = 92
     """(med_id, source_id) where every catalogue component matches an ingredient, and a single drug no combination.
 
     Different components meet different ingredients with a token in common; catalog(med_id, parts),
-    sources(source_id, ingredients).
+    sources(source_id, ingredients). Lists meet once each, however many drugs or sources have them, and by that
+    component only which the fewest ingredient lists answer: the others are looked up in the lists it finds.
     """
-    parts = catalog.select("med_id", F.size("parts").alias("__n"), F.explode("parts").alias("part"))
-    held = sources.select("source_id", F.size("ingredients").alias("__m"), F.explode("ingredients").alias("ingredient"))
-    names, other = parts.select(F.col("part").alias("name")), held.select(F.col("ingredient").alias("name"))
-    near = name_pairs(names, other, 1).select(F.col("name").alias("part"), F.col("candidate").alias("ingredient")).filter(token_set_ratio(F.col("part"), F.col("ingredient")) >= least)
-    alike = near.unionByName(names.intersect(other).select(F.col("name").alias("part"), F.col("name").alias("ingredient")))
-    hit = parts.join(alike, "part").join(held, "ingredient")
-    good = hit.groupBy("med_id", "source_id").agg(F.countDistinct("part").alias("k"), F.first("__n").alias("n"), F.first("__m").alias("m"))
-    return good.filter("k = n and (n > 1 or m = 1)").select("med_id", "source_id")
+    drugs = catalog.select("med_id", F.array_sort("parts").alias("parts"))
+    given = sources.select("source_id", F.array_sort("ingredients").alias("ingredients"))
+    own, other = written(drugs.select("parts").distinct(), "component_lists"), written(given.select("ingredients").distinct(), "ingredient_lists")
+    parts = own.select("parts", F.explode("parts").alias("part"))
+    held = other.select("ingredients", F.explode(F.array_distinct("ingredients")).alias("ingredient"))
+    names, others = parts.select(F.col("part").alias("name")), held.select(F.col("ingredient").alias("name"))
+    near = name_pairs(names, others, 1).select(F.col("name").alias("part"), F.col("candidate").alias("ingredient")).filter(token_set_ratio(F.col("part"), F.col("ingredient")) >= least)
+    alike = near.unionByName(names.intersect(others).select(F.col("name").alias("part"), F.col("name").alias("ingredient")))
+    answers = alike.join(held.groupBy("ingredient").agg(F.count("*").alias("lists")), "ingredient").groupBy("part").agg(F.collect_set("ingredient").alias("like"), F.sum("lists").alias("lists"))
+    whole = parts.join(answers, "part").groupBy("parts").agg(F.countDistinct("part").alias("k"), F.collect_set("like").alias("likes"), F.min_by("like", F.struct("lists", "part")).alias("rarest")).filter(F.col("k") == F.size("parts"))
+    met = whole.select("parts", "likes", F.explode("rarest").alias("ingredient")).join(held, "ingredient").filter((F.size("parts") > 1) | (F.size("ingredients") == 1))
+    lists = met.filter(F.forall("likes", lambda like: F.arrays_overlap(like, F.col("ingredients")))).select("parts", "ingredients").distinct()
+    found = written(lists.join(given, "ingredients").select("parts", "source_id"), "lists_met")
+    return drugs.join(sent_if_small(found), "parts").select("med_id", "source_id").distinct()
 
 
 def crosswalk_identity(catalog: DataFrame, labels: DataFrame, least: float = 96.0) -> DataFrame:

@@ -32,3 +32,8 @@ def sent(df: DataFrame, what: str, most: int = 1 << 20) -> DataFrame:
     if n > most:
         raise ValueError(f"{what} has more than {most} rows, too many to be sent to every task")
     return F.broadcast(df)
+
+
+def sent_if_small(df: DataFrame, most: int = 1 << 16) -> DataFrame:
+    """df for broadcast where it has `most` rows at most; a larger one is left to a shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

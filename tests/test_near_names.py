@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from cohortlens.functions.text import similarity
+from cohortlens.functions.text import similarity, token_set_ratio
 from cohortlens.operators import link, near_names
 
 
@@ -61,3 +61,40 @@ def test_many_queries_find_what_few_do(spark):
     assert sorted(map(tuple, many.collect())) == want and any(how == "fuzzy" for *_, how in want)
     with pytest.raises(ValueError):
         near_names.similar_pairs(rows, rows, 40.0)
+
+
+def shuffled_rows(spark, work):
+    """Rows that the stages of work() write to shuffles."""
+    jvm = spark.sparkContext._jvm
+
+    def rows():
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {stages.apply(k).stageId(): stages.apply(k).shuffleWriteRecords() for k in range(stages.size())}
+
+    before = rows()
+    work()
+    return sum(n for stage, n in rows().items() if stage not in before)
+
+
+def test_component_lists_meet_as_all_pairs_do(spark):
+    rng = random.Random(8)
+    words = ["acid folic", "folic acid", "acid folicc", "zinc", "zincs", "iron salt", "salt iron", "magnesium chloride", "magnesium chlorides", "potassium"]
+    some = lambda k: [rng.choice(words) for _ in range(k)]
+    cat = [(k, sorted(set(some(rng.randrange(0, 4))))) for k in range(80)] + [(80, ["zinc", "zinc"]), (81, None), (82, ["zinc", None]), (83, ["zinc"]), (83, ["zinc"])]
+    src = [(k, some(rng.randrange(0, 5))) for k in range(80)] + [(80, ["zinc", "zinc"]), (81, None), (82, ["zinc", None]), (83, ["zinc"]), (83, ["zinc"])]
+    got = link.component_identity(spark.createDataFrame(cat, "med_id int, parts array<string>"), spark.createDataFrame(src, "source_id int, ingredients array<string>"))
+    pairs = spark.createDataFrame([(a, b) for a in words for b in words], "a string, b string")
+    alike = {(r.a, r.b) for r in pairs.filter(token_set_ratio(F.col("a"), F.col("b")) >= 92).collect() if r.a == r.b or set(r.a.split()) & set(r.b.split())}
+    fits = lambda parts, held: len(set(parts)) == len(parts) > 0 and all(any((p, x) in alike for x in held) for p in parts) and (len(parts) > 1 or len(held) == 1)
+    want = sorted({(m, s) for m, p in cat if p for s, h in src if h and fits(p, h)})
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 100
+
+
+def test_component_lists_meet_once_and_by_their_rarest_part(spark):
+    n = 1000
+    cat = spark.range(20 * n).select(F.col("id").alias("med_id"), F.array(F.lit("common"), F.concat(F.lit("own"), F.col("id") % n)).alias("parts"))
+    src = spark.range(n).select(F.col("id").alias("source_id"), F.array(F.lit("common"), F.concat(F.lit("own"), F.col("id")), F.lit("extra")).alias("ingredients"))
+    found = []
+    moved = shuffled_rows(spark, lambda: found.append(link.component_identity(cat, src).collect()))
+    assert {tuple(r) for r in found[0]} == {(k, k % n) for k in range(20 * n)} and len(found[0]) == 20 * n
+    assert moved < 5 * 20 * n
