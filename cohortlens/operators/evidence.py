@@ -17,8 +17,8 @@ def evidence_candidates(features: DataFrame, components: list[tuple[str, Column,
     """(record_id, code, score, n_sources, sources): weights of the components that hold, capped at 1, per code."""
     fired = F.filter(F.array(*[F.when(F.coalesce(cond, F.lit(False)), F.struct(F.lit(code).alias("code"), F.lit(w).alias("w"), F.lit(src).alias("source"))) for code, cond, w, src in components]), lambda x: x.isNotNull())
     long = features.select("record_id", F.explode(fired).alias("f")).select("record_id", "f.*")
-    g = long.groupBy("record_id", "code").agg(F.least(F.lit(1.0), F.sum("w")).alias("score"), F.array_join(F.sort_array(F.collect_set("source")), ",").alias("sources"), F.countDistinct("source").alias("n_sources"))
-    return g
+    g = long.groupBy("record_id", "code").agg(F.least(F.lit(1.0), F.sum("w")).alias("score"), F.collect_set("source").alias("s"))
+    return g.select("record_id", "code", "score", F.array_join(F.sort_array("s"), ",").alias("sources"), F.size("s").cast("bigint").alias("n_sources"))
 
 
 def consistency_conflicts(features: DataFrame, checks: list[tuple[str, str, Column]]) -> DataFrame:
@@ -32,11 +32,13 @@ def domain_gates(records: DataFrame, conflicts: DataFrame, unusable: DataFrame,
 
     rescues(record_id, domain, measure) take an unusable measurement off a domain's list.
     """
-    spark = records.sparkSession
-    every = records.select("record_id").distinct().crossJoin(F.broadcast(spark.createDataFrame([(d,) for d in domains], "domain string")))
+    every = records.select("record_id", F.explode(F.array(*[F.lit(d) for d in domains])).alias("domain"))
     blocking = conflicts.filter(C("severity") == "BLOCKING").join(F.broadcast(conflict_map), "code").select("record_id", "domain", "code").distinct().groupBy("record_id", "domain").agg(F.count("*").alias("n_conflicts"))
     bad = unusable.join(F.broadcast(measure_map), "measure").join(rescues, ["record_id", "domain", "measure"], "left_anti").select("record_id", "domain", "measure").distinct().groupBy("record_id", "domain").agg(F.count("*").alias("n_unusable"))
-    out = every.join(blocking, ["record_id", "domain"], "left").join(bad, ["record_id", "domain"], "left").fillna(0, ["n_conflicts", "n_unusable"])
+    rows = lambda df, own, nc, nu: df.select("record_id", "domain", F.lit(own).alias("own"), nc.alias("n_conflicts"), nu.alias("n_unusable"))
+    none = F.lit(0).cast("bigint")
+    marks = rows(every, True, none, none).unionByName(rows(blocking, False, C("n_conflicts"), none)).unionByName(rows(bad, False, none, C("n_unusable")))
+    out = marks.groupBy("record_id", "domain").agg(F.bool_or("own").alias("own"), F.sum("n_conflicts").alias("n_conflicts"), F.sum("n_unusable").alias("n_unusable")).filter("own").drop("own")
     return out.withColumn("eligible", (C("n_conflicts") == 0) & (C("n_unusable") == 0))
 
 
@@ -57,19 +59,16 @@ def fuse_evidence(candidates: DataFrame, gates: DataFrame, policy: DataFrame, ne
 
 
 def final_findings(fused: DataFrame, rhythm_order: list[str]) -> DataFrame:
-    """Primary rhythm (ventricular first, else the best score), other published rhythms, conduction and abstained domains per record."""
+    """Primary rhythm (ventricular first, else the best score), other published rhythms, conduction and abstained domains per record, in one pass."""
     rank = reduce(lambda rest, kv: F.when(C("code") == kv[1], kv[0]).otherwise(rest), enumerate(reversed(rhythm_order), 1), F.lit(0))
-    pub = fused.filter("publishable")
-    line = lambda c: F.array_join(F.sort_array(F.collect_set(c)), ",")
-    rhythm = pub.filter(C("domain") == "RHYTHM")
-    first = rhythm.groupBy("record_id").agg(F.max_by("code", F.struct(rank, C("score"), C("code"))).alias("primary_rhythm"))
-    rest = rhythm.join(first, "record_id").filter(C("code") != C("primary_rhythm")).groupBy("record_id").agg(line("code").alias("secondary"))
-    other = pub.filter(C("domain") != "RHYTHM").groupBy("record_id").agg(line("code").alias("conduction"))
-    held = fused.filter(C("state") == "DOMAIN_ABSTENTION").groupBy("record_id").agg(line("domain").alias("abstained"))
-    out = fused.select("record_id").distinct()
-    for part in (first, rest, other, held):
-        out = out.join(part, "record_id", "left")
-    return out.fillna("", ["primary_rhythm", "secondary", "conduction", "abstained"])
+    rhythm, other = C("publishable") & (C("domain") == "RHYTHM"), C("publishable") & (C("domain") != "RHYTHM")
+    line = lambda c: F.array_join(F.sort_array(c), ",")
+    each = fused.groupBy("record_id").agg(
+        F.max_by(F.when(rhythm, C("code")), F.when(rhythm, F.struct(rank, C("score"), C("code")))).alias("first"), F.collect_set(F.when(rhythm, C("code"))).alias("rhythms"),
+        F.collect_set(F.when(other, C("code"))).alias("others"), F.collect_set(F.when(C("state") == "DOMAIN_ABSTENTION", C("domain"))).alias("held"),
+    )
+    out = each.select("record_id", C("first").alias("primary_rhythm"), line(F.array_remove("rhythms", C("first"))).alias("secondary"), line("others").alias("conduction"), line("held").alias("abstained"))
+    return out.fillna("", ["primary_rhythm", "secondary"])
 
 
 def cross_engine_agreement(findings: DataFrame, probs: DataFrame, mapping: DataFrame, high: float = 0.80, low: float = 0.20) -> DataFrame:
