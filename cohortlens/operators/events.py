@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
-from cohortlens.sources.shared import sent, written
+from cohortlens.sources.shared import written
 
 C = F.col
 #: Waves of all templates together: with a few hundred numbers each, some MB.
 MOST_TEMPLATES = 10_000
+#: Scores of waves against templates that a task holds at once.
+MOST_SCORES = 1 << 18
 
 
 def rec():
@@ -327,15 +335,46 @@ def conduction_lead_pick(leads: DataFrame, preferred: list[str]) -> DataFrame:
     return able.groupBy("record_id").agg(F.max(F.struct(score.alias("score"), "lead")).alias("x")).select("record_id", "x.lead", "x.score")
 
 
-def window_correlation(a: Column, b: Column, shift: int, least: int) -> Column:
-    """Pearson correlation of a[i] with b[i + shift] over the places that both have; null under `least` places or without spread."""
-    n = F.least(F.size(a), F.size(b)) - abs(shift)
-    x = F.slice(a, 1 + max(0, -shift), F.greatest(n, F.lit(0)))
-    y = F.slice(b, 1 + max(0, shift), F.greatest(n, F.lit(0)))
-    dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)
-    plain = lambda p: F.aggregate(p, F.lit(0.0), lambda s, v: s + v)
-    spread = F.sqrt(n * dot(x, x) - plain(x) * plain(x)) * F.sqrt(n * dot(y, y) - plain(y) * plain(y))
-    return F.when((n >= least) & (spread > 1e-9), (n * dot(x, y) - plain(x) * plain(y)) / spread)
+def _wave_matrix(waves: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values (null as 0) and nulls of waves of `size` numbers each."""
+    flat = waves.flatten()
+    return flat.fill_null(0.0).to_numpy(zero_copy_only=False).reshape(-1, size), flat.is_null().to_numpy(zero_copy_only=False).reshape(-1, size)
+
+
+def _peak_to_peak(v: np.ndarray, null: np.ndarray) -> np.ndarray:
+    return np.max(np.where(null, -np.inf, v), axis=1, initial=-np.inf) - np.min(np.where(null, np.inf, v), axis=1, initial=np.inf)
+
+
+def window_correlation(a: np.ndarray, b: np.ndarray, shift: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pearson correlation of each row of a at i with each row of b at i + shift over the places that both have, and where there is one: `least` places or more and spread."""
+    n = min(a.shape[1], b.shape[1]) - abs(shift)
+    if n < max(least, 1):
+        return np.zeros((len(a), len(b))), np.zeros((len(a), len(b)), bool)
+    x, y = a[:, max(0, -shift) :][:, :n], b[:, max(0, shift) :][:, :n]
+    x, y = x - x.mean(axis=1, keepdims=True), y - y.mean(axis=1, keepdims=True)
+    spread = np.sqrt((x * x).sum(axis=1))[:, None] * np.sqrt((y * y).sum(axis=1))[None, :]
+    return x @ y.T / spread, ~(n * spread <= 1e-9)
+
+
+def _lead_scores(waves: tuple[np.ndarray, np.ndarray], templates: tuple[np.ndarray, np.ndarray], windows: list[tuple[int, int, float]], shift: int, amplitude: float, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of every wave against every template of one lead, and where there is one."""
+    (a, a_null), (b, b_null) = waves, templates
+    total, weighted = np.zeros((2, len(a), len(b)))
+    for first, size, weight in windows:
+        at = slice(first, first + size)
+        best, seen = np.full((len(a), len(b)), -np.inf), np.zeros((len(a), len(b)), bool)
+        for s in range(-shift, shift + 1):
+            c, there = window_correlation(a[:, at], b[:, at], s, least)
+            n = min(a[:, at].shape[1], b[:, at].shape[1]) - abs(s)
+            if n > 0:
+                there = there & ~(a_null[:, at][:, max(0, -s) :][:, :n].any(axis=1)[:, None] | b_null[:, at][:, max(0, s) :][:, :n].any(axis=1)[None, :])
+            best, seen = np.where(there, np.maximum(best, c), best), seen | there
+        weighted += np.where(seen, weight * np.fmin(1.0, np.maximum(0.0, (best + 1) / 2)), 0.0)
+        total += np.where(seen, weight, 0.0)
+    mean = weighted / total
+    p, q = _peak_to_peak(a, a_null)[:, None], _peak_to_peak(b, b_null)[None, :]
+    like = np.exp(-np.abs(np.log((p + 1e-6) / (q + 1e-6))))
+    return np.where((p <= 1e-6) | (q <= 1e-6), mean, (1 - amplitude) * mean + amplitude * like), total != 0
 
 
 def template_scores(waves: DataFrame, templates: DataFrame, windows: list[tuple[int, int, float]], shift: int, amplitude: float = 0.15, least: int = 10) -> DataFrame:
@@ -344,23 +383,41 @@ def template_scores(waves: DataFrame, templates: DataFrame, windows: list[tuple[
     waves(record_id, lead, wave) and templates(template, lead, wave). Per lead every window (first, size, weight)
     has its best correlation over shifts, on a scale from 0 to 1; their weighted mean and the likeness of the
     peak-to-peak sizes make the lead's score. The mean over leads is lowered by leads of the template that the
-    record lacks.
+    record lacks. Arrow batches of waves meet all templates of their lead at once.
     """
-    own, other = C("wave"), C("__t")
-    parts = []
-    for first, size, weight in windows:
-        a, b = F.slice(own, first + 1, size), F.slice(other, first + 1, size)
-        parts.append((F.greatest(*[window_correlation(a, b, s, least) for s in range(-shift, shift + 1)]) if shift else window_correlation(a, b, 0, least), weight))
-    shape = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), (c + 1) / 2))
-    total = sum(F.when(c.isNotNull(), F.lit(w)).otherwise(0.0) for c, w in parts)
-    mean = sum(F.coalesce(shape(c) * w, F.lit(0.0)) for c, w in parts) / F.nullif(total, F.lit(0.0))
-    p, q = F.array_max(own) - F.array_min(own), F.array_max(other) - F.array_min(other)
-    amp = F.when((p > 1e-6) & (q > 1e-6), F.exp(-F.abs(F.log((p + 1e-6) / (q + 1e-6)))))
-    score = F.when(amp.isNull(), mean).otherwise((1 - amplitude) * mean + amplitude * amp)
-    leads = templates.groupBy("template").agg(F.count("*").alias("n"))
-    both = waves.join(sent(templates.withColumnRenamed("wave", "__t"), "the set of templates", MOST_TEMPLATES), "lead").withColumn("score", score)
-    by = both.groupBy("record_id", "template").agg(F.avg("score").alias("mean"), F.count("score").alias("k")).join(leads, "template")
-    coverage = C("k") / C("n")
+    spark = waves.sparkSession
+    given = templates.filter("template is not null").select("template", "lead", C("wave").cast("array<double>").alias("wave"))
+    rows = given.limit(MOST_TEMPLATES + 1).collect()
+    if len(rows) > MOST_TEMPLATES:
+        raise ValueError(f"the set of templates has more than {MOST_TEMPLATES} rows, too many to be sent to every task")
+    names = {name: k for k, name in enumerate(dict.fromkeys(r.template for r in rows))}
+    own: dict = {}
+    for r in rows:
+        own.setdefault(r.lead, {}).setdefault(None if r.wave is None else len(r.wave), []).append((names[r.template], r.wave))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = {lead: [(np.array([k for k, _ in x], "int32"), None if size is None else _wave_matrix(pa.array([w for _, w in x], pa.list_(pa.float64())), size)) for size, x in sets.items()] for lead, sets in own.items()}
+        for batch in batches:
+            lead, wave = batch.column("lead").dictionary_encode(), batch.column("wave")
+            sizes = pc.fill_null(pc.list_value_length(wave), -1).to_numpy(zero_copy_only=False)
+            codes = pc.fill_null(lead.indices, -1).to_numpy(zero_copy_only=False)
+            for code, size in sorted({*zip(codes.tolist(), sizes.tolist(), strict=True)}):
+                for which, other in known.get(lead.dictionary[code].as_py(), []) if code >= 0 else []:
+                    at = np.flatnonzero((codes == code) & (sizes == size))
+                    step = max(1, MOST_SCORES // len(which))
+                    for part in (at[k : k + step] for k in range(0, len(at), step)):
+                        score, there = np.zeros((len(part), len(which))), np.zeros((len(part), len(which)), bool)
+                        if size > 0 and other is not None:
+                            with np.errstate(all="ignore"):
+                                score, there = _lead_scores(_wave_matrix(wave.take(pa.array(part)), size), other, windows, shift, amplitude, least)
+                        yield pa.RecordBatch.from_arrays([batch.column("record_id").take(pa.array(np.repeat(part, len(which)))), pa.array(np.tile(which, len(part))), pa.array(score.ravel(), mask=~there.ravel())], ["record_id", "k", "score"])
+
+    kinds = StructType([StructField("record_id", waves.schema["record_id"].dataType), StructField("k", IntegerType()), StructField("score", DoubleType())])
+    scored = waves.select("record_id", "lead", C("wave").cast("array<double>").alias("wave")).mapInArrow(run, kinds)
+    leads = Counter(names[r.template] for r in rows)
+    named = spark.createDataFrame([(k, name, leads[k]) for name, k in names.items()], StructType([StructField("k", IntegerType()), StructField("template", templates.schema["template"].dataType), StructField("n", LongType())]))
+    by = scored.groupBy("record_id", "k").agg(F.avg("score").alias("mean"), F.count("score").alias("m")).join(F.broadcast(named), "k")
+    coverage = C("m") / C("n")
     return by.select("record_id", "template", (C("mean") * (0.70 + 0.30 * coverage)).alias("visual"), coverage.alias("coverage"))
 
 

@@ -11,6 +11,7 @@ from cohortlens.operators import patterns as N
 from cohortlens.operators import phases as P
 from cohortlens.operators import rules as R
 from cohortlens.plans.registry import query
+from cohortlens.sources.shared import written
 
 C = F.col
 H = 3_600_000
@@ -229,9 +230,11 @@ _HALVES = "s AS (SELECT vec_id AS record_id, label, i // 32 AS lead, i % 32 AS i
 
 
 def halves(t):
-    rows = t.embeddings.select(C("vec_id").alias("record_id"), "label", F.posexplode("embedding").alias("k", "v")).withColumns({"lead": F.floor(C("k") / 32).cast("int"), "i": C("k") % 32, "v": C("v").cast("double")})
-    array = lambda df, *keys: df.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("wave"))
-    return array(rows, "record_id", "lead"), array(rows.groupBy(C("label").alias("template"), "lead", "i").agg(F.avg("v").alias("v")), "template", "lead")
+    rows = t.embeddings.filter(F.size("embedding") > 0).select(C("vec_id").alias("record_id"), "label", C("embedding").cast("array<double>").alias("v"))
+    waves = rows.withColumn("lead", F.explode(F.sequence(F.lit(0), F.floor((F.size("v") - 1) / 32).cast("int")))).withColumn("wave", F.slice("v", C("lead") * 32 + 1, F.lit(32)))
+    means = waves.select(C("label").alias("template"), "lead", F.posexplode("wave").alias("i", "v")).groupBy("template", "lead", "i").agg(F.avg("v").alias("v"))
+    templates = means.groupBy("template", "lead").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("wave"))
+    return waves.select("record_id", "lead", "wave"), templates
 
 
 _WAVES = (
@@ -267,7 +270,7 @@ _BOUNDS = [(100, "median_h", 10.0, 30.0), (100, "cv", 0.0, 1.0), (3, "cv", 0.5,
 )
 def _(t):
     # Waves are those of the embeddings; the rhythm of a record is that of the user with its id, where there is one.
-    stats = E.interval_stats(t.evts, short=H)
+    stats = written(E.interval_stats(t.evts, short=H), "interval_stats")
     states = N.rhythm_states(stats, 0.9)
     table = lambda rows, schema: t.spark.createDataFrame(rows, schema)
     patterns = table([(100, "IRREGULAR"), (101, "VERY_REGULAR"), (102, "ABSENT")], "template int, rule_id string")
