@@ -3,6 +3,7 @@
 import math
 import random
 
+from cohortlens import catalogue
 from cohortlens.operators import events
 
 WINDOWS, SHIFT, LEAST = [(0, 12, 0.12), (8, 12, 0.48), (16, 16, 0.40)], 2, 10
@@ -67,3 +68,8 @@ def test_flat_waves_are_like_nothing(spark):
     templates = [("a", "I", [math.sin(k) for k in range(32)])]
     got = events.template_scores(spark.createDataFrame(flat, WAVES), spark.createDataFrame(templates, TEMPLATES), WINDOWS, SHIFT).collect()
     assert len(got) == 39 and {(r.visual, r.coverage) for r in got} == {(None, 0.0)}
+
+
+def test_waves_meet_their_templates_in_a_small_plan(spark, sf_dir):
+    plan = catalogue.QUERIES["e13_template_rank"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and len(plan) < 50_000
