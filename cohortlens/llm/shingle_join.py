@@ -9,6 +9,7 @@ on the whole sets.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ CHUNK_ROWS = 65_536
 PAIRS_AT_ONCE = 250_000
 MAP_WORDS = 8
 MAP = [f"m{k}" for k in range(MAP_WORDS)]
+PREFIX = ["n", *MAP, "wide", "prefix"]
+PREFIX_SCHEMA = f"n int, {', '.join(f'{m} bigint' for m in MAP)}, wide binary, prefix array<bigint>"
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -74,10 +77,14 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return pairs.join(left, "a").join(right, "b").filter(likeness(F.col("x"), F.col("y")) >= similarity).select("a", "b")
 
 
-def common_hashes(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes that several of about COUNTED_ROWS sets have, and in how many. They order the prefixes only."""
-    share = min(1.0, COUNTED_ROWS / max(1, sets.count()))
-    some = sets.filter(F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < int(share * (1 << 30)))
+def counted_rows(rows: DataFrame, by: str, total: int) -> DataFrame:
+    """About COUNTED_ROWS of `total` rows, chosen by a hash of a column."""
+    share = min(1.0, COUNTED_ROWS / max(1, total))
+    return rows.filter(F.pmod(F.xxhash64(by), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+
+def common_hashes(some: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes that several of some sets have, and in how many. They order the prefixes only."""
     counted = some.select(F.explode("hashes").alias("hash")).groupBy("hash").count().filter("count > 2")
     rows = counted.orderBy(F.desc("count"), "hash").limit(COMMON_HASHES).toPandas()
     hashes, counts = rows["hash"].to_numpy(np.int64).view(np.uint64), rows["count"].to_numpy(np.int64)
@@ -85,29 +92,42 @@ def common_hashes(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return hashes[by], counts[by]
 
 
-def bitmap(hashes: np.ndarray) -> np.ndarray:
-    """MAP_WORDS words in which every hash turns one bit: two sets differ in as many members as bits at least."""
-    bits = np.bincount((hashes >> np.uint64(20)).astype(np.int64) % (64 * MAP_WORDS), minlength=64 * MAP_WORDS) & 1
+def bitmap(hashes: np.ndarray, words: int = MAP_WORDS) -> np.ndarray:
+    """So many words in which every hash turns one bit: two sets differ in as many members as bits at least."""
+    bits = np.bincount((hashes >> np.uint64(20)).astype(np.int64) % (64 * words), minlength=64 * words) & 1
     return np.packbits(bits.astype(np.uint8), bitorder="little").view("<u8").astype(np.uint64)
 
 
+def wide_bitmap(hashes: np.ndarray) -> bytes:
+    """A bitmap of two bits a member or more, a power of two: a thirtieth of the set, and not full however long that is."""
+    return bitmap(hashes, max(MAP_WORDS, 1 << max(0, 2 * len(hashes) - 1).bit_length() - 6 if len(hashes) > 32 else 0)).astype("<u8").tobytes()
+
+
+def bits_apart(a: bytes, b: bytes) -> int:
+    """Differing bits of two wide bitmaps, the larger folded to the size of the smaller."""
+    x, y = sorted((np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")), key=len)
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
+
+
+def prefix_columns(sets: list[np.ndarray], similarity: float, common: tuple[np.ndarray, np.ndarray]) -> list[pa.Array]:
+    """n, the words of the bitmap and the prefix of each set: the columns PREFIX."""
+    hashes, counts = common
+    prefixes = []
+    for own in sets:
+        n = prefix_length(len(own), similarity)
+        if len(hashes):
+            at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
+            own = own[np.argsort(np.where(hashes[at] == own, counts[at], 0), kind="stable")]
+        prefixes.append(own[:n])
+    maps = np.array([bitmap(own) for own in sets]).reshape(len(sets), MAP_WORDS).view(np.int64)
+    return [pa.array([len(own) for own in sets], pa.int32()), *(pa.array(maps[:, k]) for k in range(MAP_WORDS)), pa.array([wide_bitmap(own) for own in sets], pa.binary()), lists(prefixes)]
+
+
 def _prefix_batches(similarity: float, common):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts = common.value
         for batch in batches:
-            sizes, prefixes, maps = [], [], []
-            for x in batch.column(1):
-                own = x.values.to_numpy().view(np.uint64)
-                n = prefix_length(len(own), similarity)
-                maps.append(bitmap(own))
-                if len(hashes):
-                    at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
-                    own = own[np.argsort(np.where(hashes[at] == own, counts[at], 0), kind="stable")]
-                sizes.append(len(own))
-                prefixes.append(own[:n])
-            maps = np.array(maps).reshape(len(batch), MAP_WORDS).view(np.int64)
-            columns = [batch.column(0), pa.array(sizes, pa.int32()), *(pa.array(maps[:, k]) for k in range(MAP_WORDS)), lists(prefixes)]
-            yield pa.RecordBatch.from_arrays(columns, names=["node", "n", *MAP, "prefix"])
+            sets = [x.values.to_numpy().view(np.uint64) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *prefix_columns(sets, similarity, common.value)], names=["node", *PREFIX])
 
     return given_back(run)
 
@@ -173,17 +193,43 @@ def _pair_batches(similarity: float):
     return given_back(run)
 
 
-def alike_links(sets: DataFrame, labels: DataFrame, similarity: float, most_rows: int) -> DataFrame:
-    """Links (a, b) between all nodes of (node, hashes) that are alike and have different labels (else their own).
+def _apart_batches(similarity: float):
+    """Pairs whose wide bitmaps do not rule them out."""
 
-    A bucket of more than `most_rows` is dealt into cells in which every two of different labels meet.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, n, m = (c.to_numpy() for c in batch.columns[:4])
+            most = n + m - 2 * np.ceil(similarity / (1 + similarity) * (n + m) - 1e-9)
+            apart = [bits_apart(x.as_py(), y.as_py()) for x, y in zip(*batch.columns[4:], strict=True)]
+            yield batch.filter(pa.array(np.array(apart, np.int64) <= most, pa.bool_())).select(["a", "b"])
+
+    return given_back(run)
+
+
+def candidates(prefixes: DataFrame, similarity: float, most_rows: int, slices: int = 1) -> DataFrame:
+    """Pairs (a, b) of (node, label, PREFIX) of different labels that can be alike: no alike pair is missed.
+
+    Prefixes meet a slice of all hashes at a time, so their rows are on disk a slice at a time. A bucket of more than
+    `most_rows` is dealt into cells in which every two of different labels meet.
     """
-    common = sets.sparkSession.sparkContext.broadcast(common_hashes(sets))
-    prefixes = sets.select("node", "hashes").mapInArrow(_prefix_batches(similarity, common), f"node bigint, n int, {', '.join(f'{m} bigint' for m in MAP)}, prefix array<bigint>")
-    rows = written(labelled(prefixes, labels).select("node", "n", "label", *MAP, F.posexplode("prefix").alias("place", "key")), "prefixes")
-    # A hash that one label alone has brings nothing together.
-    shared = rows.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("key")
-    rows = written(rows.join(shared, "key"), "shared")
-    cells = sorted_by(dealt(rows, most_rows), "key", "cell", "other").select("key", "cell", "other", "side", "node", "n", "place", "label", *MAP)
-    pairs = written(cells.mapInArrow(_pair_batches(similarity), "a bigint, b bigint").distinct(), "pairs")
-    return written(confirmed(pairs, sets, similarity), "alike")
+    found = []
+    for k in range(slices):
+        rows = prefixes.select("node", "n", "label", F.posexplode("prefix").alias("place", "key")).filter(F.pmod("key", F.lit(slices)) == k)
+        # A hash that one label alone has brings nothing together.
+        shared = written(rows.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("key"), "shared")
+        rows = written(rows.join(shared, "key"), "met")
+        cells = dealt(rows, most_rows).join(prefixes.select("node", *MAP), "node")
+        cells = sorted_by(cells, "key", "cell", "other").select("key", "cell", "other", "side", "node", "n", "place", "label", *MAP)
+        found.append(written(cells.mapInArrow(_pair_batches(similarity), "a bigint, b bigint").distinct(), "pairs"))
+    pairs = found[0] if slices == 1 else written(reduce(DataFrame.unionByName, found).distinct(), "pairs")
+    left, right = (prefixes.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("wide").alias(f"wide_{end}")) for end in "ab")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", F.col("n_a").cast("bigint"), F.col("n_b").cast("bigint"), "wide_a", "wide_b")
+    return written(both.mapInArrow(_apart_batches(similarity), "a bigint, b bigint"), "pairs")
+
+
+def alike_links(sets: DataFrame, labels: DataFrame, similarity: float, most_rows: int) -> DataFrame:
+    """Links (a, b) between all nodes of (node, hashes) that are alike and have different labels (else their own)."""
+    common = sets.sparkSession.sparkContext.broadcast(common_hashes(counted_rows(sets, "node", sets.count())))
+    prefixes = sets.select("node", "hashes").mapInArrow(_prefix_batches(similarity, common), f"node bigint, {PREFIX_SCHEMA}")
+    prefixes = written(labelled(prefixes, labels), "prefixes")
+    return written(confirmed(candidates(prefixes, similarity, most_rows), sets, similarity), "alike")

@@ -8,6 +8,8 @@
 3. Fingerprints that have others of another component within the radius are what the forest did not decide.
    Their sets alone go through an exact join by prefixes: no pair of them that is alike is missed. A corpus that
    would need more than MOST_SAMPLES samples sends all its sets through that join, with the components so far as labels.
+   Their prefixes are taken in the scan that makes the fingerprints and meet a slice of all hashes at a time; whole
+   sets are made again, only for what met.
 
 Only links found alike on the whole sets join components.
 """
@@ -21,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import given_back, mixed, pieces, sent_if_small, utf8, whole_groups, written
+from .common import given_back, mixed, pieces, sent_if_small, shuffles_dropped, utf8, whole_groups, written
 from .components import component_labels
 from .dealing import dealt, labelled, salted, sorted_by
 from .gray import GrayIndex, spanning_links
-from .shingle_join import Words, alike_links, confirmed, lists, set_key, shingle_set
+from .shingle_join import PREFIX, PREFIX_SCHEMA, Words, alike_links, candidates, common_hashes, confirmed, counted_rows, lists, prefix_columns, set_key, shingle_set
 
 BITS = 128
 #: Chance that two sets just as alike as asked lie beyond the radius, and that no sample of bits brings them together.
@@ -39,6 +41,8 @@ BUCKET_ROWS = 2048
 #: Rows of one bucket in a task; a bucket of more is dealt out.
 MOST_ROWS = 1 << 16
 CHUNK_ROWS = 1 << 14
+#: Slices of the hashes by which all sets meet; a fixed number, as each is a share of the input.
+SLICES = 4
 
 
 def set_print(hashes: np.ndarray) -> tuple[int, int]:
@@ -83,7 +87,19 @@ def bit_samples(rows: int, similarity: float) -> list[list[int]]:
     return out[:number]
 
 
-def _set_batches(shingle: int):
+def _hash_batches(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Words()
+        for batch in batches:
+            for a, b in pieces(utf8(batch.column(0))[1]):
+                yield pa.RecordBatch.from_arrays([lists([shingle_set(x.as_py(), shingle, held) for x in batch.column(0)[a:b]])], names=["hashes"])
+
+    return given_back(run)
+
+
+def _set_batches(shingle: int, similarity: float, common=None):
+    """Key and fingerprint of each text's set; with `common` also its prefix."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Words()
         for batch in batches:
@@ -92,7 +108,8 @@ def _set_batches(shingle: int):
                 sets = [shingle_set(x.as_py(), shingle, held) for x in part.column(1)]
                 prints = [set_print(s) for s in sets]
                 columns = [part.column(0), pa.array([set_key(s) for s in sets], pa.binary()), *(pa.array([p[k] for p in prints], pa.int64()) for k in (0, 1))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "set", "p", "q"])
+                more = prefix_columns(sets, similarity, common.value) if common else []
+                yield pa.RecordBatch.from_arrays([*columns, *more], names=["doc_id", "set", "p", "q", *(PREFIX if common else [])])
 
     return given_back(run)
 
@@ -113,6 +130,19 @@ def _chosen_sets(shingle: int):
     return given_back(run)
 
 
+def _nodes_of(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, doc_id, set) of the ends of pairs."""
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    return written(ends.join(nodes.select("node", "doc_id", "set"), "node"), "asked")
+
+
+def _sets_of(asked: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """(node, hashes) of (node, doc_id, set), made from the texts."""
+    texts = docs.join(sent_if_small(asked.select("doc_id", "node", "set")), "doc_id")
+    made = texts.select("node", "set", "text").mapInArrow(_chosen_sets(shingle), "node bigint, hashes array<bigint>")
+    return written(made.groupBy("node").agg(F.first("hashes").alias("hashes")), "sets")
+
+
 def _columns(rows: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     words = [rows[c].to_numpy().view(np.uint64) for c in ("p", "q")]
     _, label = np.unique(rows["label"].to_numpy(), return_inverse=True)
@@ -170,16 +200,29 @@ def similar_documents(documents: DataFrame, shingle: int = 5, similarity: float
     alike. Repeated doc_ids each have their row, and join their texts' components; a null doc_id links
     nothing and has a null component. Empty table: no rows. Other columns are ignored.
     """
+    with shuffles_dropped(documents.sparkSession):
+        return _similar_documents(documents, shingle, similarity, most_rows)
+
+
+def _needs_all(rows: int, similarity: float) -> bool:
+    return len(bit_samples(rows, similarity)) > MOST_SAMPLES
+
+
+def _similar_documents(documents: DataFrame, shingle: int, similarity: float, most_rows: int) -> DataFrame:
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    read = written(docs.mapInArrow(_set_batches(shingle), "doc_id bigint, set binary, p bigint, q bigint"), "prints")
+    total, common = docs.count(), None
+    if _needs_all(total, similarity):  # and so perhaps the different sets do
+        some = counted_rows(docs.select("text"), "text", total).distinct()
+        common = documents.sparkSession.sparkContext.broadcast(common_hashes(some.mapInArrow(_hash_batches(shingle), "hashes array<bigint>")))
+    read = written(docs.mapInArrow(_set_batches(shingle, similarity, common), "doc_id bigint, set binary, p bigint, q bigint" + (f", {PREFIX_SCHEMA}" if common else "")), "prints")
     once = read.filter("doc_id is not null").groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.first("p").alias("p"), F.first("q").alias("q"))
     nodes = written(once.withColumn("node", F.monotonically_increasing_id()), "nodes")
     own = written(read.select("doc_id", "set").join(nodes.select("set", "node"), "set", "left").select("doc_id", "node"), "own")
     radius = radius_of(similarity)
 
     # Buckets: the bits of each sample, hashed with the sample's number.
-    samples = bit_samples(nodes.count(), similarity)
-    whole, samples = len(samples) > MOST_SAMPLES, samples[:MOST_SAMPLES]
+    rows_of_nodes = nodes.count()
+    whole, samples = _needs_all(rows_of_nodes, similarity), bit_samples(rows_of_nodes, similarity)[:MOST_SAMPLES]
     masks = [[sum(1 << (b % 64) for b in bits if b // 64 == w) for w in (0, 1)] for bits in samples]
     signed = lambda x: F.lit(x - (1 << 64) if x >> 63 else x)
     keys = F.array(*[F.xxhash64(F.lit(k), F.col("p").bitwiseAND(signed(m)), F.col("q").bitwiseAND(signed(n))) for k, (m, n) in enumerate(masks)])
@@ -187,22 +230,26 @@ def similar_documents(documents: DataFrame, shingle: int = 5, similarity: float
     forest = sorted_by(salted(rows.withColumn("label", F.col("node")), most_rows), "key", "cell").select("key", "cell", "p", "q", "node", "label")
     pairs = written(forest.mapInArrow(_forest_batches(radius), "a bigint, b bigint").distinct(), "near")
 
-    # Only the sets of nodes that have a near one are made, once; or all.
-    asked = nodes.select("node", "doc_id", "set") if whole else written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "doc_id", "set"), "node"), "asked")
-    texts = docs.join(sent_if_small(asked.select("doc_id", "node", "set")), "doc_id")
-    sets = written(texts.select("node", "set", "text").mapInArrow(_chosen_sets(shingle), "node bigint, hashes array<bigint>").groupBy("node").agg(F.first("hashes").alias("hashes")), "sets")
+    # Only the sets of nodes that have a near one are made, once.
+    asked = _nodes_of(pairs, nodes)
+    sets = _sets_of(asked, docs, shingle)
     repeated = own.filter("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b")
     same_id = own.join(repeated.select("doc_id", "a"), "doc_id").select("a", F.col("node").alias("b"))
     links = written(confirmed(pairs, sets, similarity).unionByName(same_id), "alike")
     labels = written(component_labels(links), "labels")
 
-    # What has a near one in another component is decided exactly.
-    if not whole:
+    if whole:
+        own_rows = read.filter("doc_id is not null").groupBy("doc_id", "set").agg(*[F.first(c).alias(c) for c in PREFIX])
+        of_set = labelled(nodes.select("node", "doc_id", "set"), labels)
+        prefixes = written(own_rows.join(of_set, ["doc_id", "set"]).select("node", "label", *PREFIX), "prefixes")
+        pairs = candidates(prefixes, similarity, most_rows, SLICES)
+        more = written(confirmed(pairs, _sets_of(_nodes_of(pairs, nodes), docs, shingle), similarity), "alike")
+    else:  # what has a near one in another component is decided exactly
         of_asked = labelled(asked.select("node"), labels)
         left = dealt(rows.join(of_asked, "node").select("key", "p", "q", "node", "label"), most_rows)
         left = sorted_by(left, "key", "cell", "other").select("key", "cell", "other", "side", "p", "q", "node", "label")
         undecided = written(left.mapInArrow(_undecided_batches(radius), "node bigint").distinct(), "undecided")
-    more = alike_links(sets if whole else sets.join(undecided, "node"), labels, similarity, most_rows)
+        more = alike_links(sets.join(undecided, "node"), labels, similarity, most_rows)
     labels = written(component_labels(links.unionByName(more)), "labels")
 
     of_node = labelled(nodes.select("node", "doc_id"), labels)

@@ -1,5 +1,7 @@
 import random
+import time
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 
@@ -168,3 +170,50 @@ def test_rows_of_a_document_are_bounded_at_every_size(spark, monkeypatch):
     got = simhash.similar_documents(docs).collect()
     assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == plain_components(rows)
     assert simhash.similar_documents(docs.limit(0)).count() == 0
+
+
+def test_all_sets_meet_without_being_written(spark, monkeypatch):
+    """Where all sets go through the exact join, prefixes are written and whole sets of what met only; shuffle files go."""
+    rng, seen, found = random.Random(31), [], []
+    rows = [(k, " ".join(words(rng, 400))) for k in range(500)] + [(k + 1000, t) for k, t in cut_pairs(rng, 20)]
+    # Long texts that share a tenth of their words meet by prefix; their bitmaps of fixed size are full.
+    shared = words(rng, 400)
+    rows += [(2000 + k, " ".join(shared + words(rng, 3600))) for k in range(8)]
+    base = words(rng, 4000)
+    rows += [(3000 + k, " ".join(base[: 4000 - 150 * k] + words(rng, 150 * k))) for k in range(4)]
+    monkeypatch.setattr(similar, "MOST_SAMPLES", 1)
+    plain, joined = similar.written, similar.confirmed
+    for module in (similar, shingle_join, dealing):
+        monkeypatch.setattr(module, "written", lambda df, name, *a: (out := plain(df, name, *a), seen.append((name, out.inputFiles())))[0])
+    monkeypatch.setattr(similar, "confirmed", lambda pairs, *a: (found.append(pairs.count()), joined(pairs, *a))[1])
+    jvm = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {p.name for d in jvm.localDirs() for p in Path(str(d)).rglob("shuffle_*.data")}
+    before = shuffled()
+    got = dict(simhash.similar_documents(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == plain_components(rows)
+    size = sum(Path(f.removeprefix("file://")).stat().st_size for _, files in seen for f in files)
+    assert size < 0.75 * sum(len(t) for _, t in rows)
+    assert found[-1] < 30
+    for _ in range(50):
+        if len(left := shuffled() - before) <= 2:  # of the last, lazy part
+            break
+        time.sleep(0.2)
+    assert len(left) <= 12
+
+
+def test_wide_bitmaps_rule_out_no_alike_sets():
+    rng = np.random.default_rng(32)
+    for n in (0, 1, 32, 33, 256, 257, 5000):
+        own = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        for new in (0, n // 9, n // 2):
+            other = np.concatenate([own[new:], rng.integers(0, 1 << 63, new // 3).astype(np.uint64)])
+            apart, least = len(np.setxor1d(own, other)), shingle_join.bits_apart(shingle_join.wide_bitmap(own), shingle_join.wide_bitmap(other))
+            assert least <= apart and least >= apart - 0.8 * apart
+        assert len(shingle_join.wide_bitmap(own)) * 8 >= max(512, 2 * n)
+
+
+def test_prefixes_that_turn_out_not_to_be_needed(spark, monkeypatch):
+    """Rows ask for more than MOST_SAMPLES, different sets do not."""
+    rows = cut_pairs(random.Random(33), 30)
+    monkeypatch.setattr(similar, "_needs_all", lambda n, similarity: n > 70)
+    assert dict(simhash.similar_documents(spark.createDataFrame(rows + [(100 + k, rows[0][1]) for k in range(20)], SCHEMA)).collect()) == plain_components(rows + [(100 + k, rows[0][1]) for k in range(20)])
