@@ -39,6 +39,18 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables of `written` that nothing reads any more, whole as they were read back."""
+    for table in tables:
+        spark = table.sparkSession
+        top = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+        files = spark._jvm.org.apache.hadoop.fs.Path
+        for path in {files(f).getParent().toString() for f in table.inputFiles()}:
+            store = files(path).getFileSystem(spark._jsc.hadoopConfiguration())
+            if store.makeQualified(files(path)).getParent() == store.makeQualified(top):
+                store.delete(files(path), True)
+
+
 @contextmanager
 def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
     """Inside, the shuffle files of a query go when it ends, not when the driver happens to collect its garbage."""

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import given_back, mixed, whole_groups, written
+from .common import dropped, given_back, mixed, whole_groups, written
 from .dealing import dealt, labelled, sorted_by
 from .sketch import likeness
 
@@ -221,6 +221,7 @@ def candidates(prefixes: DataFrame, similarity: float, most_rows: int, slices: i
         cells = dealt(rows, most_rows).join(prefixes.select("node", *MAP), "node")
         cells = sorted_by(cells, "key", "cell", "other").select("key", "cell", "other", "side", "node", "n", "place", "label", *MAP)
         found.append(written(cells.mapInArrow(_pair_batches(similarity), "a bigint, b bigint").distinct(), "pairs"))
+        dropped(shared, rows)
     pairs = found[0] if slices == 1 else written(reduce(DataFrame.unionByName, found).distinct(), "pairs")
     left, right = (prefixes.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("wide").alias(f"wide_{end}")) for end in "ab")
     both = pairs.join(left, "a").join(right, "b").select("a", "b", F.col("n_a").cast("bigint"), F.col("n_b").cast("bigint"), "wide_a", "wide_b")
@@ -232,4 +233,6 @@ def alike_links(sets: DataFrame, labels: DataFrame, similarity: float, most_rows
     common = sets.sparkSession.sparkContext.broadcast(common_hashes(counted_rows(sets, "node", sets.count())))
     prefixes = sets.select("node", "hashes").mapInArrow(_prefix_batches(similarity, common), f"node bigint, {PREFIX_SCHEMA}")
     prefixes = written(labelled(prefixes, labels), "prefixes")
-    return written(confirmed(candidates(prefixes, similarity, most_rows), sets, similarity), "alike")
+    pairs = candidates(prefixes, similarity, most_rows)
+    dropped(prefixes)
+    return written(confirmed(pairs, sets, similarity), "alike")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import given_back, mixed, pieces, sent_if_small, shuffles_dropped, utf8, whole_groups, written
+from .common import dropped, given_back, mixed, pieces, sent_if_small, shuffles_dropped, utf8, whole_groups, written
 from .components import component_labels
 from .dealing import dealt, labelled, salted, sorted_by
 from .gray import GrayIndex, spanning_links
@@ -241,15 +241,21 @@ def _similar_documents(documents: DataFrame, shingle: int, similarity: float, mo
     if whole:
         own_rows = read.filter("doc_id is not null").groupBy("doc_id", "set").agg(*[F.first(c).alias(c) for c in PREFIX])
         of_set = labelled(nodes.select("node", "doc_id", "set"), labels)
+        dropped(sets, rows)
         prefixes = written(own_rows.join(of_set, ["doc_id", "set"]).select("node", "label", *PREFIX), "prefixes")
+        dropped(read)
         pairs = candidates(prefixes, similarity, most_rows, SLICES)
-        more = written(confirmed(pairs, _sets_of(_nodes_of(pairs, nodes), docs, shingle), similarity), "alike")
+        dropped(prefixes)
+        sets = _sets_of(_nodes_of(pairs, nodes), docs, shingle)
+        more = written(confirmed(pairs, sets, similarity), "alike")
+        dropped(sets)
     else:  # what has a near one in another component is decided exactly
         of_asked = labelled(asked.select("node"), labels)
         left = dealt(rows.join(of_asked, "node").select("key", "p", "q", "node", "label"), most_rows)
         left = sorted_by(left, "key", "cell", "other").select("key", "cell", "other", "side", "p", "q", "node", "label")
         undecided = written(left.mapInArrow(_undecided_batches(radius), "node bigint").distinct(), "undecided")
         more = alike_links(sets.join(undecided, "node"), labels, similarity, most_rows)
+        dropped(sets, rows, read)
     labels = written(component_labels(links.unionByName(more)), "labels")
 
     of_node = labelled(nodes.select("node", "doc_id"), labels)

@@ -184,14 +184,16 @@ def test_all_sets_meet_without_being_written(spark, monkeypatch):
     monkeypatch.setattr(similar, "MOST_SAMPLES", 1)
     plain, joined = similar.written, similar.confirmed
     for module in (similar, shingle_join, dealing):
-        monkeypatch.setattr(module, "written", lambda df, name, *a: (out := plain(df, name, *a), seen.append((name, out.inputFiles())))[0])
+        monkeypatch.setattr(module, "written", lambda df, name, *a: (out := plain(df, name, *a), seen.append((name, [(f, Path(f.removeprefix("file://")).stat().st_size) for f in out.inputFiles()])))[0])
     monkeypatch.setattr(similar, "confirmed", lambda pairs, *a: (found.append(pairs.count()), joined(pairs, *a))[1])
     jvm = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
     shuffled = lambda: {p.name for d in jvm.localDirs() for p in Path(str(d)).rglob("shuffle_*.data")}
     before = shuffled()
     got = dict(simhash.similar_documents(spark.createDataFrame(rows, SCHEMA)).collect())
     assert got == plain_components(rows)
-    size = sum(Path(f.removeprefix("file://")).stat().st_size for _, files in seen for f in files)
+    size = sum(n for _, files in seen for _, n in files)
+    stay = {name for name, files in seen for f, _ in files if Path(f.removeprefix("file://")).exists()}
+    assert not stay & {"prints", "buckets", "sets", "prefixes", "shared", "met"}
     assert size < 0.75 * sum(len(t) for _, t in rows)
     assert found[-1] < 30
     for _ in range(50):
